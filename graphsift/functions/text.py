@@ -12,7 +12,7 @@ def _c(v) -> Column:
 
 def label_key(labels) -> Column:
     """Canonical label-set text: distinct labels, sorted, joined by ':'."""
-    return F.array_join(F.array_sort(F.array_distinct(_c(labels))), ":")
+    return F.array_join(F.sort_array(F.array_distinct(_c(labels))), ":")
 
 
 def safe_name(name) -> Column:

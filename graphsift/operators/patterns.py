@@ -22,10 +22,17 @@ EDGE_SYSTEM_COLUMNS = ["srcId", "dstId", "srcType", "dstType", "relationshipType
 # -------------------------------------------------------------------------------
 
 
-def prop_keys(props: str | Column = "props") -> Column:
-    """Sorted keys of the non-null entries of a property map (ENC5)."""
+def prop_keys(props: str | Column = "props", drop_null_values: bool = False) -> Column:
+    """Sorted keys of the non-null entries of a property map (ENC5).
+
+    Canonical tables (``read_nodes``/``read_edges``) never store null values,
+    so by default the keys are taken as they are, with codegen'd
+    ``sort_array``; pass ``drop_null_values`` for maps from elsewhere.
+    """
     m = F.col(props) if isinstance(props, str) else props
-    return F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull())))
+    if drop_null_values:
+        m = F.map_filter(m, lambda k, v: v.isNotNull())
+    return F.sort_array(F.map_keys(m))
 
 
 def property_names(df: DataFrame, system: Sequence[str] | None = None) -> DataFrame:

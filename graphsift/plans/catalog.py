@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphsift.operators import infer, merge, patterns
 from graphsift.plans.discovery import GraphSchema, discover_schema
-from graphsift.sources.fixture import fixture_graph
+from graphsift.sources.fixture import fixture_graph, fixture_raw_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def schema(spark: SparkSession, sf_dir: str, **kw) -> GraphSchema:
     nodes, edges = graph(spark, sf_dir)
-    return discover_schema(nodes, edges, **kw)
+    return discover_schema(nodes, edges, raw_edges=fixture_raw_edges(spark, sf_dir), **kw)
 
 
 def _props_text(c: str = "props") -> F.Column:
@@ -151,8 +151,7 @@ def q_property_types_nodes(spark, sf_dir):
 
 
 def q_property_types_edges(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
-    return infer.property_types_with_empty(edges)
+    return infer.property_types_with_empty(fixture_raw_edges(spark, sf_dir))
 
 
 def q_typed_schema(spark, sf_dir):
@@ -171,8 +170,7 @@ def q_typed_schema(spark, sf_dir):
 
 
 def q_degree_stats(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
-    st = infer.degree_stats(edges)
+    st = infer.degree_stats(fixture_raw_edges(spark, sf_dir))
     return st.select("rel_type", "max_dst_per_src", "min_dst_per_src",
                      F.round("avg_dst_per_src", 6).alias("avg_dst_per_src"),
                      "max_src_per_dst", "min_src_per_dst",
@@ -180,8 +178,7 @@ def q_degree_stats(spark, sf_dir):
 
 
 def q_cardinality(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
-    return infer.infer_cardinality(edges).select("rel_type", "cardinality")
+    return infer.infer_cardinality(fixture_raw_edges(spark, sf_dir)).select("rel_type", "cardinality")
 
 
 def q_node_schema_flagship(spark, sf_dir):
@@ -196,6 +193,124 @@ def q_node_schema_flagship(spark, sf_dir):
                                    F.col("p.type").alias("type"), "mandatory")
 
 
+# ---------------------------------------------------------------- schema sinks
+
+def q_ddl_loose(spark, sf_dir):
+    from graphsift.plans.ddl import schema_ddl
+    return schema_ddl(schema(spark, sf_dir), "loose").select("section", "line")
+
+
+def q_ddl_strict(spark, sf_dir):
+    from graphsift.plans.ddl import schema_ddl
+    return schema_ddl(schema(spark, sf_dir), "strict").select("section", "line")
+
+
+def q_schema_fields(spark, sf_dir):
+    from graphsift.plans.ddl import schema_fields
+    return schema_fields(schema(spark, sf_dir))
+
+
+def q_schema_xsd(spark, sf_dir):
+    from graphsift.plans.ddl import schema_fields, schema_xsd
+    return schema_xsd(schema_fields(schema(spark, sf_dir))).select("section", "line")
+
+
+def _rules(shape):
+    def q(spark, sf_dir):
+        from graphsift.plans.ddl import schema_fields
+        from graphsift.plans.rdf import mapping_rules
+        return mapping_rules(schema_fields(schema(spark, sf_dir)), shape)
+    return q
+
+
+def _node_quads(shape):
+    def q(spark, sf_dir):
+        from graphsift.plans.rdf import node_quads
+        nodes, _ = graph(spark, sf_dir)
+        return node_quads(nodes, schema(spark, sf_dir), shape)
+    return q
+
+
+def _edge_quads(shape):
+    def q(spark, sf_dir):
+        from graphsift.plans.rdf import edge_quads
+        _, edges = graph(spark, sf_dir)
+        return edge_quads(edges, shape)
+    return q
+
+
+def q_nquads_lines(spark, sf_dir):
+    from graphsift.plans.rdf import edge_quads, node_quads, nquads_lines
+    nodes, edges = graph(spark, sf_dir)
+    s = schema(spark, sf_dir)
+    return nquads_lines(node_quads(nodes, s, "link").unionByName(edge_quads(edges, "link")))
+
+
+def q_iri_modes(spark, sf_dir):
+    """RDF4: node IRI in both namespaces plus a hashed variant and graph IRI."""
+    from graphsift.plans.rdf import DEFAULT_BASE, node_iri
+    nodes, _ = graph(spark, sf_dir)
+    k = nodes.select("node_id", F.array_join(F.sort_array(F.array_distinct("labels")), ":").alias("lk"))
+    plain = node_iri(DEFAULT_BASE, F.col("lk"), F.col("node_id"))
+    return k.select("node_id", plain.alias("iri"),
+                    node_iri(DEFAULT_BASE + "custom/", F.col("lk"), F.col("node_id")).alias("iri_custom"),
+                    F.concat(F.lit(DEFAULT_BASE + "custom/"), F.sha2(plain, 256)).alias("iri_hashed"),
+                    F.concat(plain, F.lit("/graph")).alias("graph_iri"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _node_assign(spark, sf_dir):
+    from graphsift.operators.evaluate import assignments_nodes
+    from graphsift.sources.fixture import fixture_truth
+    nodes, _ = graph(spark, sf_dir)
+    s = schema(spark, sf_dir)
+    return assignments_nodes(nodes, s.node_pattern_types, s.node_types, fixture_truth(nodes))
+
+
+def _metrics_out(m):
+    return m.select("tp", "fp", "fn", "true_sets", "predicted_types",
+                    F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
+                    F.round("f1", 6).alias("f1"))
+
+
+def q_eval_nodes(spark, sf_dir):
+    from graphsift.operators.evaluate import clustering_metrics
+    a = _node_assign(spark, sf_dir)
+    m = _metrics_out(clustering_metrics(a, F.array_join(F.sort_array("actual_labels"), ",")))
+    flags = a.agg(F.sum("correct_non_strict").alias("non_strict_correct"),
+                  F.sum("correct_strict").alias("strict_correct"))
+    return m.withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def q_assignments_nodes(spark, sf_dir):
+    a = _node_assign(spark, sf_dir)
+    return a.select("node_id", "type_id", _j("predicted_labels").alias("predicted_labels"),
+                    _j("actual_labels").alias("actual_labels"), "correct_non_strict", "correct_strict")
+
+
+def q_majority_labels(spark, sf_dir):
+    from graphsift.operators.evaluate import majority_labels
+    return majority_labels(_node_assign(spark, sf_dir))
+
+
+def q_eval_edges(spark, sf_dir):
+    from graphsift.operators.evaluate import assignments_edges, clustering_metrics
+    from graphsift.sources.fixture import truth_label
+    _, edges = graph(spark, sf_dir)
+    s = schema(spark, sf_dir)
+    truth = edges.select("edge_id", F.array("rel_type").alias("true_rel"),
+                         F.array(truth_label(F.col("src_id"))).alias("true_src"),
+                         F.array(truth_label(F.col("dst_id"))).alias("true_dst"))
+    a = assignments_edges(edges, s.edge_pattern_types, s.edge_types, truth)
+    key = F.concat_ws(">", F.array_join("true_rel", ","), F.array_join("true_src", ","),
+                      F.array_join("true_dst", ","))
+    m = _metrics_out(clustering_metrics(a, key, actual="true_rel"))
+    flags = a.agg(F.sum("correct_non_strict").alias("non_strict_correct"),
+                  F.sum("correct_strict").alias("strict_correct"))
+    return m.withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 QUERIES: dict[str, Query] = {
     "node_scan": q_node_scan,
     "edge_scan": q_edge_scan,
@@ -217,4 +332,20 @@ QUERIES: dict[str, Query] = {
     "degree_stats": q_degree_stats,
     "cardinality": q_cardinality,
     "node_schema": q_node_schema_flagship,
+    "ddl_loose": q_ddl_loose,
+    "ddl_strict": q_ddl_strict,
+    "schema_fields": q_schema_fields,
+    "schema_xsd": q_schema_xsd,
+    "mapping_rules_reified": _rules("reified"),
+    "mapping_rules_link": _rules("link"),
+    "node_quads_reified": _node_quads("reified"),
+    "node_quads_link": _node_quads("link"),
+    "edge_quads_reified": _edge_quads("reified"),
+    "edge_quads_link": _edge_quads("link"),
+    "nquads_lines": q_nquads_lines,
+    "iri_modes": q_iri_modes,
+    "eval_nodes": q_eval_nodes,
+    "assignments_nodes": q_assignments_nodes,
+    "majority_labels": q_majority_labels,
+    "eval_edges": q_eval_edges,
 }

@@ -12,17 +12,89 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from graphsift.operators import infer, merge, patterns
+from graphsift.session import cut_lineage
 
 
-@dataclass
 class GraphSchema:
-    node_types: DataFrame          # type_id, labels, is_abstract, n, n_clusters, mandatory, optional
-    edge_types: DataFrame          # type_id, rel_types, src_labels, dst_labels, n, mandatory, optional, cardinality
-    node_pattern_types: DataFrame  # labels_key, prop_keys, n, cluster_id, type_id
-    edge_pattern_types: DataFrame  # rel_type, src_key, dst_key, prop_keys, n, cluster_id, type_id
-    node_prop_types: DataFrame     # property, type, n_values
-    edge_prop_types: DataFrame
-    cardinality: DataFrame         # rel_type, degree stats, cardinality
+    """Lazily computed schema tables; each is built (and, with ``materialize``,
+    checkpointed into the shared checkpoint folder) on first access only.
+
+    node_types          type_id, labels, is_abstract, n, n_clusters, mandatory, optional
+    edge_types          type_id, rel_types, src_labels, dst_labels, n, mandatory, optional, cardinality
+    node_pattern_types  labels_key, prop_keys, n, cluster_id, type_id
+    edge_pattern_types  rel_type, src_key, dst_key, prop_keys, n, cluster_id, type_id
+    node_prop_types / edge_prop_types   property, type, n_values
+    cardinality         rel_type, degree statistics, cardinality
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, raw_edges: DataFrame | None,
+                 method: str, threshold: float, multi: bool, granularity: str,
+                 edge_merge: str, date_mode: str, materialize: bool, lsh_options: dict):
+        self._nodes, self._edges = nodes, edges
+        self._plain = raw_edges if raw_edges is not None else edges
+        self._method, self._threshold, self._multi = method, threshold, multi
+        self._granularity, self._edge_merge, self._date_mode = granularity, edge_merge, date_mode
+        self._keep = cut_lineage if materialize else (lambda df: df)
+        self._lsh = lsh_options
+        self._memo: dict[str, DataFrame] = {}
+
+    def _get(self, name: str, build) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = self._keep(build())
+        return self._memo[name]
+
+    # pattern level
+    @property
+    def node_patterns(self) -> DataFrame:
+        return self._get("np", lambda: patterns.node_patterns(self._nodes))
+
+    @property
+    def edge_patterns(self) -> DataFrame:
+        return self._get("ep", lambda: patterns.edge_patterns(self._edges))
+
+    def _node_merge(self):
+        if "nt" not in self._memo:
+            assigned = cluster_nodes(self.node_patterns, self._method, **self._lsh)
+            t, pt = merge.merge_node_types(assigned, self._threshold, self._multi, self._granularity)
+            self._memo["npt"] = self._keep(pt)
+            self._memo["nt"] = self._keep(t)
+        return self._memo["nt"], self._memo["npt"]
+
+    def _edge_merge_(self):
+        if "et" not in self._memo:
+            assigned = cluster_edges(self.edge_patterns, self._method, **self._lsh)
+            t, pt = merge.merge_edge_types(assigned, self._edge_merge)
+            self._memo["ept"] = self._keep(pt)
+            self._memo["et"] = self._keep(infer.type_cardinality(t, self.cardinality))
+        return self._memo["et"], self._memo["ept"]
+
+    @property
+    def node_types(self) -> DataFrame:
+        return self._node_merge()[0]
+
+    @property
+    def node_pattern_types(self) -> DataFrame:
+        return self._node_merge()[1]
+
+    @property
+    def edge_types(self) -> DataFrame:
+        return self._edge_merge_()[0]
+
+    @property
+    def edge_pattern_types(self) -> DataFrame:
+        return self._edge_merge_()[1]
+
+    @property
+    def cardinality(self) -> DataFrame:
+        return self._get("card", lambda: infer.infer_cardinality(self._plain))
+
+    @property
+    def node_prop_types(self) -> DataFrame:
+        return self._get("npty", lambda: infer.property_types_with_empty(self._nodes, self._date_mode))
+
+    @property
+    def edge_prop_types(self) -> DataFrame:
+        return self._get("epty", lambda: infer.property_types_with_empty(self._plain, self._date_mode))
 
     def typed_node_types(self) -> DataFrame:
         return infer.annotate_types(self.node_types, self.node_prop_types)
@@ -31,6 +103,24 @@ class GraphSchema:
         return infer.annotate_types(self.edge_types, self.edge_prop_types)
 
 
+def cluster_nodes(node_pats: DataFrame, method: str = "exact", **lsh_options) -> DataFrame:
+    if method == "exact":
+        return patterns.exact_node_clusters(node_pats)
+    if method == "lsh":
+        from graphsift.operators import lsh
+        return lsh.lsh_cluster_nodes(node_pats, **lsh_options)
+    raise ValueError(f"unknown clustering method {method!r}")
+
+
+def cluster_edges(edge_pats: DataFrame, method: str = "exact", **lsh_options) -> DataFrame:
+    if method == "exact":
+        return patterns.exact_edge_clusters(edge_pats)
+    if method == "lsh":
+        from graphsift.operators import lsh
+        return lsh.lsh_cluster_edges(edge_pats, **lsh_options)
+    raise ValueError(f"unknown clustering method {method!r}")
+
+
 def cluster_patterns(node_pats: DataFrame, edge_pats: DataFrame, method: str = "exact",
                      **lsh_options) -> tuple[DataFrame, DataFrame]:
     """Assign a cluster_id to every node and edge pattern."""
@@ -46,18 +136,15 @@ def cluster_patterns(node_pats: DataFrame, edge_pats: DataFrame, method: str = "
 def discover_schema(nodes: DataFrame, edges: DataFrame, method: str = "exact",
                     threshold: float = 0.9, multi: bool = False,
                     granularity: str = "instance", edge_merge: str = "rel_type",
-                    date_mode: str = "lenient", **lsh_options) -> GraphSchema:
-    node_pats = patterns.node_patterns(nodes)
-    edge_pats = patterns.edge_patterns(edges)
-    node_assigned, edge_assigned = cluster_patterns(node_pats, edge_pats, method, **lsh_options)
-    node_types, node_pt = merge.merge_node_types(node_assigned, threshold, multi, granularity)
-    edge_types, edge_pt = merge.merge_edge_types(edge_assigned, edge_merge)
-    card = infer.infer_cardinality(edges)
-    edge_types = infer.type_cardinality(edge_types, card)
-    return GraphSchema(
-        node_types=node_types, edge_types=edge_types,
-        node_pattern_types=node_pt, edge_pattern_types=edge_pt,
-        node_prop_types=infer.property_types_with_empty(nodes, date_mode),
-        edge_prop_types=infer.property_types_with_empty(edges, date_mode),
-        cardinality=card,
-    )
+                    date_mode: str = "lenient", raw_edges: DataFrame | None = None,
+                    materialize: bool = True, **lsh_options) -> GraphSchema:
+    """Discover node and edge types (lazy; see :class:`GraphSchema`).
+
+    ``raw_edges`` (edges before endpoint labels were attached) lets typing and
+    degree statistics skip the two label joins. With ``materialize`` the
+    small pattern-, type- and statistics-level tables are checkpointed into
+    the shared checkpoint folder, so later steps never re-scan elements and
+    survive executor loss without recomputing the element aggregations.
+    """
+    return GraphSchema(nodes, edges, raw_edges, method, threshold, multi, granularity,
+                       edge_merge, date_mode, materialize, lsh_options)

@@ -91,3 +91,180 @@ ORACLES: dict[str, str] = {
                coalesce(t.type, 'Unknown') AS type, nl.mandatory
         FROM nl LEFT JOIN nptypes t USING (property)""", patterns=True, typing=True),
 }
+
+# ------------------------------------------------------------------ sinks / RDF / evaluation
+from graphsift.plans.oracle_sql import with_sinks  # noqa: E402
+from graphsift.plans import rdf as _rdf  # noqa: E402
+
+_BASE = _rdf.DEFAULT_BASE
+_SEG = ("CASE WHEN {lk} = '' THEN 'Node' ELSE regexp_replace({lk}, '[^A-Za-z0-9_.\\-]', '_', 'g') END")
+
+ORACLES["ddl_loose"] = with_sinks(f"""
+SELECT 0 AS section, 'CREATE GRAPH TYPE NewGraphSchema LOOSE {{' AS line
+UNION ALL SELECT 9, '}}'
+UNION ALL SELECT 1, '  (' || CASE WHEN abst THEN 'AbstractType' ELSE type_id || 'Type' END || ': ' ||
+                 CASE WHEN abst THEN 'Abstract' ELSE type_id END || lblock || '),' FROM ntypes
+UNION ALL SELECT 2, '  (ABSTRACT_SRC: OPEN),' FROM needs WHERE s = 1
+UNION ALL SELECT 2, '  (ABSTRACT_DST: OPEN),' FROM needs WHERE d = 1
+UNION ALL SELECT 3, '  (:' || src || ')-[' || replace(rel, '|', '_') || 'Type: ' || replace(rel, '|', ' | ')
+                 || lblock || ']->(:' || dst || '),' FROM etypes""")
+
+_SNAME = "CASE WHEN abst THEN 'AbstractType_' || abs_no ELSE type_id || 'Type' END"
+_RNAME = "lower(replace(rel, '|', '_')) || 'Type'"
+ORACLES["ddl_strict"] = with_sinks(f"""
+SELECT * FROM (VALUES (0, '-- NODE TYPES --'), (3, ''), (4, '-- EDGE TYPES --'), (6, ''),
+                      (6, 'CREATE GRAPH TYPE NewGraphSchema STRICT {{'), (11, '}}')) v(section, line)
+UNION ALL SELECT 1, 'CREATE NODE TYPE ' || {_SNAME} || ' : ' ||
+                 CASE WHEN abst THEN 'ABSTRACT_' || abs_no ELSE type_id END || sblock || ';' FROM ntypes
+UNION ALL SELECT 2, 'CREATE NODE TYPE ABSTRACT_SRC : OPEN;' FROM needs WHERE s = 1
+UNION ALL SELECT 2, 'CREATE NODE TYPE ABSTRACT_DST : OPEN;' FROM needs WHERE d = 1
+UNION ALL SELECT 5, 'CREATE EDGE TYPE ' || {_RNAME} || ' : ' || replace(rel, '|', ' | ') || sblock || ';' FROM etypes
+UNION ALL SELECT 7, '  (' || {_SNAME} || '),' FROM ntypes
+UNION ALL SELECT 8, '  (ABSTRACT_SRC),' FROM needs WHERE s = 1
+UNION ALL SELECT 8, '  (ABSTRACT_DST),' FROM needs WHERE d = 1
+UNION ALL SELECT 9, '  (:' || src || ')-[' || {_RNAME} || ']->(:' || dst || '),' FROM etypes
+UNION ALL SELECT 10, CASE cardinality
+    WHEN '1:1' THEN '  FOR (x:' || src || ') SINGLETON x,y WITHIN (x)-[y: ' || {_RNAME} || ']->(:' || dst || ')'
+    WHEN 'N:1' THEN '  FOR (x:' || src || ') SINGLETON y WITHIN (x)-[y: ' || {_RNAME} || ']->(:' || dst || ')'
+    WHEN '1:N' THEN '  FOR (x:' || dst || ') SINGLETON x WITHIN (:' || src || ')-[y: ' || {_RNAME} || ']->(x)' END
+  FROM etypes WHERE cardinality IN ('1:1', 'N:1', '1:N')""")
+
+ORACLES["schema_fields"] = with_sinks("SELECT * FROM sfields")
+
+
+def _rules_sql(shape: str) -> str:
+    ns = _BASE + ("custom/" if shape == "link" else "")
+    rt = _rdf.RDF_TYPE
+    parts = [
+        f"SELECT DISTINCT type_name, kind, 'subject' AS rule, NULL::VARCHAR AS predicate, '{ns}' || type_name || '/{{id}}' AS template, NULL::VARCHAR AS field FROM sfields",
+        f"SELECT DISTINCT type_name, kind, 'class', '{rt}', CASE WHEN kind = 'edge' AND {str(shape == 'link').upper()} THEN '{ns}intermediate' ELSE '{ns}' || type_name END, NULL FROM sfields",
+        f"SELECT type_name, kind, 'literal', CASE WHEN kind = 'node' THEN '{ns}has_' || field ELSE '{ns}' || type_name || '_' || field END, '{{value}}', field FROM sfields WHERE role = 'property'",
+    ]
+    ends = "(SELECT type_name, role, min(xsd_type) AS end_type FROM sfields WHERE role <> 'property' GROUP BY 1, 2)"
+    if shape == "link":
+        parts.append(f"SELECT DISTINCT type_name, kind, 'label', '{_rdf.RDFS_LABEL}', '{{id}}', NULL FROM sfields WHERE kind = 'node'")
+        parts.append(f"SELECT type_name, 'edge', 'link', '{ns}' || type_name, '{ns}' || end_type || '/{{src}}', NULL FROM {ends} WHERE role = 'source'")
+        parts.append(f"SELECT type_name, 'edge', 'has_target', '{ns}hasTarget', '{ns}' || end_type || '/{{dst}}', NULL FROM {ends} WHERE role = 'target'")
+    else:
+        parts.append(f"SELECT type_name, 'edge', role, '{ns}' || role, '{ns}' || end_type || CASE WHEN role = 'source' THEN '/{{src}}' ELSE '/{{dst}}' END, NULL FROM {ends}")
+    return with_sinks(" UNION ALL ".join(parts))
+
+
+ORACLES["mapping_rules_reified"] = _rules_sql("reified")
+ORACLES["mapping_rules_link"] = _rules_sql("link")
+
+
+def _esc(v: str) -> str:
+    return (f"replace(replace(replace(replace({v}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), "
+            f"chr(13), '\\r')")
+
+
+def _node_quads_sql(shape: str) -> str:
+    ns = _BASE + ("custom/" if shape == "link" else "")
+    g = f"'{_BASE}custom'" if shape == "link" else "NULL::VARCHAR"
+    subj = f"'{ns}' || {_SEG.format(lk='q.labels_key')} || '/' || CAST(q.node_id AS VARCHAR)"
+    parts = [
+        f"SELECT {g} AS graph, {subj} AS subject, '{_rdf.RDF_TYPE}' AS predicate, '{ns}' || n.type_name AS object, "
+        "'iri' AS object_kind, NULL::VARCHAR AS datatype FROM node_type q JOIN tnames n USING (type_id)",
+        f"SELECT {g}, {subj}, '{ns}has_' || p.key, p.value, 'literal', NULL FROM node_type q JOIN gprops p USING (node_id) "
+        "WHERE trim(p.value) <> ''",
+    ]
+    if shape == "link":
+        parts.append(f"SELECT {g}, {subj}, '{_rdf.RDFS_LABEL}', CAST(q.node_id AS VARCHAR), 'literal', NULL FROM node_type q")
+    return " UNION ALL ".join(parts)
+
+
+def _edge_quads_sql(shape: str) -> str:
+    ns = _BASE + ("custom/" if shape == "link" else "")
+    g = f"'{_BASE}custom'" if shape == "link" else "NULL::VARCHAR"
+    rel = "regexp_replace(e.rel_type, '[^A-Za-z0-9_.\\-]', '_', 'g')"
+    eiri = f"'{ns}' || {rel} || '/' || url_encode(e.edge_id)"
+    src = f"'{ns}' || {_SEG.format(lk='e.src_key')} || '/' || CAST(e.src_id AS VARCHAR)"
+    dst = f"'{ns}' || {_SEG.format(lk='e.dst_key')} || '/' || CAST(e.dst_id AS VARCHAR)"
+    head = "SELECT {g} AS graph, {s} AS subject, {p} AS predicate, {o} AS object, '{k}' AS object_kind, NULL::VARCHAR AS datatype FROM gedges e"
+    if shape == "link":
+        parts = [head.format(g=g, s=src, p=f"'{ns}' || {rel}", o=eiri, k="iri"),
+                 head.format(g=g, s=eiri, p=f"'{_rdf.RDF_TYPE}'", o=f"'{ns}intermediate'", k="iri"),
+                 head.format(g=g, s=eiri, p=f"'{ns}hasTarget'", o=dst, k="iri")]
+    else:
+        parts = [head.format(g=g, s=eiri, p=f"'{_rdf.RDF_TYPE}'", o=f"'{ns}' || {rel}", k="iri"),
+                 head.format(g=g, s=eiri, p=f"'{ns}source'", o=src, k="iri"),
+                 head.format(g=g, s=eiri, p=f"'{ns}target'", o=dst, k="iri")]
+    parts.append(f"SELECT {g}, {eiri}, '{ns}' || {rel} || '_' || p.key, p.value, 'literal', NULL "
+                 "FROM gedges e JOIN geprops p USING (edge_id) WHERE trim(p.value) <> ''")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["node_quads_reified"] = with_sinks(_node_quads_sql("reified"))
+ORACLES["node_quads_link"] = with_sinks(_node_quads_sql("link"))
+ORACLES["edge_quads_reified"] = with_fixture(_edge_quads_sql("reified"))
+ORACLES["edge_quads_link"] = with_fixture(_edge_quads_sql("link"))
+ORACLES["nquads_lines"] = with_sinks(f"""
+SELECT '<' || subject || '> <' || predicate || '> ' ||
+       CASE WHEN object_kind = 'iri' THEN '<' || object || '>' ELSE '"' || {_esc('object')} || '"' END ||
+       CASE WHEN graph IS NOT NULL THEN ' <' || graph || '>' ELSE '' END || ' .' AS line
+FROM ({_node_quads_sql('link')} UNION ALL {_edge_quads_sql('link')}) q""")
+
+_IRI = f"'{_BASE}' || {_SEG.format(lk='labels_key')} || '/' || CAST(node_id AS VARCHAR)"
+ORACLES["iri_modes"] = with_fixture(f"""
+SELECT node_id, {_IRI} AS iri,
+       '{_BASE}custom/' || {_SEG.format(lk='labels_key')} || '/' || CAST(node_id AS VARCHAR) AS iri_custom,
+       '{_BASE}custom/' || sha256({_IRI}) AS iri_hashed, {_IRI} || '/graph' AS graph_iri FROM gnodes""")
+
+_TRUTH = ("(['Region','Nation','Customer','Supplier','Part','Order','Document','Grade'])"
+          "[CAST(floor({} / 1000000000) AS INTEGER)]")
+_ASSIGN = f"""
+, assign AS (SELECT q.node_id, q.type_id,
+     CASE WHEN q.type_id LIKE '?%' THEN [''] ELSE list_distinct(string_split(q.type_id, ':')) END AS pred,
+     [{_TRUTH.format('q.node_id')}] AS actual FROM node_type q),
+  freq AS (SELECT type_id, unnest(actual) AS label, count(*) AS freq FROM assign GROUP BY 1, 2),
+  maj AS (SELECT type_id, label AS majority_label, freq FROM (
+          SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY freq DESC, label) AS r FROM freq) WHERE r = 1),
+  scored AS (SELECT a.*, CASE WHEN list_contains(a.actual, m.majority_label) THEN 1 ELSE 0 END AS ok
+             FROM assign a JOIN maj m USING (type_id)),
+  pt AS (SELECT array_to_string(list_sort(actual), ',') AS tk, count(*) AS total, sum(ok) AS correct FROM scored GROUP BY 1),
+  m AS (SELECT sum(correct) AS tp, sum(total) - sum(correct) AS fp, sum(greatest(total - correct, 0)) AS fn,
+               count(*) AS true_sets FROM pt)
+"""
+_METRICS = """
+SELECT m.tp, m.fp, m.fn, m.true_sets, (SELECT count(DISTINCT type_id) FROM {a}) AS predicted_types,
+  round(CASE WHEN m.tp + m.fp > 0 THEN m.tp / (m.tp + m.fp) ELSE 0 END, 6) AS precision,
+  round(CASE WHEN m.tp + m.fn > 0 THEN m.tp / (m.tp + m.fn) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN m.tp > 0 THEN 2.0 * (m.tp / (m.tp + m.fp)) * (m.tp / (m.tp + m.fn)) /
+        ((m.tp / (m.tp + m.fp)) + (m.tp / (m.tp + m.fn))) ELSE 0 END, 6) AS f1,
+  (SELECT sum(ns) FROM {a}) AS non_strict_correct, (SELECT sum(st) FROM {a}) AS strict_correct
+FROM m"""
+
+ORACLES["assignments_nodes"] = with_sinks(_ASSIGN + """
+SELECT node_id, type_id, array_to_string(list_sort(pred), ',') AS predicted_labels,
+       array_to_string(list_sort(actual), ',') AS actual_labels,
+       CASE WHEN len(list_intersect(actual, pred)) > 0 THEN 1 ELSE 0 END AS correct_non_strict,
+       CASE WHEN list_sort(actual) = list_sort(pred) THEN 1 ELSE 0 END AS correct_strict FROM assign""")
+ORACLES["majority_labels"] = with_sinks(_ASSIGN + "SELECT * FROM maj")
+ORACLES["eval_nodes"] = with_sinks(_ASSIGN + """
+, flags AS (SELECT CASE WHEN len(list_intersect(actual, pred)) > 0 THEN 1 ELSE 0 END AS ns,
+                   CASE WHEN list_sort(actual) = list_sort(pred) THEN 1 ELSE 0 END AS st, type_id FROM assign)
+""" + _METRICS.format(a="flags"))
+
+ORACLES["eval_edges"] = with_sinks(f"""
+, ea AS (SELECT t.edge_id, t.type_id, [t.rel_type] AS true_rel, [{_TRUTH.format('t.src_id')}] AS true_src,
+                [{_TRUTH.format('t.dst_id')}] AS true_dst, string_split(m.rel_types, '|') AS p_rel,
+                CASE WHEN m.src_labels = '' THEN []::VARCHAR[] ELSE string_split(m.src_labels, '|') END AS p_src,
+                CASE WHEN m.dst_labels = '' THEN []::VARCHAR[] ELSE string_split(m.dst_labels, '|') END AS p_dst
+         FROM edge_type t JOIN emeta m USING (type_id)),
+  flags AS (SELECT type_id,
+    CASE WHEN len(list_filter(true_rel, lambda x: NOT list_contains(p_rel, x))) = 0
+          AND len(list_filter(true_src, lambda x: NOT list_contains(p_src, x))) = 0
+          AND len(list_filter(true_dst, lambda x: NOT list_contains(p_dst, x))) = 0 THEN 1 ELSE 0 END AS ns,
+    CASE WHEN list_sort(true_rel) = list_sort(p_rel) AND list_sort(true_src) = list_sort(p_src)
+          AND list_sort(true_dst) = list_sort(p_dst) THEN 1 ELSE 0 END AS st FROM ea),
+  freq AS (SELECT type_id, unnest(true_rel) AS label, count(*) AS freq FROM ea GROUP BY 1, 2),
+  maj AS (SELECT type_id, label AS majority_label FROM (
+          SELECT *, row_number() OVER (PARTITION BY type_id ORDER BY freq DESC, label) AS r FROM freq) WHERE r = 1),
+  scored AS (SELECT a.*, CASE WHEN list_contains(a.true_rel, m.majority_label) THEN 1 ELSE 0 END AS ok
+             FROM ea a JOIN maj m USING (type_id)),
+  pt AS (SELECT concat_ws('>', array_to_string(true_rel, ','), array_to_string(true_src, ','),
+                          array_to_string(true_dst, ',')) AS tk, count(*) AS total, sum(ok) AS correct FROM scored GROUP BY 1),
+  m AS (SELECT sum(correct) AS tp, sum(total) - sum(correct) AS fp, sum(greatest(total - correct, 0)) AS fn,
+               count(*) AS true_sets FROM pt)
+""" + _METRICS.format(a="flags"))

@@ -183,3 +183,72 @@ def with_fixture(body: str, patterns: bool = False, typing: bool = False) -> str
     if typing:
         parts.append(TYPING_CTES)
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def _pg(t: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ty.PG_TYPES.items())
+    return f"(CASE lower(trim({t})) {cases} ELSE 'STRING' END)"
+
+
+def _xsd(t: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ty.XSD_TYPES.items())
+    return f"(CASE lower(trim({t})) {cases} ELSE 'xs:string' END)"
+
+
+SAFE = "regexp_replace({}, '[^A-Za-z0-9_.\\-]', '_', 'g')"
+
+# Type-level derivations for schema text, XSD fields, rules, quads (need PATTERN + TYPING CTEs).
+SINK_CTES = f"""
+ntl AS (SELECT type_id, unnest(string_split(mandatory, ',')) AS property, true AS mand FROM tsplit WHERE mandatory <> ''
+        UNION ALL SELECT type_id, unnest(string_split(optional, ',')) AS property, false AS mand FROM tsplit WHERE optional <> ''),
+ntt AS (SELECT l.*, coalesce(t.type, 'Unknown') AS type FROM ntl l LEFT JOIN nptypes t USING (property)),
+etl AS (SELECT type_id, unnest(string_split(mandatory, ',')) AS property, true AS mand FROM esplit WHERE mandatory <> ''
+        UNION ALL SELECT type_id, unnest(string_split(optional, ',')) AS property, false AS mand FROM esplit WHERE optional <> ''),
+ett AS (SELECT l.*, coalesce(t.type, 'Unknown') AS type FROM etl l LEFT JOIN eptypes t USING (property)),
+nblock AS (SELECT type_id,
+   string_agg(property || ' ' || {_pg('type')}, ', ' ORDER BY NOT mand, property) AS loose,
+   string_agg(CASE WHEN mand THEN '' ELSE 'OPTIONAL ' END || property || ' ' || {_pg('type')}, ', ' ORDER BY NOT mand, property) AS strict
+   FROM ntt WHERE property NOT LIKE '%:%' AND property NOT IN ('original_label','labelArray','labelVector','features','prop_original_label')
+   GROUP BY 1),
+eblock AS (SELECT type_id,
+   string_agg(property || ' ' || {_pg('type')}, ', ' ORDER BY NOT mand, property) AS loose,
+   string_agg(CASE WHEN mand THEN '' ELSE 'OPTIONAL ' END || property || ' ' || {_pg('type')}, ', ' ORDER BY NOT mand, property) AS strict
+   FROM ett WHERE property NOT LIKE '%:%' AND property NOT IN ('original_label','labelArray','labelVector','features','prop_original_label')
+   GROUP BY 1),
+ntypes AS (SELECT s.type_id, s.type_id LIKE '?%' AS abst,
+   CASE WHEN s.type_id LIKE '?%' THEN row_number() OVER (PARTITION BY s.type_id LIKE '?%' ORDER BY s.type_id) END AS abs_no,
+   coalesce(' {{' || b.loose || '}}', '') AS lblock, coalesce(' {{' || b.strict || '}}', '') AS sblock
+   FROM tsplit s LEFT JOIN nblock b USING (type_id)),
+etypes AS (SELECT s.type_id, m.rel_types AS rel, m.src_labels, m.dst_labels, c.cardinality,
+   coalesce(' {{' || b.loose || '}}', '') AS lblock, coalesce(' {{' || b.strict || '}}', '') AS sblock,
+   CASE WHEN m.src_labels = '' THEN 'ABSTRACT_SRC' ELSE array_to_string(list_transform(string_split(m.src_labels, '|'), lambda x: x || 'Type'), '|') END AS src,
+   CASE WHEN m.dst_labels = '' THEN 'ABSTRACT_DST' ELSE array_to_string(list_transform(string_split(m.dst_labels, '|'), lambda x: x || 'Type'), '|') END AS dst
+   FROM esplit s JOIN emeta m USING (type_id) LEFT JOIN eblock b USING (type_id) LEFT JOIN ecard c USING (type_id)),
+needs AS (SELECT coalesce(max(CASE WHEN src_labels = '' THEN 1 ELSE 0 END), 0) AS s,
+                 coalesce(max(CASE WHEN dst_labels = '' THEN 1 ELSE 0 END), 0) AS d FROM etypes),
+tnames AS (SELECT type_id, CASE WHEN abst THEN 'UNKNOWN_' || abs_no ELSE {SAFE.format('type_id')} END AS type_name FROM ntypes),
+xnode AS (SELECT n.type_name, 'node' AS kind, 'property' AS role, t.property AS field, {_xsd('t.type')} AS xsd_type,
+          CASE WHEN t.mand THEN 1 ELSE 0 END AS min_occurs
+          FROM ntt t JOIN tnames n USING (type_id)
+          WHERE t.property NOT LIKE '%:%' AND t.property NOT IN ('original_label', 'original_data')
+            AND NOT contains(t.property, 'original_data')),
+etn AS (SELECT *, {SAFE.format("split_part(rel, '|', 1)")} AS type_name FROM etypes),
+xeprop AS (SELECT e.type_name, 'edge' AS kind, 'property' AS role, t.property AS field, min({_xsd('t.type')}) AS xsd_type,
+           max(CASE WHEN t.mand THEN 1 ELSE 0 END) AS min_occurs
+           FROM ett t JOIN etn e USING (type_id) WHERE t.property NOT LIKE '%:%' GROUP BY 1, 4),
+xends AS (SELECT type_name, 'source' AS role, l FROM (SELECT type_name, unnest(string_split(src_labels, '|')) AS l FROM etn WHERE src_labels <> '')
+          UNION ALL SELECT type_name, 'target' AS role, l FROM (SELECT type_name, unnest(string_split(dst_labels, '|')) AS l FROM etn WHERE dst_labels <> '')),
+xend_names AS (SELECT DISTINCT type_name FROM etn),
+xends2 AS (SELECT DISTINCT type_name, role, {SAFE.format('l')} AS xsd_type FROM xends
+   UNION ALL
+   SELECT type_name, r.role, CASE r.role WHEN 'source' THEN 'ABSTRACT_SRC' ELSE 'ABSTRACT_DST' END ||
+          row_number() OVER (PARTITION BY r.role ORDER BY type_name)
+   FROM xend_names, (VALUES ('source'), ('target')) r(role)
+   WHERE NOT EXISTS (SELECT 1 FROM xends x WHERE x.type_name = xend_names.type_name AND x.role = r.role)),
+sfields AS (SELECT * FROM xnode UNION ALL SELECT * FROM xeprop
+            UNION ALL SELECT type_name, 'edge', role, role, xsd_type, 1 FROM xends2)
+"""
+
+
+def with_sinks(body: str) -> str:
+    return "WITH " + ",\n".join([FIXTURE, PATTERN_CTES, TYPING_CTES, SINK_CTES]) + "\n" + body

@@ -117,6 +117,11 @@ def fixture_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return nodes, edges
 
 
+def fixture_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture edges without endpoint labels (no node joins)."""
+    return read_edges(spark, edge_specs(sf_dir), None)
+
+
 def truth_label(node_id: Column) -> Column:
     """Ground-truth table label of a fixture node id."""
     idx = (node_id / F.lit(1_000_000_000)).cast("int")

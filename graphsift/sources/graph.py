@@ -26,12 +26,19 @@ def _text(c: Column) -> Column:
 
 
 def props_map(props: Mapping[str, Column]) -> Column:
-    """MAP<STRING,STRING> of the non-null entries of ``props``."""
+    """MAP<STRING,STRING> of the non-null entries of ``props``.
+
+    Built from conditional one-entry maps (``map_concat`` / ``CASE``), which
+    stay inside whole-stage codegen, unlike a lambda ``filter``.
+    """
+    empty = F.create_map().cast("map<string,string>")
     if not props:
-        return F.create_map().cast("map<string,string>")
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), _text(v).alias("value"))
-                        for k, v in props.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+        return empty
+    parts = []
+    for k, v in props.items():
+        t = _text(v)
+        parts.append(F.when(t.isNotNull(), F.create_map(F.lit(k), t)).otherwise(empty))
+    return parts[0] if len(parts) == 1 else F.map_concat(*parts)
 
 
 @dataclass
