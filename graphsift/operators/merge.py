@@ -98,8 +98,9 @@ def split_properties(pattern_types: DataFrame, granularity: str = "instance") ->
     split = flags.groupBy("type_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("mand"), F.col("prop")))).alias("mandatory"),
         F.array_sort(F.collect_list(F.when(~F.col("mand"), F.col("prop")))).alias("optional"))
-    return (total.join(split, "type_id", "left")
-            .select("type_id", F.col("total").alias("n"),
+    size = pattern_types.groupBy("type_id").agg(F.sum("n").alias("n"))
+    return (size.join(split, "type_id", "left")
+            .select("type_id", "n",
                     F.coalesce("mandatory", _empty()).alias("mandatory"),
                     F.coalesce("optional", _empty()).alias("optional")))
 
@@ -168,3 +169,119 @@ def merge_edge_types(assigned: DataFrame, by: str = "rel_type") -> tuple[DataFra
     types = meta.join(props, "type_id").select(
         "type_id", "rel_types", "src_labels", "dst_labels", "n", "mandatory", "optional")
     return types, pattern_types
+
+
+# --------------------------------------------------------------- Jaccard merge (MRG5)
+
+def jaccard_pairs(clusters: DataFrame, threshold: float = 0.9, set_col: str = "labels") -> DataFrame:
+    """Pairs of clusters (a < b) whose label sets have Jaccard >= threshold."""
+    return jaccard_join(clusters, None, "cluster_id", set_col, threshold=threshold) \
+        .select("a", "b", "jaccard")
+
+
+def merge_by_jaccard(clusters: DataFrame, threshold: float = 0.9, closure: str = "components",
+                     set_col: str = "labels") -> DataFrame:
+    """MRG5: merge clusters whose label sets are similar.
+
+    ``components`` (default): transitive closure, every cluster in exactly one
+    group (group_id = smallest member id). ``one_hop``: the reference's groups
+    ({a} plus a's matches for every a), so a cluster may sit in several
+    groups. Unmatched clusters stay alone. Output: group_id, members,
+    n_clusters, labels, props, n (members is the sorted member list).
+    """
+    pairs = jaccard_pairs(clusters, threshold, set_col)
+    if closure == "components":
+        from graphsift.operators.components import connected_components
+        comp = connected_components(clusters.select(F.col("cluster_id").alias("id")), pairs)
+        member = comp.select(F.col("component").alias("group_id"), F.col("id").alias("cluster_id"))
+    elif closure == "one_hop":
+        groups = (pairs.groupBy("a").agg(F.collect_set("b").alias("bs"))
+                  .select(F.array_sort(F.array_union(F.array("a"), "bs")).alias("members"))
+                  .distinct()
+                  .withColumn("group_id", F.array_join("members", ";")))
+        grouped = groups.select("group_id", F.explode("members").alias("cluster_id"))
+        alone = clusters.select("cluster_id").join(grouped, "cluster_id", "left_anti") \
+            .withColumn("group_id", F.col("cluster_id"))
+        member = grouped.unionByName(alone.select("group_id", "cluster_id"))
+    else:
+        raise ValueError(f"unknown closure {closure!r}")
+    return (member.join(clusters, "cluster_id")
+            .groupBy("group_id")
+            .agg(F.array_sort(F.collect_list("cluster_id")).alias("members"),
+                 F.count(F.lit(1)).alias("n_clusters"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("props")))).alias("props"),
+                 F.sum("n").alias("n")))
+
+
+# ------------------------------------------------------- merging two schemas (MRG8/9)
+
+def merge_schemas(*types: DataFrame, key: str = "type_id") -> DataFrame:
+    """MRG8/MRG9: merge type tables discovered on parts of a graph.
+
+    Types with the same key are merged; a property is mandatory iff it is
+    mandatory in every part where the type occurs (exact for the union of
+    the parts); every other property seen is optional; sizes add up.
+    Input columns: key, n, mandatory, optional (+ any array columns listed in
+    ``labels``/``rel_types``/``src_labels``/``dst_labels`` which are unioned).
+    """
+    arrays = [c for c in ("labels", "rel_types", "src_labels", "dst_labels") if c in types[0].columns]
+    parts = None
+    for i, t in enumerate(types):
+        x = t.select(key, "n", "mandatory", "optional", *arrays).withColumn("_part", F.lit(i))
+        parts = x if parts is None else parts.unionByName(x)
+    meta = parts.groupBy(key).agg(
+        F.sum("n").alias("n"), F.countDistinct("_part").alias("_parts"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays])
+    props = (parts.select(key, "_part", F.explode("mandatory").alias("prop"), F.lit(1).alias("m"))
+             .unionByName(parts.select(key, "_part", F.explode("optional").alias("prop"), F.lit(0).alias("m")))
+             .groupBy(key, "prop").agg(F.sum("m").alias("m")))
+    flags = props.join(meta.select(key, "_parts"), key).withColumn("mand", F.col("m") == F.col("_parts"))
+    split = flags.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("mand"), F.col("prop")))).alias("mandatory"),
+        F.array_sort(F.collect_list(F.when(~F.col("mand"), F.col("prop")))).alias("optional"))
+    return (meta.join(split, key, "left").drop("_parts")
+            .withColumn("mandatory", F.coalesce("mandatory", _empty()))
+            .withColumn("optional", F.coalesce("optional", _empty())))
+
+
+# ------------------------------------------------------------- profiles (MRG10/11)
+
+def _profile(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Count-form split over (keys..., prop_keys, n) rows."""
+    total = units.groupBy(*keys).agg(F.sum("n").alias("n"))
+    per = (units.select(*keys, "n", F.explode("prop_keys").alias("prop"))
+           .groupBy(*keys, "prop").agg(F.sum("n").alias("cnt")))
+    flags = per.join(total, keys).withColumn("common", F.col("cnt") == F.col("n"))
+    split = flags.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("common"), F.col("prop")))).alias("common"),
+        F.array_sort(F.collect_list(F.when(~F.col("common"), F.col("prop")))).alias("optional"))
+    return (total.join(split, keys, "left")
+            .withColumn("common", F.coalesce("common", _empty()))
+            .withColumn("optional", F.coalesce("optional", _empty()))
+            .withColumn("all_props", F.array_sort(F.concat("common", "optional"))))
+
+
+def profile_by_label(node_pats: DataFrame) -> DataFrame:
+    """MRG10: per single label: properties on every node carrying it, the rest optional."""
+    units = (node_pats.where(F.col("labels_key") != "")
+             .select(F.explode(F.split("labels_key", ":")).alias("label"), "prop_keys", "n"))
+    return _profile(units, ["label"])
+
+
+def profile_by_edge_type(edge_pats: DataFrame) -> DataFrame:
+    """MRG11: per (relation, source label set, target label set)."""
+    units = edge_pats.select(F.col("rel_type").alias("rel_types"), F.col("src_key").alias("src_labels"),
+                             F.col("dst_key").alias("dst_labels"), "prop_keys", "n")
+    return _profile(units, ["rel_types", "src_labels", "dst_labels"])
+
+
+def safe_flatten(df: DataFrame, col: str) -> DataFrame:
+    """MRG12: flatten ``col`` only when it is an array of arrays."""
+    from pyspark.sql.types import ArrayType
+    if col not in df.columns:
+        return df
+    dt = df.schema[col].dataType
+    if isinstance(dt, ArrayType) and isinstance(dt.elementType, ArrayType):
+        return df.withColumn(col, F.flatten(col))
+    return df

@@ -311,6 +311,130 @@ def q_eval_edges(spark, sf_dir):
     return m.withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+# ---------------------------------------------------------------- more merging
+
+def _exact_clusters(spark, sf_dir):
+    nodes, _ = graph(spark, sf_dir)
+    return merge.node_clusters(patterns.exact_node_clusters(patterns.node_patterns(nodes)))
+
+
+def q_jaccard_pairs(spark, sf_dir):
+    return merge.jaccard_pairs(_exact_clusters(spark, sf_dir), 0.9).select(
+        "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _jmerge(closure):
+    def q(spark, sf_dir):
+        g = merge.merge_by_jaccard(_exact_clusters(spark, sf_dir), 0.9, closure)
+        return g.select("group_id", "n_clusters", _j("labels", "|").alias("labels"),
+                        _j("props").alias("props"), "n")
+    return q
+
+
+def _halves(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    raw = fixture_raw_edges(spark, sf_dir)
+    even = discover_schema(nodes.where(F.col("node_id") % 2 == 0), edges.where(F.col("src_id") % 2 == 0),
+                           raw_edges=raw.where(F.col("src_id") % 2 == 0))
+    odd = discover_schema(nodes.where(F.col("node_id") % 2 == 1), edges.where(F.col("src_id") % 2 == 1),
+                          raw_edges=raw.where(F.col("src_id") % 2 == 1))
+    return even, odd
+
+
+def q_schema_merge_nodes(spark, sf_dir):
+    even, odd = _halves(spark, sf_dir)
+    m = merge.merge_schemas(even.node_types, odd.node_types)
+    return m.select("type_id", _j("labels", "|").alias("labels"), "n",
+                    _j("mandatory").alias("mandatory"), _j("optional").alias("optional"))
+
+
+def q_schema_merge_edges(spark, sf_dir):
+    even, odd = _halves(spark, sf_dir)
+    m = merge.merge_schemas(even.edge_types, odd.edge_types)
+    return m.select("type_id", _j("rel_types", "|").alias("rel_types"), _j("src_labels", "|").alias("src_labels"),
+                    _j("dst_labels", "|").alias("dst_labels"), "n",
+                    _j("mandatory").alias("mandatory"), _j("optional").alias("optional"))
+
+
+def q_label_profile(spark, sf_dir):
+    nodes, _ = graph(spark, sf_dir)
+    p = merge.profile_by_label(patterns.node_patterns(nodes))
+    return p.select("label", "n", _j("common").alias("common"), _j("optional").alias("optional"),
+                    _j("all_props").alias("all_props"))
+
+
+def q_edge_profile(spark, sf_dir):
+    _, edges = graph(spark, sf_dir)
+    p = merge.profile_by_edge_type(patterns.edge_patterns(edges))
+    return p.select("rel_types", "src_labels", "dst_labels", "n", _j("common").alias("common"),
+                    _j("optional").alias("optional"), _j("all_props").alias("all_props"))
+
+
+def q_flatten_props(spark, sf_dir):
+    nodes, _ = graph(spark, sf_dir)
+    a = patterns.exact_node_clusters(patterns.node_patterns(nodes))
+    nested = a.groupBy("cluster_id").agg(F.collect_set("prop_keys").alias("props"))
+    flat = merge.safe_flatten(merge.safe_flatten(nested, "props"), "props")
+    return flat.select("cluster_id", _j(F.array_distinct("props")).alias("props"))
+
+
+def q_node_types_cluster_granularity(spark, sf_dir):
+    return _node_types_out(schema(spark, sf_dir, granularity="cluster").node_types)
+
+
+def q_node_types_multi(spark, sf_dir):
+    """Reference attachment rule: an unlabelled cluster joins every matching type."""
+    return _node_types_out(schema(spark, sf_dir, multi=True).node_types)
+
+
+# ---------------------------------------------------------------- LSH (rows-only)
+
+def q_encoded_patterns(spark, sf_dir):
+    from graphsift.operators.encode import encode_node_patterns
+    nodes, _ = graph(spark, sf_dir)
+    enc = encode_node_patterns(patterns.node_patterns(nodes))
+    return enc.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n",
+                      F.size("features_arr").alias("dim"),
+                      F.array_join(F.slice(F.transform("features_arr", lambda x: x.cast("string")),
+                                           6, 1000), ",").alias("flags"))
+
+
+def q_pattern_distance_stats(spark, sf_dir):
+    from graphsift.operators.encode import encode_node_patterns
+    from graphsift.operators.lsh import pattern_distance_stats
+    nodes, _ = graph(spark, sf_dir)
+    return pattern_distance_stats(encode_node_patterns(patterns.node_patterns(nodes), code="hash"))
+
+
+def q_lsh_params(spark, sf_dir):
+    from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
+    from graphsift.operators.lsh import lsh_params_table
+    nodes, edges = graph(spark, sf_dir)
+    n = lsh_params_table(encode_node_patterns(patterns.node_patterns(nodes), code="hash"), False)
+    e = lsh_params_table(encode_edge_patterns(patterns.edge_patterns(edges), code="hash"), True)
+    return n.withColumn("kind", F.lit("node")).unionByName(
+        e.withColumn("kind", F.lit("edge")), allowMissingColumns=True)
+
+
+def q_node_lsh(spark, sf_dir):
+    from graphsift.operators.lsh import lsh_cluster_nodes
+    nodes, _ = graph(spark, sf_dir)
+    c = lsh_cluster_nodes(patterns.node_patterns(nodes))
+    return c.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n", "cluster_id")
+
+
+def q_edge_lsh(spark, sf_dir):
+    from graphsift.operators.lsh import lsh_cluster_edges
+    _, edges = graph(spark, sf_dir)
+    c = lsh_cluster_edges(patterns.edge_patterns(edges))
+    return c.select("rel_type", "src_key", "dst_key", F.array_join("prop_keys", ",").alias("props_key"),
+                    "n", "cluster_id")
+
+
+def q_lsh_node_types(spark, sf_dir):
+    return _node_types_out(schema(spark, sf_dir, method="lsh").node_types)
+
+
 QUERIES: dict[str, Query] = {
     "node_scan": q_node_scan,
     "edge_scan": q_edge_scan,
@@ -348,4 +472,20 @@ QUERIES: dict[str, Query] = {
     "assignments_nodes": q_assignments_nodes,
     "majority_labels": q_majority_labels,
     "eval_edges": q_eval_edges,
+    "jaccard_pairs": q_jaccard_pairs,
+    "jaccard_merge": _jmerge("components"),
+    "jaccard_merge_one_hop": _jmerge("one_hop"),
+    "schema_merge_nodes": q_schema_merge_nodes,
+    "schema_merge_edges": q_schema_merge_edges,
+    "label_profile": q_label_profile,
+    "edge_profile": q_edge_profile,
+    "flatten_props": q_flatten_props,
+    "node_types_cluster_granularity": q_node_types_cluster_granularity,
+    "node_types_multi": q_node_types_multi,
+    "encoded_patterns": q_encoded_patterns,
+    "pattern_distance_stats": q_pattern_distance_stats,
+    "lsh_params": q_lsh_params,
+    "node_lsh": q_node_lsh,
+    "edge_lsh": q_edge_lsh,
+    "lsh_node_types": q_lsh_node_types,
 }

@@ -268,3 +268,47 @@ ORACLES["eval_edges"] = with_sinks(f"""
   m AS (SELECT sum(correct) AS tp, sum(total) - sum(correct) AS fp, sum(greatest(total - correct, 0)) AS fn,
                count(*) AS true_sets FROM pt)
 """ + _METRICS.format(a="flags"))
+
+# ------------------------------------------------------------------ more merging
+_CL = "SELECT labels_key || '#' || props_key AS cid, labels_key, props_key, n FROM npatterns"
+ORACLES["jaccard_pairs"] = with_fixture(f""", cl AS ({_CL})
+SELECT a.cid AS a, b.cid AS b, 1.0 AS jaccard FROM cl a JOIN cl b
+  ON a.labels_key = b.labels_key AND a.labels_key <> '' AND a.cid < b.cid""", patterns=True)
+_JM = f""", cl AS ({_CL}),
+  grp AS (SELECT *, CASE WHEN labels_key = '' THEN cid ELSE min(cid) OVER (PARTITION BY labels_key) END AS gid FROM cl),
+  gk AS (SELECT DISTINCT g.gid, p.key FROM grp g JOIN npat q ON q.labels_key = g.labels_key AND q.props_key = g.props_key
+         JOIN gprops p USING (node_id))
+SELECT g.gid AS group_id, count(*) AS n_clusters, min(g.labels_key) AS labels,
+       (SELECT string_agg(key, ',' ORDER BY key) FROM gk WHERE gk.gid = g.gid) AS props, sum(g.n) AS n
+FROM grp g GROUP BY g.gid"""
+ORACLES["jaccard_merge"] = with_fixture(_JM, patterns=True)
+ORACLES["jaccard_merge_one_hop"] = with_fixture(_JM.replace(
+    "min(cid) OVER (PARTITION BY labels_key)",
+    "CASE WHEN count(*) OVER (PARTITION BY labels_key) > 1 THEN string_agg(cid, ';' ORDER BY cid) OVER "
+    "(PARTITION BY labels_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE cid END"),
+    patterns=True)
+ORACLES["schema_merge_nodes"] = with_fixture(
+    "SELECT type_id, labels, n, mandatory, optional FROM (" + _NODE_TYPES_SELECT + ")", patterns=True)
+ORACLES["schema_merge_edges"] = with_fixture(
+    _EDGE_TYPES_SELECT.format(extra="", join=""), patterns=True)
+ORACLES["label_profile"] = with_fixture("""
+, lp AS (SELECT unnest(string_split(labels_key, ':')) AS label, props_key, n FROM npatterns WHERE labels_key <> ''),
+  lt AS (SELECT label, sum(n) AS n FROM lp GROUP BY 1),
+  lk AS (SELECT label, unnest(string_split(props_key, ',')) AS key, n FROM lp WHERE props_key <> ''),
+  lc AS (SELECT label, key, sum(n) AS cnt FROM lk GROUP BY 1, 2)
+SELECT t.label, t.n,
+  coalesce(string_agg(CASE WHEN c.cnt = t.n THEN c.key END, ',' ORDER BY c.key), '') AS common,
+  coalesce(string_agg(CASE WHEN c.cnt < t.n THEN c.key END, ',' ORDER BY c.key), '') AS optional,
+  coalesce(string_agg(c.key, ',' ORDER BY c.key), '') AS all_props
+FROM lt t LEFT JOIN lc c USING (label) GROUP BY t.label, t.n""", patterns=True)
+ORACLES["edge_profile"] = with_fixture("""
+, et AS (SELECT rel_type, src_key, dst_key, count(*) AS n FROM epat GROUP BY 1, 2, 3),
+  ek AS (SELECT e.rel_type, e.src_key, e.dst_key, p.key, count(*) AS cnt FROM epat e JOIN geprops p USING (edge_id) GROUP BY 1, 2, 3, 4)
+SELECT t.rel_type AS rel_types, t.src_key AS src_labels, t.dst_key AS dst_labels, t.n,
+  coalesce(string_agg(CASE WHEN k.cnt = t.n THEN k.key END, ',' ORDER BY k.key), '') AS common,
+  coalesce(string_agg(CASE WHEN k.cnt < t.n THEN k.key END, ',' ORDER BY k.key), '') AS optional,
+  coalesce(string_agg(k.key, ',' ORDER BY k.key), '') AS all_props
+FROM et t LEFT JOIN ek k USING (rel_type, src_key, dst_key) GROUP BY 1, 2, 3, 4""", patterns=True)
+ORACLES["flatten_props"] = with_fixture(
+    "SELECT labels_key || '#' || props_key AS cluster_id, props_key AS props FROM npatterns", patterns=True)
+ORACLES["node_types_cluster_granularity"] = ORACLES["node_types"]
