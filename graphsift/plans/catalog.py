@@ -435,6 +435,70 @@ def q_lsh_node_types(spark, sf_dir):
     return _node_types_out(schema(spark, sf_dir, method="lsh").node_types)
 
 
+# ---------------------------------------------------------------- I/O round trips
+
+def _csv_graph(spark, sf_dir):
+    from graphsift.sources.csvio import graph_from_csv, write_graph_csv
+    from graphsift.sources.scratch import scratch_path
+    nodes, edges = graph(spark, sf_dir)
+    npath, epath = write_graph_csv(nodes, edges, scratch_path(spark, "csv"), sep="|")
+    return graph_from_csv(spark, {None: npath}, {None: epath}, sep="|")
+
+
+def q_csv_round_trip(spark, sf_dir):
+    nodes, _ = _csv_graph(spark, sf_dir)
+    return nodes.select("node_id", F.array_join(F.sort_array("labels"), ":").alias("labels_key"),
+                        F.size("props").alias("n_props"), _props_text().alias("props_text"))
+
+
+def q_csv_round_trip_edges(spark, sf_dir):
+    _, edges = _csv_graph(spark, sf_dir)
+    return edges.select("edge_id", "rel_type", "src_id", "dst_id",
+                        _j("src_labels", ":").alias("src_key"), _j("dst_labels", ":").alias("dst_key"),
+                        _props_text().alias("props_text"))
+
+
+def q_align_union(spark, sf_dir):
+    from graphsift.sources.csvio import align_schemas
+    a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    x, y = align_schemas(a, b)
+    return x.unionByName(y)
+
+
+def _elem_props(df, skip):
+    cols = [c for c in df.columns if c not in skip]
+    entries = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + "="), F.col(c))) for c in cols])
+    return F.array_join(F.sort_array(F.filter(entries, lambda x: x.isNotNull())), ";")
+
+
+def q_node_elements(spark, sf_dir):
+    from graphsift.sources.scratch import scratch_path
+    from graphsift.sources.xmlio import export_node_xml, read_xml_elements
+    nodes, _ = graph(spark, sf_dir)
+    path = scratch_path(spark, "xml-nodes")
+    export_node_xml(nodes, schema(spark, sf_dir), path)
+    r = read_xml_elements(spark, path, "node")
+    return r.select("type_name", "id", "original_label",
+                    _elem_props(r, {"type_name", "id", "original_label"}).alias("props_text"))
+
+
+def q_edge_elements(spark, sf_dir):
+    from graphsift.sources.scratch import scratch_path
+    from graphsift.sources.xmlio import export_edge_xml, read_xml_elements
+    _, edges = graph(spark, sf_dir)
+    path = scratch_path(spark, "xml-edges")
+    export_edge_xml(edges, path)
+    r = read_xml_elements(spark, path, "edge")
+    return r.select("type_name", "id", F.coalesce(F.col("source._type"), F.lit("")).alias("src_type"),
+                    F.col("source._VALUE").alias("src"),
+                    F.coalesce(F.col("target._type"), F.lit("")).alias("dst_type"),
+                    F.col("target._VALUE").alias("dst"),
+                    _elem_props(r, {"type_name", "id", "source", "target"}).alias("props_text"))
+
+
 QUERIES: dict[str, Query] = {
     "node_scan": q_node_scan,
     "edge_scan": q_edge_scan,
@@ -488,4 +552,9 @@ QUERIES: dict[str, Query] = {
     "node_lsh": q_node_lsh,
     "edge_lsh": q_edge_lsh,
     "lsh_node_types": q_lsh_node_types,
+    "csv_round_trip": q_csv_round_trip,
+    "csv_round_trip_edges": q_csv_round_trip_edges,
+    "align_union": q_align_union,
+    "node_elements": q_node_elements,
+    "edge_elements": q_edge_elements,
 }

@@ -312,3 +312,21 @@ FROM et t LEFT JOIN ek k USING (rel_type, src_key, dst_key) GROUP BY 1, 2, 3, 4"
 ORACLES["flatten_props"] = with_fixture(
     "SELECT labels_key || '#' || props_key AS cluster_id, props_key AS props FROM npatterns", patterns=True)
 ORACLES["node_types_cluster_granularity"] = ORACLES["node_types"]
+
+# ------------------------------------------------------------------ I/O round trips
+ORACLES["csv_round_trip"] = ORACLES["node_scan"]
+ORACLES["csv_round_trip_edges"] = ORACLES["edge_scan"]
+ORACLES["align_union"] = """
+SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL::VARCHAR, s_acctbal FROM supplier"""
+ORACLES["node_elements"] = with_sinks("""
+SELECT n.type_name, CAST(q.node_id AS VARCHAR) AS id, n.type_name AS original_label,
+  coalesce((SELECT string_agg(p.key || '=' || p.value, ';' ORDER BY p.key || '=' || p.value) FROM gprops p
+            WHERE p.node_id = q.node_id AND trim(p.value) <> ''), '') AS props_text
+FROM node_type q JOIN tnames n USING (type_id)""")
+ORACLES["edge_elements"] = with_fixture("""
+SELECT e.rel_type AS type_name, e.edge_id AS id, e.src_key AS src_type, CAST(e.src_id AS VARCHAR) AS src,
+  e.dst_key AS dst_type, CAST(e.dst_id AS VARCHAR) AS dst,
+  coalesce((SELECT string_agg(p.key || '=' || p.value, ';' ORDER BY p.key || '=' || p.value) FROM geprops p
+            WHERE p.edge_id = e.edge_id AND trim(p.value) <> ''), '') AS props_text
+FROM gedges e""")
