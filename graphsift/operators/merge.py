@@ -106,13 +106,16 @@ def split_properties(pattern_types: DataFrame, granularity: str = "instance") ->
 
 
 def merge_node_types(assigned: DataFrame, threshold: float = 0.9, multi: bool = False,
-                     granularity: str = "instance") -> tuple[DataFrame, DataFrame]:
+                     granularity: str = "instance", keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Node types and the pattern -> type table.
 
+    ``keep`` materialises the cluster -> type assignment once (it feeds both
+    outputs), e.g. :func:`graphsift.session.cut_lineage`.
+
     Returns (node_types(type_id, labels, is_abstract, n, n_clusters, mandatory,
     optional), pattern_types(labels_key, prop_keys, n, cluster_id, type_id)).
     """
-    ctype = assign_node_types(assigned, threshold, multi)
+    ctype = keep(assign_node_types(assigned, threshold, multi))
     pattern_types = assigned.join(ctype.select("cluster_id", "type_id"), "cluster_id")
     meta = ctype.groupBy("type_id").agg(F.first("labels").alias("labels"),
                                         F.first("is_abstract").alias("is_abstract"),
@@ -156,10 +159,11 @@ def assign_edge_types(assigned: DataFrame, by: str = "rel_type") -> DataFrame:
                     .alias("type_id"))
 
 
-def merge_edge_types(assigned: DataFrame, by: str = "rel_type") -> tuple[DataFrame, DataFrame]:
+def merge_edge_types(assigned: DataFrame, by: str = "rel_type",
+                     keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Edge types (type_id, rel_types, src_labels, dst_labels, n, mandatory, optional)
     and the pattern -> type table."""
-    ctype = assign_edge_types(assigned, by)
+    ctype = keep(assign_edge_types(assigned, by))
     pattern_types = assigned.join(ctype.select("cluster_id", "type_id"), "cluster_id")
     meta = ctype.groupBy("type_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("rel_types")))).alias("rel_types"),

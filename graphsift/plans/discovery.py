@@ -55,16 +55,17 @@ class GraphSchema:
     def _node_merge(self):
         if "nt" not in self._memo:
             assigned = cluster_nodes(self.node_patterns, self._method, **self._lsh)
-            t, pt = merge.merge_node_types(assigned, self._threshold, self._multi, self._granularity)
-            self._memo["npt"] = self._keep(pt)
+            t, pt = merge.merge_node_types(assigned, self._threshold, self._multi, self._granularity,
+                                           keep=self._keep)
+            self._memo["npt"] = pt
             self._memo["nt"] = self._keep(t)
         return self._memo["nt"], self._memo["npt"]
 
     def _edge_merge_(self):
         if "et" not in self._memo:
             assigned = cluster_edges(self.edge_patterns, self._method, **self._lsh)
-            t, pt = merge.merge_edge_types(assigned, self._edge_merge)
-            self._memo["ept"] = self._keep(pt)
+            t, pt = merge.merge_edge_types(assigned, self._edge_merge, keep=self._keep)
+            self._memo["ept"] = pt
             self._memo["et"] = self._keep(infer.type_cardinality(t, self.cardinality))
         return self._memo["et"], self._memo["ept"]
 

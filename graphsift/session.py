@@ -57,6 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint folder.
+
+    Unlike ``checkpoint(eager=True)``, which computes the data twice (once for
+    the action, once more to write the checkpoint files), this computes it
+    once; the table is durable, so a lost executor never forces recomputing
+    what came before it.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/graphsift-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

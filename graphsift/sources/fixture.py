@@ -26,86 +26,85 @@ TRUTH_LABELS = ["Region", "Nation", "Customer", "Supplier", "Part", "Order", "Do
 # ------------------------------------------------------------------------------
 
 
-def _money(c: str) -> Column:
-    return F.col(c).cast("decimal(18,2)").cast("string")
+def _money(c: str) -> str:
+    return f"CAST(CAST({c} AS DECIMAL(18,2)) AS STRING)"
 
 
-def _day(c: str) -> Column:
-    return F.date_format(F.col(c), "yyyy-MM-dd")
+def _day(c: str) -> str:
+    return f"date_format({c}, 'yyyy-MM-dd')"
+
+
+_READ_CACHE: dict[tuple, DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet relation of one driver table, reused per session (the file
+    listing and footer read happen once, like a catalog table)."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    if key not in _READ_CACHE:
+        _READ_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READ_CACHE[key]
 
 
 def _reader(sf_dir: str, name: str, cols: list[str]):
     def load(spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+        return table(spark, sf_dir, name)
     return load
 
 
 def node_specs(sf_dir: str) -> list[NodeSpec]:
-    no_labels = F.array().cast("array<string>")
-    cust_labels = (F.when(F.col("c_custkey") % 10 == 3, no_labels)
-                   .when(F.col("c_acctbal") > 9000, F.array(F.lit("Customer"), F.lit("Premium")))
-                   .otherwise(F.array(F.lit("Customer"))))
-    order_labels = (F.when(F.col("o_orderkey") % 20 == 7, no_labels)
-                    .otherwise(F.array(F.lit("Order"))))
+    cust_labels = ("CASE WHEN c_custkey % 10 = 3 THEN CAST(array() AS ARRAY<STRING>) "
+                   "WHEN c_acctbal > 9000 THEN array('Customer', 'Premium') ELSE array('Customer') END")
+    order_labels = ("CASE WHEN o_orderkey % 20 = 7 THEN CAST(array() AS ARRAY<STRING>) "
+                    "ELSE array('Order') END")
     return [
-        NodeSpec(_reader(sf_dir, "region", ["r_regionkey", "r_name"]), "r_regionkey",
-                 ["Region"], {"name": F.col("r_name")}, REGION_BASE),
-        NodeSpec(_reader(sf_dir, "nation", ["n_nationkey", "n_name"]), "n_nationkey",
-                 ["Nation"], {"name": F.col("n_name")}, NATION_BASE),
-        NodeSpec(_reader(sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]),
-                 "c_custkey", cust_labels,
-                 {"name": F.col("c_name"), "acctbal": _money("c_acctbal"),
-                  "mktsegment": F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))},
+        NodeSpec(_reader(sf_dir, "region", []), "r_regionkey", ["Region"], {"name": "r_name"},
+                 REGION_BASE),
+        NodeSpec(_reader(sf_dir, "nation", []), "n_nationkey", ["Nation"], {"name": "n_name"},
+                 NATION_BASE),
+        NodeSpec(_reader(sf_dir, "customer", []), "c_custkey", cust_labels,
+                 {"name": "c_name", "acctbal": _money("c_acctbal"),
+                  "mktsegment": "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END"},
                  CUSTOMER_BASE),
-        NodeSpec(_reader(sf_dir, "supplier", ["s_suppkey", "s_name", "s_acctbal"]), "s_suppkey",
-                 ["Supplier"], {"name": F.col("s_name"), "acctbal": _money("s_acctbal")},
-                 SUPPLIER_BASE),
-        NodeSpec(_reader(sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size",
-                                          "p_retailprice"]), "p_partkey", ["Part"],
-                 {"name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type"),
-                  "size": F.col("p_size"), "retailprice": _money("p_retailprice")}, PART_BASE),
-        NodeSpec(_reader(sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice",
-                                            "o_orderdate", "o_orderpriority"]),
-                 "o_orderkey", order_labels,
-                 {"status": F.col("o_orderstatus"), "totalprice": _money("o_totalprice"),
+        NodeSpec(_reader(sf_dir, "supplier", []), "s_suppkey", ["Supplier"],
+                 {"name": "s_name", "acctbal": _money("s_acctbal")}, SUPPLIER_BASE),
+        NodeSpec(_reader(sf_dir, "part", []), "p_partkey", ["Part"],
+                 {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size",
+                  "retailprice": _money("p_retailprice")}, PART_BASE),
+        NodeSpec(_reader(sf_dir, "orders", []), "o_orderkey", order_labels,
+                 {"status": "o_orderstatus", "totalprice": _money("o_totalprice"),
                   "orderdate": _day("o_orderdate"),
-                  "orderpriority": F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))},
+                  "orderpriority": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"},
                  ORDER_BASE),
-        NodeSpec(_reader(sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"]), "doc_id",
-                 ["Document"], {"lang": F.col("lang"), "source": F.col("source"),
-                                "n_chars": F.col("n_chars")}, DOCUMENT_BASE),
-        NodeSpec(_reader(sf_dir, "labels", ["doc_id", "quality", "toxic"]), "doc_id", ["Grade"],
-                 {"quality": F.col("quality"),
-                  "toxic": F.when(F.col("toxic") == 1, F.lit("true"))
-                            .when(F.col("toxic").isNotNull(), F.lit("false"))}, GRADE_BASE),
+        NodeSpec(_reader(sf_dir, "documents", []), "doc_id", ["Document"],
+                 {"lang": "lang", "source": "source", "n_chars": "n_chars"}, DOCUMENT_BASE),
+        NodeSpec(_reader(sf_dir, "labels", []), "doc_id", ["Grade"],
+                 {"quality": "quality",
+                  "toxic": "CASE WHEN toxic = 1 THEN 'true' WHEN toxic IS NOT NULL THEN 'false' END"},
+                 GRADE_BASE),
     ]
 
 
 def edge_specs(sf_dir: str) -> list[EdgeSpec]:
-    li_id = F.concat_ws("_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                        _day("l_shipdate"))
+    li_id = ("concat('CONTAINS_', concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+             + _day("l_shipdate") + "))")
     return [
-        EdgeSpec(_reader(sf_dir, "nation", ["n_nationkey", "n_regionkey"]), "IN_REGION",
-                 "n_nationkey", "n_regionkey", src_offset=NATION_BASE, dst_offset=REGION_BASE),
-        EdgeSpec(_reader(sf_dir, "customer", ["c_custkey", "c_nationkey"]), "IN_NATION",
-                 "c_custkey", "c_nationkey", src_offset=CUSTOMER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "supplier", ["s_suppkey", "s_nationkey"]), "IN_NATION",
-                 "s_suppkey", "s_nationkey", src_offset=SUPPLIER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderdate"]), "PLACED",
-                 "o_custkey", "o_orderkey", {"orderdate": _day("o_orderdate")},
-                 src_offset=CUSTOMER_BASE, dst_offset=ORDER_BASE),
-        EdgeSpec(_reader(sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                              "l_quantity", "l_shipdate", "l_returnflag"]),
-                 "CONTAINS", "l_orderkey", "l_partkey",
-                 {"quantity": _money("l_quantity"), "linenumber": F.col("l_linenumber"),
+        EdgeSpec(_reader(sf_dir, "nation", []), "IN_REGION", "n_nationkey", "n_regionkey",
+                 src_offset=NATION_BASE, dst_offset=REGION_BASE),
+        EdgeSpec(_reader(sf_dir, "customer", []), "IN_NATION", "c_custkey", "c_nationkey",
+                 src_offset=CUSTOMER_BASE, dst_offset=NATION_BASE),
+        EdgeSpec(_reader(sf_dir, "supplier", []), "IN_NATION", "s_suppkey", "s_nationkey",
+                 src_offset=SUPPLIER_BASE, dst_offset=NATION_BASE),
+        EdgeSpec(_reader(sf_dir, "orders", []), "PLACED", "o_custkey", "o_orderkey",
+                 {"orderdate": _day("o_orderdate")}, src_offset=CUSTOMER_BASE, dst_offset=ORDER_BASE),
+        EdgeSpec(_reader(sf_dir, "lineitem", []), "CONTAINS", "l_orderkey", "l_partkey",
+                 {"quantity": _money("l_quantity"), "linenumber": "l_linenumber",
                   "shipdate": _day("l_shipdate"),
-                  "returnflag": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))},
-                 src_offset=ORDER_BASE, dst_offset=PART_BASE,
-                 edge_id=F.concat(F.lit("CONTAINS_"), li_id)),
-        EdgeSpec(_reader(sf_dir, "lineitem", ["l_suppkey", "l_partkey"]), "SUPPLIES",
-                 "l_suppkey", "l_partkey", src_offset=SUPPLIER_BASE, dst_offset=PART_BASE,
-                 distinct=True),
-        EdgeSpec(_reader(sf_dir, "labels", ["doc_id"]), "GRADED", "doc_id", "doc_id",
+                  "returnflag": "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"},
+                 src_offset=ORDER_BASE, dst_offset=PART_BASE, edge_id=li_id),
+        EdgeSpec(_reader(sf_dir, "lineitem", []), "SUPPLIES", "l_suppkey", "l_partkey",
+                 src_offset=SUPPLIER_BASE, dst_offset=PART_BASE, distinct=True),
+        EdgeSpec(_reader(sf_dir, "labels", []), "GRADED", "doc_id", "doc_id",
                  src_offset=DOCUMENT_BASE, dst_offset=GRADE_BASE),
     ]
 

@@ -25,6 +25,24 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def props_map_sql(props: Mapping[str, str]) -> str:
+    """SQL text of :func:`props_map` for SQL-expression property values.
+
+    One expression string is parsed JVM-side, instead of building the same
+    expression tree through hundreds of driver-to-JVM calls.
+    """
+    empty = "CAST(map() AS MAP<STRING,STRING>)"
+    if not props:
+        return empty
+    parts = [f"CASE WHEN ({v}) IS NOT NULL THEN map({_sql_str(k)}, CAST(({v}) AS STRING)) ELSE {empty} END"
+             for k, v in props.items()]
+    return parts[0] if len(parts) == 1 else "map_concat(" + ", ".join(parts) + ")"
+
+
 def props_map(props: Mapping[str, Column]) -> Column:
     """MAP<STRING,STRING> of the non-null entries of ``props``.
 
@@ -45,14 +63,14 @@ def props_map(props: Mapping[str, Column]) -> Column:
 class NodeSpec:
     """One node source: a DataFrame (or loader) plus how to read id, labels, props.
 
-    ``labels`` is a list of fixed labels or a Column of ARRAY<STRING>.
-    ``props`` maps property name -> Column (any type, stringified).
+    ``labels`` is a list of fixed labels or a Column / SQL text of ARRAY<STRING>.
+    ``props`` maps property name -> Column or SQL text (any type, stringified).
     ``id_offset`` is added to the id column so several tables share one id space.
     """
     source: DataFrame | Callable[[SparkSession], DataFrame]
     id_col: str | Column
-    labels: Sequence[str] | Column = ()
-    props: Mapping[str, Column] = field(default_factory=dict)
+    labels: Sequence[str] | Column | str = ()
+    props: Mapping[str, Column | str] = field(default_factory=dict)
     id_offset: int = 0
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -66,10 +84,10 @@ class EdgeSpec:
     rel_type: str | Column
     src_col: str | Column
     dst_col: str | Column
-    props: Mapping[str, Column] = field(default_factory=dict)
+    props: Mapping[str, Column | str] = field(default_factory=dict)
     src_offset: int = 0
     dst_offset: int = 0
-    edge_id: Column | None = None
+    edge_id: Column | str | None = None
     distinct: bool = False
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -85,12 +103,21 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
     frames = []
     for s in specs:
         df = s.frame(spark)
+        if _all_sql(s.props) and isinstance(s.id_col, str) and not isinstance(s.labels, Column):
+            labels = s.labels if isinstance(s.labels, str) else (
+                "CAST(array(" + ", ".join(_sql_str(x) for x in s.labels) + ") AS ARRAY<STRING>)")
+            frames.append(df.selectExpr(
+                f"CAST({s.id_col} AS BIGINT) + {int(s.id_offset)} AS node_id",
+                f"{labels} AS labels", f"{props_map_sql(s.props)} AS props"))
+            continue
         labels = (s.labels if isinstance(s.labels, Column)
+                  else F.expr(s.labels) if isinstance(s.labels, str)
                   else F.array(*[F.lit(x) for x in s.labels]).cast("array<string>"))
         frames.append(df.select(
             (_col(s.id_col).cast("bigint") + F.lit(s.id_offset)).alias("node_id"),
             labels.alias("labels"),
-            props_map(s.props).alias("props"),
+            props_map({k: F.expr(v) if isinstance(v, str) else v for k, v in s.props.items()})
+            .alias("props"),
         ))
     out = frames[0]
     for f in frames[1:]:
@@ -98,11 +125,28 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
     return out
 
 
+def _all_sql(props: Mapping) -> bool:
+    return all(isinstance(v, str) for v in props.values())
+
+
 def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame | None) -> DataFrame:
     """SRC2: union of edge sources, endpoint label sets attached from ``nodes``."""
     frames = []
     for s in specs:
         df = s.frame(spark)
+        if (_all_sql(s.props) and isinstance(s.rel_type, str) and isinstance(s.src_col, str)
+                and isinstance(s.dst_col, str) and (s.edge_id is None or isinstance(s.edge_id, str))):
+            src = f"CAST({s.src_col} AS BIGINT) + {int(s.src_offset)}"
+            dst = f"CAST({s.dst_col} AS BIGINT) + {int(s.dst_offset)}"
+            cols = [f"{_sql_str(s.rel_type)} AS rel_type", f"{src} AS src_id", f"{dst} AS dst_id",
+                    f"{props_map_sql(s.props)} AS props"]
+            cols.append(f"CAST({s.edge_id} AS STRING) AS edge_id" if s.edge_id is not None
+                        else f"concat_ws('_', {_sql_str(s.rel_type)}, {src}, {dst}) AS edge_id")
+            e = df.selectExpr(*cols)
+            if s.distinct:
+                e = e.dropDuplicates(["rel_type", "src_id", "dst_id"])
+            frames.append(e.select("edge_id", "src_id", "dst_id", "rel_type", "props"))
+            continue
         rel = F.lit(s.rel_type) if isinstance(s.rel_type, str) else s.rel_type
         src = (_col(s.src_col).cast("bigint") + F.lit(s.src_offset))
         dst = (_col(s.dst_col).cast("bigint") + F.lit(s.dst_offset))
