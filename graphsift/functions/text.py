@@ -23,8 +23,6 @@ def safe_name(name) -> Column:
 def nquad_literal(value) -> Column:
     """Quoted N-Quads literal with backslash, quote, CR and LF escaped."""
     v = _c(value)
-    v = F.regexp_replace(v, r"\\", r"\\\\")
-    v = F.regexp_replace(v, '"', r'\\"')
-    v = F.regexp_replace(v, "\n", r"\\n")
-    v = F.regexp_replace(v, "\r", r"\\r")
+    for search, repl in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        v = F.replace(v, F.lit(search), F.lit(repl))  # literal replace, no regex
     return F.concat(F.lit('"'), v, F.lit('"'))

@@ -119,21 +119,36 @@ def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT
 QUAD_COLUMNS = ["graph", "subject", "predicate", "object", "object_kind", "datatype"]
 
 
-def _quad(graph: Column, s: Column, p: Column, o: Column, kind: str, prop: Column | None = None):
-    return F.struct(graph.alias("graph"), s.alias("subject"), p.alias("predicate"), o.alias("object"),
-                    F.lit(kind).alias("object_kind"),
-                    (prop if prop is not None else F.lit(None).cast("string")).alias("_prop"))
-
-
-def _literal_quads(props_col: str, subject: Column, pred_prefix: Column, graph: Column) -> Column:
-    entries = F.filter(F.map_entries(props_col), lambda e: F.trim(e["value"]) != "")
-    return F.transform(entries, lambda e: _quad(
-        graph, subject, F.concat(pred_prefix, e["key"]), e["value"], "literal", e["key"]))
-
-
-def _finish(exploded: DataFrame, prop_types: DataFrame | None) -> DataFrame:
-    """Flatten quads; with ``prop_types`` attach xsd datatypes to literals."""
-    q = exploded.select("q.*")
+# Structural entries ride in the same map as the properties, under keys that
+# start with a control character (never a property name), so one ``explode``
+# of one ``map_concat`` yields every quad of an element and the projection
+# stays in whole-stage codegen (no lambda functions per row).
+_K = "\u0001"
+
+
+def _explode_quads(df: DataFrame, structural: dict[str, Column], subject: Column,
+                   subject_of: dict[str, Column], predicate_of: dict[str, Column],
+                   literal_prefix: Column, graph: Column, kinds: dict[str, str]) -> DataFrame:
+    smap = F.create_map(*[x for k, v in structural.items() for x in (F.lit(_K + k), v)])
+    exploded = df.select("*", F.explode(F.map_concat(smap, F.col("props"))).alias("_k", "_v"))
+    is_struct = F.col("_k").startswith(_K)
+    pred = F.concat(literal_prefix, F.col("_k"))
+    subj = subject
+    kind = F.lit("literal")
+    for k in structural:
+        hit = F.col("_k") == F.lit(_K + k)
+        pred = F.when(hit, predicate_of[k]).otherwise(pred)
+        if k in subject_of:
+            subj = F.when(hit, subject_of[k]).otherwise(subj)
+        kind = F.when(hit, F.lit(kinds.get(k, "iri"))).otherwise(kind)
+    return (exploded.where(is_struct | (F.trim(F.col("_v")) != ""))
+            .select(graph.alias("graph"), subj.alias("subject"), pred.alias("predicate"),
+                    F.col("_v").alias("object"), kind.alias("object_kind"),
+                    F.when(~is_struct, F.col("_k")).alias("_prop")))
+
+
+def _finish(q: DataFrame, prop_types: DataFrame | None) -> DataFrame:
+    """Drop the helper column; with ``prop_types`` attach xsd datatypes to literals."""
     if prop_types is None:
         return q.select(*QUAD_COLUMNS[:-1], F.lit(None).cast("string").alias("datatype"))
     dt = prop_types.select(F.col("property").alias("_prop"), F.concat(
@@ -141,11 +156,6 @@ def _finish(exploded: DataFrame, prop_types: DataFrame | None) -> DataFrame:
     return q.join(broadcast_if_small(dt), "_prop", "left").select(*QUAD_COLUMNS)
 
 
-def _empty_quads() -> Column:
-    return F.array().cast("array<struct<graph:string,subject:string,predicate:string,"
-                          "object:string,object_kind:string,_prop:string>>")
-
-
 def node_quads(nodes: DataFrame, schema: GraphSchema, shape: str = "reified",
                base: str = DEFAULT_BASE, typed: bool = False) -> DataFrame:
     """RDF1: type, (label), one literal per non-blank property, per node."""
@@ -155,21 +165,23 @@ def node_quads(nodes: DataFrame, schema: GraphSchema, shape: str = "reified",
         .select(*NODE_KEY, "type_name")
     keyed = with_node_key(nodes).join(broadcast_if_small(names), NODE_KEY)
     s = node_iri(ns, F.col("labels_key"), F.col("node_id"))
-    arr = F.concat(
-        F.array(_quad(g, s, F.lit(RDF_TYPE), F.concat(F.lit(ns), F.col("type_name")), "iri")),
-        F.array(_quad(g, s, F.lit(RDFS_LABEL), F.col("node_id").cast("string"), "literal"))
-        if shape == "link" else _empty_quads(),
-        _literal_quads("props", s, F.lit(ns + "has_"), g))
-    return _finish(keyed.select(F.explode(arr).alias("q")),
-                   schema.node_prop_types if typed else None)
+    structural = {"type": F.concat(F.lit(ns), F.col("type_name"))}
+    preds = {"type": F.lit(RDF_TYPE)}
+    kinds = {"type": "iri"}
+    if shape == "link":
+        structural["label"] = F.col("node_id").cast("string")
+        preds["label"] = F.lit(RDFS_LABEL)
+        kinds["label"] = "literal"
+    q = _explode_quads(keyed, structural, s, {}, preds, F.lit(ns + "has_"), g, kinds)
+    return _finish(q, schema.node_prop_types if typed else None)
 
 
 def edge_quads(edges: DataFrame, shape: str = "reified", base: str = DEFAULT_BASE,
                prop_types: DataFrame | None = None) -> DataFrame:
     """RDF2/RDF3: edge quads from each edge's own type and endpoint labels.
 
-    A narrow transform (explode + select): no join, no shuffle (unless typed
-    literals are asked for, which adds one size-checked vocabulary join).
+    A narrow transform (one explode + projection): no join, no shuffle (unless
+    typed literals are asked for, which adds one size-checked vocabulary join).
     """
     ns = namespace(base, shape)
     g = _graph(base, shape)
@@ -177,20 +189,22 @@ def edge_quads(edges: DataFrame, shape: str = "reified", base: str = DEFAULT_BAS
     src = node_iri(ns, label_key("src_labels"), F.col("src_id"))
     dst = node_iri(ns, label_key("dst_labels"), F.col("dst_id"))
     e = F.concat(F.lit(ns), rel, F.lit("/"), F.url_encode(F.col("edge_id")))
-    lits = _literal_quads("props", e, F.concat(F.lit(ns), rel, F.lit("_")), g)
+    df = edges.select("props", rel.alias("_rel"), src.alias("_src"), dst.alias("_dst"), e.alias("_e"))
+    rel_c, src_c, dst_c, e_c = F.col("_rel"), F.col("_src"), F.col("_dst"), F.col("_e")
+    lit_prefix = F.concat(F.lit(ns), rel_c, F.lit("_"))
     if shape == "link":
-        arr = F.concat(F.array(
-            _quad(g, src, F.concat(F.lit(ns), rel), e, "iri"),
-            _quad(g, e, F.lit(RDF_TYPE), F.lit(ns + "intermediate"), "iri"),
-            _quad(g, e, F.lit(ns + "hasTarget"), dst, "iri")), lits)
+        structural = {"link": e_c, "type": F.lit(ns + "intermediate"), "target": dst_c}
+        preds = {"link": F.concat(F.lit(ns), rel_c), "type": F.lit(RDF_TYPE),
+                 "target": F.lit(ns + "hasTarget")}
+        subjects = {"link": src_c}
     elif shape == "reified":
-        arr = F.concat(F.array(
-            _quad(g, e, F.lit(RDF_TYPE), F.concat(F.lit(ns), rel), "iri"),
-            _quad(g, e, F.lit(ns + "source"), src, "iri"),
-            _quad(g, e, F.lit(ns + "target"), dst, "iri")), lits)
+        structural = {"type": F.concat(F.lit(ns), rel_c), "source": src_c, "target": dst_c}
+        preds = {"type": F.lit(RDF_TYPE), "source": F.lit(ns + "source"), "target": F.lit(ns + "target")}
+        subjects = {}
     else:
         raise ValueError(f"unknown shape {shape!r}")
-    return _finish(edges.select(F.explode(arr).alias("q")), prop_types)
+    q = _explode_quads(df, structural, e_c, subjects, preds, lit_prefix, g, {})
+    return _finish(q, prop_types)
 
 
 def _term(c: str, kind_col: str = "object_kind") -> Column:

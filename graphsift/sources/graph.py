@@ -142,6 +142,15 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
                     f"{props_map_sql(s.props)} AS props"]
             cols.append(f"CAST({s.edge_id} AS STRING) AS edge_id" if s.edge_id is not None
                         else f"concat_ws('_', {_sql_str(s.rel_type)}, {src}, {dst}) AS edge_id")
+            if s.distinct and not s.props and s.edge_id is None:
+                # dedup the primitive endpoint pair first (hash aggregate with
+                # map-side partial dedup), then build the row
+                base = df.selectExpr(f"{src} AS src_id", f"{dst} AS dst_id").distinct()
+                e = base.selectExpr(f"{_sql_str(s.rel_type)} AS rel_type", "src_id", "dst_id",
+                                    f"{props_map_sql({})} AS props",
+                                    f"concat_ws('_', {_sql_str(s.rel_type)}, src_id, dst_id) AS edge_id")
+                frames.append(e.select("edge_id", "src_id", "dst_id", "rel_type", "props"))
+                continue
             e = df.selectExpr(*cols)
             if s.distinct:
                 e = e.dropDuplicates(["rel_type", "src_id", "dst_id"])
