@@ -12,10 +12,10 @@ IGNORED_PROPERTIES = ["original_label"]
 # -------------------------------------------------------------------------------
 
 
-def property_values(df: DataFrame) -> DataFrame:
-    """Long form (property, value) of the non-null values of a canonical table."""
-    return (df.select(F.explode(F.map_filter("props", lambda k, v: v.isNotNull()))
-                      .alias("property", "value")))
+def property_values(df: DataFrame, keep_nulls: bool = False) -> DataFrame:
+    """Long form (property, value) of a canonical table's property map."""
+    m = F.col("props") if keep_nulls else F.map_filter("props", lambda k, v: v.isNotNull())
+    return df.select(F.explode(m).alias("property", "value"))
 
 
 def infer_property_types(df: DataFrame, date_mode: str = "lenient",
@@ -26,25 +26,32 @@ def infer_property_types(df: DataFrame, date_mode: str = "lenient",
     combined with ``bool_and`` per property, with map-side partial
     aggregation, so a property holding a third of all values costs one
     partial row per task. Rule order: IP (or ``locationIP``) -> String,
-    then Integer, Double, Date, Boolean, else String.
+    then Integer, Double, Date, Boolean, else String; a key whose values are
+    all null is ``Unknown (empty)`` (same pass: nulls are counted, not tested).
 
     ``sample_rows`` restricts each property to its first N values by value
     order (the reference looks at an arbitrary 1000); default: all values.
     """
-    vals = property_values(df).where(~F.col("property").isin(IGNORED_PROPERTIES))
+    vals = property_values(df, keep_nulls=True).where(~F.col("property").isin(IGNORED_PROPERTIES))
     if sample_rows is not None:
         from pyspark.sql import Window
-        w = Window.partitionBy("property").orderBy("value")
+        w = Window.partitionBy("property").orderBy(F.col("value").asc_nulls_last())
         vals = vals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_rows)
+    v = F.col("value")
+
+    def test(expr):
+        return F.bool_and(F.when(v.isNotNull(), expr))  # nulls are ignored by bool_and
+
     agg = vals.groupBy("property").agg(
-        F.bool_and(ty.is_ip("value")).alias("all_ip"),
-        F.bool_and(ty.is_integer("value")).alias("all_int"),
-        F.bool_and(ty.is_double("value")).alias("all_double"),
-        F.bool_and(ty.is_date("value", date_mode)).alias("all_date"),
-        F.bool_and(ty.is_boolean("value")).alias("all_bool"),
-        F.count(F.lit(1)).alias("n_values"),
+        test(ty.is_ip(v)).alias("all_ip"),
+        test(ty.is_integer(v)).alias("all_int"),
+        test(ty.is_double(v)).alias("all_double"),
+        test(ty.is_date(v, date_mode)).alias("all_date"),
+        test(ty.is_boolean(v)).alias("all_bool"),
+        F.count(v).alias("n_values"),
     )
-    t = (F.when((F.col("property") == ty.IP_PROPERTY) | F.col("all_ip"), F.lit("String"))
+    t = (F.when(F.col("n_values") == 0, F.lit(ty.EMPTY_TYPE))
+         .when((F.col("property") == ty.IP_PROPERTY) | F.col("all_ip"), F.lit("String"))
          .when(F.col("all_int"), F.lit("Integer"))
          .when(F.col("all_double"), F.lit("Double"))
          .when(F.col("all_date"), F.lit("Date"))
@@ -53,19 +60,9 @@ def infer_property_types(df: DataFrame, date_mode: str = "lenient",
     return agg.select("property", t.alias("type"), "n_values")
 
 
-def declared_properties(df: DataFrame) -> DataFrame:
-    """Every property key present in the table, even when all its values are null."""
-    return df.select(F.explode(F.map_keys("props")).alias("property")).distinct()
-
-
 def property_types_with_empty(df: DataFrame, date_mode: str = "lenient") -> DataFrame:
-    """Like :func:`infer_property_types` but keys whose values are all null get
-    ``Unknown (empty)``."""
-    typed = infer_property_types(df, date_mode)
-    keys = declared_properties(df).where(~F.col("property").isin(IGNORED_PROPERTIES))
-    return (keys.join(typed, "property", "left")
-            .select("property", F.coalesce("type", F.lit(ty.EMPTY_TYPE)).alias("type"),
-                    F.coalesce("n_values", F.lit(0)).alias("n_values")))
+    """Alias of :func:`infer_property_types` (all-null keys -> ``Unknown (empty)``)."""
+    return infer_property_types(df, date_mode)
 
 
 def annotate_types(types: DataFrame, prop_types: DataFrame,

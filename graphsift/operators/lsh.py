@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphsift.functions.sets import euclidean
 from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
 from graphsift.operators.patterns import exact_edge_clusters, exact_node_clusters
+from graphsift.session import cut_lineage
 
 # ---- fixed values: parameter rule of the reference ----------------------------
 SAMPLE_SIZE = 10000
@@ -48,9 +49,10 @@ def sampled_pairs(encoded: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int
     ``sample_size`` pairs. The sample is bounded by ``sample_size``, so its
     single ranking window is bounded too.
     """
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    # the window above runs over the pattern table only (one row per pattern)
-    draws = (encoded.withColumn("_c", F.round(F.col("n") * F.lit(float(sample_size)) / total).cast("int"))
+    total = encoded.agg(F.sum("n")).first()[0] or 0  # one number
+    if total == 0:
+        return encoded.select(F.col("features_arr").alias("f1"), F.col("features_arr").alias("f2")).limit(0)
+    draws = (encoded.withColumn("_c", F.round(F.col("n") * F.lit(float(sample_size) / total)).cast("int"))
              .where("_c > 0")
              .select("features_arr", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")))
     ranked = draws.withColumn("_r", F.row_number().over(
@@ -128,10 +130,12 @@ def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
                       sample_size: int = SAMPLE_SIZE) -> DataFrame:
     """CLU4: node patterns with an LSH ``cluster_id`` (CLU7: empty in, empty out)."""
-    base = exact_node_clusters(node_pats).withColumnRenamed("cluster_id", "_exact")
+    # pattern-level tables are materialised once: fitting and parameter
+    # estimation run several actions over them
+    base = cut_lineage(exact_node_clusters(node_pats).withColumnRenamed("cluster_id", "_exact"))
     if base.isEmpty():
         return base.withColumnRenamed("_exact", "cluster_id")
-    enc = encode_node_patterns(base, code=code, seed=seed)
+    enc = encode_node_patterns(base, code=code, seed=seed).persist()
     if bucket_length is None or num_tables is None:
         p = lsh_params_table(enc, False, sample_size, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
@@ -143,10 +147,10 @@ def lsh_cluster_edges(edge_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
                       sample_size: int = SAMPLE_SIZE) -> DataFrame:
     """CLU5: edge patterns with an LSH ``cluster_id``."""
-    base = exact_edge_clusters(edge_pats).withColumnRenamed("cluster_id", "_exact")
+    base = cut_lineage(exact_edge_clusters(edge_pats).withColumnRenamed("cluster_id", "_exact"))
     if base.isEmpty():
         return base.withColumnRenamed("_exact", "cluster_id")
-    enc = encode_edge_patterns(base, code=code, seed=seed)
+    enc = encode_edge_patterns(base, code=code, seed=seed).persist()
     if bucket_length is None or num_tables is None:
         p = lsh_params_table(enc, True, sample_size, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
