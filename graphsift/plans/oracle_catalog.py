@@ -330,3 +330,7 @@ SELECT e.rel_type AS type_name, e.edge_id AS id, e.src_key AS src_type, CAST(e.s
   coalesce((SELECT string_agg(p.key || '=' || p.value, ';' ORDER BY p.key || '=' || p.value) FROM geprops p
             WHERE p.edge_id = e.edge_id AND trim(p.value) <> ''), '') AS props_text
 FROM gedges e""")
+# reference attachment rule: every matching type, not only the best
+ORACLES["node_types_multi"] = with_fixture(_NODE_TYPES_SELECT, patterns=True).replace(
+    "jaccard >= 0.9 - 1e-9) WHERE r = 1)", "jaccard >= 0.9 - 1e-9) WHERE r >= 1)")
+assert ORACLES["node_types_multi"] != ORACLES["node_types"]

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The surveyed system has no streaming, watermark, windowing or state code
+(SURVEY §2.17), so nothing is built here. Every operator in this package is a
+batch DataFrame plan; if node/edge files arrive continuously, run
+``discover_schema`` per batch (e.g. from ``foreachBatch``) and combine the
+per-batch type tables with ``graphsift.operators.merge.merge_schemas``, which
+is exact for unions of parts.
+"""
