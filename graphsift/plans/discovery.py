@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from graphsift.operators import infer, merge, patterns
+from graphsift.operators import infer, merge, patterns, profile
 from graphsift.session import cut_lineage
 
 
@@ -43,14 +43,20 @@ class GraphSchema:
             self._memo[name] = self._keep(build())
         return self._memo[name]
 
-    # pattern level
+    # one pass per element table: pattern counts and value typing together
+    def _node_profile(self) -> DataFrame:
+        return self._get("nprof", lambda: profile.node_profile(self._nodes, self._date_mode))
+
+    def _edge_profile(self) -> DataFrame:
+        return self._get("eprof", lambda: profile.edge_profile(self._edges, self._date_mode))
+
     @property
     def node_patterns(self) -> DataFrame:
-        return self._get("np", lambda: patterns.node_patterns(self._nodes))
+        return profile.patterns_of(self._node_profile(), patterns.NODE_KEY)
 
     @property
     def edge_patterns(self) -> DataFrame:
-        return self._get("ep", lambda: patterns.edge_patterns(self._edges))
+        return profile.patterns_of(self._edge_profile(), patterns.EDGE_KEY)
 
     def _node_merge(self):
         if "nt" not in self._memo:
@@ -91,17 +97,18 @@ class GraphSchema:
 
     @property
     def node_prop_types(self) -> DataFrame:
-        return self._get("npty", lambda: infer.property_types_with_empty(self._nodes, self._date_mode))
+        return profile.types_of(self._node_profile())
 
     @property
     def edge_prop_types(self) -> DataFrame:
-        return self._get("epty", lambda: infer.property_types_with_empty(self._plain, self._date_mode))
+        return profile.types_of(self._edge_profile())
 
     def typed_node_types(self) -> DataFrame:
-        return infer.annotate_types(self.node_types, self.node_prop_types)
+        """node_types + mandatory_typed / optional_typed (array<struct<name,type>>)."""
+        return self._get("tnt", lambda: infer.annotate_types(self.node_types, self.node_prop_types))
 
     def typed_edge_types(self) -> DataFrame:
-        return infer.annotate_types(self.edge_types, self.edge_prop_types)
+        return self._get("tet", lambda: infer.annotate_types(self.edge_types, self.edge_prop_types))
 
 
 def cluster_nodes(node_pats: DataFrame, method: str = "exact", **lsh_options) -> DataFrame:
