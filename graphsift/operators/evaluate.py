@@ -26,22 +26,29 @@ def _flag(c: Column) -> Column:
 
 
 def assignments_nodes(nodes: DataFrame, node_pattern_types: DataFrame, node_types: DataFrame,
-                      truth: DataFrame) -> DataFrame:
+                      truth: DataFrame | Column) -> DataFrame:
     """EVA1/3/4: per node: type, predicted labels, actual labels, correctness flags.
 
-    ``truth`` = (node_id, true_labels ARRAY<STRING>); nodes without truth get
-    an empty list (left join), as in the reference.
+    ``truth`` is either a DataFrame (node_id, true_labels ARRAY<STRING>),
+    joined on node_id (nodes without truth get an empty list, as in the
+    reference), or an ARRAY<STRING> Column computed from the node row itself
+    (no join at all).
     """
-    _require(truth, ["node_id", "true_labels"])
     pt = node_pattern_types.select(*NODE_KEY, "type_id")
     pred = node_types.select("type_id", F.array_distinct(F.split(
         F.array_join("labels", ":"), ":")).alias("predicted_labels"))
-    a = (with_node_key(nodes.select("node_id", "labels", "props"))
+    base = nodes.select("node_id", "labels", "props")
+    if isinstance(truth, Column):
+        base = base.withColumn("true_labels", truth)
+    else:
+        _require(truth, ["node_id", "true_labels"])
+    a = (with_node_key(base)
          .join(broadcast_if_small(pt), NODE_KEY)
-         .join(broadcast_if_small(pred), "type_id")
-         .join(truth, "node_id", "left")
-         .select("node_id", "type_id", "predicted_labels",
-                 F.coalesce("true_labels", F.array().cast("array<string>")).alias("actual_labels")))
+         .join(broadcast_if_small(pred), "type_id"))
+    if not isinstance(truth, Column):
+        a = a.join(truth, "node_id", "left")
+    a = a.select("node_id", "type_id", "predicted_labels",
+                 F.coalesce("true_labels", F.array().cast("array<string>")).alias("actual_labels"))
     return (a.withColumn("correct_non_strict",
                          _flag(F.size(F.array_intersect("actual_labels", "predicted_labels")) > 0))
             .withColumn("correct_strict",
@@ -88,15 +95,25 @@ def clustering_metrics(assign: DataFrame, truth_key: Column, actual: str = "actu
 
 
 def assignments_edges(edges: DataFrame, edge_pattern_types: DataFrame, edge_types: DataFrame,
-                      truth: DataFrame) -> DataFrame:
-    """EVA7: per edge (keyed by edge_id, so parallel edges stay apart)."""
-    _require(truth, ["edge_id", "true_rel", "true_src", "true_dst"])
+                      truth: DataFrame | dict[str, Column]) -> DataFrame:
+    """EVA7: per edge (keyed by edge_id, so parallel edges stay apart).
+
+    ``truth``: a DataFrame (edge_id, true_rel, true_src, true_dst), inner
+    joined as in the reference, or a dict of those three ARRAY<STRING>
+    Columns computed from the edge row (no join).
+    """
     pt = edge_pattern_types.select(*EDGE_KEY, "type_id")
     pred = edge_types.select("type_id", F.col("rel_types").alias("p_rel"),
                              F.col("src_labels").alias("p_src"), F.col("dst_labels").alias("p_dst"))
-    a = (with_edge_key(edges.select("edge_id", "rel_type", "src_labels", "dst_labels", "props"))
-         .join(broadcast_if_small(pt), EDGE_KEY).join(broadcast_if_small(pred), "type_id")
-         .join(truth, "edge_id", "inner"))
+    base = edges.select("edge_id", "rel_type", "src_id", "dst_id", "src_labels", "dst_labels", "props")
+    if isinstance(truth, dict):
+        base = base.select("*", *[c.alias(k) for k, c in truth.items()])
+    else:
+        _require(truth, ["edge_id", "true_rel", "true_src", "true_dst"])
+    a = (with_edge_key(base)
+         .join(broadcast_if_small(pt), EDGE_KEY).join(broadcast_if_small(pred), "type_id"))
+    if not isinstance(truth, dict):
+        a = a.join(truth, "edge_id", "inner")
     non_strict = ((F.size(F.array_except("true_rel", "p_rel")) == 0)
                   & (F.size(F.array_except("true_src", "p_src")) == 0)
                   & (F.size(F.array_except("true_dst", "p_dst")) == 0))

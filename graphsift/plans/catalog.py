@@ -262,10 +262,12 @@ def q_iri_modes(spark, sf_dir):
 
 def _node_assign(spark, sf_dir):
     from graphsift.operators.evaluate import assignments_nodes
-    from graphsift.sources.fixture import fixture_truth
+    from graphsift.sources.fixture import truth_label
     nodes, _ = graph(spark, sf_dir)
     s = schema(spark, sf_dir)
-    return assignments_nodes(nodes, s.node_pattern_types, s.node_types, fixture_truth(nodes))
+    # ground truth follows from the id (source table), so it is computed inline
+    return assignments_nodes(nodes, s.node_pattern_types, s.node_types,
+                             F.array(truth_label(F.col("node_id"))))
 
 
 def _metrics_out(m):
@@ -299,9 +301,8 @@ def q_eval_edges(spark, sf_dir):
     from graphsift.sources.fixture import truth_label
     _, edges = graph(spark, sf_dir)
     s = schema(spark, sf_dir)
-    truth = edges.select("edge_id", F.array("rel_type").alias("true_rel"),
-                         F.array(truth_label(F.col("src_id"))).alias("true_src"),
-                         F.array(truth_label(F.col("dst_id"))).alias("true_dst"))
+    truth = {"true_rel": F.array("rel_type"), "true_src": F.array(truth_label(F.col("src_id"))),
+             "true_dst": F.array(truth_label(F.col("dst_id")))}
     a = assignments_edges(edges, s.edge_pattern_types, s.edge_types, truth)
     key = F.concat_ws(">", F.array_join("true_rel", ","), F.array_join("true_src", ","),
                       F.array_join("true_dst", ","))
