@@ -40,10 +40,11 @@ _READ_CACHE: dict[tuple, DataFrame] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet relation of one driver table, reused per session (the file
     listing and footer read happen once, like a catalog table)."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _READ_CACHE:
-        _READ_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _READ_CACHE[key]
+    key = (id(spark), sf_dir, name)
+    hit = _READ_CACHE.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        hit = _READ_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return hit
 
 
 def _reader(sf_dir: str, name: str, cols: list[str]):
