@@ -334,3 +334,20 @@ FROM gedges e""")
 ORACLES["node_types_multi"] = with_fixture(_NODE_TYPES_SELECT, patterns=True).replace(
     "jaccard >= 0.9 - 1e-9) WHERE r = 1)", "jaccard >= 0.9 - 1e-9) WHERE r >= 1)")
 assert ORACLES["node_types_multi"] != ORACLES["node_types"]
+
+# ------------------------------------------------------------------ XSD text
+_NL = "chr(10)"
+ORACLES["schema_xsd"] = with_sinks(f"""
+, kinds AS (SELECT DISTINCT type_name, kind FROM sfields)
+SELECT 0 AS section, '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" name="NewGraphSchema">' AS line
+UNION ALL SELECT 2, '</xs:schema>'
+UNION ALL SELECT 1, '  <xs:complexType name="' || type_name || '">' || {_NL} ||
+  '    <xs:annotation><xs:appinfo><type>' || kind || '</type></xs:appinfo></xs:annotation>' || {_NL} ||
+  '    <xs:sequence>' FROM kinds
+UNION ALL SELECT 1, '    </xs:sequence>' || {_NL} || '    <xs:attribute name="id" type="xs:ID" use="required"/>' ||
+  {_NL} || '    <xs:attribute name="label" type="xs:string"/>' || {_NL} || '  </xs:complexType>' FROM kinds
+UNION ALL SELECT 1, '      <xs:choice minOccurs="1" maxOccurs="1">' FROM kinds, (VALUES (1), (2)) v(i) WHERE kind = 'edge'
+UNION ALL SELECT 1, '      </xs:choice>' FROM kinds, (VALUES (1), (2)) v(i) WHERE kind = 'edge'
+UNION ALL SELECT 1, CASE WHEN role = 'property'
+    THEN '      <xs:element name="' || field || '" type="' || xsd_type || '" minOccurs="' || CAST(min_occurs AS VARCHAR) || '" maxOccurs="1"/>'
+    ELSE '        <xs:element name="' || role || '" type="' || xsd_type || '"/>' END FROM sfields""")
