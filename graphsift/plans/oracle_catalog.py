@@ -351,3 +351,12 @@ UNION ALL SELECT 1, '      </xs:choice>' FROM kinds, (VALUES (1), (2)) v(i) WHER
 UNION ALL SELECT 1, CASE WHEN role = 'property'
     THEN '      <xs:element name="' || field || '" type="' || xsd_type || '" minOccurs="' || CAST(min_occurs AS VARCHAR) || '" maxOccurs="1"/>'
     ELSE '        <xs:element name="' || role || '" type="' || xsd_type || '"/>' END FROM sfields""")
+
+# ------------------------------------------------------------------ encoding (deterministic part)
+ORACLES["encoded_patterns"] = with_fixture("""
+, vocab AS (SELECT DISTINCT key FROM gprops),
+  pk AS (SELECT labels_key, props_key, n, string_split(props_key, ',') AS ks FROM npatterns)
+SELECT labels_key, props_key, n, CAST(5 + (SELECT count(*) FROM vocab) AS INTEGER) AS dim,
+  (SELECT string_agg(CASE WHEN list_contains(pk.ks, v.key) THEN '1.0' ELSE '0.0' END, ',' ORDER BY v.key)
+   FROM vocab v) AS flags
+FROM pk""", patterns=True)
