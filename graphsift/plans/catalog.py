@@ -44,7 +44,7 @@ def _props_text(c: str = "props") -> F.Column:
 def q_node_scan(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
     return nodes.select("node_id", F.array_join(F.array_sort("labels"), ":").alias("labels_key"),
-                        F.size("props").alias("n_props"), _props_text().alias("props_text"))
+                        F.size("props").cast("bigint").alias("n_props"), _props_text().alias("props_text"))
 
 
 def q_edge_scan(spark, sf_dir):
@@ -449,7 +449,7 @@ def _csv_graph(spark, sf_dir):
 def q_csv_round_trip(spark, sf_dir):
     nodes, _ = _csv_graph(spark, sf_dir)
     return nodes.select("node_id", F.array_join(F.sort_array("labels"), ":").alias("labels_key"),
-                        F.size("props").alias("n_props"), _props_text().alias("props_text"))
+                        F.size("props").cast("bigint").alias("n_props"), _props_text().alias("props_text"))
 
 
 def q_csv_round_trip_edges(spark, sf_dir):

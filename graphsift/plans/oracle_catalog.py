@@ -272,7 +272,7 @@ ORACLES["eval_edges"] = with_sinks(f"""
 # ------------------------------------------------------------------ more merging
 _CL = "SELECT labels_key || '#' || props_key AS cid, labels_key, props_key, n FROM npatterns"
 ORACLES["jaccard_pairs"] = with_fixture(f""", cl AS ({_CL})
-SELECT a.cid AS a, b.cid AS b, 1.0 AS jaccard FROM cl a JOIN cl b
+SELECT a.cid AS a, b.cid AS b, CAST(1.0 AS DOUBLE) AS jaccard FROM cl a JOIN cl b
   ON a.labels_key = b.labels_key AND a.labels_key <> '' AND a.cid < b.cid""", patterns=True)
 _JM = f""", cl AS ({_CL}),
   grp AS (SELECT *, CASE WHEN labels_key = '' THEN cid ELSE min(cid) OVER (PARTITION BY labels_key) END AS gid FROM cl),
