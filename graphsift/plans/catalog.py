@@ -7,7 +7,6 @@ and DuckDB. Oracle SQL for each key lives in ``oracle_catalog``.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession

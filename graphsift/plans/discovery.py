@@ -7,7 +7,6 @@ statistics; everything else runs on pattern- or type-level tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -132,13 +131,8 @@ def cluster_edges(edge_pats: DataFrame, method: str = "exact", **lsh_options) ->
 def cluster_patterns(node_pats: DataFrame, edge_pats: DataFrame, method: str = "exact",
                      **lsh_options) -> tuple[DataFrame, DataFrame]:
     """Assign a cluster_id to every node and edge pattern."""
-    if method == "exact":
-        return patterns.exact_node_clusters(node_pats), patterns.exact_edge_clusters(edge_pats)
-    if method == "lsh":
-        from graphsift.operators import lsh
-        return (lsh.lsh_cluster_nodes(node_pats, **lsh_options),
-                lsh.lsh_cluster_edges(edge_pats, **lsh_options))
-    raise ValueError(f"unknown clustering method {method!r}")
+    return (cluster_nodes(node_pats, method, **lsh_options),
+            cluster_edges(edge_pats, method, **lsh_options))
 
 
 def discover_schema(nodes: DataFrame, edges: DataFrame, method: str = "exact",
