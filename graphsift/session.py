@@ -7,7 +7,9 @@ settings that are already present.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "graphsift") -> SparkSession:
     """Local session with the settings the library is tuned for.
 
-    Only used by tests, bench and examples; library functions never create
-    or reconfigure a session themselves.
+    Only used by tests, bench and examples; library functions never create a
+    session themselves.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
@@ -40,10 +42,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is configured (a
-    local test run) a scratch folder is created and registered.
+    The cluster's setting always wins. Only a plain local session without
+    one (tests, bench) gets a scratch folder of its own; anywhere else a
+    missing setting is an error, because executors would write to disks
+    that nobody else can read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,11 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="graphsift-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new, unused path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/graphsift-{kind}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a parquet table into the shared checkpoint folder.
 
@@ -64,8 +75,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     once; the table is durable, so a lost executor never forces recomputing
     what came before it.
     """
-    import uuid
     spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/graphsift-tables/{uuid.uuid4().hex}"
+    path = shared_path(spark, "tables")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+    out = spark.read.schema(df.schema).parquet(path)  # known schema: no footer inference
+    out._graphsift_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind a table made by :func:`cut_lineage`, once
+    nothing reads it any more. Other DataFrames are left alone."""
+    path = getattr(df, "_graphsift_path", None)
+    if path:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
