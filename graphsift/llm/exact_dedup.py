@@ -61,6 +61,8 @@ def update_state(spark: SparkSession, path: str, schema: T.StructType, checkpoin
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(state_memory_mb))
+    # Without this every state partition reserves megabytes for files that stay small.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     source = (own.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger))
               .parquet(_as_glob(path)))
