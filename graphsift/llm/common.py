@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphsift.session import cut_lineage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,30 +21,39 @@ def id_and(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.select(F.col(id_col), *[F.col(c) for c in cols])
 
 
+def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """The lookup side of a join, cut and counted: broadcast up to ``max_rows``
+    rows (of some 200 bytes: 40 MB); beyond that a shuffle join, whose hot keys
+    adaptive execution splits. The rows are the same either way."""
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list], list],
-              out: str, sub_batch: int = 512) -> DataFrame:
-    """(id, *out): ``fn`` takes up to ``sub_batch`` texts (None for null) and
+              out: str, sub_batch: int = 512, keep: list[str] | None = None) -> DataFrame:
+    """(id, *keep, *out): ``fn`` takes up to ``sub_batch`` texts (None for null) and
     returns one tuple per text.
 
     ``out`` is a DDL list of the result columns. Batches are cut small so a
     Python worker never holds the feature rows of a whole Arrow batch.
     """
     fields = T.StructType.fromDDL(out).fields if isinstance(out, str) else list(out)
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *fields])
+    carried = [id_col, *(keep or [])]
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in carried], *fields])
     arrow = [to_arrow(f.dataType) for f in fields]
-    names = [id_col, *[f.name for f in fields]]
+    names = [*carried, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, sub_batch):
                 part = batch.slice(start, sub_batch)
-                rows = fn(part.column(1).to_pylist())
+                rows = fn(part.column(len(carried)).to_pylist())
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(list(c), type=t) for c, t in zip(cols, arrow, strict=True)]],
+                    [*part.columns[:len(carried)], *[pa.array(list(c), type=t) for c, t in zip(cols, arrow, strict=True)]],
                     names=names)
 
-    return id_and(df, id_col, text_col).mapInArrow(run, schema)
+    return id_and(df, *carried, text_col).mapInArrow(run, schema)
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphsift.llm.common import lookup
 from graphsift.session import cut_lineage, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BROADCAST_HITS = 200_000  # rows of at most about 200 bytes: 40 MB
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,12 +78,6 @@ def update_state(spark: SparkSession, path: str, schema: T.StructType, checkpoin
                                             ("group_size", "keeper"), strict=False)])
 
 
-def _looked_up(hits: DataFrame) -> DataFrame:
-    """Broadcast only when counted to be small; beyond that a shuffle join,
-    whose hot keys adaptive execution splits. Same rows either way."""
-    return F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
-
-
 def dedup_table(spark: SparkSession, path: str, schema: T.StructType, id_col: str = "doc_id",
                 text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
     """(row, row_id, keep_id, group_size, kept, digest) for every row of the
@@ -93,15 +87,14 @@ def dedup_table(spark: SparkSession, path: str, schema: T.StructType, id_col: st
     retained state.
     """
     state = update_state(spark, path, schema, checkpoint or shared_path(spark, "dedup-state"), id_col, text_col)
-    hits = cut_lineage(state.where("group_size > 1")
-                       .select(F.col("digest").alias("hit"), F.col("group_size").alias("size"), "keeper"))
-    lookup = _looked_up(hits)
+    hits = lookup(state.where("group_size > 1")
+                  .select(F.col("digest").alias("hit"), F.col("group_size").alias("size"), "keeper"))
     rows = _rows(spark.read.schema(schema).parquet(path), id_col, text_col)
-    members = rows.join(lookup, F.col("digest") == F.col("hit"), "left")
+    members = rows.join(hits, F.col("digest") == F.col("hit"), "left")
 
     # Full bytes on hits: different texts below one digest, of which none is expected.
     contested = cut_lineage(
-        rows.join(lookup, F.col("digest") == F.col("hit"), "left_semi").groupBy("digest")
+        rows.join(hits, F.col("digest") == F.col("hit"), "left_semi").groupBy("digest")
         .agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
         .where(F.col("lo") != F.col("hi")).select(F.col("digest").alias("contested")))
     if not contested.isEmpty():

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsift.llm import exact_dedup, langid, packing, simhash, toxicity
+from graphsift.llm import exact_dedup, html_text, langid, packing, simhash, toxicity, warc
 from graphsift.llm.common import table
+from graphsift.session import shared_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"), keep=["url"])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_language_id, op7_packing, op9_toxicity, op10_exact_dedup)}
+    op1_simhash, op2_language_id, op3_warc, op5_html_text, op7_packing, op9_toxicity, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
