@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsift.llm import exact_dedup, html_text, langid, packing, simhash, toxicity, warc
+from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, simhash, toxicity, warc
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -32,6 +32,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages"), keep=["url"])
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
@@ -59,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_language_id, op3_warc, op5_html_text, op7_packing, op9_toxicity, op10_exact_dedup)}
+    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op7_packing, op9_toxicity, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
