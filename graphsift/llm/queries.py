@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, simhash, toxicity, warc
+from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, secret_scan, simhash, toxicity, warc
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -50,6 +50,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -64,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op7_packing, op9_toxicity, op10_exact_dedup)}
+    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op7_packing, op8_secret_scan, op9_toxicity, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
