@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, secret_scan, simhash, toxicity, warc
+from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, secret_scan, sentence_piece, simhash, toxicity, warc
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -42,6 +42,17 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = sentence_piece.encode(table(spark, sf_dir, "documents"), model, keep=["text"])
+    back = sentence_piece.decode(ids, model)
+    return back.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_pieces"),
+                       F.crc32("ids").alias("ids_crc32"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op7_packing, op8_secret_scan, op9_toxicity, op10_exact_dedup)}
+    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op6_sentence_piece, op7_packing, op8_secret_scan, op9_toxicity, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """

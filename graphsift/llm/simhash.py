@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.llm.common import map_texts
+from graphsift.llm.common import lookup, map_texts
 from graphsift.operators.components import component_roots
 from graphsift.session import cut_lineage
 
@@ -103,6 +103,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, fps["fp"] == named["fp_key"]).select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+             max_bits: int = 3, blocks: int = 6) -> DataFrame:
+    """One row of ``docs`` per component, that of its smallest id; all columns
+    as they are. Texts are not shuffled: the ids to drop come back as a filter.
+
+    Where ids are null or repeat, rows are numbered in a table first and the
+    numbers take their place: of rows that share the smallest id, and of a
+    component without any id, the first in that table stays.
+    """
+    settings = {"shingle": shingle, "max_bits": max_bits, "blocks": blocks}
+    unclear = docs.groupBy(F.col(id_col).alias("i")).count().where(F.col("i").isNull() | (F.col("count") > 1))
+    if unclear.isEmpty():
+        found = near_duplicates(docs, id_col, text_col, **settings)
+        dropped = lookup(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")))
+        return docs.join(dropped, docs[id_col] == dropped["gone"], "left_anti")
+    numbered = cut_lineage(docs.select(F.struct(*docs.columns).alias("row"),
+                                       F.monotonically_increasing_id().alias("number")))
+    plain = numbered.select("number", F.col(f"row.`{id_col}`").alias("key"), F.col(f"row.`{text_col}`").alias("content"))
+    found = cut_lineage(near_duplicates(plain, "number", "content", **settings))
+    keyed = plain.select("key", F.col("number").alias("n")).join(found, F.col("n") == F.col("number"))
+    best = keyed.groupBy("component_id").agg(
+        F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "n"))["n"].alias("kept"))
+    dropped = lookup(found.join(best.select("kept"), F.col("number") == F.col("kept"), "left_anti")
+                     .select(F.col("number").alias("gone")))
+    return numbered.join(dropped, F.col("number") == F.col("gone"), "left_anti").select("row.*")
+
+
 def hex_fingerprint(col: str = "fp"):
     """16 lowercase hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))

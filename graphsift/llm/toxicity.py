@@ -28,10 +28,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, log
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ from graphsift.llm.common import map_texts
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 HASH_BITS = 22
+KNOWN_WORDS = 200_000       # words whose features a task remembers
 
 
 def features(text: str | None) -> dict[int, int]:
@@ -65,15 +69,30 @@ class OrdinalModel:
     weights: dict[int, float] = field(default_factory=dict)   # features whose weight is not zero
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     lowest: int = 0
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)   # word -> its weighted features
+
+    def margin(self, text: str | None) -> float:
+        """w.x of a text; only features with a weight are counted."""
+        if not text:
+            return 0.0
+        found: dict[int, int] = {}
+        known = self.known
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            keys = known.get(word)
+            if keys is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                keys = known[word] = tuple(k for k in features(word) if k in self.weights)
+            for key in keys:
+                found[key] = found.get(key, 0) + n
+        return sum(self.weights[k] * (1 + log(n)) for k, n in found.items())
 
     def predict(self, text: str | None) -> tuple[float, int, bool]:
         """(expected severity, most probable grade, above the lowest grade)."""
-        known = self.weights
-        margin = sum(known[k] * (1 + np.log(n)) for k, n in features(text).items() if k in known)
-        above = _sigmoid(margin - self.thresholds)      # P(grade > k)
-        probs = np.concatenate([[1.0], above]) - np.concatenate([above, [0.0]])
-        return (self.lowest + float(above.sum()), self.lowest + int(probs.argmax()),
-                bool(len(above) and above[0] > 0.5))
+        margin = self.margin(text)
+        above = [1 / (1 + exp(min(700.0, t - margin))) for t in self.thresholds]      # P(grade > k)
+        probs = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        return (self.lowest + sum(above), self.lowest + probs.index(max(probs)), bool(above) and above[0] > 0.5)
 
 
 @dataclass
@@ -195,3 +214,16 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, id_col, text_col, lambda texts: [shared.value.predict(t) for t in texts],
                      "severity double, grade int, toxic boolean")
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are toxic; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
