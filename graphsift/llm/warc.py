@@ -141,9 +141,16 @@ def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
         if head[3] & 4 and head[12:14] == b"LX":
             length = struct.unpack_from("<Q", head, 16)[0]
         inflate = zlib.decompressobj(31)
+
+        def more(n: int) -> bytes:
+            raw = stream.read(n)
+            if not raw:
+                raise ValueError(f"truncated gzip member at byte {at}")
+            return inflate.decompress(raw)
+
         data = inflate.decompress(head)
         while b"\r\n\r\n" not in data and not inflate.eof:
-            data += inflate.decompress(stream.read(HEAD))
+            data += more(HEAD)
         end = data.index(b"\r\n\r\n") + 4
         fields = parse_header(data[:end - 4])
         row = header_row(fields)
@@ -152,17 +159,14 @@ def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
             left = int(fields["content-length"])
             parts, got = [data[end:]], len(data) - end
             while got < left and not inflate.eof:
-                parts.append(inflate.decompress(stream.read(1 << 16)))
+                parts.append(more(1 << 16))
                 got += len(parts[-1])
             row["payload"] = b"".join(parts)[:left]
         if wanted:
             yield row
         if length is None:      # another writer's member: its end is where inflation ends
             while not inflate.eof:
-                more = stream.read(1 << 16)
-                if not more:
-                    raise ValueError(f"truncated gzip member at byte {at}")
-                inflate.decompress(more)
+                more(1 << 16)
             length = stream.tell() - len(inflate.unused_data) - at
         at += length
 
