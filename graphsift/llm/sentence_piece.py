@@ -40,29 +40,36 @@ from graphsift.llm.common import id_and
 MARK = "▁"
 OWN_MARK = "\udfff"         # a mark that stands in the text; no valid text holds this character
 SEGMENT = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-KNOWN_SEGMENTS = 500_000    # lattices that a task keeps
+KNOWN_SEGMENTS = 200_000    # lattices that a task keeps
 SHORT = 48                  # longest segment that is filtered together with others
 TINY, HUGE = 1e-200, 1e200
 
 
+def _pieces(model_file: str) -> tuple[list[tuple[int, str, float]], dict[int, int], list[bytes]]:
+    """Ordinary pieces (id, piece, score), ids of the byte pieces, and the
+    bytes that each id stands for."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    normal, byte_id, as_bytes = [], {}, []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            byte_id[int(piece[3:5], 16)] = i
+            as_bytes.append(bytes([int(piece[3:5], 16)]))
+        elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            as_bytes.append(b"")
+        else:
+            as_bytes.append(piece.replace(MARK, " ").encode())
+            normal.append((i, piece, model.get_score(i)))
+    return normal, byte_id, as_bytes
+
+
 class Vocabulary:
     """Pieces of a model file with their sampling weights."""
 
     def __init__(self, model_file: str, alpha: float = 1.0):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        normal, self.byte_id, self.as_bytes = [], {}, []
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            special = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
-            if model.is_byte(i):
-                self.byte_id[int(piece[3:5], 16)] = i
-                self.as_bytes.append(bytes([int(piece[3:5], 16)]))
-            else:
-                self.as_bytes.append(b"" if special else piece.replace(MARK, " ").encode())
-                if not special:
-                    normal.append((i, piece, model.get_score(i)))
+        normal, self.byte_id, self.as_bytes = _pieces(model_file)
         if len(self.byte_id) < 256:
             raise ValueError("the vocabulary has no byte pieces, so it cannot be lossless")
         if any(MARK in p.lstrip(MARK) for _, p, _ in normal):
@@ -129,8 +136,8 @@ class SuffixTrie:
 class Lattices:
     """Forward-filtered lattices of distinct segments, as flat arrays.
 
-    A node is a position of a segment. ``first`` has the place of its edges,
-    one entry more than there are nodes; edge arrays hold cumulated
+    A node is a position of a segment; its edges are those from ``first[node]``
+    up to ``first[node + 1]``. Edge arrays hold cumulated
     probability, piece and the node before. A piece below zero stands for the
     bytes of the character -piece - 1."""
 
@@ -140,17 +147,32 @@ class Lattices:
 
     def clear(self) -> None:
         self.end_node: dict[str, int] = {}
-        self.first = np.zeros(1, np.int32)
-        self.before, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.upto = np.zeros(0, np.float32)
+        self.n_nodes = self.n_edges = 0
+        self.first = np.zeros(1 << 16, np.int32)
+        self.before, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.upto = np.zeros(1 << 18, np.float32)
+
+    def _room(self, nodes: int, edges: int) -> None:
+        """Let the arrays hold so many more, growing by half."""
+        for name, need in (("first", self.n_nodes + nodes + 1), ("before", self.n_edges + edges),
+                           ("piece", self.n_edges + edges), ("upto", self.n_edges + edges)):
+            have = getattr(self, name)
+            if need > len(have):
+                more = np.zeros(max(need, len(have) * 3 // 2), have.dtype)
+                more[:len(have)] = have
+                setattr(self, name, more)
 
     def _append(self, first: list, before: list, piece: list, upto: list) -> None:
-        """``first`` as the ends of the new nodes' edges, counted from the old edges."""
-        old = len(self.piece)
-        self.first = np.concatenate([self.first, *[np.asarray(f, np.int32) + np.int32(old) for f in first]])
-        self.before = np.concatenate([self.before, *[np.asarray(b, np.int32) for b in before]])
-        self.piece = np.concatenate([self.piece, *[np.asarray(p, np.int32) for p in piece]])
-        self.upto = np.concatenate([self.upto, *[np.asarray(u, np.float32) for u in upto]])
+        """``first`` has the ends of the new nodes' edges, counted from the old edges."""
+        self._room(sum(map(len, first)), sum(map(len, piece)))
+        old = self.n_edges
+        for ends in first:
+            self.first[self.n_nodes + 1:self.n_nodes + 1 + len(ends)] = np.asarray(ends, np.int32) + np.int32(old)
+            self.n_nodes += len(ends)
+        for b, p, u in zip(before, piece, upto, strict=True):
+            at = slice(self.n_edges, self.n_edges + len(p))
+            self.before[at], self.piece[at], self.upto[at] = b, p, u
+            self.n_edges += len(p)
 
     def add_all(self, segments: list[str]) -> None:
         """Filter new, distinct segments."""
@@ -170,7 +192,7 @@ class Lattices:
         codes = np.frombuffer("".join(s.ljust(most, "\0") for s in segments).encode("utf-32-le", "surrogatepass"),
                               np.uint32).reshape(len(segments), most).T.copy()
         reach = [int((lengths >= j).sum()) for j in range(most + 1)]
-        node = len(self.first) - 1 + np.cumsum([0, *reach])      # first node of each position
+        node = self.n_nodes + np.cumsum([0, *reach])      # first node of each position
         alpha = [np.ones(len(segments))]
         first, before, piece, upto, edges = [np.zeros(reach[0], np.int32)], [], [], [], 0
         for j in range(1, most + 1):
@@ -219,7 +241,7 @@ class Lattices:
     def _add_long(self, segment: str) -> None:
         """The same for one long segment."""
         get, longest, n = self.vocabulary.weights.get, self.vocabulary.longest, len(segment)
-        base = len(self.first) - 1
+        base = self.n_nodes
         before, piece, upto, first = [], [], [], [0]
         alpha = [1.0] + [0.0] * n
         for j in range(1, n + 1):
@@ -268,7 +290,7 @@ class Sampler:
         if new:
             self.lattices.add_all(sorted(new))
         at = np.array([known[s] for segments in cut for s in segments], np.int32)
-        counts = np.array([len(segments) for segments in cut])
+        counts = np.array([len(segments) for segments in cut], np.int64)
         seeds = [xxhash.xxh64_intdigest(str(key), self.seed) for key in keys]
         doc = np.repeat(np.arange(len(counts)), counts)
         number = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -333,7 +355,7 @@ def decode_ids(ids: bytes | None, as_bytes: list[bytes]) -> str:
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0,
-           seed: int = 7, keep: list[str] | None = None, sub_batch: int = 1000) -> DataFrame:
+           seed: int = 7, keep: list[str] | None = None, sub_batch: int = 500) -> DataFrame:
     """(id, *keep, ids): a sampled segmentation of every text."""
     carried = [id_col, *(keep or [])]
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in carried],
@@ -357,7 +379,7 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", out_col: s
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_bytes = Vocabulary(model_file).as_bytes
+        as_bytes = _pieces(model_file)[2]
         for batch in batches:
             texts = [decode_ids(i, as_bytes) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
