@@ -14,8 +14,8 @@ toxic one.
 The model is fitted on at most about ``max_per_grade`` labelled rows per grade,
 the ones with the smallest id hash, read whole; scoring covers all rows.
 Labels that only say toxic or not are first split into grades by
-``split_grades``: 0 clean, 1 toxic with fewer marked words than the median
-toxic text, 2 toxic with at least as many.
+``split_grades``: 0 clean, 1 toxic, 2 toxic with more marked words than about
+half of the toxic texts.
 
 Edge cases: a null or empty text has no features and gets the severity of an
 empty vector; labels that are null, or whose document is missing, are not
@@ -174,7 +174,10 @@ def split_grades(rows: Rows, toxic: np.ndarray, **settings) -> np.ndarray:
     marked = np.zeros(1 << HASH_BITS, bool)
     marked[[k for k, v in weights.items() if v >= 0.25 * max(weights.values())]] = True
     hits = np.bincount(rows.row, rows.n * marked[rows.key], rows.size)
-    return np.where(toxic == 0, 0, 1 + (hits >= np.median(hits[toxic > 0])))
+    middle = np.median(hits[toxic > 0])
+    halves = [hits > middle, hits >= middle]         # of equal counts, the more even cut
+    share = [abs(h[toxic > 0].mean() - 0.5) for h in halves]
+    return np.where(toxic == 0, 0, 1 + halves[int(np.argmin(share))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
