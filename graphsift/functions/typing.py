@@ -54,16 +54,21 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def _trimmed(v) -> Column:
+    """Without spaces and control characters at both ends."""
+    return F.btrim(_c(v), F.lit("".join(map(chr, range(0x21)))))
+
+
 def is_integer(v) -> Column:
     """32-bit integer after trim (sign allowed, no decimals or exponent)."""
-    t = F.trim(_c(v))
+    t = _trimmed(v)
     as_long = F.when(t.rlike(INTEGER_REGEX), t.try_cast("bigint"))
     return F.coalesce(as_long.between(-2147483648, 2147483647), F.lit(False))
 
 
 def is_double(v) -> Column:
     """JVM double literal after trim."""
-    return F.coalesce(F.trim(_c(v)).rlike(DOUBLE_REGEX), F.lit(False))
+    return F.coalesce(_trimmed(v).rlike(DOUBLE_REGEX), F.lit(False))
 
 
 def is_date(v, mode: str = "lenient") -> Column:
@@ -73,7 +78,7 @@ def is_date(v, mode: str = "lenient") -> Column:
     whose trimmed form starts with an (optionally negative) number passes.
     ``strict`` accepts only values fully matching one of the formats.
     """
-    t = F.trim(_c(v))
+    t = _trimmed(v)
     if mode == "lenient":
         cond = t.rlike(LENIENT_DATE_REGEX)
     elif mode == "strict":
@@ -86,7 +91,7 @@ def is_date(v, mode: str = "lenient") -> Column:
 
 
 def is_boolean(v) -> Column:
-    return F.coalesce(F.lower(F.trim(_c(v))).isin(BOOLEAN_WORDS), F.lit(False))
+    return F.coalesce(F.lower(_trimmed(v)).isin(BOOLEAN_WORDS), F.lit(False))
 
 
 # One to three digits with value <= 255 (leading zeros allowed, as an integer parse does).

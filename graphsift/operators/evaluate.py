@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphsift.functions.text import split_key
 from graphsift.operators.joins import broadcast_if_small
 from graphsift.operators.patterns import EDGE_KEY, NODE_KEY, with_edge_key, with_node_key
+from graphsift.session import cut_lineage
 
 
 def _require(df: DataFrame, cols: list[str]) -> None:
@@ -35,8 +37,8 @@ def assignments_nodes(nodes: DataFrame, node_pattern_types: DataFrame, node_type
     (no join at all).
     """
     pt = node_pattern_types.select(*NODE_KEY, "type_id")
-    pred = node_types.select("type_id", F.array_distinct(F.split(
-        F.array_join("labels", ":"), ":")).alias("predicted_labels"))
+    pred = node_types.select("type_id", F.array_distinct(F.flatten(F.transform(
+        "labels", split_key))).alias("predicted_labels"))
     base = nodes.select("node_id", "labels", "props")
     if isinstance(truth, Column):
         base = base.withColumn("true_labels", truth)
@@ -64,27 +66,42 @@ def majority_labels(assign: DataFrame, actual: str = "actual_labels") -> DataFra
             .select("type_id", F.col("label").alias("majority_label"), "freq"))
 
 
-def clustering_metrics(assign: DataFrame, truth_key: Column, actual: str = "actual_labels",
-                       n_true_sets: Column | None = None) -> DataFrame:
-    """EVA2/5/6: one row with TP, FP, FN, precision, recall, F1 (majority rule).
+def evaluation_counts(assign: DataFrame, truth_key: Column, actual: str = "actual_labels") -> DataFrame:
+    """(type_id, truth_key, actual, strict, non_strict, n): the only pass over
+    the elements that evaluation needs, cut into a small table."""
+    return cut_lineage(assign.groupBy(
+        "type_id", truth_key.alias("truth_key"), F.col(actual).alias("actual"),
+        F.col("correct_strict").alias("strict"), F.col("correct_non_strict").alias("non_strict"))
+        .agg(F.count(F.lit(1)).alias("n")))
+
+
+def clustering_metrics(assign: DataFrame, truth_key: Column, actual: str = "actual_labels") -> DataFrame:
+    """EVA2-6: one row with TP, FP, FN, precision, recall, F1 (majority rule)
+    and the numbers of strictly and loosely correct elements.
 
     TP/FP: members whose actual labels contain / miss their type's majority
     label. FN: per true label set, members beyond those correctly assigned.
+    Elements without an actual label count for no type's majority.
     """
-    maj = majority_labels(assign, actual)
-    scored = (assign.join(broadcast_if_small(maj.select("type_id", "majority_label")), "type_id")
-              .withColumn("ok", _flag(F.array_contains(actual, F.col("majority_label"))))
-              .withColumn("truth_key", truth_key))
-    per_truth = scored.groupBy("truth_key").agg(F.count(F.lit(1)).alias("total"),
-                                                F.sum("ok").alias("correct"))
+    counts = evaluation_counts(assign, truth_key, actual)
+    freq = (counts.select("type_id", F.explode("actual").alias("label"), "n")
+            .groupBy("type_id", "label").agg(F.sum("n").alias("freq")))
+    best = freq.groupBy("type_id").agg(F.min(F.struct((-F.col("freq")).alias("f"), "label"))["label"].alias("majority"))
+    scored = (counts.join(best, "type_id", "left")
+              .withColumn("ok", F.when(F.array_contains("actual", F.col("majority")), F.col("n")).otherwise(F.lit(0)))
+              .withColumn("in_scope", F.when(F.col("majority").isNotNull(), F.col("n")).otherwise(F.lit(0))))
+    per_truth = scored.groupBy("truth_key").agg(
+        F.sum("in_scope").alias("total"), F.sum("ok").alias("correct"),
+        F.collect_set("type_id").alias("types"),
+        F.sum(F.col("n") * F.col("strict")).alias("strict"),
+        F.sum(F.col("n") * F.col("non_strict")).alias("non_strict"))
     m = per_truth.agg(
-        F.sum("correct").alias("tp"),
-        (F.sum("total") - F.sum("correct")).alias("fp"),
+        F.sum("correct").alias("tp"), (F.sum("total") - F.sum("correct")).alias("fp"),
         F.sum(F.greatest(F.col("total") - F.col("correct"), F.lit(0))).alias("fn"),
-        F.count(F.lit(1)).alias("true_sets"))
-    n_types = assign.agg(F.countDistinct("type_id").alias("predicted_types"))
-    # both sides are single-row aggregates: attach on a constant key
-    m = m.withColumn("_k", F.lit(1)).join(n_types.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        F.sum(F.when(F.col("total") > 0, 1).otherwise(0)).cast("bigint").alias("true_sets"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("types")))).cast("bigint").alias("predicted_types"),
+        F.coalesce(F.sum("non_strict"), F.lit(0)).alias("non_strict_correct"),
+        F.coalesce(F.sum("strict"), F.lit(0)).alias("strict_correct"))
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     m = m.withColumn("precision", p).withColumn("recall", r)

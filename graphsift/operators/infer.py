@@ -18,8 +18,7 @@ def property_values(df: DataFrame, keep_nulls: bool = False) -> DataFrame:
     return df.select(F.explode(m).alias("property", "value"))
 
 
-def infer_property_types(df: DataFrame, date_mode: str = "lenient",
-                         sample_rows: int | None = None) -> DataFrame:
+def infer_property_types(df: DataFrame, date_mode: str = "lenient") -> DataFrame:
     """INF1-7: one type per property, in a single aggregation pass.
 
     Every value is tested once (native expressions) and the tests are
@@ -28,15 +27,9 @@ def infer_property_types(df: DataFrame, date_mode: str = "lenient",
     partial row per task. Rule order: IP (or ``locationIP``) -> String,
     then Integer, Double, Date, Boolean, else String; a key whose values are
     all null is ``Unknown (empty)`` (same pass: nulls are counted, not tested).
-
-    ``sample_rows`` restricts each property to its first N values by value
-    order (the reference looks at an arbitrary 1000); default: all values.
+    All values are tested (the reference looks at an arbitrary 1000).
     """
     vals = property_values(df, keep_nulls=True).where(~F.col("property").isin(IGNORED_PROPERTIES))
-    if sample_rows is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy("property").orderBy(F.col("value").asc_nulls_last())
-        vals = vals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample_rows)
     v = F.col("value")
 
     def test(expr):
@@ -60,11 +53,6 @@ def infer_property_types(df: DataFrame, date_mode: str = "lenient",
     return agg.select("property", t.alias("type"), "n_values")
 
 
-def property_types_with_empty(df: DataFrame, date_mode: str = "lenient") -> DataFrame:
-    """Alias of :func:`infer_property_types` (all-null keys -> ``Unknown (empty)``)."""
-    return infer_property_types(df, date_mode)
-
-
 def annotate_types(types: DataFrame, prop_types: DataFrame,
                    cols: tuple[str, ...] = ("mandatory", "optional")) -> DataFrame:
     """INF8: add ``<col>_typed`` = array<struct<name,type>> for each property list.

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphsift.operators.similarity import jaccard_join
+from graphsift.functions.text import split_key
+from graphsift.operators.components import connected_components
+from graphsift.operators.similarity import distinct_sets, jaccard_join
+from graphsift.session import cut_lineage
+
 
 def _empty():
     return F.array().cast("array<string>")
@@ -22,14 +26,28 @@ def _nonblank(c):
     return F.array_sort(F.array_distinct(F.filter(c, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")))
 
 
+def _union_of(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, col): the sorted union of an array column per key. Items are made
+    distinct before they are gathered, so a row holds only the union."""
+    items = df.select(key, F.explode(col).alias("_item")).distinct()
+    return items.groupBy(key).agg(F.array_sort(F.collect_list("_item")).alias(col))
+
+
+def _with_unions(df: DataFrame, key: str, cols: list[str], *aggs) -> DataFrame:
+    """Aggregates per key plus the union of each array column (empty if none)."""
+    out = df.groupBy(key).agg(*aggs) if aggs else df.select(key).distinct()
+    for c in cols:
+        out = out.join(_union_of(df, key, c), key, "left").withColumn(c, F.coalesce(c, _empty()))
+    return out
+
+
 # --------------------------------------------------------------------------- nodes
 
 def node_clusters(assigned: DataFrame) -> DataFrame:
     """Cluster table: label sets seen (blank removed), union of properties, size."""
-    return (assigned.groupBy("cluster_id")
-            .agg(_nonblank(F.collect_set("labels_key")).alias("labels"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("prop_keys")))).alias("props"),
-                 F.sum("n").alias("n")))
+    return (_with_unions(assigned.withColumnRenamed("prop_keys", "props"), "cluster_id", ["props"],
+                         _nonblank(F.collect_set("labels_key")).alias("labels"), F.sum("n").alias("n"))
+            .select("cluster_id", "labels", "props", "n"))
 
 
 def _best_match(pairs: DataFrame, multi: bool) -> DataFrame:
@@ -54,9 +72,7 @@ def assign_node_types(assigned: DataFrame, threshold: float = 0.9, multi: bool =
         .select("cluster_id", F.array_join("labels", "|").alias("type_id"), "labels", "props")
     unlabelled = clusters.where(F.size("labels") == 0).select("cluster_id", "props")
 
-    label_types = labelled.groupBy("type_id").agg(
-        F.first("labels").alias("labels"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("props")))).alias("props"))
+    label_types = _with_unions(labelled, "type_id", ["props"], F.first("labels").alias("labels"))
 
     pairs = jaccard_join(unlabelled, label_types, "cluster_id", "props", "type_id", "props",
                          threshold=threshold)
@@ -86,9 +102,10 @@ def split_properties(pattern_types: DataFrame, granularity: str = "instance") ->
     if granularity == "instance":
         units = pattern_types.select("type_id", "prop_keys", F.col("n").alias("w"))
     elif granularity == "cluster":
-        units = (pattern_types.groupBy("type_id", "cluster_id")
-                 .agg(F.array_distinct(F.flatten(F.collect_set("prop_keys"))).alias("prop_keys"))
-                 .select("type_id", "prop_keys", F.lit(1).cast("bigint").alias("w")))
+        pairs = pattern_types.select("type_id", "cluster_id").distinct()
+        units = (pairs.join(_union_of(pattern_types, "cluster_id", "prop_keys"), "cluster_id", "left")
+                 .select("type_id", F.coalesce("prop_keys", _empty()).alias("prop_keys"),
+                         F.lit(1).cast("bigint").alias("w")))
     else:
         raise ValueError(f"unknown granularity {granularity!r}")
     total = units.groupBy("type_id").agg(F.sum("w").alias("total"))
@@ -165,10 +182,7 @@ def merge_edge_types(assigned: DataFrame, by: str = "rel_type",
     and the pattern -> type table."""
     ctype = keep(assign_edge_types(assigned, by))
     pattern_types = assigned.join(ctype.select("cluster_id", "type_id"), "cluster_id")
-    meta = ctype.groupBy("type_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("rel_types")))).alias("rel_types"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("src_labels")))).alias("src_labels"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("dst_labels")))).alias("dst_labels"))
+    meta = _with_unions(ctype, "type_id", ["rel_types", "src_labels", "dst_labels"])
     props = split_properties(pattern_types, "instance")
     types = meta.join(props, "type_id").select(
         "type_id", "rel_types", "src_labels", "dst_labels", "n", "mandatory", "optional")
@@ -178,9 +192,18 @@ def merge_edge_types(assigned: DataFrame, by: str = "rel_type",
 # --------------------------------------------------------------- Jaccard merge (MRG5)
 
 def jaccard_pairs(clusters: DataFrame, threshold: float = 0.9, set_col: str = "labels") -> DataFrame:
-    """Pairs of clusters (a < b) whose label sets have Jaccard >= threshold."""
-    return jaccard_join(clusters, None, "cluster_id", set_col, threshold=threshold) \
-        .select("a", "b", "jaccard")
+    """Links between clusters whose label sets have Jaccard >= threshold.
+
+    Clusters with equal sets hang on the smallest of them (``a`` = that id,
+    ``b`` = the member, jaccard 1); different sets are linked once, between
+    their smallest ids. So k clusters of one label give k - 1 rows, not
+    k(k - 1)/2, and no link between different sets is lost.
+    """
+    reps, members = distinct_sets(clusters, "cluster_id", set_col)
+    stars = members.where(F.col("id") != F.col("rep")).select(
+        F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return stars.unionByName(jaccard_join(reps, None, "rep", "set", threshold=threshold)
+                             .select("a", "b", "jaccard"))
 
 
 def merge_by_jaccard(clusters: DataFrame, threshold: float = 0.9, closure: str = "components",
@@ -189,33 +212,34 @@ def merge_by_jaccard(clusters: DataFrame, threshold: float = 0.9, closure: str =
 
     ``components`` (default): transitive closure, every cluster in exactly one
     group (group_id = smallest member id). ``one_hop``: the reference's groups
-    ({a} plus a's matches for every a), so a cluster may sit in several
-    groups. Unmatched clusters stay alone. Output: group_id, members,
-    n_clusters, labels, props, n (members is the sorted member list).
+    (a set and the later sets similar to it), so a cluster may sit in several
+    groups; a group is named by the smallest ids of its sets. Clusters
+    without a match or label stay alone. Output: group_id, n_clusters, labels,
+    props, n.
     """
-    pairs = jaccard_pairs(clusters, threshold, set_col)
     if closure == "components":
-        from graphsift.operators.components import connected_components
-        comp = connected_components(clusters.select(F.col("cluster_id").alias("id")), pairs)
-        member = comp.select(F.col("component").alias("group_id"), F.col("id").alias("cluster_id"))
+        member = (connected_components(clusters.select(F.col("cluster_id").alias("id")),
+                                       jaccard_pairs(clusters, threshold, set_col))
+                  .select(F.col("component").alias("group_id"), F.col("id").alias("cluster_id")))
     elif closure == "one_hop":
-        groups = (pairs.groupBy("a").agg(F.collect_set("b").alias("bs"))
-                  .select(F.array_sort(F.array_union(F.array("a"), "bs")).alias("members"))
-                  .distinct()
-                  .withColumn("group_id", F.array_join("members", ";")))
-        grouped = groups.select("group_id", F.explode("members").alias("cluster_id"))
-        alone = clusters.select("cluster_id").join(grouped, "cluster_id", "left_anti") \
-            .withColumn("group_id", F.col("cluster_id"))
-        member = grouped.unionByName(alone.select("group_id", "cluster_id"))
+        reps, members = (cut_lineage(x) for x in distinct_sets(clusters, "cluster_id", set_col))
+        links = jaccard_join(reps, None, "rep", "set", threshold=threshold)
+        linked = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
+        lonely = reps.join(linked, "rep", "left_anti").select(F.array("rep").alias("sets"))
+        sets = (links.groupBy("a").agg(F.collect_set("b").alias("bs"))
+                .select(F.array_sort(F.array_union(F.array("a"), "bs")).alias("sets")).unionByName(lonely))
+        groups = sets.select(F.array_join("sets", ";").alias("group_id"), "sets").distinct()
+        member = (groups.select("group_id", F.explode("sets").alias("rep")).join(members, "rep")
+                  .select("group_id", F.col("id").alias("cluster_id")))
+        alone = clusters.select("cluster_id").join(members.select(F.col("id").alias("cluster_id")),
+                                                   "cluster_id", "left_anti")
+        member = member.unionByName(alone.select(F.col("cluster_id").alias("group_id"), "cluster_id"))
     else:
         raise ValueError(f"unknown closure {closure!r}")
-    return (member.join(clusters, "cluster_id")
-            .groupBy("group_id")
-            .agg(F.array_sort(F.collect_list("cluster_id")).alias("members"),
-                 F.count(F.lit(1)).alias("n_clusters"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("props")))).alias("props"),
-                 F.sum("n").alias("n")))
+    joined = cut_lineage(member.join(clusters, "cluster_id"))
+    return (_with_unions(joined, "group_id", ["labels", "props"], F.count(F.lit(1)).alias("n_clusters"),
+                         F.sum("n").alias("n"))
+            .select("group_id", "n_clusters", "labels", "props", "n"))
 
 
 # ------------------------------------------------------- merging two schemas (MRG8/9)
@@ -234,9 +258,7 @@ def merge_schemas(*types: DataFrame, key: str = "type_id") -> DataFrame:
     for i, t in enumerate(types):
         x = t.select(key, "n", "mandatory", "optional", *arrays).withColumn("_part", F.lit(i))
         parts = x if parts is None else parts.unionByName(x)
-    meta = parts.groupBy(key).agg(
-        F.sum("n").alias("n"), F.countDistinct("_part").alias("_parts"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays])
+    meta = _with_unions(parts, key, arrays, F.sum("n").alias("n"), F.countDistinct("_part").alias("_parts"))
     props = (parts.select(key, "_part", F.explode("mandatory").alias("prop"), F.lit(1).alias("m"))
              .unionByName(parts.select(key, "_part", F.explode("optional").alias("prop"), F.lit(0).alias("m")))
              .groupBy(key, "prop").agg(F.sum("m").alias("m")))
@@ -269,7 +291,7 @@ def _profile(units: DataFrame, keys: list[str]) -> DataFrame:
 def profile_by_label(node_pats: DataFrame) -> DataFrame:
     """MRG10: per single label: properties on every node carrying it, the rest optional."""
     units = (node_pats.where(F.col("labels_key") != "")
-             .select(F.explode(F.split("labels_key", ":")).alias("label"), "prop_keys", "n"))
+             .select(F.explode(split_key("labels_key")).alias("label"), "prop_keys", "n"))
     return _profile(units, ["label"])
 
 

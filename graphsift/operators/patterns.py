@@ -13,13 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.functions.text import label_key
-
-# ---- fixed values: reserved column names never treated as properties -------
-NODE_SYSTEM_COLUMNS = ["_nodeId", "_labels", "originalLabels", "node_id", "labels"]
-EDGE_SYSTEM_COLUMNS = ["srcId", "dstId", "srcType", "dstType", "relationshipType",
-                       "edge_id", "src_id", "dst_id", "rel_type", "src_labels", "dst_labels"]
-# -------------------------------------------------------------------------------
+from graphsift.functions.text import joined, label_key
 
 
 def prop_keys(props: str | Column = "props", drop_null_values: bool = False) -> Column:
@@ -35,20 +29,20 @@ def prop_keys(props: str | Column = "props", drop_null_values: bool = False) ->
     return F.sort_array(F.map_keys(m))
 
 
-def property_names(df: DataFrame, system: Sequence[str] | None = None) -> DataFrame:
+def property_names(df: DataFrame) -> DataFrame:
     """ENC4: distinct property names of a canonical table (one row each)."""
     return (df.select(F.explode(prop_keys("props")).alias("property"))
             .distinct())
 
 
-def wide_property_columns(df: DataFrame, system: Sequence[str]) -> list[str]:
-    """ENC4 for the reference's wide layout: every non-system column."""
-    return [c for c in df.columns if c not in set(system)]
-
+def presence_flags(df: DataFrame, props: Sequence[str] | None = None) -> DataFrame:
+    """ENC1: one 0.0/1.0 column per property (``prop_<name>``).
 
-def presence_flags(df: DataFrame, props: Sequence[str]) -> DataFrame:
-    """ENC1: one 0.0/1.0 column per property (``prop_<name>``)."""
+    Without ``props`` the columns are all property names of ``df`` (one name
+    per column of the result, found by a distributed distinct)."""
     keys = prop_keys("props")
+    if props is None:
+        props = [r[0] for r in property_names(df).orderBy("property").collect()]
     return df.select("*", *[F.array_contains(keys, p).cast("double").alias(f"prop_{p}")
                             for p in props])
 
@@ -88,10 +82,10 @@ def edge_patterns(edges: DataFrame) -> DataFrame:
 def exact_node_clusters(patterns: DataFrame) -> DataFrame:
     """CLU6: one cluster per distinct pattern; readable deterministic id."""
     return patterns.withColumn(
-        "cluster_id", F.concat_ws("#", "labels_key", F.array_join("prop_keys", ",")))
+        "cluster_id", F.concat_ws("#", "labels_key", joined(F.col("prop_keys"), ",")))
 
 
 def exact_edge_clusters(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn(
         "cluster_id", F.concat_ws("#", "rel_type", "src_key", "dst_key",
-                                  F.array_join("prop_keys", ",")))
+                                  joined(F.col("prop_keys"), ",")))

@@ -39,7 +39,9 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, left_id: str, left_se
     """All (left_id, right_id, jaccard) with Jaccard >= threshold.
 
     ``right=None`` is a self-join returning each unordered pair once (a < b).
-    Output columns: ``a``, ``b``, ``inter``, ``jaccard``.
+    Output columns: ``a``, ``b``, ``inter``, ``jaccard``. Rows with equal sets
+    are paired with each other; to keep those apart, join distinct sets
+    (:func:`distinct_sets`).
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
@@ -69,3 +71,16 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, left_id: str, left_se
              .withColumn("jaccard", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
              .where(F.col("jaccard") >= F.lit(t) - F.lit(_EPS)))
     return pairs.select("a", "b", "inter", "jaccard")
+
+
+def distinct_sets(df: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members): one row per distinct set, named by its
+    smallest id, and (id, rep) of every row. Rows with empty sets are left out.
+
+    Any number of rows with the same set costs one row per task here, so a
+    later self-join of the representatives never pairs equal sets.
+    """
+    rows = _prep(df, id_col, set_col).select("id", F.array_sort("set").alias("set"))
+    reps = rows.groupBy("set").agg(F.min("id").alias("rep"))
+    members = rows.join(reps, "set").select("id", "rep")
+    return reps, members

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphsift.operators import infer, merge, patterns
 from graphsift.plans.discovery import GraphSchema, discover_schema
+from graphsift.session import cut_lineage
 from graphsift.sources.fixture import fixture_graph, fixture_raw_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,14 +72,9 @@ def q_property_names(spark, sf_dir):
             .unionByName(patterns.property_names(edges).withColumn("kind", F.lit("edge"))))
 
 
-NODE_PROPS = ["acctbal", "brand", "lang", "mktsegment", "n_chars", "name", "orderdate",
-              "orderpriority", "quality", "retailprice", "size", "source", "status",
-              "totalprice", "toxic", "type"]
-
-
 def q_presence_flags(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    return patterns.presence_flags(nodes, NODE_PROPS).drop("labels", "props")
+    return patterns.presence_flags(nodes).drop("labels", "props")
 
 
 def q_label_set_count(spark, sf_dir):
@@ -104,7 +100,7 @@ def q_abstract_types(spark, sf_dir):
 
 def q_unlabelled_attach(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    assigned = patterns.exact_node_clusters(patterns.node_patterns(nodes))
+    assigned = patterns.exact_node_clusters(cut_lineage(patterns.node_patterns(nodes)))
     ct = merge.assign_node_types(assigned, 0.9, multi=True)
     return (ct.where(F.col("attach_jaccard").isNotNull())
             .join(assigned.select("cluster_id", "n"), "cluster_id")
@@ -146,11 +142,11 @@ def q_edge_types_by_endpoints(spark, sf_dir):
 
 def q_property_types_nodes(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    return infer.property_types_with_empty(nodes)
+    return infer.infer_property_types(nodes)
 
 
 def q_property_types_edges(spark, sf_dir):
-    return infer.property_types_with_empty(fixture_raw_edges(spark, sf_dir))
+    return infer.infer_property_types(fixture_raw_edges(spark, sf_dir))
 
 
 def q_typed_schema(spark, sf_dir):
@@ -272,16 +268,13 @@ def _node_assign(spark, sf_dir):
 def _metrics_out(m):
     return m.select("tp", "fp", "fn", "true_sets", "predicted_types",
                     F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"),
-                    F.round("f1", 6).alias("f1"))
+                    F.round("f1", 6).alias("f1"), "non_strict_correct", "strict_correct")
 
 
 def q_eval_nodes(spark, sf_dir):
     from graphsift.operators.evaluate import clustering_metrics
     a = _node_assign(spark, sf_dir)
-    m = _metrics_out(clustering_metrics(a, F.array_join(F.sort_array("actual_labels"), ",")))
-    flags = a.agg(F.sum("correct_non_strict").alias("non_strict_correct"),
-                  F.sum("correct_strict").alias("strict_correct"))
-    return m.withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return _metrics_out(clustering_metrics(a, F.array_join(F.sort_array("actual_labels"), ",")))
 
 
 def q_assignments_nodes(spark, sf_dir):
@@ -305,17 +298,14 @@ def q_eval_edges(spark, sf_dir):
     a = assignments_edges(edges, s.edge_pattern_types, s.edge_types, truth)
     key = F.concat_ws(">", F.array_join("true_rel", ","), F.array_join("true_src", ","),
                       F.array_join("true_dst", ","))
-    m = _metrics_out(clustering_metrics(a, key, actual="true_rel"))
-    flags = a.agg(F.sum("correct_non_strict").alias("non_strict_correct"),
-                  F.sum("correct_strict").alias("strict_correct"))
-    return m.withColumn("_k", F.lit(1)).join(flags.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return _metrics_out(clustering_metrics(a, key, actual="true_rel"))
 
 
 # ---------------------------------------------------------------- more merging
 
 def _exact_clusters(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    return merge.node_clusters(patterns.exact_node_clusters(patterns.node_patterns(nodes)))
+    return cut_lineage(merge.node_clusters(patterns.exact_node_clusters(cut_lineage(patterns.node_patterns(nodes)))))
 
 
 def q_jaccard_pairs(spark, sf_dir):
@@ -323,6 +313,12 @@ def q_jaccard_pairs(spark, sf_dir):
         "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def q_jaccard_pairs_props(spark, sf_dir):
+    """Partial overlaps: clusters whose property sets share at least 0.3."""
+    return merge.jaccard_pairs(_exact_clusters(spark, sf_dir), 0.3, "props").select(
+        "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 def _jmerge(closure):
     def q(spark, sf_dir):
         g = merge.merge_by_jaccard(_exact_clusters(spark, sf_dir), 0.9, closure)
@@ -358,14 +354,14 @@ def q_schema_merge_edges(spark, sf_dir):
 
 def q_label_profile(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    p = merge.profile_by_label(patterns.node_patterns(nodes))
+    p = merge.profile_by_label(cut_lineage(patterns.node_patterns(nodes)))
     return p.select("label", "n", _j("common").alias("common"), _j("optional").alias("optional"),
                     _j("all_props").alias("all_props"))
 
 
 def q_edge_profile(spark, sf_dir):
     _, edges = graph(spark, sf_dir)
-    p = merge.profile_by_edge_type(patterns.edge_patterns(edges))
+    p = merge.profile_by_edge_type(cut_lineage(patterns.edge_patterns(edges)))
     return p.select("rel_types", "src_labels", "dst_labels", "n", _j("common").alias("common"),
                     _j("optional").alias("optional"), _j("all_props").alias("all_props"))
 
@@ -537,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "majority_labels": q_majority_labels,
     "eval_edges": q_eval_edges,
     "jaccard_pairs": q_jaccard_pairs,
+    "jaccard_pairs_props": q_jaccard_pairs_props,
     "jaccard_merge": _jmerge("components"),
     "jaccard_merge_one_hop": _jmerge("one_hop"),
     "schema_merge_nodes": q_schema_merge_nodes,

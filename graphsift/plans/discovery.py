@@ -128,13 +128,6 @@ def cluster_edges(edge_pats: DataFrame, method: str = "exact", **lsh_options) ->
     raise ValueError(f"unknown clustering method {method!r}")
 
 
-def cluster_patterns(node_pats: DataFrame, edge_pats: DataFrame, method: str = "exact",
-                     **lsh_options) -> tuple[DataFrame, DataFrame]:
-    """Assign a cluster_id to every node and edge pattern."""
-    return (cluster_nodes(node_pats, method, **lsh_options),
-            cluster_edges(edge_pats, method, **lsh_options))
-
-
 def discover_schema(nodes: DataFrame, edges: DataFrame, method: str = "exact",
                     threshold: float = 0.9, multi: bool = False,
                     granularity: str = "instance", edge_merge: str = "rel_type",

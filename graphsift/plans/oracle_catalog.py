@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from graphsift.plans.catalog import NODE_PROPS
 from graphsift.plans.oracle_sql import with_fixture
 
 _NODE_TYPES_SELECT = """
@@ -22,6 +21,10 @@ SELECT type_id, unnest(string_split(optional, ',')) AS property, false AS mandat
 _PROPS_TEXT = "string_agg(key || '=' || value, ';' ORDER BY key || '=' || value)"
 
 
+NODE_PROPS = ["acctbal", "brand", "lang", "mktsegment", "n_chars", "name", "orderdate", "orderpriority",
+              "quality", "retailprice", "size", "source", "status", "totalprice", "toxic", "type"]
+
+
 def _presence_flags() -> str:
     cols = ", ".join(
         f"CAST(max(CASE WHEN p.key = '{k}' THEN 1 ELSE 0 END) AS DOUBLE) AS prop_{k}" for k in NODE_PROPS)
@@ -97,7 +100,7 @@ from graphsift.plans.oracle_sql import with_sinks  # noqa: E402
 from graphsift.plans import rdf as _rdf  # noqa: E402
 
 _BASE = _rdf.DEFAULT_BASE
-_SEG = ("CASE WHEN {lk} = '' THEN 'Node' ELSE regexp_replace({lk}, '[^A-Za-z0-9_.\\-]', '_', 'g') END")
+_SEG = ("CASE WHEN {lk} = '' THEN 'Node' ELSE url_encode({lk}) END")
 
 ORACLES["ddl_loose"] = with_sinks(f"""
 SELECT 0 AS section, 'CREATE GRAPH TYPE NewGraphSchema LOOSE {{' AS line
@@ -272,8 +275,16 @@ ORACLES["eval_edges"] = with_sinks(f"""
 # ------------------------------------------------------------------ more merging
 _CL = "SELECT labels_key || '#' || props_key AS cid, labels_key, props_key, n FROM npatterns"
 ORACLES["jaccard_pairs"] = with_fixture(f""", cl AS ({_CL})
-SELECT a.cid AS a, b.cid AS b, CAST(1.0 AS DOUBLE) AS jaccard FROM cl a JOIN cl b
-  ON a.labels_key = b.labels_key AND a.labels_key <> '' AND a.cid < b.cid""", patterns=True)
+SELECT a, b, CAST(1.0 AS DOUBLE) AS jaccard FROM (
+  SELECT min(cid) OVER (PARTITION BY labels_key) AS a, cid AS b FROM cl WHERE labels_key <> '') WHERE a <> b""", patterns=True)
+# partial overlaps: property sets, by brute force over all pairs of distinct sets
+ORACLES["jaccard_pairs_props"] = with_fixture(f""", cl AS ({_CL}),
+  st AS (SELECT min(cid) AS rep, props_key, string_split(props_key, ',') AS ks FROM cl WHERE props_key <> '' GROUP BY props_key)
+SELECT a.rep AS a, c.cid AS b, CAST(1.0 AS DOUBLE) AS jaccard FROM st a JOIN cl c USING (props_key) WHERE c.cid <> a.rep
+UNION ALL
+SELECT a.rep, b.rep, round(len(list_intersect(a.ks, b.ks)) * 1.0 / len(list_distinct(list_concat(a.ks, b.ks))), 6)
+FROM st a JOIN st b ON a.rep < b.rep
+WHERE len(list_intersect(a.ks, b.ks)) * 1.0 / len(list_distinct(list_concat(a.ks, b.ks))) >= 0.3 - 1e-9""", patterns=True)
 _JM = f""", cl AS ({_CL}),
   grp AS (SELECT *, CASE WHEN labels_key = '' THEN cid ELSE min(cid) OVER (PARTITION BY labels_key) END AS gid FROM cl),
   gk AS (SELECT DISTINCT g.gid, p.key FROM grp g JOIN npat q ON q.labels_key = g.labels_key AND q.props_key = g.props_key
@@ -282,11 +293,8 @@ SELECT g.gid AS group_id, count(*) AS n_clusters, min(g.labels_key) AS labels,
        (SELECT string_agg(key, ',' ORDER BY key) FROM gk WHERE gk.gid = g.gid) AS props, sum(g.n) AS n
 FROM grp g GROUP BY g.gid"""
 ORACLES["jaccard_merge"] = with_fixture(_JM, patterns=True)
-ORACLES["jaccard_merge_one_hop"] = with_fixture(_JM.replace(
-    "min(cid) OVER (PARTITION BY labels_key)",
-    "CASE WHEN count(*) OVER (PARTITION BY labels_key) > 1 THEN string_agg(cid, ';' ORDER BY cid) OVER "
-    "(PARTITION BY labels_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE cid END"),
-    patterns=True)
+# here every label set is similar to itself alone, so a group is named by its own smallest cluster
+ORACLES["jaccard_merge_one_hop"] = with_fixture(_JM, patterns=True)
 ORACLES["schema_merge_nodes"] = with_fixture(
     "SELECT type_id, labels, n, mandatory, optional FROM (" + _NODE_TYPES_SELECT + ")", patterns=True)
 ORACLES["schema_merge_edges"] = with_fixture(

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.functions.text import label_key, nquad_literal, safe_name
+from graphsift.functions.text import iri_segment, label_key, nquad_literal, safe_name
 from graphsift.functions.typing import xsd_type
 from graphsift.operators.joins import broadcast_if_small
 from graphsift.operators.patterns import NODE_KEY, with_node_key
@@ -47,7 +47,7 @@ def _graph(base: str, shape: str) -> Column:
 
 
 def node_segment(labels_key_col: Column) -> Column:
-    return F.when(labels_key_col == "", F.lit(UNLABELLED_SEGMENT)).otherwise(safe_name(labels_key_col))
+    return F.when(labels_key_col == "", F.lit(UNLABELLED_SEGMENT)).otherwise(iri_segment(labels_key_col))
 
 
 def node_iri(ns: str, labels_key_col: Column, node_id: Column) -> Column:
@@ -73,7 +73,7 @@ def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT
     """
     ns = namespace(base, shape)
     kinds = fields.select("type_name", "kind").distinct()
-    T = F.col("type_name")
+    T = iri_segment("type_name")
 
     def row(rule, predicate, template, field=None):
         return (F.lit(rule).alias("rule"), predicate.alias("predicate"), template.alias("template"),
@@ -90,8 +90,8 @@ def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT
         out = out.unionByName(kinds.where("kind = 'node'").select(
             "type_name", "kind", *row("label", F.lit(RDFS_LABEL), F.lit("{id}"))))
     props = fields.where("role = 'property'")
-    pred = F.when(F.col("kind") == "node", F.concat(F.lit(ns + "has_"), F.col("field"))) \
-        .otherwise(F.concat(F.lit(ns), T, F.lit("_"), F.col("field")))
+    pred = F.when(F.col("kind") == "node", F.concat(F.lit(ns + "has_"), iri_segment("field"))) \
+        .otherwise(F.concat(F.lit(ns), T, F.lit("_"), iri_segment("field")))
     out = out.unionByName(props.select("type_name", "kind", *row(
         "literal", pred, F.lit("{value}"), F.col("field"))))
     # endpoint rules use the first source / target type, as the mapping documents do
@@ -100,16 +100,16 @@ def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT
     if shape == "link":
         out = out.unionByName(ends.where("role = 'source'").select(
             "type_name", F.lit("edge").alias("kind"), *row(
-                "link", F.concat(F.lit(ns), T), F.concat(F.lit(ns), F.col("end_type"), F.lit("/{src}")))))
+                "link", F.concat(F.lit(ns), T), F.concat(F.lit(ns), iri_segment("end_type"), F.lit("/{src}")))))
         out = out.unionByName(ends.where("role = 'target'").select(
             "type_name", F.lit("edge").alias("kind"), *row(
                 "has_target", F.lit(ns + "hasTarget"),
-                F.concat(F.lit(ns), F.col("end_type"), F.lit("/{dst}")))))
+                F.concat(F.lit(ns), iri_segment("end_type"), F.lit("/{dst}")))))
     else:
         out = out.unionByName(ends.select(
             "type_name", F.lit("edge").alias("kind"), *row(
                 F.col("role"), F.concat(F.lit(ns), F.col("role")),
-                F.concat(F.lit(ns), F.col("end_type"),
+                F.concat(F.lit(ns), iri_segment("end_type"),
                          F.when(F.col("role") == "source", F.lit("/{src}")).otherwise(F.lit("/{dst}"))))))
     return out
 
@@ -132,7 +132,7 @@ def _explode_quads(df: DataFrame, structural: dict[str, Column], subject: Column
     smap = F.create_map(*[x for k, v in structural.items() for x in (F.lit(_K + k), v)])
     exploded = df.select("*", F.explode(F.map_concat(smap, F.col("props"))).alias("_k", "_v"))
     is_struct = F.col("_k").startswith(_K)
-    pred = F.concat(literal_prefix, F.col("_k"))
+    pred = F.concat(literal_prefix, iri_segment("_k"))
     subj = subject
     kind = F.lit("literal")
     for k in structural:
@@ -165,7 +165,7 @@ def node_quads(nodes: DataFrame, schema: GraphSchema, shape: str = "reified",
         .select(*NODE_KEY, "type_name")
     keyed = with_node_key(nodes).join(broadcast_if_small(names), NODE_KEY)
     s = node_iri(ns, F.col("labels_key"), F.col("node_id"))
-    structural = {"type": F.concat(F.lit(ns), F.col("type_name"))}
+    structural = {"type": F.concat(F.lit(ns), iri_segment("type_name"))}
     preds = {"type": F.lit(RDF_TYPE)}
     kinds = {"type": "iri"}
     if shape == "link":
@@ -185,10 +185,10 @@ def edge_quads(edges: DataFrame, shape: str = "reified", base: str = DEFAULT_BAS
     """
     ns = namespace(base, shape)
     g = _graph(base, shape)
-    rel = safe_name(F.col("rel_type"))
+    rel = iri_segment("rel_type")
     src = node_iri(ns, label_key("src_labels"), F.col("src_id"))
     dst = node_iri(ns, label_key("dst_labels"), F.col("dst_id"))
-    e = F.concat(F.lit(ns), rel, F.lit("/"), F.url_encode(F.col("edge_id")))
+    e = F.concat(F.lit(ns), rel, F.lit("/"), iri_segment("edge_id"))
     df = edges.select("props", rel.alias("_rel"), src.alias("_src"), dst.alias("_dst"), e.alias("_e"))
     rel_c, src_c, dst_c, e_c = F.col("_rel"), F.col("_src"), F.col("_dst"), F.col("_e")
     lit_prefix = F.concat(F.lit(ns), rel_c, F.lit("_"))

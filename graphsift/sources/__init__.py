@@ -2,6 +2,6 @@
 
 from graphsift.sources.graph import (  # noqa: F401
     EDGE_COLUMNS, NODE_COLUMNS, NodeSpec, EdgeSpec, attach_endpoint_labels,
-    props_map, read_edges, read_nodes, wide_view,
+    props_map, read_edges, read_nodes,
 )
-from graphsift.sources.fixture import fixture_graph, fixture_truth  # noqa: F401
+from graphsift.sources.fixture import fixture_graph  # noqa: F401

@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return hit
 
 
-def _reader(sf_dir: str, name: str, cols: list[str]):
+def _reader(sf_dir: str, name: str):
     def load(spark: SparkSession) -> DataFrame:
         return table(spark, sf_dir, name)
     return load
@@ -59,27 +59,27 @@ def node_specs(sf_dir: str) -> list[NodeSpec]:
     order_labels = ("CASE WHEN o_orderkey % 20 = 7 THEN CAST(array() AS ARRAY<STRING>) "
                     "ELSE array('Order') END")
     return [
-        NodeSpec(_reader(sf_dir, "region", []), "r_regionkey", ["Region"], {"name": "r_name"},
+        NodeSpec(_reader(sf_dir, "region"), "r_regionkey", ["Region"], {"name": "r_name"},
                  REGION_BASE),
-        NodeSpec(_reader(sf_dir, "nation", []), "n_nationkey", ["Nation"], {"name": "n_name"},
+        NodeSpec(_reader(sf_dir, "nation"), "n_nationkey", ["Nation"], {"name": "n_name"},
                  NATION_BASE),
-        NodeSpec(_reader(sf_dir, "customer", []), "c_custkey", cust_labels,
+        NodeSpec(_reader(sf_dir, "customer"), "c_custkey", cust_labels,
                  {"name": "c_name", "acctbal": _money("c_acctbal"),
                   "mktsegment": "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END"},
                  CUSTOMER_BASE),
-        NodeSpec(_reader(sf_dir, "supplier", []), "s_suppkey", ["Supplier"],
+        NodeSpec(_reader(sf_dir, "supplier"), "s_suppkey", ["Supplier"],
                  {"name": "s_name", "acctbal": _money("s_acctbal")}, SUPPLIER_BASE),
-        NodeSpec(_reader(sf_dir, "part", []), "p_partkey", ["Part"],
+        NodeSpec(_reader(sf_dir, "part"), "p_partkey", ["Part"],
                  {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size",
                   "retailprice": _money("p_retailprice")}, PART_BASE),
-        NodeSpec(_reader(sf_dir, "orders", []), "o_orderkey", order_labels,
+        NodeSpec(_reader(sf_dir, "orders"), "o_orderkey", order_labels,
                  {"status": "o_orderstatus", "totalprice": _money("o_totalprice"),
                   "orderdate": _day("o_orderdate"),
                   "orderpriority": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"},
                  ORDER_BASE),
-        NodeSpec(_reader(sf_dir, "documents", []), "doc_id", ["Document"],
+        NodeSpec(_reader(sf_dir, "documents"), "doc_id", ["Document"],
                  {"lang": "lang", "source": "source", "n_chars": "n_chars"}, DOCUMENT_BASE),
-        NodeSpec(_reader(sf_dir, "labels", []), "doc_id", ["Grade"],
+        NodeSpec(_reader(sf_dir, "labels"), "doc_id", ["Grade"],
                  {"quality": "quality",
                   "toxic": "CASE WHEN toxic = 1 THEN 'true' WHEN toxic IS NOT NULL THEN 'false' END"},
                  GRADE_BASE),
@@ -90,22 +90,22 @@ def edge_specs(sf_dir: str) -> list[EdgeSpec]:
     li_id = ("concat('CONTAINS_', concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
              + _day("l_shipdate") + "))")
     return [
-        EdgeSpec(_reader(sf_dir, "nation", []), "IN_REGION", "n_nationkey", "n_regionkey",
+        EdgeSpec(_reader(sf_dir, "nation"), "IN_REGION", "n_nationkey", "n_regionkey",
                  src_offset=NATION_BASE, dst_offset=REGION_BASE),
-        EdgeSpec(_reader(sf_dir, "customer", []), "IN_NATION", "c_custkey", "c_nationkey",
+        EdgeSpec(_reader(sf_dir, "customer"), "IN_NATION", "c_custkey", "c_nationkey",
                  src_offset=CUSTOMER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "supplier", []), "IN_NATION", "s_suppkey", "s_nationkey",
+        EdgeSpec(_reader(sf_dir, "supplier"), "IN_NATION", "s_suppkey", "s_nationkey",
                  src_offset=SUPPLIER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "orders", []), "PLACED", "o_custkey", "o_orderkey",
+        EdgeSpec(_reader(sf_dir, "orders"), "PLACED", "o_custkey", "o_orderkey",
                  {"orderdate": _day("o_orderdate")}, src_offset=CUSTOMER_BASE, dst_offset=ORDER_BASE),
-        EdgeSpec(_reader(sf_dir, "lineitem", []), "CONTAINS", "l_orderkey", "l_partkey",
+        EdgeSpec(_reader(sf_dir, "lineitem"), "CONTAINS", "l_orderkey", "l_partkey",
                  {"quantity": _money("l_quantity"), "linenumber": "l_linenumber",
                   "shipdate": _day("l_shipdate"),
                   "returnflag": "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"},
                  src_offset=ORDER_BASE, dst_offset=PART_BASE, edge_id=li_id),
-        EdgeSpec(_reader(sf_dir, "lineitem", []), "SUPPLIES", "l_suppkey", "l_partkey",
+        EdgeSpec(_reader(sf_dir, "lineitem"), "SUPPLIES", "l_suppkey", "l_partkey",
                  src_offset=SUPPLIER_BASE, dst_offset=PART_BASE, distinct=True),
-        EdgeSpec(_reader(sf_dir, "labels", []), "GRADED", "doc_id", "doc_id",
+        EdgeSpec(_reader(sf_dir, "labels"), "GRADED", "doc_id", "doc_id",
                  src_offset=DOCUMENT_BASE, dst_offset=GRADE_BASE),
     ]
 
@@ -127,7 +127,3 @@ def truth_label(node_id: Column) -> Column:
     idx = (node_id / F.lit(1_000_000_000)).cast("int")
     return F.element_at(F.array(*[F.lit(x) for x in TRUTH_LABELS]), idx)
 
-
-def fixture_truth(nodes: DataFrame) -> DataFrame:
-    """(node_id, true_labels ARRAY<STRING>) ground truth for evaluation."""
-    return nodes.select("node_id", F.array(truth_label(F.col("node_id"))).alias("true_labels"))

@@ -21,15 +21,25 @@ NODE_COLUMNS = ["node_id", "labels", "props"]
 EDGE_COLUMNS = ["edge_id", "src_id", "dst_id", "rel_type", "src_labels", "dst_labels", "props"]
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
+def _text(c: Column, is_list: bool = False) -> Column:
+    """Value as text; the items of a list are joined by commas."""
+    return F.when(c.isNotNull(), F.concat_ws(",", c.cast("array<string>"))) if is_list else c.cast("string")
+
+
+def _lists(df: DataFrame, props: Mapping[str, Column | str]) -> set[str]:
+    """Names of the properties whose values are lists."""
+    if not props:
+        return set()
+    cols = [(F.expr(v) if isinstance(v, str) else v).alias(f"p{i}") for i, v in enumerate(props.values())]
+    kinds = df.select(*cols).schema.fields
+    return {k for k, f in zip(props, kinds) if f.dataType.typeName() == "array"}
 
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def props_map_sql(props: Mapping[str, str]) -> str:
+def props_map_sql(props: Mapping[str, str], lists: set[str] = frozenset()) -> str:
     """SQL text of :func:`props_map` for SQL-expression property values.
 
     One expression string is parsed JVM-side, instead of building the same
@@ -38,12 +48,15 @@ def props_map_sql(props: Mapping[str, str]) -> str:
     empty = "CAST(map() AS MAP<STRING,STRING>)"
     if not props:
         return empty
-    parts = [f"CASE WHEN ({v}) IS NOT NULL THEN map({_sql_str(k)}, CAST(({v}) AS STRING)) ELSE {empty} END"
+    def text(k: str, v: str) -> str:
+        return f"concat_ws(',', CAST(({v}) AS ARRAY<STRING>))" if k in lists else f"CAST(({v}) AS STRING)"
+
+    parts = [f"CASE WHEN ({v}) IS NOT NULL THEN map({_sql_str(k)}, {text(k, v)}) ELSE {empty} END"
              for k, v in props.items()]
     return parts[0] if len(parts) == 1 else "map_concat(" + ", ".join(parts) + ")"
 
 
-def props_map(props: Mapping[str, Column]) -> Column:
+def props_map(props: Mapping[str, Column], lists: set[str] = frozenset()) -> Column:
     """MAP<STRING,STRING> of the non-null entries of ``props``.
 
     Built from conditional one-entry maps (``map_concat`` / ``CASE``), which
@@ -54,7 +67,7 @@ def props_map(props: Mapping[str, Column]) -> Column:
         return empty
     parts = []
     for k, v in props.items():
-        t = _text(v)
+        t = _text(v, k in lists)
         parts.append(F.when(t.isNotNull(), F.create_map(F.lit(k), t)).otherwise(empty))
     return parts[0] if len(parts) == 1 else F.map_concat(*parts)
 
@@ -95,7 +108,7 @@ class EdgeSpec:
 
 
 def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.expr(c) if isinstance(c, str) else c
 
 
 def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
@@ -103,21 +116,22 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
     frames = []
     for s in specs:
         df = s.frame(spark)
+        lists = _lists(df, s.props)
         if _all_sql(s.props) and isinstance(s.id_col, str) and not isinstance(s.labels, Column):
             labels = s.labels if isinstance(s.labels, str) else (
                 "CAST(array(" + ", ".join(_sql_str(x) for x in s.labels) + ") AS ARRAY<STRING>)")
             frames.append(df.selectExpr(
                 f"CAST({s.id_col} AS BIGINT) + {int(s.id_offset)} AS node_id",
-                f"{labels} AS labels", f"{props_map_sql(s.props)} AS props"))
+                f"coalesce({labels}, CAST(array() AS ARRAY<STRING>)) AS labels",
+                f"{props_map_sql(s.props, lists)} AS props"))
             continue
         labels = (s.labels if isinstance(s.labels, Column)
                   else F.expr(s.labels) if isinstance(s.labels, str)
                   else F.array(*[F.lit(x) for x in s.labels]).cast("array<string>"))
         frames.append(df.select(
             (_col(s.id_col).cast("bigint") + F.lit(s.id_offset)).alias("node_id"),
-            labels.alias("labels"),
-            props_map({k: F.expr(v) if isinstance(v, str) else v for k, v in s.props.items()})
-            .alias("props"),
+            F.coalesce(labels, F.array().cast("array<string>")).alias("labels"),
+            props_map(_columns(s.props), lists).alias("props"),
         ))
     out = frames[0]
     for f in frames[1:]:
@@ -125,6 +139,10 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
     return out
 
 
+def _columns(props: Mapping[str, Column | str]) -> dict[str, Column]:
+    return {k: F.expr(v) if isinstance(v, str) else v for k, v in props.items()}
+
+
 def _all_sql(props: Mapping) -> bool:
     return all(isinstance(v, str) for v in props.values())
 
@@ -134,12 +152,13 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
     frames = []
     for s in specs:
         df = s.frame(spark)
+        lists = _lists(df, s.props)
         if (_all_sql(s.props) and isinstance(s.rel_type, str) and isinstance(s.src_col, str)
                 and isinstance(s.dst_col, str) and (s.edge_id is None or isinstance(s.edge_id, str))):
             src = f"CAST({s.src_col} AS BIGINT) + {int(s.src_offset)}"
             dst = f"CAST({s.dst_col} AS BIGINT) + {int(s.dst_offset)}"
             cols = [f"{_sql_str(s.rel_type)} AS rel_type", f"{src} AS src_id", f"{dst} AS dst_id",
-                    f"{props_map_sql(s.props)} AS props"]
+                    f"{props_map_sql(s.props, lists)} AS props"]
             cols.append(f"CAST({s.edge_id} AS STRING) AS edge_id" if s.edge_id is not None
                         else f"concat_ws('_', {_sql_str(s.rel_type)}, {src}, {dst}) AS edge_id")
             if s.distinct and not s.props and s.edge_id is None:
@@ -160,9 +179,9 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
         src = (_col(s.src_col).cast("bigint") + F.lit(s.src_offset))
         dst = (_col(s.dst_col).cast("bigint") + F.lit(s.dst_offset))
         cols = [rel.alias("rel_type"), src.alias("src_id"), dst.alias("dst_id"),
-                props_map(s.props).alias("props")]
+                props_map(_columns(s.props), lists).alias("props")]
         if s.edge_id is not None:
-            cols.append(s.edge_id.cast("string").alias("edge_id"))
+            cols.append(_col(s.edge_id).cast("string").alias("edge_id"))
         e = df.select(*cols)
         if s.distinct:
             e = e.dropDuplicates(["rel_type", "src_id", "dst_id"])
@@ -196,9 +215,3 @@ def attach_endpoint_labels(raw_edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("edge_id", "src_id", "dst_id", "rel_type",
                     F.coalesce("src_labels", empty).alias("src_labels"),
                     F.coalesce("dst_labels", empty).alias("dst_labels"), "props"))
-
-
-def wide_view(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One nullable STRING column per property key (the reference's wide form)."""
-    base = [c for c in df.columns if c != "props"]
-    return df.select(*base, *[F.col("props")[k].alias(k) for k in keys])

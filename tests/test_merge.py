@@ -58,10 +58,23 @@ def test_similarity_chain_components_vs_one_hop(spark):
     pairs = {(r["a"], r["b"]) for r in merge.jaccard_pairs(cl, 0.9).collect()}
     assert pairs == {("a", "b"), ("b", "c")}
     comp = merge.merge_by_jaccard(cl, 0.9, "components").collect()
-    assert len(comp) == 1 and comp[0]["members"] == ["a", "b", "c"]
+    assert len(comp) == 1 and (comp[0]["group_id"], comp[0]["n_clusters"]) == ("a", 3)
     hop = merge.merge_by_jaccard(cl, 0.9, "one_hop").collect()
-    members = sorted(tuple(r["members"]) for r in hop)
-    assert members == [("a", "b"), ("b", "c")]  # b sits in two groups, as in the reference
+    groups = sorted((r["group_id"], r["n_clusters"]) for r in hop)
+    assert groups == [("a;b", 2), ("b;c", 2)]  # b sits in two groups, as in the reference
+
+
+def test_one_label_with_many_patterns(spark):
+    """5,000 clusters of one label set: links grow with the clusters, not with their pairs."""
+    rows = [(f"c{i:04d}", "Same", [f"p{i % 700}", f"q{i // 700}"], 1) for i in range(5000)]
+    assigned = spark.createDataFrame(rows, "cluster_id string, labels_key string, prop_keys array<string>, n bigint")
+    clusters = merge.node_clusters(assigned)
+    assert merge.jaccard_pairs(clusters, 0.9).count() == 4999
+    types, _ = merge.merge_node_types(assigned)
+    row = types.first()
+    assert types.count() == 1 and row["n"] == 5000 and len(row["optional"]) == 708 and row["mandatory"] == []
+    group = merge.merge_by_jaccard(clusters, 0.9).first()
+    assert (group["n_clusters"], len(group["props"])) == (5000, 708)
 
 
 def test_blank_endpoints_make_abstract_edge_type(make_graph):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphsift.functions import typing as ty
-from graphsift.operators.infer import infer_property_types, property_types_with_empty
+from graphsift.operators.infer import infer_property_types
 
 # value -> (integer, double, lenient date, boolean, ip)
 CASES = {
@@ -50,7 +50,7 @@ def test_strict_dates(spark):
 
 def _types(spark, rows):
     df = spark.createDataFrame(rows, "node_id bigint, labels array<string>, props map<string,string>")
-    return {r["property"]: r["type"] for r in property_types_with_empty(df).collect()}
+    return {r["property"]: r["type"] for r in infer_property_types(df).collect()}
 
 
 def test_type_rules(spark):
