@@ -44,18 +44,25 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list], li
     names = [*carried, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, sub_batch):
-                part = batch.slice(start, sub_batch)
-                rows = fn(part.column(len(carried)).to_pylist())
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(carried)], *[pa.array(list(c), type=t) for c, t in zip(cols, arrow, strict=True)]],
-                    names=names)
+        for part in in_slices(batches, sub_batch):
+            rows = fn(part.column(len(carried)).to_pylist())
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:len(carried)], *[pa.array(list(c), type=t) for c, t in zip(cols, arrow, strict=True)]],
+                names=names)
 
     return id_and(df, *carried, text_col).mapInArrow(run, schema)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that only so many
+    texts are Python objects at once; freed Arrow memory goes back at the end."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     """Arrow type of the few Spark types the operators return."""
     if isinstance(kind, T.ArrayType):

@@ -49,7 +49,7 @@ def _as_glob(path: str) -> str:
 
 def update_state(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str,
                  id_col: str = "doc_id", text_col: str = "text", max_bytes_per_trigger: int = 256 << 30,
-                 state_memory_mb: int = 200) -> DataFrame:
+                 state_memory_mb: int = 64) -> DataFrame:
     """Run the stream over all files of ``path`` not seen by ``checkpoint`` yet
     and return the state: (digest, group_size, keeper(row_id, file, pos)).
 

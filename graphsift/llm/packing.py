@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphsift.llm.common import id_and, to_arrow
+from graphsift.llm.common import id_and, in_slices, to_arrow
 
 END_ID = 1
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         encode = encoder(vocabulary)
         base = TaskContext.get().partitionId() << 32
         keys, tokens, held, used = [], [], 0, 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                 keys.append(key.as_py())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsift.llm.common import id_and, to_arrow
+from graphsift.llm.common import id_and, in_slices, to_arrow
 
 MIN_LENGTH, MAX_LENGTH = 12, 4096
 KEY_CHARS = r"A-Za-z0-9_+/=\-"
@@ -313,7 +313,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     types = [to_arrow(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, texts, *paths = [c.to_pylist() for c in batch.columns]
             rows = []
             for key, text, path in zip(ids, texts, paths[0] if paths else [""] * len(ids), strict=True):
@@ -335,7 +335,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
     at, path_at = docs.columns.index(text_col), docs.columns.index(path_col) if path_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(at).to_pylist()
             paths = batch.column(path_at).to_pylist() if path_at is not None else [""] * len(texts)
             out = []

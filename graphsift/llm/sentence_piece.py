@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphsift.llm.common import id_and
+from graphsift.llm.common import id_and, in_slices
 
 MARK = "▁"
 OWN_MARK = "\udfff"         # a mark that stands in the text; no valid text holds this character
@@ -363,12 +363,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(Vocabulary(model_file, alpha), seed)
-        for batch in batches:
-            for start in range(0, batch.num_rows, sub_batch):
-                part = batch.slice(start, sub_batch)
-                ids = sampler.encode(part.column(0).to_pylist(), part.column(len(carried)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(carried)], pa.array(ids, pa.binary())],
-                                                 names=schema.names)
+        for part in in_slices(batches, sub_batch):
+            ids = sampler.encode(part.column(0).to_pylist(), part.column(len(carried)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(carried)], pa.array(ids, pa.binary())],
+                                             names=schema.names)
 
     return id_and(docs, *carried, text_col).mapInArrow(run, schema)
 
@@ -380,7 +378,7 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", out_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_bytes = _pieces(model_file)[2]
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [decode_ids(i, as_bytes) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.llm.common import map_texts
+from graphsift.llm.common import in_slices, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 HASH_BITS = 22
-KNOWN_WORDS = 200_000       # words whose features a task remembers
+KNOWN_WORDS = 60_000       # words whose features a task remembers
 
 
 def features(text: str | None) -> dict[int, int]:
@@ -225,7 +225,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             clean = [not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
