@@ -43,7 +43,8 @@ from graphsift.llm.common import in_slices, map_texts
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 HASH_BITS = 22
-KNOWN_WORDS = 60_000       # words whose features a task remembers
+MIN_DF = 4                  # rows that must hold a feature for it to get a weight
+KNOWN_WORDS = 100_000       # words whose features a task remembers
 
 
 def features(text: str | None) -> dict[int, int]:
@@ -69,14 +70,14 @@ class OrdinalModel:
     weights: dict[int, float] = field(default_factory=dict)   # features whose weight is not zero
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
     lowest: int = 0
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)   # word -> its weighted features
 
-    def margin(self, text: str | None) -> float:
-        """w.x of a text; only features with a weight are counted."""
+    def margin(self, text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> float:
+        """w.x of a text; only features with a weight are counted. ``known``
+        remembers the weighted features of words from text to text."""
         if not text:
             return 0.0
         found: dict[int, int] = {}
-        known = self.known
+        known = {} if known is None else known
         for word, n in Counter(WORD.findall(text.lower())).items():
             keys = known.get(word)
             if keys is None:
@@ -87,9 +88,9 @@ class OrdinalModel:
                 found[key] = found.get(key, 0) + n
         return sum(self.weights[k] * (1 + log(n)) for k, n in found.items())
 
-    def predict(self, text: str | None) -> tuple[float, int, bool]:
+    def predict(self, text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> tuple[float, int, bool]:
         """(expected severity, most probable grade, above the lowest grade)."""
-        margin = self.margin(text)
+        margin = self.margin(text, known)
         above = [1 / (1 + exp(min(700.0, t - margin))) for t in self.thresholds]      # P(grade > k)
         probs = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
         return (self.lowest + sum(above), self.lowest + probs.index(max(probs)), bool(above) and above[0] > 0.5)
@@ -116,25 +117,30 @@ class Rows:
                    np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]), len(parts))
 
 
-def fit_ordinal(rows: Rows, grades: np.ndarray, min_df: int = 4, l1: float = 2e-3,
-                rounds: int = 200) -> OrdinalModel:
+    def frequent(self, min_df: int) -> Rows:
+        """Only the features that at least ``min_df`` rows hold."""
+        keep = np.bincount(self.key, minlength=1 << HASH_BITS)[self.key] >= min_df     # a row holds a feature once
+        return Rows(self.row[keep], self.key[keep], self.n[keep], self.size)
+
+
+def fit_ordinal(rows: Rows, grades: np.ndarray, min_df: int = MIN_DF, l1: float = 2e-3,
+                rounds: int = 200, clean_share: float | None = None) -> OrdinalModel:
     """Maximum penalised likelihood by accelerated proximal gradient. The
-    lowest grade and all others together weigh as the fourth roots of their sizes."""
+    lowest grade and all others together weigh as the tenth roots of their
+    sizes, or of ``clean_share`` and the rest where rows are a sample."""
     if not rows.size:
         return OrdinalModel()
     lowest, n_cuts = int(grades.min()), int(grades.max() - grades.min())
     if not n_cuts:
         return OrdinalModel(lowest=lowest)
-    df = np.bincount(rows.key, minlength=1 << HASH_BITS)  # a row holds a feature once
-    vocab = np.flatnonzero(df >= min_df)
-    index = np.full(1 << HASH_BITS, -1, np.int32)
-    index[vocab] = np.arange(len(vocab))
-    keep = index[rows.key] >= 0
-    at_row, at_col = rows.row[keep], index[rows.key[keep]]
-    value = (1 + np.log(rows.n[keep])).astype(np.float32)
+    rows = rows.frequent(min_df)
+    vocab, at_col = np.unique(rows.key, return_inverse=True)
+    at_row, at_col = rows.row, at_col.astype(np.int32)
+    value = (1 + np.log(rows.n)).astype(np.float32)
     y = (grades - lowest).astype(int)
     low = y == 0
-    weight = np.where(low, low.sum(), (~low).sum()) ** -0.75
+    share = low.mean() if clean_share is None else clean_share
+    weight = np.where(low, share ** 0.1 / max(1, low.sum()), (1 - share) ** 0.1 / max(1, (~low).sum()))
     weight /= weight.sum()
     norms = np.bincount(at_row, value ** 2, rows.size)
     step = 2.0 / max(1.0, float((weight * norms).sum()))
@@ -206,16 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return out
 
     found = map_texts(known, "grade", "text", encode, "keys binary, n binary", 64).collect()
-    found.sort(key=lambda r: (r["grade"], bytes(r["keys"]), bytes(r["n"])))
-    rows = Rows.join([(np.frombuffer(r["keys"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in found])
+    found.sort(key=lambda r: (r["grade"], r["keys"], r["n"]))
+    rows = Rows.join([(np.frombuffer(r["keys"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in found]).frequent(MIN_DF)
     grades = np.array([r["grade"] for r in found], int)
-    return fit_ordinal(rows, split_grades(rows, grades) if split and sorted(sizes) == [0, 1] else grades)
+    del found
+    share = sizes[min(sizes)] / sum(sizes.values())
+    if split and sorted(sizes) == [0, 1]:
+        grades = split_grades(rows, grades, clean_share=share)
+    return fit_ordinal(rows, grades, clean_share=share)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade, toxic) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, id_col, text_col, lambda texts: [shared.value.predict(t) for t in texts],
+    known: dict[str, tuple[int, ...]] = {}      # travels empty; filled and dropped with each task
+    return map_texts(docs, id_col, text_col, lambda texts: [shared.value.predict(t, known) for t in texts],
                      "severity double, grade int, toxic boolean")
 
 
@@ -225,8 +236,9 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
         for batch in in_slices(batches):
-            clean = [not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()]
+            clean = [not shared.value.predict(t, known)[2] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -42,7 +42,7 @@ def test_fit_lowers_the_penalised_loss():
 
     def loss(model):
         total = 0.0
-        sizes = np.where(y == 0, (y == 0).sum(), (y > 0).sum()) ** -0.75
+        sizes = np.where(y == 0, (y == 0).sum(), (y > 0).sum()) ** -0.9
         for (_, text, g), w in zip(rows, sizes / sizes.sum(), strict=True):
             above = 1 / (1 + np.exp(model.thresholds - model.margin(text)))
             probs = np.concatenate([[1], above]) - np.concatenate([above, [0]])
