@@ -22,12 +22,15 @@ EDGE_DST_DIM = 4
 # -------------------------------------------------------------------------------
 
 
+def hash32(text: Column) -> Column:
+    """The first 32 bits of the MD5 of a text, as a number any engine can recompute."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def _hash_code(token: Column, dim: int, seed: int) -> Column:
-    """dim values in [-0.1, 0.1] from a seeded 64-bit hash of the token."""
-    return F.array(*[
-        (F.pmod(F.xxhash64(token, F.lit(seed), F.lit(i)), F.lit(2_000_001)).cast("double")
-         / F.lit(10_000_000.0) - F.lit(0.1))
-        for i in range(dim)])
+    """dim values in [-0.1, 0.1) from a seeded hash of the token."""
+    return F.array(*[hash32(F.concat(F.lit(f"{seed}:{i}:"), token)).cast("double") / F.lit(float(1 << 32))
+                     * F.lit(0.2) - F.lit(0.1) for i in range(dim)])
 
 
 def token_code(df: DataFrame, token_col: str, out_col: str, dim: int, code: str = "word2vec",
@@ -54,8 +57,10 @@ def property_vocabulary(pats: DataFrame) -> list[str]:
 
 
 def _flags(vocab: list[str]) -> Column:
-    return F.array(*[F.array_contains("prop_keys", p).cast("double") for p in vocab]) if vocab \
-        else F.array().cast("array<double>")
+    """One 0/1 flag per name; the plan holds the names as one array literal."""
+    if not vocab:
+        return F.array().cast("array<double>")
+    return F.transform(F.lit(vocab), lambda p: F.array_contains(F.col("prop_keys"), p).cast("double"))
 
 
 def encode_node_patterns(pats: DataFrame, code: str = "word2vec", seed: int = 42,

@@ -8,19 +8,17 @@ does the hashing; elements sharing the whole hash array form a cluster.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsift.functions.sets import euclidean
-from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
+from graphsift.functions.text import joined
+from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns, hash32
 from graphsift.operators.patterns import exact_edge_clusters, exact_node_clusters
 from graphsift.session import cut_lineage
 
 # ---- fixed values: parameter rule of the reference ----------------------------
-SAMPLE_SIZE = 10000
 NODE_BUCKET_FACTOR = 0.3
 EDGE_BUCKET_FACTOR = 0.2
 NODE_TABLES_DIVISOR = 30000
@@ -33,50 +31,51 @@ DEFAULT_BUCKET = 0.2
 DEFAULT_TABLES = 5
 # -------------------------------------------------------------------------------
 
+NEIGHBOURS = 8      # partners of every pattern in the distance statistics
+RING = 1000         # patterns ranked together
+
 
 def label_set_count(node_pats: DataFrame) -> DataFrame:
     """CLU3: number of distinct label sets (the reference counts label-set strings)."""
     return node_pats.agg(F.countDistinct("labels_key").alias("label_sets"))
 
 
-def sampled_pairs(encoded: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42) -> DataFrame:
-    """Pairs of sampled *elements*, drawn from the weighted pattern table.
+def _pattern_id(encoded: DataFrame):
+    """Text that names a node or edge pattern."""
+    keys = ["rel_type", "src_key", "dst_key"] if "rel_type" in encoded.columns else ["labels_key"]
+    return F.concat_ws("#", *keys, joined(F.col("prop_keys"), ","))
+
+
+def neighbour_pairs(encoded: DataFrame, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """(f1, f2, w): every pattern with ``neighbours`` others, w = n1 * n2.
 
-    Each pattern is drawn ``round(sample_size * n / N)`` times (a systematic
-    weighted sample of about ``sample_size`` elements, no element scan); the
-    sample is shuffled by a seeded random rank and row i is paired with rows
-    i+1..i+k (mod m) through an equi-join on the shifted rank, giving about
-    ``sample_size`` pairs. The sample is bounded by ``sample_size``, so its
-    single ranking window is bounded too.
+    Per round the patterns stand in a ring by a hash of seed, round and
+    pattern, each paired with the next one. Weighting a pair by the elements
+    behind it makes averages those of random element pairs, and no pattern is
+    left out however rare it is. Rings hold about ``RING`` patterns each, so
+    no task ranks them all.
     """
-    total = encoded.agg(F.sum("n")).first()[0] or 0  # one number
-    if total == 0:
-        return encoded.select(F.col("features_arr").alias("f1"), F.col("features_arr").alias("f2")).limit(0)
-    draws = (encoded.withColumn("_c", F.round(F.col("n") * F.lit(float(sample_size) / total)).cast("int"))
-             .where("_c > 0")
-             .select("features_arr", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")))
-    ranked = draws.withColumn("_r", F.row_number().over(
-        Window.orderBy(F.rand(seed)))).withColumn("_r", F.col("_r") - 1).drop("_k")
-    m = ranked.count()
-    if m < 2:
-        return ranked.select(F.col("features_arr").alias("f1"), F.col("features_arr").alias("f2")).limit(0)
-    k = max(1, math.ceil(sample_size / m))
-    k = min(k, m - 1)
-    shifts = ranked.sparkSession.range(1, k + 1).withColumnRenamed("id", "_s")
-    left = ranked.join(F.broadcast(shifts), how="inner") \
-        .withColumn("_t", (F.col("_r") + F.col("_s")) % F.lit(m))
-    right = ranked.select(F.col("_r").alias("_t"), F.col("features_arr").alias("f2"))
-    return (left.join(right, "_t").select(F.col("features_arr").alias("f1"), "f2")
-            .limit(sample_size))
-
-
-def pattern_distance_stats(encoded: DataFrame, sample_size: int = SAMPLE_SIZE,
-                           seed: int = 42) -> DataFrame:
-    """CLU1: avg/min/max/stddev Euclidean distance over sampled unequal pairs."""
-    d = (sampled_pairs(encoded, sample_size, seed).where(F.col("f1") != F.col("f2"))
-         .select(euclidean("f1", "f2").alias("d")))
-    return d.agg(F.avg("d").alias("avg_distance"), F.min("d").alias("min_distance"),
-                 F.max("d").alias("max_distance"), F.stddev("d").alias("stddev_distance"),
+    rings = max(1, -(-encoded.count() // RING))
+    rounds = encoded.select("features_arr", F.col("n").cast("double").alias("n"), _pattern_id(encoded).alias("p"),
+                            F.explode(F.sequence(F.lit(0), F.lit(neighbours - 1))).alias("s"))
+    text = F.concat_ws(":", F.lit(seed), F.col("s"), F.col("p"))
+    placed = rounds.withColumn("h", F.md5(text)).withColumn("ring", hash32(text) % F.lit(rings))
+    w = Window.partitionBy("s", "ring").orderBy("h")
+    nxt = F.struct("features_arr", "n")
+    return (placed.select("features_arr", "n", F.coalesce(F.lead(nxt).over(w), F.first(nxt).over(w)).alias("next"))
+            .select(F.col("features_arr").alias("f1"), F.col("next.features_arr").alias("f2"),
+                    (F.col("n") * F.col("next.n")).alias("w")))
+
+
+def pattern_distance_stats(encoded: DataFrame, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
+    """CLU1: avg/min/max/stddev Euclidean distance over unequal pairs, the
+    average and deviation weighted by elements."""
+    d = (neighbour_pairs(encoded, neighbours, seed).where(F.col("f1") != F.col("f2"))
+         .select(euclidean("f1", "f2").alias("d"), "w"))
+    avg = F.sum(F.col("w") * F.col("d")) / F.sum("w")
+    square = F.sum(F.col("w") * F.col("d") * F.col("d")) / F.sum("w")
+    return d.agg(avg.alias("avg_distance"), F.min("d").alias("min_distance"), F.max("d").alias("max_distance"),
+                 F.sqrt(F.greatest(square - avg * avg, F.lit(0.0))).alias("stddev_distance"),
                  F.count(F.lit(1)).alias("pairs"))
 
 
@@ -104,10 +103,10 @@ def estimate_lsh_params(avg_distance: float | None, rows: int, is_edge: bool,
     return bucket, tables
 
 
-def lsh_params_table(encoded: DataFrame, is_edge: bool, sample_size: int = SAMPLE_SIZE,
+def lsh_params_table(encoded: DataFrame, is_edge: bool, neighbours: int = NEIGHBOURS,
                      seed: int = 42) -> DataFrame:
     """One-row table (avg_distance, rows, label_sets, bucket_length, num_tables)."""
-    st = pattern_distance_stats(encoded, sample_size, seed).first()
+    st = pattern_distance_stats(encoded, neighbours, seed).first()
     rows = encoded.agg(F.sum("n")).first()[0] or 0
     ls = None if is_edge else encoded.agg(F.countDistinct("labels_key")).first()[0]
     b, t = estimate_lsh_params(st["avg_distance"], int(rows), is_edge, ls)
@@ -128,16 +127,16 @@ def _lsh(encoded: DataFrame, exact_id: str, bucket: float, tables: int, seed: in
 
 def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
-                      sample_size: int = SAMPLE_SIZE) -> DataFrame:
+                      neighbours: int = NEIGHBOURS) -> DataFrame:
     """CLU4: node patterns with an LSH ``cluster_id`` (CLU7: empty in, empty out)."""
     # pattern-level tables are materialised once: fitting and parameter
     # estimation run several actions over them
     base = cut_lineage(exact_node_clusters(node_pats).withColumnRenamed("cluster_id", "_exact"))
     if base.isEmpty():
         return base.withColumnRenamed("_exact", "cluster_id")
-    enc = encode_node_patterns(base, code=code, seed=seed).persist()
+    enc = cut_lineage(encode_node_patterns(base, code=code, seed=seed))
     if bucket_length is None or num_tables is None:
-        p = lsh_params_table(enc, False, sample_size, seed).first()
+        p = lsh_params_table(enc, False, neighbours, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
         num_tables = num_tables or p["num_tables"]
     return _lsh(enc, "_exact", bucket_length, num_tables, seed, "lsh:")
@@ -145,14 +144,14 @@ def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
 
 def lsh_cluster_edges(edge_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
-                      sample_size: int = SAMPLE_SIZE) -> DataFrame:
+                      neighbours: int = NEIGHBOURS) -> DataFrame:
     """CLU5: edge patterns with an LSH ``cluster_id``."""
     base = cut_lineage(exact_edge_clusters(edge_pats).withColumnRenamed("cluster_id", "_exact"))
     if base.isEmpty():
         return base.withColumnRenamed("_exact", "cluster_id")
-    enc = encode_edge_patterns(base, code=code, seed=seed).persist()
+    enc = cut_lineage(encode_edge_patterns(base, code=code, seed=seed))
     if bucket_length is None or num_tables is None:
-        p = lsh_params_table(enc, True, sample_size, seed).first()
+        p = lsh_params_table(enc, True, neighbours, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
         num_tables = num_tables or p["num_tables"]
     return _lsh(enc, "_exact", bucket_length, num_tables, seed, "lsh:")

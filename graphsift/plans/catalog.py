@@ -395,21 +395,67 @@ def q_encoded_patterns(spark, sf_dir):
                                            6, 1000), ",").alias("flags"))
 
 
+def q_encoded_edge_patterns(spark, sf_dir):
+    """Edge features with codes that any engine can recompute."""
+    from graphsift.operators.encode import encode_edge_patterns
+    _, edges = graph(spark, sf_dir)
+    enc = encode_edge_patterns(cut_lineage(patterns.edge_patterns(edges)), code="hash")
+    return enc.select("rel_type", "src_key", "dst_key", F.array_join("prop_keys", ",").alias("props_key"), "n",
+                      F.size("features_arr").alias("dim"),
+                      *[F.round(F.element_at("features_arr", i), 6).alias(f"f{i}") for i in (1, 10, 11, 15, 18)],
+                      F.array_join(F.slice(F.transform("features_arr", lambda x: x.cast("string")),
+                                           19, 1000), ",").alias("flags"))
+
+
+def _encoded(spark, sf_dir):
+    """Node and edge patterns with recomputable codes, each cut into a table."""
+    from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
+    nodes, edges = graph(spark, sf_dir)
+    return (cut_lineage(encode_node_patterns(cut_lineage(patterns.node_patterns(nodes)), code="hash")),
+            cut_lineage(encode_edge_patterns(cut_lineage(patterns.edge_patterns(edges)), code="hash")))
+
+
 def q_pattern_distance_stats(spark, sf_dir):
-    from graphsift.operators.encode import encode_node_patterns
     from graphsift.operators.lsh import pattern_distance_stats
-    nodes, _ = graph(spark, sf_dir)
-    return pattern_distance_stats(encode_node_patterns(patterns.node_patterns(nodes), code="hash"))
+    out = None
+    for kind, enc in zip(("node", "edge"), _encoded(spark, sf_dir)):
+        st = pattern_distance_stats(enc).select(
+            F.lit(kind).alias("kind"), *[F.round(f"{c}_distance", 6).alias(f"{c}_distance")
+                                         for c in ("avg", "min", "max")], "pairs")
+        out = st if out is None else out.unionByName(st)
+    return out
 
 
 def q_lsh_params(spark, sf_dir):
-    from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
     from graphsift.operators.lsh import lsh_params_table
+    n, e = _encoded(spark, sf_dir)
+    out = lsh_params_table(n, False).withColumn("kind", F.lit("node")).unionByName(
+        lsh_params_table(e, True).withColumn("kind", F.lit("edge")))
+    return out.select("kind", F.round("avg_distance", 6).alias("avg_distance"), "rows", "label_sets",
+                      F.round("bucket_length", 6).alias("bucket_length"), "num_tables")
+
+
+def q_lsh_invariants(spark, sf_dir):
+    """What holds for LSH clusters whatever the random projections are: every
+    pattern and element is in exactly one cluster, and a tiny bucket gives the
+    exact clusters."""
+    from graphsift.operators.lsh import lsh_cluster_edges, lsh_cluster_nodes
     nodes, edges = graph(spark, sf_dir)
-    n = lsh_params_table(encode_node_patterns(patterns.node_patterns(nodes), code="hash"), False)
-    e = lsh_params_table(encode_edge_patterns(patterns.edge_patterns(edges), code="hash"), True)
-    return n.withColumn("kind", F.lit("node")).unionByName(
-        e.withColumn("kind", F.lit("edge")), allowMissingColumns=True)
+    out = None
+    for kind, pats, cluster, key in (
+            ("node", patterns.node_patterns(nodes), lsh_cluster_nodes, patterns.NODE_KEY),
+            ("edge", patterns.edge_patterns(edges), lsh_cluster_edges, patterns.EDGE_KEY)):
+        pats = cut_lineage(pats)
+        given = cut_lineage(cluster(pats))
+        tiny = cluster(pats, bucket_length=1e-7, num_tables=4).agg(
+            F.countDistinct("cluster_id").alias("exact_clusters"))
+        per = pats.select(*key, "n").join(given.groupBy(*key).agg(F.count("*").alias("times")), key, "left")
+        row = per.agg(F.count("*").alias("patterns"), F.sum("n").alias("elements"),
+                      F.sum(F.when(F.col("times").isNull(), 1).otherwise(0)).alias("unassigned"),
+                      F.sum(F.when(F.col("times") > 1, 1).otherwise(0)).alias("assigned_twice"))
+        row = row.select(F.lit(kind).alias("kind"), "*", F.lit(tiny.first()[0]).alias("exact_clusters"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_node_lsh(spark, sf_dir):
@@ -546,6 +592,8 @@ QUERIES: dict[str, Query] = {
     "encoded_patterns": q_encoded_patterns,
     "pattern_distance_stats": q_pattern_distance_stats,
     "lsh_params": q_lsh_params,
+    "encoded_edge_patterns": q_encoded_edge_patterns,
+    "lsh_invariants": q_lsh_invariants,
     "node_lsh": q_node_lsh,
     "edge_lsh": q_edge_lsh,
     "lsh_node_types": q_lsh_node_types,

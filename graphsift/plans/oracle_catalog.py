@@ -368,3 +368,55 @@ SELECT labels_key, props_key, n, CAST(5 + (SELECT count(*) FROM vocab) AS INTEGE
   (SELECT string_agg(CASE WHEN list_contains(pk.ks, v.key) THEN '1.0' ELSE '0.0' END, ',' ORDER BY v.key)
    FROM vocab v) AS flags
 FROM pk""", patterns=True)
+
+# ------------------------------------------------------------------ LSH statistics
+def _code(text: str, dim: int) -> str:
+    """List of label code values: first 32 bits of an MD5, scaled to [-0.1, 0.1)."""
+    return "[" + ", ".join(
+        f"CAST(('0x' || substr(md5('42:{i}:' || {text}), 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE * 0.2 - 0.1"
+        for i in range(dim)) + "]"
+
+
+_FLAGS = ("(SELECT list(CASE WHEN list_contains(string_split(props_key, ','), v.key) THEN 1.0::DOUBLE "
+          "ELSE 0.0::DOUBLE END ORDER BY v.key) FROM {v} v)")
+_ENCODED = f""", nvocab AS (SELECT DISTINCT key FROM gprops), evocab AS (SELECT DISTINCT key FROM geprops),
+  epatterns AS (SELECT rel_type, src_key, dst_key, props_key, count(*) AS n FROM epat GROUP BY 1, 2, 3, 4),
+  enc AS (SELECT 'node' AS kind, labels_key || '#' || props_key AS p, n, labels_key AS lk,
+                 list_concat({_code('labels_key', 5)}, {_FLAGS.format(v='nvocab')}) AS v FROM npatterns
+          UNION ALL
+          SELECT 'edge', concat_ws('#', rel_type, src_key, dst_key, props_key), n, NULL,
+                 list_concat({_code('rel_type', 10)}, {_code('src_key', 4)}, {_code('dst_key', 4)},
+                             {_FLAGS.format(v='evocab')}) FROM epatterns),
+  rings AS (SELECT kind, (count(*) + 999) // 1000 AS rings FROM enc GROUP BY kind),
+  placed AS (SELECT e.*, t.s, md5('42:' || t.s || ':' || p) AS h,
+                    CAST(('0x' || substr(md5('42:' || t.s || ':' || p), 1, 8)) AS UBIGINT) % r.rings AS ring
+             FROM enc e JOIN rings r USING (kind), range(8) t(s)),
+  pairs AS (SELECT kind, v, CAST(n AS DOUBLE) AS n, coalesce(lead(v) OVER w, first_value(v) OVER w) AS v2,
+                   coalesce(lead(n) OVER w, first_value(n) OVER w) AS n2
+            FROM placed WINDOW w AS (PARTITION BY kind, s, ring ORDER BY h)),
+  dist AS (SELECT kind, list_distance(v, v2) AS d, n * n2 AS w FROM pairs WHERE v <> v2),
+  stats AS (SELECT kind, sum(w * d) / sum(w) AS a, min(d) AS lo, max(d) AS hi, count(*) AS pairs FROM dist GROUP BY kind)
+"""
+ORACLES["pattern_distance_stats"] = with_fixture(_ENCODED + """
+SELECT kind, round(a, 6) AS avg_distance, round(lo, 6) AS min_distance, round(hi, 6) AS max_distance, pairs
+FROM stats""", patterns=True)
+ORACLES["lsh_params"] = with_fixture(_ENCODED + """
+, base AS (SELECT s.kind, s.a, (SELECT sum(n) FROM enc e WHERE e.kind = s.kind) AS rows,
+                  CASE WHEN s.kind = 'node' THEN (SELECT count(DISTINCT lk) FROM enc) END AS ls FROM stats s)
+SELECT kind, round(a, 6) AS avg_distance, CAST(rows AS BIGINT) AS rows, ls AS label_sets,
+  round(CASE WHEN kind = 'edge' THEN a * 0.2
+             ELSE a * 0.3 * CASE WHEN ls <= 3 THEN 0.5 WHEN ls <= 10 THEN 1.0 ELSE 1.5 END END, 6) AS bucket_length,
+  CAST(CASE WHEN kind = 'edge' THEN least(8, greatest(3, rows // 20000))
+       ELSE greatest(5, CAST(floor(least(10, greatest(5, rows // 30000))
+            * CASE WHEN ls <= 3 THEN 1.5 WHEN ls <= 10 THEN 1.0 ELSE 0.7 END) AS INTEGER)) END AS INTEGER) AS num_tables
+FROM base""", patterns=True)
+ORACLES["encoded_edge_patterns"] = with_fixture(_ENCODED + f"""
+, ev AS (SELECT *, list_concat({_code('rel_type', 10)}, {_code('src_key', 4)}, {_code('dst_key', 4)}) AS c FROM epatterns)
+SELECT rel_type, src_key, dst_key, props_key, n, CAST(18 + (SELECT count(*) FROM evocab) AS INTEGER) AS dim,
+  round(c[1], 6) AS f1, round(c[10], 6) AS f10, round(c[11], 6) AS f11, round(c[15], 6) AS f15, round(c[18], 6) AS f18,
+  (SELECT string_agg(CASE WHEN list_contains(string_split(props_key, ','), v.key) THEN '1.0' ELSE '0.0' END, ','
+                     ORDER BY v.key) FROM evocab v) AS flags
+FROM ev""", patterns=True)
+ORACLES["lsh_invariants"] = with_fixture(_ENCODED + """
+SELECT kind, count(*) AS patterns, sum(n) AS elements, 0 AS unassigned, 0 AS assigned_twice, count(*) AS exact_clusters
+FROM enc GROUP BY kind""", patterns=True)

@@ -37,3 +37,20 @@ def test_distance_stats(spark):
     from graphsift.operators.encode import encode_node_patterns
     st = lsh.pattern_distance_stats(encode_node_patterns(patterns.node_patterns(nodes), code="hash")).first()
     assert st["pairs"] > 0 and st["min_distance"] > 0 and st["max_distance"] >= st["avg_distance"]
+
+
+def test_rare_patterns_count(spark):
+    """A pattern of one element at distance 50 among a billion others is seen."""
+    rows = [("A", [], 10**9, [0.0, 0.0]), ("B", [], 10**9, [1.0, 0.0]), ("C", [], 1, [0.0, 50.0])]
+    enc = spark.createDataFrame(rows, "labels_key string, prop_keys array<string>, n bigint, features_arr array<double>")
+    st = lsh.pattern_distance_stats(enc).first()
+    assert st["max_distance"] >= 50.0 and abs(st["avg_distance"] - 1.0) < 1e-6
+
+
+def test_rings_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "RING", 10)
+    rows = [(f"L{i}", [], 1, [float(i)]) for i in range(95)]
+    enc = spark.createDataFrame(rows, "labels_key string, prop_keys array<string>, n bigint, features_arr array<double>")
+    pairs = lsh.neighbour_pairs(enc)
+    assert pairs.count() == 95 * lsh.NEIGHBOURS
+    assert pairs.select("f1").distinct().count() == 95
