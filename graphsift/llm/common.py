@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,11 +57,22 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list], li
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, so that only so many
-    texts are Python objects at once; freed Arrow memory goes back at the end."""
+    texts are Python objects at once."""
+    release_memory()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system. Spark uses a Python worker again
+    for later jobs, which would otherwise pile up what each left unused."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim:
+        trim(0)
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
