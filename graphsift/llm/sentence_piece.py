@@ -40,7 +40,7 @@ from graphsift.llm.common import id_and, in_slices
 MARK = "▁"
 OWN_MARK = "\udfff"         # a mark that stands in the text; no valid text holds this character
 SEGMENT = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-KNOWN_SEGMENTS = 200_000    # lattices that a task keeps
+KNOWN_SEGMENTS = 320_000    # lattices that a task keeps
 SHORT = 48                  # longest segment that is filtered together with others
 TINY, HUGE = 1e-200, 1e200
 
@@ -355,7 +355,7 @@ def decode_ids(ids: bytes | None, as_bytes: list[bytes]) -> str:
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0,
-           seed: int = 7, keep: list[str] | None = None, sub_batch: int = 500) -> DataFrame:
+           seed: int = 7, keep: list[str] | None = None, sub_batch: int = 800) -> DataFrame:
     """(id, *keep, ids): a sampled segmentation of every text."""
     carried = [id_col, *(keep or [])]
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in carried],
