@@ -67,12 +67,12 @@ def assign_node_types(assigned: DataFrame, threshold: float = 0.9, multi: bool =
     ``multi=True``). The rest become abstract types, one per cluster (MRG3).
     Returns (cluster_id, type_id, labels, is_abstract, attach_jaccard).
     """
-    clusters = node_clusters(assigned)
+    clusters = cut_lineage(node_clusters(assigned))
     labelled = clusters.where(F.size("labels") > 0) \
         .select("cluster_id", F.array_join("labels", "|").alias("type_id"), "labels", "props")
     unlabelled = clusters.where(F.size("labels") == 0).select("cluster_id", "props")
 
-    label_types = _with_unions(labelled, "type_id", ["props"], F.first("labels").alias("labels"))
+    label_types = cut_lineage(_with_unions(labelled, "type_id", ["props"], F.first("labels").alias("labels")))
 
     pairs = jaccard_join(unlabelled, label_types, "cluster_id", "props", "type_id", "props",
                          threshold=threshold)
@@ -162,7 +162,7 @@ def assign_edge_types(assigned: DataFrame, by: str = "rel_type") -> DataFrame:
     merges on (relation types, source labels, target labels). Clusters whose
     endpoints are all unlabelled stay separate types.
     """
-    c = edge_clusters(assigned)
+    c = cut_lineage(edge_clusters(assigned))
     has_labels = (F.size("src_labels") > 0) | (F.size("dst_labels") > 0)
     if by == "rel_type":
         key = F.array_join("rel_types", "|")

@@ -510,10 +510,10 @@ def q_align_union(spark, sf_dir):
     return x.unionByName(y)
 
 
-def _elem_props(df, skip):
-    cols = [c for c in df.columns if c not in skip]
-    entries = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c + "="), F.col(c))) for c in cols])
-    return F.array_join(F.sort_array(F.filter(entries, lambda x: x.isNotNull())), ";")
+def _elem_props(c: str = "property") -> F.Column:
+    entries = F.coalesce(F.transform(c, lambda p: F.concat(p["_name"], F.lit("="), p["_VALUE"])),
+                         F.array().cast("array<string>"))
+    return F.array_join(F.sort_array(entries), ";")
 
 
 def q_node_elements(spark, sf_dir):
@@ -523,8 +523,7 @@ def q_node_elements(spark, sf_dir):
     path = scratch_path(spark, "xml-nodes")
     export_node_xml(nodes, schema(spark, sf_dir), path)
     r = read_xml_elements(spark, path, "node")
-    return r.select("type_name", "id", "original_label",
-                    _elem_props(r, {"type_name", "id", "original_label"}).alias("props_text"))
+    return r.select("type_name", "id", "original_label", _elem_props().alias("props_text"))
 
 
 def q_edge_elements(spark, sf_dir):
@@ -538,7 +537,7 @@ def q_edge_elements(spark, sf_dir):
                     F.col("source._VALUE").alias("src"),
                     F.coalesce(F.col("target._type"), F.lit("")).alias("dst_type"),
                     F.col("target._VALUE").alias("dst"),
-                    _elem_props(r, {"type_name", "id", "source", "target"}).alias("props_text"))
+                    _elem_props().alias("props_text"))
 
 
 QUERIES: dict[str, Query] = {

@@ -28,6 +28,7 @@ from graphsift.functions.typing import xsd_type
 from graphsift.operators.joins import broadcast_if_small
 from graphsift.operators.patterns import NODE_KEY, with_node_key
 from graphsift.plans.discovery import GraphSchema
+from graphsift.session import cut_lineage
 
 # ---- fixed values: vocabulary ----------------------------------------------------
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -161,8 +162,8 @@ def node_quads(nodes: DataFrame, schema: GraphSchema, shape: str = "reified",
     """RDF1: type, (label), one literal per non-blank property, per node."""
     ns = namespace(base, shape)
     g = _graph(base, shape)
-    names = schema.node_pattern_types.join(type_names(schema), "type_id") \
-        .select(*NODE_KEY, "type_name")
+    names = cut_lineage(schema.node_pattern_types.join(type_names(schema), "type_id")
+                        .select(*NODE_KEY, "type_name"))
     keyed = with_node_key(nodes).join(broadcast_if_small(names), NODE_KEY)
     s = node_iri(ns, F.col("labels_key"), F.col("node_id"))
     structural = {"type": F.concat(F.lit(ns), iri_segment("type_name"))}
