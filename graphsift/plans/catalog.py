@@ -330,10 +330,10 @@ def _jmerge(closure):
 def _halves(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
     raw = fixture_raw_edges(spark, sf_dir)
-    even = discover_schema(nodes.where(F.col("node_id") % 2 == 0), edges.where(F.col("src_id") % 2 == 0),
-                           raw_edges=raw.where(F.col("src_id") % 2 == 0))
-    odd = discover_schema(nodes.where(F.col("node_id") % 2 == 1), edges.where(F.col("src_id") % 2 == 1),
-                          raw_edges=raw.where(F.col("src_id") % 2 == 1))
+    even = discover_schema(nodes.where(F.expr("(node_id div 16) % 2 = 0")), edges.where(F.expr("(src_id div 16) % 2 = 0")),
+                           raw_edges=raw.where(F.expr("(src_id div 16) % 2 = 0")))
+    odd = discover_schema(nodes.where(F.expr("(node_id div 16) % 2 = 1")), edges.where(F.expr("(src_id div 16) % 2 = 1")),
+                          raw_edges=raw.where(F.expr("(src_id div 16) % 2 = 1")))
     return even, odd
 
 
@@ -500,6 +500,49 @@ def q_csv_round_trip_edges(spark, sf_dir):
                         _props_text().alias("props_text"))
 
 
+def q_csv_bulk_import(spark, sf_dir):
+    """Files as bulk importers take them: id spaces, typed headers, and two
+    files of one type with different columns in different order."""
+    from graphsift.sources.csvio import FORMAT, graph_from_csv
+    from graphsift.sources.fixture import table
+    from graphsift.sources.scratch import scratch_path
+    path = scratch_path(spark, "bulk")
+
+    def put(df, name, sep="|"):
+        options = {k: v for k, v in FORMAT.items() if k != "multiLine"} | {"emptyValue": '""', "sep": sep}
+        df.write.options(**options).csv(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    docs = table(spark, sf_dir, "documents")
+    people = table(spark, sf_dir, "customer")
+    doc_files = [put(docs.where("doc_id % 2 = 0").selectExpr("doc_id AS `id:ID(Doc)`", "text AS `text:string`"), "doc0"),
+                 put(docs.where("doc_id % 2 = 1").selectExpr("lang", "text AS `text:string`", "doc_id AS `id:ID(Doc)`",
+                                                             "source AS `x:IGNORE`"), "doc1")]
+    who = put(people.selectExpr("c_custkey AS `:ID(Person)`", "c_name AS `name:string`", "'Buyer' AS `:LABEL`"), "person")
+    reads = put(people.join(docs, F.col("c_custkey") == F.col("doc_id")).selectExpr(
+        "c_custkey AS `:START_ID(Person)`", "doc_id AS `:END_ID(Doc)`", "lang AS `in:string`"), "reads")
+    nodes, edges = graph_from_csv(spark, {"Doc": doc_files, None: who}, {"READS": reads})
+    n = nodes.select(F.array_join("labels", ":").alias("kind"), F.coalesce(F.col("props")["id"], F.lit("")).alias("id"),
+                     _props_text().alias("props_text"))
+    e = edges.select(F.concat_ws(">", F.array_join("src_labels", ":"), "rel_type", F.array_join("dst_labels", ":"))
+                     .alias("kind"), F.lit("").alias("id"), _props_text().alias("props_text"))
+    return n.unionByName(e)
+
+
+def q_trig_lines(spark, sf_dir):
+    from graphsift.plans.rdf import edge_quads, trig_lines
+    return trig_lines(edge_quads(graph(spark, sf_dir)[1], "link"))
+
+
+def q_quads_written(spark, sf_dir):
+    """N-Quads written in chunks and read back."""
+    from graphsift.plans.rdf import edge_quads, write_quads
+    from graphsift.sources.scratch import scratch_path
+    path = scratch_path(spark, "quads")
+    write_quads(edge_quads(graph(spark, sf_dir)[1], "reified"), path, "nquads", max_records=10_000)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def q_align_union(spark, sf_dir):
     from graphsift.sources.csvio import align_schemas
     a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
@@ -598,6 +641,9 @@ QUERIES: dict[str, Query] = {
     "lsh_node_types": q_lsh_node_types,
     "csv_round_trip": q_csv_round_trip,
     "csv_round_trip_edges": q_csv_round_trip_edges,
+    "csv_bulk_import": q_csv_bulk_import,
+    "trig_lines": q_trig_lines,
+    "quads_written": q_quads_written,
     "align_union": q_align_union,
     "node_elements": q_node_elements,
     "edge_elements": q_edge_elements,

@@ -22,7 +22,7 @@ _PROPS_TEXT = "string_agg(key || '=' || value, ';' ORDER BY key || '=' || value)
 
 
 NODE_PROPS = ["acctbal", "brand", "lang", "mktsegment", "n_chars", "name", "orderdate", "orderpriority",
-              "quality", "retailprice", "size", "source", "status", "totalprice", "toxic", "type"]
+              "quality", "retailprice", "size", "source", "status", "text", "totalprice", "toxic", "type"]
 
 
 def _presence_flags() -> str:
@@ -215,7 +215,7 @@ SELECT node_id, {_IRI} AS iri,
        '{_BASE}custom/' || sha256({_IRI}) AS iri_hashed, {_IRI} || '/graph' AS graph_iri FROM gnodes""")
 
 _TRUTH = ("(['Region','Nation','Customer','Supplier','Part','Order','Document','Grade'])"
-          "[CAST(floor({} / 1000000000) AS INTEGER)]")
+          "[CAST({} % 16 AS INTEGER)]")
 _ASSIGN = f"""
 , assign AS (SELECT q.node_id, q.type_id,
      CASE WHEN q.type_id LIKE '?%' THEN [''] ELSE list_distinct(string_split(q.type_id, ':')) END AS pred,
@@ -420,3 +420,20 @@ FROM ev""", patterns=True)
 ORACLES["lsh_invariants"] = with_fixture(_ENCODED + """
 SELECT kind, count(*) AS patterns, sum(n) AS elements, 0 AS unassigned, 0 AS assigned_twice, count(*) AS exact_clusters
 FROM enc GROUP BY kind""", patterns=True)
+
+# ------------------------------------------------------------------ written and imported files
+_TERMS = ("'<' || subject || '> <' || predicate || '> ' || CASE WHEN object_kind = 'iri' THEN '<' || object || '>' "
+          f"ELSE '\"' || {_esc('object')} || '\"' END")
+ORACLES["trig_lines"] = with_fixture(f"""
+SELECT CASE WHEN graph IS NOT NULL THEN '<' || graph || '> ' ELSE '' END || '{{ ' || {_TERMS} || ' . }}' AS line
+FROM ({_edge_quads_sql('link')}) q""")
+ORACLES["quads_written"] = with_fixture(f"""
+SELECT {_TERMS} || CASE WHEN graph IS NOT NULL THEN ' <' || graph || '>' ELSE '' END || ' .' AS line
+FROM ({_edge_quads_sql('reified')}) q""")
+ORACLES["csv_bulk_import"] = """
+SELECT 'Doc' AS kind, CAST(doc_id AS VARCHAR) AS id, array_to_string(list_sort(
+  CASE WHEN doc_id % 2 = 1 AND lang IS NOT NULL THEN ['lang=' || lang] ELSE [] END
+  || ['id=' || CAST(doc_id AS VARCHAR)] || CASE WHEN text IS NOT NULL THEN ['text=' || text] ELSE [] END), ';') AS props_text
+FROM documents
+UNION ALL SELECT 'Buyer', '', 'name=' || c_name FROM customer
+UNION ALL SELECT 'Buyer>READS>Doc', '', coalesce('in=' || lang, '') FROM customer JOIN documents ON c_custkey = doc_id"""

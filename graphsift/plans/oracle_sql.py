@@ -16,26 +16,26 @@ from graphsift.functions import typing as ty
 MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
 DAY = "strftime({}, '%Y-%m-%d')"
 
-# (table, base, id column, labels_key SQL, {property: value SQL})
+# (table, kind, id column, labels_key SQL, {property: value SQL})
 NODE_TABLES = [
-    ("region", 1000000000, "r_regionkey", "'Region'", {"name": "r_name"}),
-    ("nation", 2000000000, "n_nationkey", "'Nation'", {"name": "n_name"}),
-    ("customer", 3000000000, "c_custkey",
+    ("region", 1, "r_regionkey", "'Region'", {"name": "r_name"}),
+    ("nation", 2, "n_nationkey", "'Nation'", {"name": "n_name"}),
+    ("customer", 3, "c_custkey",
      "CASE WHEN c_custkey % 10 = 3 THEN '' WHEN c_acctbal > 9000 THEN 'Customer:Premium' ELSE 'Customer' END",
      {"name": "c_name", "acctbal": MONEY.format("c_acctbal"),
       "mktsegment": "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END"}),
-    ("supplier", 4000000000, "s_suppkey", "'Supplier'",
+    ("supplier", 4, "s_suppkey", "'Supplier'",
      {"name": "s_name", "acctbal": MONEY.format("s_acctbal")}),
-    ("part", 5000000000, "p_partkey", "'Part'",
+    ("part", 5, "p_partkey", "'Part'",
      {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "CAST(p_size AS VARCHAR)",
       "retailprice": MONEY.format("p_retailprice")}),
-    ("orders", 6000000000, "o_orderkey", "CASE WHEN o_orderkey % 20 = 7 THEN '' ELSE 'Order' END",
+    ("orders", 6, "o_orderkey", "CASE WHEN o_orderkey % 20 = 7 THEN '' ELSE 'Order' END",
      {"status": "o_orderstatus", "totalprice": MONEY.format("o_totalprice"),
       "orderdate": DAY.format("o_orderdate"),
       "orderpriority": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"}),
-    ("documents", 7000000000, "doc_id", "'Document'",
-     {"lang": "lang", "source": "source", "n_chars": "CAST(n_chars AS VARCHAR)"}),
-    ("labels", 8000000000, "doc_id", "'Grade'",
+    ("documents", 7, "doc_id", "'Document'",
+     {"lang": "lang", "source": "source", "n_chars": "CAST(n_chars AS VARCHAR)", "text": "text"}),
+    ("labels", 8, "doc_id", "'Grade'",
      {"quality": "CAST(quality AS VARCHAR)",
       "toxic": "CASE WHEN toxic = 1 THEN 'true' WHEN toxic IS NOT NULL THEN 'false' END"}),
 ]
@@ -45,28 +45,28 @@ LI_ID = ("'CONTAINS_' || concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_line
 
 # (rel, select SQL producing edge_id, src_id, dst_id [+ props], {prop: value SQL})
 EDGE_SOURCES = [
-    ("IN_REGION", "SELECT 2000000000 + n_nationkey AS src_id, 1000000000 + n_regionkey AS dst_id FROM nation", {}),
-    ("IN_NATION", "SELECT 3000000000 + c_custkey AS src_id, 2000000000 + c_nationkey AS dst_id FROM customer", {}),
-    ("IN_NATION", "SELECT 4000000000 + s_suppkey AS src_id, 2000000000 + s_nationkey AS dst_id FROM supplier", {}),
-    ("PLACED", "SELECT 3000000000 + o_custkey AS src_id, 6000000000 + o_orderkey AS dst_id, "
+    ("IN_REGION", "SELECT n_nationkey * 16 + 2 AS src_id, n_regionkey * 16 + 1 AS dst_id FROM nation", {}),
+    ("IN_NATION", "SELECT c_custkey * 16 + 3 AS src_id, c_nationkey * 16 + 2 AS dst_id FROM customer", {}),
+    ("IN_NATION", "SELECT s_suppkey * 16 + 4 AS src_id, s_nationkey * 16 + 2 AS dst_id FROM supplier", {}),
+    ("PLACED", "SELECT o_custkey * 16 + 3 AS src_id, o_orderkey * 16 + 6 AS dst_id, "
                + DAY.format("o_orderdate") + " AS p_orderdate FROM orders", {"orderdate": "p_orderdate"}),
-    ("CONTAINS", "SELECT " + LI_ID + " AS eid, 6000000000 + l_orderkey AS src_id, 5000000000 + l_partkey AS dst_id, "
+    ("CONTAINS", "SELECT " + LI_ID + " AS eid, l_orderkey * 16 + 6 AS src_id, l_partkey * 16 + 5 AS dst_id, "
                  + MONEY.format("l_quantity") + " AS p_quantity, CAST(l_linenumber AS VARCHAR) AS p_linenumber, "
                  + DAY.format("l_shipdate") + " AS p_shipdate, "
                  "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS p_returnflag FROM lineitem",
      {"quantity": "p_quantity", "linenumber": "p_linenumber", "shipdate": "p_shipdate",
       "returnflag": "p_returnflag"}),
-    ("SUPPLIES", "SELECT DISTINCT 4000000000 + l_suppkey AS src_id, 5000000000 + l_partkey AS dst_id FROM lineitem", {}),
-    ("GRADED", "SELECT 7000000000 + doc_id AS src_id, 8000000000 + doc_id AS dst_id FROM labels", {}),
+    ("SUPPLIES", "SELECT DISTINCT l_suppkey * 16 + 4 AS src_id, l_partkey * 16 + 5 AS dst_id FROM lineitem", {}),
+    ("GRADED", "SELECT doc_id * 16 + 7 AS src_id, doc_id * 16 + 8 AS dst_id FROM labels", {}),
 ]
 
 
 def _fixture_ctes() -> str:
     nodes, props = [], []
     for table, base, idc, lk, pmap in NODE_TABLES:
-        nodes.append(f"SELECT {base} + {idc} AS node_id, {lk} AS labels_key FROM {table}")
+        nodes.append(f"SELECT {idc} * 16 + {base} AS node_id, {lk} AS labels_key FROM {table}")
         for k, v in pmap.items():
-            props.append(f"SELECT {base} + {idc} AS node_id, {lk} AS labels_key, '{k}' AS key, "
+            props.append(f"SELECT {idc} * 16 + {base} AS node_id, {lk} AS labels_key, '{k}' AS key, "
                          f"{v} AS value FROM {table} WHERE ({v}) IS NOT NULL")
     raw, eprops = [], []
     for i, (rel, sel, pmap) in enumerate(EDGE_SOURCES):

@@ -12,20 +12,18 @@ from pyspark.sql import functions as F
 
 from graphsift.sources.graph import EdgeSpec, NodeSpec, read_edges, read_nodes
 
-# ---- fixed values: id space and ground-truth label per source table --------
-REGION_BASE = 1_000_000_000
-NATION_BASE = 2_000_000_000
-CUSTOMER_BASE = 3_000_000_000
-SUPPLIER_BASE = 4_000_000_000
-PART_BASE = 5_000_000_000
-ORDER_BASE = 6_000_000_000
-DOCUMENT_BASE = 7_000_000_000
-GRADE_BASE = 8_000_000_000
-# Table label by id // 1e9 (1..8): the evaluation ground truth.
+# ---- fixed values: kind of each source table; a node id is key * 16 + kind ----
+REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER, DOCUMENT, GRADE = range(1, 9)
+# Table label by kind: the evaluation ground truth.
 TRUTH_LABELS = ["Region", "Nation", "Customer", "Supplier", "Part", "Order", "Document", "Grade"]
 # ------------------------------------------------------------------------------
 
 
+def _key(c: str) -> str:
+    """Ids of different tables never meet, however many rows the tables have."""
+    return f"{c} * 16"
+
+
 def _money(c: str) -> str:
     return f"CAST(CAST({c} AS DECIMAL(18,2)) AS STRING)"
 
@@ -59,30 +57,30 @@ def node_specs(sf_dir: str) -> list[NodeSpec]:
     order_labels = ("CASE WHEN o_orderkey % 20 = 7 THEN CAST(array() AS ARRAY<STRING>) "
                     "ELSE array('Order') END")
     return [
-        NodeSpec(_reader(sf_dir, "region"), "r_regionkey", ["Region"], {"name": "r_name"},
-                 REGION_BASE),
-        NodeSpec(_reader(sf_dir, "nation"), "n_nationkey", ["Nation"], {"name": "n_name"},
-                 NATION_BASE),
-        NodeSpec(_reader(sf_dir, "customer"), "c_custkey", cust_labels,
+        NodeSpec(_reader(sf_dir, "region"), _key("r_regionkey"), ["Region"], {"name": "r_name"},
+                 REGION),
+        NodeSpec(_reader(sf_dir, "nation"), _key("n_nationkey"), ["Nation"], {"name": "n_name"},
+                 NATION),
+        NodeSpec(_reader(sf_dir, "customer"), _key("c_custkey"), cust_labels,
                  {"name": "c_name", "acctbal": _money("c_acctbal"),
                   "mktsegment": "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END"},
-                 CUSTOMER_BASE),
-        NodeSpec(_reader(sf_dir, "supplier"), "s_suppkey", ["Supplier"],
-                 {"name": "s_name", "acctbal": _money("s_acctbal")}, SUPPLIER_BASE),
-        NodeSpec(_reader(sf_dir, "part"), "p_partkey", ["Part"],
+                 CUSTOMER),
+        NodeSpec(_reader(sf_dir, "supplier"), _key("s_suppkey"), ["Supplier"],
+                 {"name": "s_name", "acctbal": _money("s_acctbal")}, SUPPLIER),
+        NodeSpec(_reader(sf_dir, "part"), _key("p_partkey"), ["Part"],
                  {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size",
-                  "retailprice": _money("p_retailprice")}, PART_BASE),
-        NodeSpec(_reader(sf_dir, "orders"), "o_orderkey", order_labels,
+                  "retailprice": _money("p_retailprice")}, PART),
+        NodeSpec(_reader(sf_dir, "orders"), _key("o_orderkey"), order_labels,
                  {"status": "o_orderstatus", "totalprice": _money("o_totalprice"),
                   "orderdate": _day("o_orderdate"),
                   "orderpriority": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END"},
-                 ORDER_BASE),
-        NodeSpec(_reader(sf_dir, "documents"), "doc_id", ["Document"],
-                 {"lang": "lang", "source": "source", "n_chars": "n_chars"}, DOCUMENT_BASE),
-        NodeSpec(_reader(sf_dir, "labels"), "doc_id", ["Grade"],
+                 ORDER),
+        NodeSpec(_reader(sf_dir, "documents"), _key("doc_id"), ["Document"],
+                 {"lang": "lang", "source": "source", "n_chars": "n_chars", "text": "text"}, DOCUMENT),
+        NodeSpec(_reader(sf_dir, "labels"), _key("doc_id"), ["Grade"],
                  {"quality": "quality",
                   "toxic": "CASE WHEN toxic = 1 THEN 'true' WHEN toxic IS NOT NULL THEN 'false' END"},
-                 GRADE_BASE),
+                 GRADE),
     ]
 
 
@@ -90,23 +88,23 @@ def edge_specs(sf_dir: str) -> list[EdgeSpec]:
     li_id = ("concat('CONTAINS_', concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
              + _day("l_shipdate") + "))")
     return [
-        EdgeSpec(_reader(sf_dir, "nation"), "IN_REGION", "n_nationkey", "n_regionkey",
-                 src_offset=NATION_BASE, dst_offset=REGION_BASE),
-        EdgeSpec(_reader(sf_dir, "customer"), "IN_NATION", "c_custkey", "c_nationkey",
-                 src_offset=CUSTOMER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "supplier"), "IN_NATION", "s_suppkey", "s_nationkey",
-                 src_offset=SUPPLIER_BASE, dst_offset=NATION_BASE),
-        EdgeSpec(_reader(sf_dir, "orders"), "PLACED", "o_custkey", "o_orderkey",
-                 {"orderdate": _day("o_orderdate")}, src_offset=CUSTOMER_BASE, dst_offset=ORDER_BASE),
-        EdgeSpec(_reader(sf_dir, "lineitem"), "CONTAINS", "l_orderkey", "l_partkey",
+        EdgeSpec(_reader(sf_dir, "nation"), "IN_REGION", _key("n_nationkey"), _key("n_regionkey"),
+                 src_offset=NATION, dst_offset=REGION),
+        EdgeSpec(_reader(sf_dir, "customer"), "IN_NATION", _key("c_custkey"), _key("c_nationkey"),
+                 src_offset=CUSTOMER, dst_offset=NATION),
+        EdgeSpec(_reader(sf_dir, "supplier"), "IN_NATION", _key("s_suppkey"), _key("s_nationkey"),
+                 src_offset=SUPPLIER, dst_offset=NATION),
+        EdgeSpec(_reader(sf_dir, "orders"), "PLACED", _key("o_custkey"), _key("o_orderkey"),
+                 {"orderdate": _day("o_orderdate")}, src_offset=CUSTOMER, dst_offset=ORDER),
+        EdgeSpec(_reader(sf_dir, "lineitem"), "CONTAINS", _key("l_orderkey"), _key("l_partkey"),
                  {"quantity": _money("l_quantity"), "linenumber": "l_linenumber",
                   "shipdate": _day("l_shipdate"),
                   "returnflag": "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"},
-                 src_offset=ORDER_BASE, dst_offset=PART_BASE, edge_id=li_id),
-        EdgeSpec(_reader(sf_dir, "lineitem"), "SUPPLIES", "l_suppkey", "l_partkey",
-                 src_offset=SUPPLIER_BASE, dst_offset=PART_BASE, distinct=True),
-        EdgeSpec(_reader(sf_dir, "labels"), "GRADED", "doc_id", "doc_id",
-                 src_offset=DOCUMENT_BASE, dst_offset=GRADE_BASE),
+                 src_offset=ORDER, dst_offset=PART, edge_id=li_id),
+        EdgeSpec(_reader(sf_dir, "lineitem"), "SUPPLIES", _key("l_suppkey"), _key("l_partkey"),
+                 src_offset=SUPPLIER, dst_offset=PART, distinct=True),
+        EdgeSpec(_reader(sf_dir, "labels"), "GRADED", _key("doc_id"), _key("doc_id"),
+                 src_offset=DOCUMENT, dst_offset=GRADE),
     ]
 
 
@@ -124,6 +122,5 @@ def fixture_raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_label(node_id: Column) -> Column:
     """Ground-truth table label of a fixture node id."""
-    idx = (node_id / F.lit(1_000_000_000)).cast("int")
-    return F.element_at(F.array(*[F.lit(x) for x in TRUTH_LABELS]), idx)
+    return F.element_at(F.array(*[F.lit(x) for x in TRUTH_LABELS]), (node_id % 16).cast("int"))
 
