@@ -14,7 +14,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 CORE = ["node_patterns", "edge_patterns", "node_types", "edge_types_by_rel", "property_types_nodes",
         "degree_stats", "ddl_strict", "schema_fields", "edge_quads_link", "eval_nodes", "jaccard_merge",
-        "label_profile"]
+        "label_profile", "presence_flags", "csv_round_trip", "csv_bulk_import", "node_elements", "nquads_lines",
+        "quads_written", "jaccard_pairs_props", "lsh_params", "lsh_invariants", "encoded_edge_patterns"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("GRAPHSIFT_FULL") else CORE
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels"]
 
