@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,11 @@ def id_and(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.select(F.col(id_col), *[F.col(c) for c in cols])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever they are named."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """The lookup side of a join, cut and counted: broadcast up to ``max_rows``
     rows (of some 200 bytes: 40 MB); beyond that a shuffle join, whose hot keys

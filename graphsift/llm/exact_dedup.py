@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsift.llm.common import lookup
+from graphsift.llm.common import lookup, whole_row
 from graphsift.session import cut_lineage, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,9 +35,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, row_id, content, digest, file, pos) of a parquet-backed frame."""
     content = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("row_id"), content.alias("content"),
+    at = df.metadataColumn("_metadata")       # also where the table has a column of this name
+    return df.select(whole_row(df).alias("row"), F.col(id_col).alias("row_id"), content.alias("content"),
                      F.unhex(F.sha2(content, 256)).alias("digest"),
-                     F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
+                     at["file_path"].alias("file"), at["row_index"].alias("pos"))
 
 
 def _as_glob(path: str) -> str:

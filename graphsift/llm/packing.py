@@ -127,7 +127,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         T.StructField("offset", T.LongType())])
     kinds = [to_arrow(f.dataType) for f in schema.fields]
 
-    def flush(keys: list, tokens: list[np.ndarray], first: int) -> tuple[Iterator[pa.RecordBatch], int]:
+    def flush(keys: list, tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
         pieces = assign([len(t) for t in tokens], capacity)
         cols = list(zip(*[(keys[d], s, n, tokens[d][s:s + n].astype("<u4").tobytes(), len(tokens[d]), first + q, o)
                           for d, s, n, q, o in pieces], strict=True))

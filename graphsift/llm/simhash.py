@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.llm.common import lookup, map_texts
+from graphsift.llm.common import lookup, map_texts, whole_row
 from graphsift.operators.components import component_roots
 from graphsift.session import cut_lineage
 
@@ -118,7 +118,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         found = near_duplicates(docs, id_col, text_col, **settings)
         dropped = lookup(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")))
         return docs.join(dropped, docs[id_col] == dropped["gone"], "left_anti")
-    numbered = cut_lineage(docs.select(F.struct(*docs.columns).alias("row"),
+    numbered = cut_lineage(docs.select(whole_row(docs).alias("row"),
                                        F.monotonically_increasing_id().alias("number")))
     plain = numbered.select("number", F.col(f"row.`{id_col}`").alias("key"), F.col(f"row.`{text_col}`").alias("content"))
     found = cut_lineage(near_duplicates(plain, "number", "content", **settings))

@@ -9,7 +9,7 @@ from graphsift.session import shared_path
 
 ROWS = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "a "), (7, "A"), (3, "b"), (None, "c"), (None, "c"),
         (8, "c"), (None, "d"), (9, "x" * 200_000), (10, "x" * 200_000), *[(100 + i, "hot") for i in range(300)]]
-SCHEMA = "doc_id bigint, text string, kept int, digest string, size string, file string, row_id string"
+SCHEMA = "doc_id bigint, text string, kept int, digest string, `_metadata` string, `file.x` string, row_id string"
 
 
 def frame(spark, rows=ROWS, parts=3):
