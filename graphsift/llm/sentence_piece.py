@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +211,10 @@ class Lattices:
                 total[who] += alpha[j - size][who] * trie.weight[at]
                 found.append((who, trie.piece[at], total[who], seen[who].copy(), size))
                 seen[who] += 1
-            single = found[0][0] if found and found[0][4] == 1 else np.zeros(0, int)
-            for who in np.setdiff1d(np.arange(n), single):       # a character without a piece
+            bare = np.ones(n, bool)
+            if found and found[0][4] == 1:
+                bare[found[0][0]] = False
+            for who in np.flatnonzero(bare):                     # a character without a piece
                 char = segments[who][j - 1]
                 raw = _raw(char)
                 total[who] += alpha[j - 1][who] * vocabulary.byte_weight ** len(raw)
@@ -286,10 +289,14 @@ class Sampler:
             self.lattices.clear()
         known = self.lattices.end_node
         cut = [SEGMENT.findall(MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
-        new = {s for segments in cut for s in segments if s not in known}
+        flat = list(chain.from_iterable(cut))
+        nodes = list(map(known.get, flat))
+        new = {s for s, node in zip(flat, nodes, strict=True) if node is None}
         if new:
-            self.lattices.add_all(sorted(new))
-        at = np.array([known[s] for segments in cut for s in segments], np.int32)
+            self.lattices.add_all(list(new))        # their order changes no result
+            nodes = list(map(known.__getitem__, flat))
+        at = np.array(nodes, np.int32)
+        del flat, nodes
         counts = np.array([len(segments) for segments in cut], np.int64)
         seeds = [xxhash.xxh64_intdigest(str(key), self.seed) for key in keys]
         doc = np.repeat(np.arange(len(counts)), counts)
