@@ -291,10 +291,11 @@ class Sampler:
         cut = [SEGMENT.findall(MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
         nodes = list(map(known.get, flat))
-        new = {s for s, node in zip(flat, nodes, strict=True) if node is None}
-        if new:
-            self.lattices.add_all(list(new))        # their order changes no result
-            nodes = list(map(known.__getitem__, flat))
+        missing = [i for i, node in enumerate(nodes) if node is None]
+        if missing:
+            self.lattices.add_all(list({flat[i] for i in missing}))        # their order changes no result
+            for i in missing:
+                nodes[i] = known[flat[i]]
         at = np.array(nodes, np.int32)
         del flat, nodes
         counts = np.array([len(segments) for segments in cut], np.int64)
