@@ -173,12 +173,6 @@ def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
 
 # ---- data source ----
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path = options["path"]
@@ -211,7 +205,7 @@ class WarcReader(DataSourceReader):
         files, root = _filesystem(self.path)
         with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
             names = json.loads(stream.read())
-        return [FilePartition(f"{self.path}/{n}") for n in names] or [FilePartition("")]
+        return [InputPartition(f"{self.path}/{n}") for n in names] or [InputPartition("")]
 
     def _accept(self, row: dict) -> bool:
         for column, kind, value in self.tests:
@@ -220,10 +214,10 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        if not partition.path:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if not partition.value:
             return
-        files, path = _filesystem(partition.path)
+        files, path = _filesystem(partition.value)
         with files.open_input_file(path) as stream:
             for row in read_records(stream, self._accept, self.with_payload):
                 yield tuple(row[c] for c in self.columns)
@@ -234,16 +228,11 @@ class PushedWarcReader(WarcReader):
         return self.take(filters)
 
 
-class Committed(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
-
-
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.roll = options["path"], int(options.get("roll_bytes", 64 << 20))
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         files, root = _filesystem(self.path)
@@ -263,9 +252,11 @@ class WarcWriter(DataSourceArrowWriter):
                 size += len(member)
         if out:
             out.close()
-        return Committed(names)
+        message = WriterCommitMessage()     # Spark's own class, known wherever it is unpickled
+        message.names = names
+        return message
 
-    def commit(self, messages: list[Committed | None]) -> None:
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = _filesystem(self.path)
         files.create_dir(root, recursive=True)
         with files.open_output_stream(f"{root}/{MANIFEST}") as stream:
