@@ -13,9 +13,10 @@ gets features of
   an assignment sign, quotes.
 
 A random forest (``pyspark.ml``), trained from labelled findings, decides. Its
-trees become arrays that score candidates inside the scan, so texts are read
-once. ``labelled_findings`` makes findings of known label around words of a
-bounded sample of the corpus; findings labelled by hand take the same form.
+trees become arrays that score candidates inside the scan. The words and letter
+pairs are counted over all texts before, in one aggregation.
+``labelled_findings`` makes findings of known label around the most frequent
+words of the corpus; findings labelled by hand take the same form.
 
 Edge cases: null and empty texts have no findings and are left as they are by
 ``redact``; candidates longer than ``MAX_LENGTH`` (embedded files) are read
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphsift.llm.common import id_and, in_slices, to_arrow
+from graphsift.session import cut_lineage
 
 MIN_LENGTH, MAX_LENGTH = 12, 4096
 KEY_CHARS = r"A-Za-z0-9_+/=\-"
@@ -102,13 +104,10 @@ class WordModel:
     words: frozenset
 
     @classmethod
-    def of(cls, counts: Counter, min_count: int = 3, max_words: int = 50_000) -> WordModel:
-        pairs = np.ones((28, 28))
-        for word, n in counts.items():
-            for a, b in zip(word, word[1:], strict=False):
-                pairs[_kind(a), _kind(b)] += n
-        top = [w for w, n in counts.most_common(max_words) if n >= min_count]
-        return cls(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(top))
+    def of(cls, counts: np.ndarray, words: list[str]) -> WordModel:
+        """From counts of letter pairs (by _kind, 28 x 28) and the dictionary."""
+        pairs = counts + 1
+        return cls(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(words))
 
     def transitions(self, lower: str) -> float:
         kinds = [_kind(c) for c in lower]
@@ -232,17 +231,37 @@ def _tree_arrays(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), np.array(cols[3])
 
 
-def fit_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1000,
-              seed: int = 7) -> tuple[WordModel, list[str]]:
-    """Letter pairs and dictionary from about ``max_rows`` whole texts, those
-    with the smallest id hash, counted on the executors."""
-    n = docs.count()
-    share = F.xxhash64(F.col(id_col), F.lit(seed)).cast("double") / F.lit(float(1 << 64)) + 0.5
-    sample = docs.where(share < max_rows / max(1, n)) if n > max_rows else docs
-    top = (sample.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^a-z]+")).alias("w"))
-           .where(F.length("w") >= 2).groupBy("w").count().orderBy(F.desc("count"), "w").limit(50_000).collect())
-    counts = Counter({r["w"]: r["count"] for r in top})
-    return WordModel.of(counts), [r["w"] for r in top[:2000]]
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, count) -> (pair, n): one table of letter pairs a task."""
+    table = np.zeros(28 * 28)
+    for batch in batches:
+        if batch.num_rows:
+            letters = np.frombuffer(("\n".join(batch.column(0).to_pylist()) + "\n").encode(), np.uint8).astype(np.int64) - 97
+            ends = np.flatnonzero(letters < 0)
+            times = np.repeat(batch.column(1).to_numpy(), np.diff(ends, prepend=-1))
+            at = np.flatnonzero((letters[:-1] >= 0) & (letters[1:] >= 0))
+            table += np.bincount(letters[at] * 28 + letters[at + 1], times[at], 28 * 28)
+    seen = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(table[seen].astype(np.int64))], names=["pair", "n"])
+
+
+def fit_words(docs: DataFrame, text_col: str = "text", min_count: int = 3,
+              min_share: float = 1e-7) -> tuple[WordModel, list[str]]:
+    """Letter pairs of all words of all texts, the dictionary of their words
+    of 3 to 16 letters, and the 2,000 most frequent words. A word is in the
+    dictionary if it occurs ``min_count`` times and is ``min_share`` of all
+    words, so that the broadcast dictionary does not grow with the corpus and
+    the letter runs of random keys stay out of it."""
+    counts = cut_lineage(docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^a-z]+")).alias("w"))
+                         .where(F.length("w") >= 2).groupBy("w").count())
+    pairs = np.zeros(28 * 28)
+    for r in counts.mapInArrow(_pair_counts, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    known = counts.where(F.length("w").between(3, 16) & (F.col("count") >= max(min_count, min_share * total)))
+    common = counts.orderBy(F.desc("count"), "w").limit(2000).collect()
+    words = known.select("w").toArrow().column("w").to_pylist()
+    return WordModel.of(pairs.reshape(28, 28), words), [r["w"] for r in common]
 
 
 def fit(findings: DataFrame, words: WordModel, trees: int = 25, depth: int = 8, seed: int = 7) -> Forest:
@@ -276,11 +295,10 @@ def fit(findings: DataFrame, words: WordModel, trees: int = 25, depth: int = 8,
     return Forest([_tree_arrays(t.toDebugString) for t in forest.trees], words)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: int = 1500,
-          seed: int = 7) -> Forest:
-    """Forest for a corpus: word model from a bounded sample, ``findings``
-    groups of seven labelled findings."""
-    model, common = fit_words(docs, id_col, text_col, seed=seed)
+def train(docs: DataFrame, text_col: str = "text", findings: int = 1500, seed: int = 7) -> Forest:
+    """Forest for a corpus: word model from all its texts, ``findings`` groups
+    of seven labelled findings."""
+    model, common = fit_words(docs, text_col)
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,22 @@ def test_scan_and_redact(spark, forest):
     assert clean.where(F.lower("text").contains(KEY)).count() == 0
 
 
+def test_words_and_pairs_of_all_texts(spark):
+    """3,000 texts, each word in three of them: none is left out."""
+    letters = "abcdefghij"
+    word = ["zq" + "".join(letters[int(c)] for c in f"{i:04d}") for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"{word[i % 1000].title()} 7 ab {'x' * 20}") for i in range(3000)] + [(9999, None)],
+                                 "doc_id bigint, text string")
+    model, common = s.fit_words(docs)
+    assert model.words == frozenset(word) and common[:2] == ["ab", "x" * 20] and len(common) == 1002
+    counts = np.ones((28, 28))
+    for text in [*word * 3, *["ab", "x" * 20] * 3000]:
+        for a, b in zip(text, text[1:], strict=False):
+            counts[s._kind(a), s._kind(b)] += 1
+    assert np.allclose(model.pairs, np.log(counts / counts.sum(axis=1, keepdims=True)))
+    assert s.fit_words(docs, min_share=0.3)[0].words == frozenset()
+
+
 def test_empty_tables_and_no_findings(spark, forest):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert s.scan(docs, forest).count() == 0 and s.redact(docs, forest).count() == 0
