@@ -1,8 +1,9 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates are found in the whole text: runs of key characters with a digit,
-and values that are assigned to a name such as ``token`` or ``password``. Each
-gets features of
+and values that are assigned to a name such as ``token`` or ``password``; an
+assigned value takes the place of the runs inside it, and one that ends within
+a run reaches to the end of that run. Each gets features of
 
 * its length and share of digits, capitals and symbols, and its entropy;
 * character transitions: mean log probability of its letter pairs under a
@@ -55,7 +56,7 @@ SECRET_NAMES = frozenset("""token secret password passwd pwd apikey api key auth
 HARMLESS_NAMES = frozenset("""commit sha md5 sha1 sha256 checksum digest hash etag revision rev id uuid guid order
     invoice phone tel call date version build serial isbn card number ref page image example sample test dummy
     placeholder""".split())
-TEST_PATHS = re.compile(r"test|example|sample|fixture|mock|doc|readme|lock", re.I)
+TEST_PATHS = re.compile(r"(?<![A-Za-z])(?:tests?|examples?|samples?|fixtures?|mocks?|docs?|readme|lock)(?![A-Za-z])", re.I)
 ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api_?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})", re.I)
 ASSIGNED_NAMES = ("token", "secret", "passw", "pwd", "api", "auth")
 FEATURES = ["length", "digits", "capitals", "symbols", "entropy", "transitions", "switches", "dictionary",
@@ -73,20 +74,23 @@ def candidates(text: str) -> list[tuple[int, int]]:
         at = RUN_RIGHT.match(text, m.start()).end()
         if at - left >= MIN_LENGTH:
             spans.append((left, at))
-    lower = text.lower() if any(n in text or n.upper() in text or n.title() in text for n in ASSIGNED_NAMES) else ""
-    if lower:
-        taken = iter([*spans, (len(text) + 1, len(text) + 1)])
-        start, end = next(taken)
-        extra = []
-        for m in ASSIGNED.finditer(text):
-            while end <= m.start(1):
-                start, end = next(taken)
-            if m.end(1) <= start:
-                extra.append(m.span(1))
-        spans = sorted(spans + extra)
+    lower = text.lower()
+    if any(n in lower for n in ASSIGNED_NAMES):
+        spans = _joined(sorted(spans + [m.span(1) for m in ASSIGNED.finditer(text)]))
     return spans
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 RUN_CHAR = [bool(re.match(rf"[{KEY_CHARS}]", chr(c))) for c in range(128)]
 
 

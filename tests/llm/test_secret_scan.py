@@ -53,6 +53,21 @@ def test_candidates_are_maximal_and_do_not_overlap():
     assert s.candidates("é1234567890123é") == [(1, 14)]
 
 
+def test_assigned_values_and_test_paths():
+    def found(text):
+        return [text[a:b] for a, b in s.candidates(text)]
+    assert found('password = "ab#cdef12345678901!xyz" and 4952935900253052') == [
+        "ab#cdef12345678901!xyz", "4952935900253052"]
+    assert found("passWord: correct#horse") == ["correct#horse"] == found("PassWord=correct#horse")
+    assert found('pwd="a1b2c3d4e5f6g7#h1i2j3k4l5m6n7" x') == ["a1b2c3d4e5f6g7#h1i2j3k4l5m6n7"]
+    # a run that begins before the value: one candidate, nothing lost
+    assert found("x1token=abcdefgh1234#zz!") == ["x1token=abcdefgh1234#zz!"]
+    for path in ("docker", "app/latest/x.py", "contest", "blocklist.txt", "clock", "sampler"):
+        assert not s.TEST_PATHS.search(path), path
+    for path in ("tests/a.py", "doc", "docs/x", "my_test.py", "README.md", "yarn.lock", "test2", "a-example"):
+        assert s.TEST_PATHS.search(path), path
+
+
 KEY = "9f8b1c04dbebab91ab85687d33eeaaf9ac699e11"
 ROWS = [(1, f'see token = "{KEY}" there', "src1"), (2, "call 4952935900253052 now", "src1"), (3, None, "src1"),
         (4, "", None), (None, f"api_key = {KEY}", None), (1, f'see token = "{KEY}" there', "src1"),
