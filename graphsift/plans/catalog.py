@@ -392,7 +392,7 @@ def q_encoded_patterns(spark, sf_dir):
     return enc.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n",
                       F.size("features_arr").alias("dim"),
                       F.array_join(F.slice(F.transform("features_arr", lambda x: x.cast("string")),
-                                           6, 1000), ",").alias("flags"))
+                                           6, F.size("features_arr")), ",").alias("flags"))
 
 
 def q_encoded_edge_patterns(spark, sf_dir):
@@ -404,7 +404,7 @@ def q_encoded_edge_patterns(spark, sf_dir):
                       F.size("features_arr").alias("dim"),
                       *[F.round(F.element_at("features_arr", i), 6).alias(f"f{i}") for i in (1, 10, 11, 15, 18)],
                       F.array_join(F.slice(F.transform("features_arr", lambda x: x.cast("string")),
-                                           19, 1000), ",").alias("flags"))
+                                           19, F.size("features_arr")), ",").alias("flags"))
 
 
 def _encoded(spark, sf_dir):

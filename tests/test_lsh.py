@@ -54,3 +54,15 @@ def test_rings_are_bounded(spark, monkeypatch):
     pairs = lsh.neighbour_pairs(enc)
     assert pairs.count() == 95 * lsh.NEIGHBOURS
     assert pairs.select("f1").distinct().count() == 95
+
+
+def test_flags_of_more_than_a_thousand_properties(make_graph, monkeypatch, spark):
+    from graphsift.plans import catalog
+    names = {f"p{i:04d}": "1" for i in range(1100)}
+    built = make_graph([(1, ["A"], names), (2, ["B"], {"p0000": "1"})],
+                       [("e1", 1, 2, "R", ["A"], ["B"], names), ("e2", 2, 1, "S", ["B"], ["A"], {"p0000": "1"})])
+    monkeypatch.setattr(catalog, "graph", lambda *_: built)
+    for query, codes in ((catalog.q_encoded_patterns, 5), (catalog.q_encoded_edge_patterns, 18)):
+        flags = sorted(r.flags.split(",") for r in query(spark, "").collect())
+        assert [len(f) for f in flags] == [1100, 1100]
+        assert sorted(sum(map(float, f)) for f in flags) == [1.0, 1100.0]
