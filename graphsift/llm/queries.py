@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsift.llm import embedding_dedup, exact_dedup, html_text, langid, packing, secret_scan, sentence_piece, simhash, toxicity, warc
+from graphsift.llm import (embedding_dedup, exact_dedup, html_text, langid, merkle, oracle_sql, packing, secret_scan,
+                           sentence_piece, simhash, toxicity, warc)
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -79,8 +80,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_digest([*[F.col(c) for c in fields[:-1]], merkle.lower_a_to_z(F.col("text"))])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    out = merkle.manifest(table(spark, sf_dir, "documents"), fields, claim=F.when(chosen, tampered))
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("claim", "leaf")))
+    return out.select("doc_id", *[merkle.hex_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+                      merkle.proof_digest().alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == merkle.hex_of(F.col("root"))).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op6_sentence_piece, op7_packing, op8_secret_scan, op9_toxicity, op10_exact_dedup)}
+    op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op6_sentence_piece, op7_packing,
+    op8_secret_scan, op9_toxicity, op10_exact_dedup, op12_merkle)}
 
 ORACLES = {
     "op10_exact_dedup": """
@@ -89,4 +102,5 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op12_merkle": oracle_sql.MERKLE,
 }
