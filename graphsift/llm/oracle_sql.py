@@ -70,3 +70,42 @@ folded AS (
                        coalesce(b.tampered, b.leaf)) AS folded_root
     FROM base b JOIN tops t ON t.lang IS NOT DISTINCT FROM b.lang LEFT JOIN proofs p ON p.doc_id = b.doc_id)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+_RUN_BYTES = """list_transform(string_split(doc_id::VARCHAR || ':', ''), lambda x: ascii(x)::BIGINT) ||
+    flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+                           ELSE [(192 + unicode(x) // 64)::BIGINT, (128 + unicode(x) % 64)::BIGINT] END))"""
+
+#: Near words by what is left of a word without one character; roots by recursion over forms.
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]{{7,}}')) AS run
+    FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+hashed AS (SELECT *, {crc32(_RUN_BYTES)} AS h FROM counted),
+changed AS (
+    SELECT times, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+    FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+rests AS (
+    SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+    SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn
+    FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word
+    UNION
+    SELECT a.word, a.n, b.word, b.n FROM rests a JOIN words b ON a.rest = b.word),
+near AS (SELECT a AS word, an AS n, b AS other, bn AS m FROM pairs UNION ALL SELECT b, bn, a, an FROM pairs),
+best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m
+    FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN b.other END AS form,
+           CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+    SELECT word, word AS at, 0 AS step FROM forms
+    UNION ALL
+    SELECT walk.word, f.form, step + 1 FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, arg_max(walk.at, walk.step) AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word GROUP BY ALL"""

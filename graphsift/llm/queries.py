@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphsift.llm import (embedding_dedup, exact_dedup, html_text, langid, merkle, oracle_sql, packing, secret_scan,
-                           sentence_piece, simhash, toxicity, warc)
+                           sentence_piece, simhash, spelling, toxicity, warc)
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -91,9 +91,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("folded_root") == merkle.hex_of(F.col("root"))).alias("verified"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, change=spelling.drop_one(31))
+    return spelling.variants(words, min_length=7, times=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op6_sentence_piece, op7_packing,
-    op8_secret_scan, op9_toxicity, op10_exact_dedup, op12_merkle)}
+    op8_secret_scan, op9_toxicity, op10_exact_dedup, op12_merkle, op13_spelling)}
 
 ORACLES = {
     "op10_exact_dedup": """
@@ -103,4 +108,5 @@ ORACLES = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
     "op12_merkle": oracle_sql.MERKLE,
+    "op13_spelling": oracle_sql.SPELLING,
 }

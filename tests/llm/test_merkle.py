@@ -68,20 +68,13 @@ ROWS = [*[(i, f"s{i % 3}", "hot", i, f"Text {i}") for i in range(600)],      # o
         (1, "s", "long", 9, "x" * 300_000)]
 
 
-@pytest.mark.parametrize("fanout", [8, 2, 3])
-def test_against_brute_force(spark, fanout):
-    assert result(merkle.manifest(frame(spark, ROWS), FIELDS, fanout=fanout)) == brute(ROWS, fanout)
+#: Groups of one row, of whole and of partial runs and levels.
+EVEN = [(i, "s", f"n{n}", i, "t") for n in (1, 7, 8, 9, 64, 65) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 64, 65])
-def test_whole_and_partial_runs(spark, n):
-    rows = [(i, "s", "en", i, "t") for i in range(n)]
-    assert result(merkle.manifest(frame(spark, rows, 2), FIELDS)) == brute(rows, 8)
-
-
-def test_same_for_any_partitions(spark):
-    a, b = (result(merkle.manifest(frame(spark, ROWS, n), FIELDS)) for n in (1, 7))
-    assert a == b
+@pytest.mark.parametrize("rows, fanout, parts", [(ROWS, 8, 1), (ROWS, 3, 7), (EVEN, 8, 2), (EVEN[:1], 8, 1)])
+def test_against_brute_force(spark, rows, fanout, parts):
+    assert result(merkle.manifest(frame(spark, rows, parts), FIELDS, fanout=fanout)) == brute(rows, fanout)
 
 
 def test_empty_table(spark):
