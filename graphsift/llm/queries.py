@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphsift.llm import (embedding_dedup, exact_dedup, html_text, langid, merkle, oracle_sql, packing, secret_scan,
-                           sentence_piece, simhash, spelling, toxicity, warc)
+                           sentence_piece, simhash, spelling, token_files, toxicity, warc)
 from graphsift.llm.common import table
 from graphsift.session import shared_path
 
@@ -80,6 +80,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     tampered = merkle.leaf_digest([*[F.col(c) for c in fields[:-1]], merkle.lower_a_to_z(F.col("text"))])
@@ -98,7 +106,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_language_id, op3_warc, op4_embedding_dedup, op5_html_text, op6_sentence_piece, op7_packing,
-    op8_secret_scan, op9_toxicity, op10_exact_dedup, op12_merkle, op13_spelling)}
+    op8_secret_scan, op9_toxicity, op10_exact_dedup, op11_token_files, op12_merkle, op13_spelling)}
 
 ORACLES = {
     "op10_exact_dedup": """

@@ -62,7 +62,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(word, n): lower-cased (A-Z) runs of letters with at least ``min_length``
     code points and ``min_count`` occurrences in all texts. ``change`` maps
     (id, run) to the word that the run stands for, which must not be longer."""
-    runs = F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(f"[{LETTERS}]{{{min_length},}}+"), F.lit(0))
+    run = f"[{LETTERS}]{{{min_length},}}+"
+    runs = F.regexp_extract_all(F.translate(F.col(text_col), UPPER, LOWER), F.lit(run), F.lit(0))
     found = docs.select(F.col(id_col).alias("id"), F.explode(runs).alias("run"))
     word = F.col("run") if change is None else change(F.col("id"), F.col("run"))
     return (found.select(word.alias("word")).where(F.char_length("word") >= min_length)
@@ -138,14 +139,15 @@ def near_pairs(words: DataFrame, min_length: int = 7, q_min: int = 2, q_max: int
     def entries(batch: list[str]) -> list[tuple]:
         return [index_entry(w, grams.value, q_min, q_max) for w in batch]
 
-    indexed = map_texts(words, "word", "word", entries, "lists array<string>, places array<int>, grams array<string>, need int",
-                        4096, keep=["n"])
+    out = "lists array<string>, places array<int>, grams array<string>, need int"
+    indexed = map_texts(words, "word", "word", entries, out, 4096, keep=["n"])
     index = cut_lineage(indexed.select("word", "n", F.char_length("word").alias("len"), "grams", "need",
                                        F.explode(F.arrays_zip("lists", "places")).alias("at"))
                         .select("word", "n", "grams", "need", "len", F.col("at.lists").alias("gram"),
                                 F.col("at.places").alias("place")))
+    named = [F.col(c).alias(f"l_{c}") for c in ("gram", "len", "place")]
     long_lists = cut_lineage(index.groupBy("gram", "len", "place").agg(F.count("*").alias("c"))
-                             .where(F.col("c") > max_list).select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "len", "place")]))
+                             .where(F.col("c") > max_list).select(*named))
     row = ["word", "n", "grams", "need"]
     left = index.select(*row, "gram", "len", "place", F.lit(None).cast("boolean").alias("longer"))
     # The other word of a pair is as long, or longer by one and its gram at the same place or one on.
@@ -159,10 +161,9 @@ def near_pairs(words: DataFrame, min_length: int = 7, q_min: int = 2, q_max: int
     once = F.col("b_longer") | (F.col("a_word") < F.col("b_word"))
     enough = F.size(F.array_intersect("a_grams", "b_grams")) >= F.greatest("a_need", "b_need")
     near = F.levenshtein("a_word", "b_word", 1) == 1
-    out = (a.join(b, same_list[0] & same_list[1] & same_list[2] & same_list[3] & once & enough & near)
-           .select(F.col("a_word").alias("a"), F.col("a_n").alias("an"), F.col("b_word").alias("b"), F.col("b_n").alias("bn"))
-           .distinct())
-    return out
+    met = a.join(b, same_list[0] & same_list[1] & same_list[2] & same_list[3] & once & enough & near)
+    return met.select(F.col("a_word").alias("a"), F.col("a_n").alias("an"), F.col("b_word").alias("b"),
+                      F.col("b_n").alias("bn")).distinct()
 
 
 def _deal_out(rows: DataFrame, long_lists: DataFrame) -> DataFrame:
@@ -177,7 +178,8 @@ def _deal_out(rows: DataFrame, long_lists: DataFrame) -> DataFrame:
     cuts = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.concat(
         F.when(F.coalesce("longer", F.lit(False)), F.lit("")).otherwise(i.cast("string")),
         F.lit(":"), F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.char_length("word"))))
-    whole = F.when(F.col("longer").isNull(), F.array(F.concat(F.lit(":"), "word"))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.col("longer").isNull(), F.array(F.concat(F.lit(":"), "word")))
+    whole = whole.otherwise(F.array().cast("array<string>"))
     parts = F.when(F.col("l_gram").isNull(), F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(cuts, whole)))
     return flagged.select(*rows.columns, F.explode(parts).alias("part"))
 
@@ -188,8 +190,8 @@ def roots(forms: DataFrame) -> DataFrame:
     current = cut_lineage(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     while not current.where("moved").isEmpty():
         on = current.select(F.col("word").alias("next"), F.col("root").alias("further"))
-        moved = cut_lineage(current.join(on, F.col("root") == F.col("next"), "left")
-                            .select("word", F.coalesce("further", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = cut_lineage(current.join(on, F.col("root") == F.col("next"), "left").select(
+            "word", F.coalesce("further", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         drop_table(current)
         current = moved
     return current.select("word", "root")
@@ -202,11 +204,12 @@ def variants(words: DataFrame, min_length: int = 7, times: int = 10, **settings)
     pairs = near_pairs(words, min_length, **settings)
     both = pairs.select(F.col("a").alias("w"), F.col("b").alias("other"), F.col("bn").alias("m")).unionByName(
         pairs.select(F.col("b").alias("w"), F.col("a").alias("other"), F.col("an").alias("m")))
-    best = both.groupBy("w").agg(F.count("*").alias("near"), F.min(F.struct((-F.col("m")).alias("minus"), "other")).alias("best"))
+    best = both.groupBy("w").agg(F.count("*").alias("near"),
+                                 F.min(F.struct((-F.col("m")).alias("minus"), "other")).alias("best"))
     chosen = -F.col("best.minus") >= times * F.col("n")
     named = cut_lineage(words.join(best, F.col("word") == F.col("w"), "left").select(
-        "word", "n", F.coalesce("near", F.lit(0)).cast("bigint").alias("n_near"), F.when(chosen, F.col("best.other")).alias("form"),
-        F.when(chosen, -F.col("best.minus")).alias("form_n")))
+        "word", "n", F.coalesce("near", F.lit(0)).cast("bigint").alias("n_near"),
+        F.when(chosen, F.col("best.other")).alias("form"), F.when(chosen, -F.col("best.minus")).alias("form_n")))
     last = roots(named.where("form IS NOT NULL").select("word", "form")).select(F.col("word").alias("r"), "root")
     return named.join(last, F.col("word") == F.col("r"), "left").select(
         "word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

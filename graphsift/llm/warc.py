@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition,
                                     IsNotNull, StringStartsWith, WriterCommitMessage)
 
-from graphsift.llm.common import lookup
+from graphsift.llm.common import filesystem, lookup
 
 SCHEMA = """warc_type string, page_id bigint, record_id string, refers_to bigint, target_uri string,
     payload_bytes bigint, payload_digest string, payload binary"""
@@ -52,15 +52,6 @@ MANIFEST = "manifest.json"
 FILE_NAME = "part-{:05d}-{}-{:04d}.warc.gz"
 
 
-def _filesystem(path: str):
-    """(pyarrow file system, path in it) of any URI or plain path."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 # ---- records ----
 
 def record_id(page_id: int | None, sha1: bytes) -> str:
@@ -202,7 +193,7 @@ class WarcReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
             names = json.loads(stream.read())
         return [InputPartition(f"{self.path}/{n}") for n in names] or [InputPartition("")]
@@ -217,7 +208,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.value:
             return
-        files, path = _filesystem(partition.value)
+        files, path = filesystem(partition.value)
         with files.open_input_file(path) as stream:
             for row in read_records(stream, self._accept, self.with_payload):
                 yield tuple(row[c] for c in self.columns)
@@ -235,7 +226,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
         date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -257,7 +248,7 @@ class WarcWriter(DataSourceArrowWriter):
         return message
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, root = _filesystem(self.path)
+        files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
         with files.open_output_stream(f"{root}/{MANIFEST}") as stream:
             stream.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
