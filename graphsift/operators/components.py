@@ -9,7 +9,10 @@ when a round changes nothing; there is no round cap that could hand out
 unfinished labels.
 
 Each round is cut into a table of the shared folder, so lineage stays short
-and a lost executor costs one round.
+and a lost executor costs one round. The minima of a round are a table of their
+own, too: both sides of the joins with them are then plain exchanges, whose
+large partitions adaptive execution splits, so a vertex with any share of the
+edges does not stay in one task.
 """
 
 from __future__ import annotations
@@ -21,23 +24,25 @@ from graphsift.session import cut_lineage, drop_table
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
-    """Smallest neighbour-or-self per vertex ``u`` of directed pairs (u, v)."""
-    return (pairs.groupBy("u").agg(F.min("v").alias("m"))
-            .select(F.col("u").alias("mu"), F.least("u", "m").alias("m")))
+    """Smallest neighbour-or-self per vertex ``u`` of directed pairs (u, v), as a table."""
+    return cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m"))
+                       .select(F.col("u").alias("mu"), F.least("u", "m").alias("m")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").unionByName(
         edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    used.append(_minima(both))
     return (both.where(F.col("v") > F.col("u"))
-            .join(_minima(both), F.col("u") == F.col("mu"))
+            .join(used[-1], F.col("u") == F.col("mu"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``edges`` point from the larger to the smaller id (u > v)."""
+def _small_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """``edges``, a table, point from the larger to the smaller id (u > v)."""
     mins = _minima(edges)
+    used.append(mins)
     moved = (edges.join(mins, F.col("u") == F.col("mu"))
              .where(F.col("v") != F.col("m"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -58,9 +63,11 @@ def component_roots(edges: DataFrame) -> DataFrame:
         new_state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new_state == state or new_state[0] == 0:
             break
-        state, old = new_state, current
-        current = cut_lineage(_small_star(_large_star(old)))
-        drop_table(old)
+        state, used = new_state, [current]
+        used.append(cut_lineage(_large_star(current, used)))
+        current = cut_lineage(_small_star(used[-1], used))
+        for table in used:
+            drop_table(table)
     members = current.select(F.col("u").alias("id"), F.col("v").alias("root"))
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return members.unionByName(roots)
