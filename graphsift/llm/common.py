@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphsift.operators.joins import broadcast_if_small
 from graphsift.session import cut_lineage
 
 
@@ -27,12 +30,59 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
-def lookup(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """The lookup side of a join, cut and counted: broadcast up to ``max_rows``
-    rows (of some 200 bytes: 40 MB); beyond that a shuffle join, whose hot keys
-    adaptive execution splits. The rows are the same either way."""
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+def lookup(df: DataFrame) -> DataFrame:
+    """The lookup side of a join, cut and measured: broadcast up to
+    ``BROADCAST_MAX_BYTES``; beyond that a shuffle join, whose hot keys adaptive
+    execution splits. The rows are the same either way."""
+    return broadcast_if_small(cut_lineage(df))
+
+
+def by_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` back inside tasks, broadcast once.
+
+    Spark pickles broadcast objects by reference to their classes, which the
+    workers of a cluster without this package cannot import; here the classes
+    travel with the object. It is unpickled once a task.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get() -> object:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
+def spanning_forest(max_held: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over pairs (a, b): edges (a, b) that connect what the
+    task's pairs connect, fewer than it has vertices. Dense groups of pairs
+    shrink to a tree before anything is shuffled; at most about ``max_held``
+    vertices are held at once."""
+    def edges(parent: dict[int, int]) -> pa.RecordBatch:
+        rest = [(v, p) for v, p in parent.items() if v != p]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rest], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent[up]
+            return v
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > max_held:
+                yield edges(parent)
+                parent.clear()
+        yield edges(parent)
+
+    return run
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[list], list],

@@ -6,23 +6,31 @@ Every DOM node gets a density: its characters per tag, adjusted for links,
 
 with C, T, LC, LT the characters, tags, link characters and link tags below
 the node and Cb, LCb those of the body (zero counts as one). A node's density
-sum adds the densities of its children, a text run counting its length. The
-node with the largest sum holds the article. The smallest density on the path
-from the body to it is the threshold; every other node that reaches it
-contributes its own largest-sum subtree, so an article in several sections is
-found whole. A subtree inside an ``article`` element is widened to it.
+sum adds the densities of its children, a text run counting its length; the
+body counts its own text runs only, so it is chosen where these are the page.
+The node with the largest sum is the article: menus lose by their links, the
+rest of the page by its few characters. A paragraph stands for the element
+around it, and what lies inside an ``article`` element for that element.
 
-Elements that are never article text go first: scripts, styles, forms, menus,
-headers outside an article, footers, sidebars, notices, adverts and comment
-sections, told by element name, role, or words of class and id.
+The path from the body to that node gives the thresholds for articles in
+several parts: another subtree is kept with it if its density is not below the
+smallest density on the path and its density sum not below the smallest sum.
+
+Element lists do what density cannot: scripts, styles, forms, hidden elements
+and comment sections are no text at all; elements named as page furniture
+(menus, footers, sidebars, headers outside an article) are not chosen; and these
+and what is marked as furniture by role, class or id (adverts, notices) is left
+out inside the chosen subtree.
 
 Text assembly: character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined in page order by a line feed.
 
 Edge cases: a null or empty page, and one without any text, gives the empty
 string; unclosed and stray tags, unclosed comments and quotes are read to the
-end of the page; pages are read whole, in time linear in their length; null
-and repeated ids are kept row by row; extra columns are not read.
+end of the page; pages are read whole, in time linear in their length (open
+elements are looked up by name, not searched for); of equal density sums the
+first in page order wins; null and repeated ids are kept row by row; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +56,10 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 NEVER = frozenset("""head script style noscript template iframe object svg canvas form button select textarea
-    nav menu footer aside dialog title noframes""".split())
+    title noframes""".split())
+NOT_CHOSEN = frozenset("nav menu footer aside dialog".split())
+WHOLE = frozenset("#page html body".split())
+PARAGRAPH = frozenset("address blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre td th".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = frozenset("ul ol dl table body html article section div".split())
@@ -69,37 +80,30 @@ class _Page:
         self.events: list[tuple[int, str | None]] = []   # (node, text), or (node, None) at a block edge
         self._parse(html)
 
-    def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
-        if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):      # a block ends an open paragraph
-                name = self.tag[stack[depth]]
-                if name == "p":
-                    del stack[depth:]
-                    break
-                if name in BLOCK:
-                    break
-        ends = CLOSED_BY.get(tag)
-        if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[depth]]
-                if name in ends:
-                    del stack[depth:]
-                    if tag != "tr" or name == "tr":
-                        break
-                elif name in SCOPE:
-                    break
+    def _open(self, tag: str, attrs: str, stack: _Stack) -> int:
+        if tag in BLOCK and stack.blocks and self.tag[stack.nodes[stack.blocks[-1]]] == "p":
+            stack.cut(stack.blocks[-1])     # a block ends an open paragraph
+        ends = CLOSED_BY.get(tag, ())
+        while ends:
+            depth = max((stack.depth(name) for name in ends), default=0)
+            if depth <= (stack.scopes[-1] if stack.scopes else 0):
+                break
+            name = self.tag[stack.nodes[depth]]
+            stack.cut(depth)
+            if tag != "tr" or name == "tr":
+                break
         self.tag.append(tag)
-        self.parent.append(stack[-1])
+        self.parent.append(stack.nodes[-1])
         self.attrs.append(attrs)
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
-        stack, pos, end = [0], 0, len(html)
+        stack, pos, end = _Stack(self.tag), 0, len(html)
         while pos < end:
             m = TOKEN.search(html, pos)
             if m is None or m.start() > pos:
                 text = html[pos:m.start() if m else end]
-                self.events.append((stack[-1], text))
+                self.events.append((stack.nodes[-1], text))
             if m is None:
                 break
             pos = m.end()
@@ -112,25 +116,57 @@ class _Page:
                 continue
             node = self._open(tag, m[3] or m[6] or "", stack)
             if tag in BLOCK:
-                self.events.append((stack[-1], None))
+                self.events.append((stack.nodes[-1], None))
             elif tag == "br":
-                self.events.append((stack[-1], " "))
+                self.events.append((stack.nodes[-1], " "))
             if tag in RAW:
                 stop = re.compile(f"</{re.escape(tag)}", re.I).search(html, pos)
                 pos = stop.start() if stop else end
             if tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/") or tag in RAW:
-                stack.append(node)
+                stack.push(node)
+
+    def _close(self, tag: str, stack: _Stack) -> None:
+        depth = stack.depth(tag)
+        if not depth or tag not in BLOCK and stack.blocks and stack.blocks[-1] > depth:
+            return       # never opened, or an inline end tag, which doesn't close blocks
+        if tag in BLOCK:
+            self.events.append((stack.nodes[depth], None))
+        stack.cut(depth)
+
+
+class _Stack:
+    """Open elements, and at which depths those of each name, blocks and
+    scopes are: nothing is found by walking down the stack."""
 
-    def _close(self, tag: str, stack: list[int]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[depth]]
-            if name == tag:
-                if tag in BLOCK:
-                    self.events.append((stack[depth], None))
-                del stack[depth:]
-                return
-            if name in BLOCK and tag not in BLOCK:
-                return       # an inline end tag doesn't close blocks
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes = tags, [0]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def depth(self, tag: str) -> int:
+        """Of the innermost open element of that name; 0 if there is none."""
+        found = self.at.get(tag)
+        return found[-1] if found else 0
+
+    def push(self, node: int) -> None:
+        tag, depth = self.tags[node], len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
+        if tag in SCOPE:
+            self.scopes.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.nodes) > depth:
+            tag = self.tags[self.nodes.pop()]
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in SCOPE:
+                self.scopes.pop()
 
 
 def _marks(attrs: str) -> tuple[set[str], str, bool]:
@@ -149,25 +185,26 @@ def _marks(attrs: str) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-def _furniture(page: _Page) -> list[bool]:
-    """Per node: is it, or lies it in, an element that is no article text?"""
+def _told_apart(page: _Page) -> tuple[list[bool], list[bool], list[bool]]:
+    """Per node: lies it in an element that is no text; in one that is not
+    chosen by its name; is it furniture itself, by name, role, class or id?"""
     n = len(page.tag)
     holds = [t in ("article", "main", "h1") for t in page.tag]
     for i in range(n - 1, 0, -1):
         holds[page.parent[i]] |= holds[i]
-    out, in_article = [False] * n, [False] * n
+    drop, named, marked, in_article = [False] * n, [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, tag = page.parent[i], page.tag[i]
         in_article[i] = in_article[up] or tag == "article"
-        if out[up] or tag in NEVER or tag == "header" and not in_article[i]:
-            out[i] = True
-        elif page.attrs[i].strip(" /") and tag not in ("html", "body", "main"):
+        drop[i] = drop[up] or tag in NEVER
+        by_name = tag in NOT_CHOSEN or tag == "header" and not in_article[i]
+        named[i], marked[i] = named[up] or by_name, by_name
+        if not drop[i] and page.attrs[i].strip(" /") and tag not in ("html", "body", "main"):
             words, role, hidden = _marks(page.attrs[i])
-            told = bool(words & FURNITURE) or role in ROLES or hidden
-            own = tag in ("article", "h1")
-            out[i] = (told and not holds[i] or bool(words & COMMENTS) and (not holds[i] or own and in_article[up])
-                      or own and bool(words & COMMENTS))
-    return out
+            own, comments = tag in ("article", "h1"), bool(words & COMMENTS)
+            drop[i] = hidden and not holds[i] or comments and (not holds[i] or own)
+            marked[i] |= not holds[i] and (bool(words & FURNITURE) or role in ROLES)
+    return drop, named, marked
 
 
 def _densities(page: _Page, drop: list[bool], text_len: list[int]) -> tuple[list[float], list[float]]:
@@ -193,7 +230,7 @@ def _densities(page: _Page, drop: list[bool], text_len: list[int]) -> tuple[list
         c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
         base = log(c / max(1, c - link_chars[i]) * link_chars[i] + ratio * c + e)
         density[i] = c / t * max(0.0, log(c / lc * t / lt)) / max(log(base), LEAST_LOG)
-        if i:
+        if i and page.tag[page.parent[i]] not in WHOLE:
             sums[page.parent[i]] += density[i]
     return density, sums
 
@@ -203,7 +240,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
-    drop = _furniture(page)
+    drop, named, marked = _told_apart(page)
     n = len(page.tag)
     text_len, texts = [0] * n, []
     for node, text in page.events:
@@ -212,32 +249,33 @@ def main_text(html: str | None) -> str:
         if plain and not drop[node]:
             text_len[node] += len(" ".join(plain.split()))
     density, sums = _densities(page, drop, text_len)
-    live = [i for i in range(n) if not drop[i]]
+    live = [i for i in range(n) if not drop[i] and not named[i]]
     best = max(live, key=lambda i: (sums[i], -i))
     if sums[best] <= 0:
         return ""
 
-    threshold, at = density[best], best
-    while at > 0 and page.tag[at] != "body":
+    # Thresholds of the path; the body's sum here is that of its children, as of any node.
+    path, at = [best], best
+    while page.tag[at] not in WHOLE:
         at = page.parent[at]
-        if density[at] > 0:
-            threshold = min(threshold, density[at])
-    top = list(range(n))                    # per node: the node of largest sum in its subtree
-    for i in range(n - 1, 0, -1):
+        path.append(at)
+    dense = min(density[i] for i in path if density[i] > 0) if any(density[i] > 0 for i in path) else 0.0
+    whole = sum(density[i] for i in live if page.parent[i] == at)
+    least = min([whole, *[sums[i] for i in path if page.tag[i] not in WHOLE]])
+    parts = [i for i in live if dense > 0 and density[i] >= dense and sums[i] >= least and page.tag[i] not in WHOLE]
+
+    # Per node: the outermost article element around it, else the element it stands for.
+    article, home = [0] * n, list(range(n))
+    for i in range(1, n):
         up = page.parent[i]
-        if not drop[i] and sums[top[i]] > sums[top[up]]:
-            top[up] = top[i]
-    chosen = {best} | {top[i] for i in live if density[i] >= threshold > 0}
+        article[i] = article[up] or (i if page.tag[i] == "article" else 0)
+        if page.tag[up] not in WHOLE and (page.tag[i] in PARAGRAPH or page.tag[i] not in BLOCK):
+            home[i] = home[up]
     kept = [False] * n
-    for i in chosen:
-        at, wide = i, i
-        while at > 0:
-            if page.tag[at] == "article":
-                wide = at
-            at = page.parent[at]
-        kept[wide] = True
+    for i in [best, *parts]:
+        kept[article[i] or home[i]] = True
     for i in range(1, n):
-        kept[i] = not drop[i] and (kept[i] or kept[page.parent[i]])
+        kept[i] = not drop[i] and (kept[i] or kept[page.parent[i]] and not marked[i])
 
     blocks, current = [], []
     for (node, _), plain in zip(page.events, texts, strict=True):

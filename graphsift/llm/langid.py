@@ -10,9 +10,9 @@ minus the cosine) to that centroid exceeds ``slack`` times the distance that
 all but a share ``reject_quantile`` of the centroid's own training texts keep:
 it is far from everything that was learned.
 
-The model is fitted on at most ``max_per_lang`` labelled texts per language,
-the ones with the smallest id hash, each read whole; everything else covers
-all rows.
+Document frequencies are counted over all texts with a label, as one partial
+vector a task. The centroids are fitted on at most ``max_per_lang`` labelled
+texts per language, the ones with the smallest id hash, each read whole.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0;
 without labelled rows every text is; ties between centroids go to the
@@ -23,14 +23,16 @@ are kept; extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphsift.llm.common import map_texts
+from graphsift.llm.common import by_value, in_slices, map_texts
 
 DIM = 1 << 12
 UNKNOWN = "und"
@@ -98,6 +100,24 @@ def _k_means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 2
     return centres
 
 
+def document_frequencies(texts: DataFrame, text_col: str = "text", dim: int = DIM) -> tuple[int, np.ndarray]:
+    """Number of all texts, and of those that hold each hashed n-gram."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(dim + 1, np.int64)      # the last one counts texts
+        for batch in in_slices(batches, 256):
+            for text in batch.column(0).to_pylist():
+                seen[:dim] += counts(text, dim) > 0
+            seen[dim] += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "n"])
+
+    out = np.zeros(dim + 1, np.int64)
+    found = texts.select(F.col(text_col)).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    for r in found.collect():       # at most dim + 1 rows
+        out[r["gram"]] = r["n"]
+    return int(out[dim]), out[:dim]
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         max_per_lang: int = 400, clusters: int = 4, reject_quantile: float = 0.01, slack: float = 1.25,
         seed: int = 7) -> LanguageModel:
@@ -122,7 +142,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                       "tf binary", 64).collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["tf"])))
     tf = np.stack([np.frombuffer(r["tf"], "<i4") for r in found]).astype(np.float32)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
+    total, seen = document_frequencies(has_text, text_col)
+    idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(1)
     rows, names = _unit(np.log1p(tf) * idf), np.array([r["lang"] for r in found])
     rng = np.random.default_rng(seed)
     langs, centroids, reach = [], [], []
@@ -140,6 +161,6 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, id_col, text_col, lambda texts: shared.value.predict(texts),
+    shared = by_value(docs.sparkSession, model)
+    return map_texts(docs, id_col, text_col, lambda texts: shared().predict(texts),
                      "lang_pred string, score double, rejected boolean", 256)

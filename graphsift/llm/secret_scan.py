@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsift.llm.common import id_and, in_slices, to_arrow
+from graphsift.llm.common import by_value, id_and, in_slices, to_arrow
 from graphsift.session import cut_lineage
 
 MIN_LENGTH, MAX_LENGTH = 12, 4096
@@ -328,7 +328,7 @@ def _found(text: str | None, path: str | None, forest: Forest) -> tuple[list[tup
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text",
          path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """(id, start, end, candidate, score, is_secret): one row per candidate."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = by_value(docs.sparkSession, forest)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL(
         "start bigint, end bigint, candidate string, score double, is_secret boolean").fields])
@@ -339,7 +339,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             ids, texts, *paths = [c.to_pylist() for c in batch.columns]
             rows = []
             for key, text, path in zip(ids, texts, paths[0] if paths else [""] * len(ids), strict=True):
-                spans, scores = _found(text, path, shared.value)
+                spans, scores = _found(text, path, shared())
                 rows += [(key, s, e, text[s:e], float(p), bool(p >= threshold))
                          for (s, e), p in zip(spans, scores, strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
@@ -353,7 +353,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
            threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every accepted finding in ``text_col`` replaced by
     ``mark``; all rows and all other columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = by_value(docs.sparkSession, forest)
     at, path_at = docs.columns.index(text_col), docs.columns.index(path_col) if path_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +362,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
             paths = batch.column(path_at).to_pylist() if path_at is not None else [""] * len(texts)
             out = []
             for text, path in zip(texts, paths, strict=True):
-                spans, scores = _found(text, path, shared.value)
+                spans, scores = _found(text, path, shared())
                 parts, last = [], 0
                 for (s, e), p in zip(spans, scores, strict=True):
                     if p >= threshold:

@@ -11,7 +11,9 @@ fingerprints with at most ``max_bits`` differing bits agree on at least
 blocks finds every such pair. With 6 blocks and 3 bits this is 20 keys of
 about 32 bits: random pairs meet 20 / 2^32 of the time, so candidates stay far
 below one per row even for billions of rows. The Hamming distance is part of
-the join condition, so the join emits verified links only.
+the join condition, so the join emits verified links only. Of these each task
+hands on a spanning forest: a dense group of near copies is joined pair by
+pair, but becomes a tree before anything is shuffled.
 
 Equal fingerprints collapse to one vertex before the join: copies cost one
 map-side combined row per task, never a pair.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.llm.common import lookup, map_texts, whole_row
+from graphsift.llm.common import lookup, map_texts, spanning_forest, whole_row
 from graphsift.operators.components import component_roots
 from graphsift.session import cut_lineage
 
@@ -76,7 +78,8 @@ def block_masks(blocks: int = 6, max_bits: int = 3) -> list[int]:
 
 def close_pairs(distinct: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints (column ``fp``) with
-    1 to ``max_bits`` differing bits, found by the block join."""
+    1 to ``max_bits`` differing bits, found by the block join; a pair comes
+    once for each key that it shares."""
     masks = block_masks(blocks, max_bits)
     keyed = distinct.select("fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
@@ -86,7 +89,7 @@ def close_pairs(distinct: DataFrame, max_bits: int = 3, blocks: int = 6) -> Data
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return (left.join(right, (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2"))
                       & (F.col("a") < F.col("b")) & near)
-            .select("a", "b").distinct())
+            .select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -95,10 +98,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by links of at most ``max_bits`` differing bits."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    roots = component_roots(close_pairs(distinct, max_bits, blocks))
+    roots = component_roots(close_pairs(distinct, max_bits, blocks).mapInArrow(spanning_forest(), "a bigint, b bigint"))
     groups = (distinct.join(roots, distinct["fp"] == roots["id"], "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    smallest = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = cut_lineage(groups.groupBy("root").agg(F.min("first_id").alias("component_id")))  # hot roots are split
     named = groups.join(smallest, "root").select(F.col("fp").alias("fp_key"), "component_id")
     return fps.join(named, fps["fp"] == named["fp_key"]).select(id_col, "fp", "component_id")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.llm.common import in_slices, map_texts
+from graphsift.llm.common import by_value, in_slices, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
@@ -224,21 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade, toxic) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(docs.sparkSession, model)
     known: dict[str, tuple[int, ...]] = {}      # travels empty; filled and dropped with each task
-    return map_texts(docs, id_col, text_col, lambda texts: [shared.value.predict(t, known) for t in texts],
+    return map_texts(docs, id_col, text_col, lambda texts: [shared().predict(t, known) for t in texts],
                      "severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are toxic; all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = by_value(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in in_slices(batches):
-            clean = [not shared.value.predict(t, known)[2] for t in batch.column(at).to_pylist()]
+            clean = [not shared().predict(t, known)[2] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
