@@ -262,7 +262,8 @@ def main_text(html: str | None) -> str:
     dense = min(density[i] for i in path if density[i] > 0) if any(density[i] > 0 for i in path) else 0.0
     whole = sum(density[i] for i in live if page.parent[i] == at)
     least = min([whole, *[sums[i] for i in path if page.tag[i] not in WHOLE]])
-    parts = [i for i in live if dense > 0 and density[i] >= dense and sums[i] >= least and page.tag[i] not in WHOLE]
+    above = set(path)
+    parts = [i for i in live if dense > 0 and density[i] >= dense and sums[i] >= least and i not in above]
 
     # Per node: the outermost article element around it, else the element it stands for.
     article, home = [0] * n, list(range(n))
