@@ -14,7 +14,8 @@ around it, and what lies inside an ``article`` element for that element.
 
 The path from the body to that node gives the thresholds for articles in
 several parts: another subtree is kept with it if its density is not below the
-smallest density on the path and its density sum not below the smallest sum.
+smallest density on the path and its density sum not below the smallest sum
+of the path's nodes that branch.
 
 Element lists do what density cannot: scripts, styles, forms, hidden elements
 and comment sections are no text at all; elements named as page furniture
@@ -254,15 +255,16 @@ def main_text(html: str | None) -> str:
     if sums[best] <= 0:
         return ""
 
-    # Thresholds of the path; the body's sum here is that of its children, as of any node.
     path, at = [best], best
     while page.tag[at] not in WHOLE:
         at = page.parent[at]
         path.append(at)
-    dense = min(density[i] for i in path if density[i] > 0) if any(density[i] > 0 for i in path) else 0.0
-    whole = sum(density[i] for i in live if page.parent[i] == at)
-    least = min([whole, *[sums[i] for i in path if page.tag[i] not in WHOLE]])
-    above = set(path)
+    above, inside = set(path), {i: [] for i in path}        # sums of the path's nodes, child by child
+    for i in live:
+        if page.parent[i] in above and density[i] > 0:
+            inside[page.parent[i]].append(density[i])
+    dense = min((density[i] for i in path if density[i] > 0), default=0.0)
+    least = min([sums[best], *[sum(inside[i]) for i in path[1:] if len(inside[i]) > 1]])   # where the path branches
     parts = [i for i in live if dense > 0 and density[i] >= dense and sums[i] >= least and i not in above]
 
     # Per node: the outermost article element around it, else the element it stands for.
