@@ -2,10 +2,12 @@
 
 A document is its token ids and one end id. Its attention cost inside a
 sequence is estimated as ``length + length^2 / capacity``: a linear part for
-the dense layers and a quadratic one for attention within the document. Whole
-runs of ``capacity`` ids become sequences of their own; what is left of the
-documents is assigned, longest first, to the sequence that has the lowest cost
-so far and room left, cut where the room ends.
+the dense layers and a quadratic one for attention within the document.
+Documents shorter than a sequence are assigned whole, longest first, to the
+sequence that has the lowest cost so far among those with room for them. Of
+longer documents, which have to be cut, whole runs of ``capacity`` ids become
+sequences of their own; their rests, and short documents that had room nowhere,
+then fill what is left of the sequences, lowest cost first.
 
 The room is planned to the token: ``total // capacity`` full sequences and,
 for the rest, one short sequence per set bit of ``total % capacity``. A
@@ -23,7 +25,8 @@ special-token strings are encoded by the same vocabulary and merge ranks in
 ``tiktoken``, which gives the same ids about five times faster (tested for
 every code point); texts with them go through ``tokenizers`` itself.
 
-Edge cases: a null or empty text is its end id alone; null and repeated ids are
+Edge cases: documents of equal length are assigned in the order of their rows;
+a null or empty text is its end id alone; null and repeated ids are
 packed row by row like any others; an empty table gives an empty result; extra
 columns are not read.
 """
@@ -82,37 +85,54 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
     """(document, start, length, sequence, offset) pieces of one group.
 
     Every token lies in exactly one piece; sequences are numbered from 0 and
-    filled without gaps.
+    filled without gaps. Of equal lengths the document that comes first goes
+    first, of equal costs the sequence with the smallest number.
     """
-    total = sum(lengths)
-    pieces, rest, n_seq = [], [], 0
+    pieces, short, long, n_seq = [], [], [], 0
     for doc, length in enumerate(lengths):
         for start in range(0, length - capacity + 1, capacity):
             pieces.append((doc, start, capacity, n_seq, 0))
             n_seq += 1
         if length % capacity:
-            rest.append((length % capacity, doc))
-    rest.sort(key=lambda x: (-x[0], x[1]))
-    left = sum(n for n, _ in rest)
-    full = left // capacity
-    open_seqs = [(0.0, n_seq + i) for i in range(full)]  # (cost, sequence): already a heap
-    # Short sequences come after the full ones, so only the last documents are cut for them.
-    short = [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (total % capacity) >> b & 1]
-    rooms = dict.fromkeys(range(n_seq, n_seq + full), capacity)
-    rooms |= {n_seq + full + i: n for i, n in enumerate(short)}
-    waiting = [n_seq + full + i for i in range(len(short))][::-1]
-    sizes = dict(rooms)
-    for length, doc in rest:
+            (short if length < capacity else long).append((length % capacity, doc))
+    left = sum(n for n, _ in short + long)
+    sizes = [capacity] * (left // capacity)
+    sizes += [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if (left % capacity) >> b & 1]
+    rooms = dict(enumerate(sizes, n_seq))
+    costs = dict.fromkeys(rooms, 0.0)
+
+    def put(doc: int, start: int, take: int, seq: int) -> None:
+        pieces.append((doc, start, take, seq, sizes[seq - n_seq] - rooms[seq]))
+        rooms[seq] -= take
+        costs[seq] += take + take * take / capacity
+
+    by_cost = [(0.0, seq) for seq in rooms]         # a heap; what has too little room waits in by_room
+    by_room: list[tuple[int, int]] = []
+    for length, doc in sorted(short, key=lambda x: (-x[0], x[1])):
+        while by_room and -by_room[0][0] >= length:
+            seq = heapq.heappop(by_room)[1]
+            heapq.heappush(by_cost, (costs[seq], seq))
+        while by_cost and rooms[by_cost[0][1]] < length:
+            seq = heapq.heappop(by_cost)[1]
+            if rooms[seq]:
+                heapq.heappush(by_room, (-rooms[seq], seq))
+        if by_cost:
+            seq = heapq.heappop(by_cost)[1]
+            put(doc, 0, length, seq)
+            heapq.heappush(by_cost, (costs[seq], seq))
+        else:
+            long.append((length, doc))              # fits nowhere
+    open_seqs = [(costs[seq], seq) for seq, room in rooms.items() if room]
+    heapq.heapify(open_seqs)
+    for length, doc in sorted(long, key=lambda x: (-x[0], x[1])):
         start = lengths[doc] - length
         while length:
-            cost, seq = heapq.heappop(open_seqs) if open_seqs else (0.0, waiting.pop())
+            seq = heapq.heappop(open_seqs)[1]
             take = min(length, rooms[seq])
-            pieces.append((doc, start, take, seq, sizes[seq] - rooms[seq]))
-            rooms[seq] -= take
+            put(doc, start, take, seq)
             start, length = start + take, length - take
             if rooms[seq]:
-                entry = (cost + take + take * take / capacity, seq)
-                heapq.heappush(open_seqs, entry)
+                heapq.heappush(open_seqs, (costs[seq], seq))
     return pieces
 
 
