@@ -9,14 +9,16 @@ files of about ``roll_bytes`` under names of their own attempt; the driver
 lists the committed ones in a manifest at the end, so a lost executor or a
 second attempt leaves nothing that is read.
 
-Reading: one partition per file. Filters on ``warc_type``, ``target_uri`` and
+Reading: one partition per file: those of the manifest or, in a folder that has
+none, all ``.warc`` and ``.warc.gz`` files of other writers, whose records may
+share a gzip member or not be compressed at all. Filters on ``warc_type``, ``target_uri`` and
 ``page_id`` are pushed into the reader (with the session setting
 ``spark.sql.python.filterPushdown.enabled``; the options ``types`` and
 ``payload`` work without it). A record's header is parsed first, from the first
 bytes of its member; a record that a filter rejects, or a payload that is not
 asked for, is skipped by the member's length, which the writer leaves in the
-gzip header's extra field. Members of other writers are inflated to find
-their end, in pieces.
+gzip header's extra field. Members of other writers are inflated to their end,
+in pieces; the whole block of their records is the payload.
 
 Edge cases: a null or empty html is an empty payload; null ids rank below all
 others and are written without an id; among rows that repeat both id and
@@ -28,6 +30,7 @@ the pages are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -48,8 +51,11 @@ SCHEMA = """warc_type string, page_id bigint, record_id string, refers_to bigint
 RECORD_SCHEMA = """page_id bigint, target_uri string, warc_type string, refers_to bigint, refers_to_uri string,
     payload_bytes bigint, sha1 binary, payload binary"""
 HEAD = 1 << 13      # compressed bytes read to see a record's header
+PIECE = 1 << 16     # bytes inflated at once
+MAX_HEADER = 1 << 20
 MANIFEST = "manifest.json"
 FILE_NAME = "part-{:05d}-{}-{:04d}.warc.gz"
+OWN_NAME = re.compile(r"part-\d{5,}-[0-9a-f]{8}-\d{4,}\.warc\.gz$")
 
 
 # ---- records ----
@@ -119,51 +125,118 @@ def header_row(fields: dict[str, str]) -> dict:
             "payload_digest": digest, "payload": None}
 
 
+class _Member:
+    """The inflated bytes of the gzip member at ``at``, in pieces."""
+
+    def __init__(self, stream, at: int, head: bytes):
+        self.stream, self.at, self.inflate = stream, at, zlib.decompressobj(31)
+        self.raw, self.data = head, b""
+
+    def more(self) -> bool:
+        """Inflate up to PIECE further bytes; False at the member's end."""
+        while not self.inflate.eof:
+            raw = self.raw or self.stream.read(1 << 16)
+            if not raw:
+                raise ValueError(f"truncated gzip member at byte {self.at}")
+            out = self.inflate.decompress(raw, PIECE)
+            self.raw = self.inflate.unconsumed_tail
+            if out:
+                self.data += out
+                return True
+        return False
+
+    def end(self) -> int:
+        """Byte after the member; it must be read to its end."""
+        while self.more():
+            self.data = b""
+        return self.stream.tell() - len(self.inflate.unused_data)
+
+
+class _Plain(_Member):
+    """The bytes of a file that is not compressed."""
+
+    def __init__(self, stream, at: int, head: bytes):
+        self.stream, self.at, self.data = stream, at, head
+
+    def more(self) -> bool:
+        data = self.stream.read(PIECE)
+        self.data += data
+        return bool(data)
+
+    def end(self) -> int:
+        while self.more():
+            self.data = b""
+        return self.stream.tell()
+
+
+def _records(source: _Member, accept, with_payload: bool, only_one: bool) -> Iterator[dict]:
+    """Rows of the records that follow each other in ``source``."""
+    while True:
+        while not source.data.lstrip(b"\r\n") and source.more():
+            pass
+        source.data = source.data.lstrip(b"\r\n")
+        if not source.data:
+            return
+        while (end := source.data.find(b"\r\n\r\n")) < 0:
+            if len(source.data) > MAX_HEADER or not source.more():
+                raise ValueError(f"no end of a record's header after byte {source.at}")
+        fields = parse_header(source.data[:end])
+        row, left = header_row(fields), int(fields.get("content-length", 0))
+        wanted = accept(row)
+        if only_one and not (wanted and with_payload):
+            if wanted:
+                yield row
+            return
+        source.data = source.data[end + 4:]
+        parts = []
+        while left:
+            if not source.data and not source.more():
+                raise ValueError(f"truncated record after byte {source.at}")
+            part, source.data = source.data[:left], source.data[left:]
+            left -= len(part)
+            if wanted and with_payload:
+                parts.append(part)
+        if wanted:
+            row["payload"] = b"".join(parts) if with_payload else None
+            yield row
+        if only_one:
+            return
+
+
 def read_records(stream, accept, with_payload: bool) -> Iterator[dict]:
-    """Rows of SCHEMA from a seekable stream of gzip members. ``accept`` sees
-    the header row; what it rejects is not inflated further."""
+    """Rows of SCHEMA from a seekable stream: gzip members of one record each
+    (this writer's), members of any number of records, or plain records.
+    ``accept`` sees the header row; what it rejects is passed over, in members
+    of this writer without inflating it."""
     at, size = 0, stream.size()
     while at < size:
         stream.seek(at)
         head = stream.read(min(HEAD, size - at))
-        if head[:2] != b"\x1f\x8b":
-            raise ValueError(f"no gzip member at byte {at}")
         length = None
-        if head[3] & 4 and head[12:14] == b"LX":
-            length = struct.unpack_from("<Q", head, 16)[0]
-        inflate = zlib.decompressobj(31)
-
-        def more(n: int) -> bytes:
-            raw = stream.read(n)
-            if not raw:
-                raise ValueError(f"truncated gzip member at byte {at}")
-            return inflate.decompress(raw)
-
-        data = inflate.decompress(head)
-        while b"\r\n\r\n" not in data and not inflate.eof:
-            data += more(HEAD)
-        end = data.index(b"\r\n\r\n") + 4
-        fields = parse_header(data[:end - 4])
-        row = header_row(fields)
-        wanted = accept(row)
-        if wanted and with_payload:
-            left = int(fields["content-length"])
-            parts, got = [data[end:]], len(data) - end
-            while got < left and not inflate.eof:
-                parts.append(more(1 << 16))
-                got += len(parts[-1])
-            row["payload"] = b"".join(parts)[:left]
-        if wanted:
-            yield row
-        if length is None:      # another writer's member: its end is where inflation ends
-            while not inflate.eof:
-                more(1 << 16)
-            length = stream.tell() - len(inflate.unused_data) - at
-        at += length
+        if head[:2] == b"\x1f\x8b":
+            if head[3] & 4 and head[12:14] == b"LX":
+                length = struct.unpack_from("<Q", head, 16)[0]
+            source = _Member(stream, at, head)
+        elif head.lstrip(b"\r\n").startswith(b"WARC/"):
+            source = _Plain(stream, at, head)
+        else:
+            raise ValueError(f"neither a gzip member nor a record at byte {at}")
+        yield from _records(source, accept, with_payload, length is not None)
+        at = source.end() if length is None else at + length
 
 
 # ---- data source ----
 
+def foreign_files(files, root: str) -> list[str]:
+    """Archives below a folder without manifest. Files named as this writer's
+    own are left out: without a manifest they belong to a write that did not end."""
+    from pyarrow import fs
+
+    found = [f.path[len(root):].lstrip("/") for f in files.get_file_info(fs.FileSelector(root, recursive=True))
+             if f.type == fs.FileType.File]
+    return sorted(n for n in found if n.endswith((".warc", ".warc.gz")) and not OWN_NAME.search(n))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path = options["path"]
@@ -194,8 +267,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         files, root = filesystem(self.path)
-        with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
-            names = json.loads(stream.read())
+        try:
+            with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
+                names = json.loads(stream.read())
+        except FileNotFoundError:
+            names = foreign_files(files, root)
         return [InputPartition(f"{self.path}/{n}") for n in names] or [InputPartition("")]
 
     def _accept(self, row: dict) -> bool:

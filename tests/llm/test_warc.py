@@ -106,6 +106,50 @@ def test_members_of_other_writers():
         list(warc.read_records(Stream(data[:-200]), lambda r: False, False))
 
 
+BODIES = [b"", b"first\r\n\r\nWARC/1.1\r\n", b"x" * 300_000, "é日本".encode(), b"last"]
+
+
+def test_members_of_many_records():
+    whole = gzip.compress(b"".join(_record(i, b) for i, b in enumerate(BODIES)))
+    plain = b"".join(_record(i, b) for i, b in enumerate(BODIES))
+    for data in (whole, plain, whole + gzip.compress(_record(9, b"z")) + warc.gzip_member(_record(10, b"own"))):
+        rows = list(warc.read_records(Stream(data), lambda r: True, True))
+        assert [r["payload"] for r in rows][:5] == BODIES
+        assert [r["payload"] for r in rows][5:] in ([], [b"z", b"own"])
+        some = list(warc.read_records(Stream(data), lambda r: r["page_id"] in (1, 4), False))
+        assert [(r["page_id"], r["payload"]) for r in some] == [(1, None), (4, None)]
+    for cut in (whole[:-50], plain[:-10], plain[:len(plain) // 2]):
+        with pytest.raises(ValueError):
+            list(warc.read_records(Stream(cut), lambda r: True, True))
+
+
+def test_folders_of_other_writers(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(_record(i, b) for i, b in enumerate(BODIES))))
+    (tmp_path / "sub" / "b.warc").write_bytes(b"".join(_record(10 + i, b) for i, b in enumerate(BODIES)))
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    (tmp_path / warc.FILE_NAME.format(0, "0a1b2c3d", 0)).write_bytes(b"of a write that did not end")
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in rows) == sorted(
+        (k + i, b) for k in (0, 10) for i, b in enumerate(BODIES))
+
+
+def test_payloads_of_the_whole_table(spark):
+    """Every payload of pages is decoded; its length and digest are those of the header."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    path = shared_path(spark, "test-warc")
+    warc.write(pages, path)
+    kept = warc.read(spark, path).where("warc_type = 'response'").select(
+        "page_id", "payload_bytes", "payload_digest", F.unhex(F.sha1("payload")).alias("sha1"), F.length("payload").alias("n"),
+        F.col("payload"))
+    rows = kept.join(pages.select(F.col("page_id").alias("p"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("html")),
+                     F.col("p") == F.col("page_id")).collect()
+    assert len(rows) == kept.count() > 100
+    for r in rows:
+        assert bytes(r.payload) == bytes(r.html) and r.n == r.payload_bytes
+        assert r.payload_digest == b32encode(bytes(r.sha1)).decode()
+
+
 def test_empty_table(spark):
     path = shared_path(spark, "test-warc")
     warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
