@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphsift.functions import typing as ty
 from graphsift.operators import infer
-from graphsift.operators.patterns import EDGE_KEY, NODE_KEY, with_edge_key, with_node_key
+from graphsift.operators.patterns import EDGE_KEY, NODE_KEY, edge_patterns, with_edge_key, with_node_key
 
 _MARK = "\u0001"
 
@@ -43,9 +43,17 @@ def node_profile(nodes: DataFrame, date_mode: str = "lenient") -> DataFrame:
     return element_profile(with_node_key(nodes.select("labels", "props")), NODE_KEY, date_mode)
 
 
-def edge_profile(edges: DataFrame, date_mode: str = "lenient") -> DataFrame:
-    return element_profile(with_edge_key(edges.select("rel_type", "src_labels", "dst_labels", "props")),
-                           EDGE_KEY, date_mode)
+def edge_profile(edges: DataFrame, date_mode: str = "lenient", raw_edges: DataFrame | None = None) -> DataFrame:
+    """As for nodes; with ``raw_edges`` values are typed there, before any
+    join, and of ``edges`` only property names and endpoint labels are used."""
+    if raw_edges is None:
+        return element_profile(with_edge_key(edges.select("rel_type", "src_labels", "dst_labels", "props")),
+                               EDGE_KEY, date_mode)
+    none = [F.lit(None).cast("array<string>" if c == "prop_keys" else "string").alias(c) for c in EDGE_KEY]
+    typed = element_profile(raw_edges.select(*none, "props"), EDGE_KEY, date_mode).where(F.col("property").isNotNull())
+    counted = edge_patterns(edges)
+    empty = [F.lit(None).cast(typed.schema[c].dataType).alias(c) for c in typed.columns if c not in (*EDGE_KEY, "n")]
+    return counted.select(*EDGE_KEY, *empty[:1], "n", *empty[1:]).unionByName(typed)
 
 
 def patterns_of(profile: DataFrame, key_cols: list[str]) -> DataFrame:

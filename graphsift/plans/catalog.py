@@ -29,8 +29,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fixture_graph(spark, sf_dir)
 
 
+def named_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph for what needs names and labels only: no property values."""
+    return fixture_graph(spark, sf_dir, values=False)
+
+
 def schema(spark: SparkSession, sf_dir: str, **kw) -> GraphSchema:
-    nodes, edges = graph(spark, sf_dir)
+    nodes, _ = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     return discover_schema(nodes, edges, raw_edges=fixture_raw_edges(spark, sf_dir), **kw)
 
 
@@ -55,30 +61,30 @@ def q_edge_scan(spark, sf_dir):
 
 
 def q_node_patterns(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     return patterns.node_patterns(nodes).select(
         "labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n")
 
 
 def q_edge_patterns(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     return patterns.edge_patterns(edges).select(
         "rel_type", "src_key", "dst_key", F.array_join("prop_keys", ",").alias("props_key"), "n")
 
 
 def q_property_names(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = named_graph(spark, sf_dir)
     return (patterns.property_names(nodes).withColumn("kind", F.lit("node"))
             .unionByName(patterns.property_names(edges).withColumn("kind", F.lit("edge"))))
 
 
 def q_presence_flags(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     return patterns.presence_flags(nodes).drop("labels", "props")
 
 
 def q_label_set_count(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     from graphsift.operators.lsh import label_set_count
     return label_set_count(patterns.node_patterns(nodes))
 
@@ -99,7 +105,7 @@ def q_abstract_types(spark, sf_dir):
 
 
 def q_unlabelled_attach(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     assigned = patterns.exact_node_clusters(cut_lineage(patterns.node_patterns(nodes)))
     ct = merge.assign_node_types(assigned, 0.9, multi=True)
     return (ct.where(F.col("attach_jaccard").isNotNull())
@@ -134,7 +140,7 @@ def q_edge_types_by_rel(spark, sf_dir):
 
 
 def q_edge_types_by_endpoints(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     assigned = patterns.exact_edge_clusters(patterns.edge_patterns(edges))
     types, _ = merge.merge_edge_types(assigned, by="endpoints")
     return _edge_types_out(types)
@@ -258,7 +264,7 @@ def q_iri_modes(spark, sf_dir):
 def _node_assign(spark, sf_dir):
     from graphsift.operators.evaluate import assignments_nodes
     from graphsift.sources.fixture import truth_label
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     s = schema(spark, sf_dir)
     # ground truth follows from the id (source table), so it is computed inline
     return assignments_nodes(nodes, s.node_pattern_types, s.node_types,
@@ -291,7 +297,7 @@ def q_majority_labels(spark, sf_dir):
 def q_eval_edges(spark, sf_dir):
     from graphsift.operators.evaluate import assignments_edges, clustering_metrics
     from graphsift.sources.fixture import truth_label
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     s = schema(spark, sf_dir)
     truth = {"true_rel": F.array("rel_type"), "true_src": F.array(truth_label(F.col("src_id"))),
              "true_dst": F.array(truth_label(F.col("dst_id")))}
@@ -304,7 +310,7 @@ def q_eval_edges(spark, sf_dir):
 # ---------------------------------------------------------------- more merging
 
 def _exact_clusters(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     return cut_lineage(merge.node_clusters(patterns.exact_node_clusters(cut_lineage(patterns.node_patterns(nodes)))))
 
 
@@ -353,21 +359,21 @@ def q_schema_merge_edges(spark, sf_dir):
 
 
 def q_label_profile(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     p = merge.profile_by_label(cut_lineage(patterns.node_patterns(nodes)))
     return p.select("label", "n", _j("common").alias("common"), _j("optional").alias("optional"),
                     _j("all_props").alias("all_props"))
 
 
 def q_edge_profile(spark, sf_dir):
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     p = merge.profile_by_edge_type(cut_lineage(patterns.edge_patterns(edges)))
     return p.select("rel_types", "src_labels", "dst_labels", "n", _j("common").alias("common"),
                     _j("optional").alias("optional"), _j("all_props").alias("all_props"))
 
 
 def q_flatten_props(spark, sf_dir):
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     a = patterns.exact_node_clusters(patterns.node_patterns(nodes))
     nested = a.groupBy("cluster_id").agg(F.collect_set("prop_keys").alias("props"))
     flat = merge.safe_flatten(merge.safe_flatten(nested, "props"), "props")
@@ -387,7 +393,7 @@ def q_node_types_multi(spark, sf_dir):
 
 def q_encoded_patterns(spark, sf_dir):
     from graphsift.operators.encode import encode_node_patterns
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     enc = encode_node_patterns(patterns.node_patterns(nodes))
     return enc.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n",
                       F.size("features_arr").alias("dim"),
@@ -398,7 +404,7 @@ def q_encoded_patterns(spark, sf_dir):
 def q_encoded_edge_patterns(spark, sf_dir):
     """Edge features with codes that any engine can recompute."""
     from graphsift.operators.encode import encode_edge_patterns
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     enc = encode_edge_patterns(cut_lineage(patterns.edge_patterns(edges)), code="hash")
     return enc.select("rel_type", "src_key", "dst_key", F.array_join("prop_keys", ",").alias("props_key"), "n",
                       F.size("features_arr").alias("dim"),
@@ -410,7 +416,7 @@ def q_encoded_edge_patterns(spark, sf_dir):
 def _encoded(spark, sf_dir):
     """Node and edge patterns with recomputable codes, each cut into a table."""
     from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = named_graph(spark, sf_dir)
     return (cut_lineage(encode_node_patterns(cut_lineage(patterns.node_patterns(nodes)), code="hash")),
             cut_lineage(encode_edge_patterns(cut_lineage(patterns.edge_patterns(edges)), code="hash")))
 
@@ -440,7 +446,7 @@ def q_lsh_invariants(spark, sf_dir):
     pattern and element is in exactly one cluster, and a tiny bucket gives the
     exact clusters."""
     from graphsift.operators.lsh import lsh_cluster_edges, lsh_cluster_nodes
-    nodes, edges = graph(spark, sf_dir)
+    nodes, edges = named_graph(spark, sf_dir)
     out = None
     for kind, pats, cluster, key in (
             ("node", patterns.node_patterns(nodes), lsh_cluster_nodes, patterns.NODE_KEY),
@@ -460,14 +466,14 @@ def q_lsh_invariants(spark, sf_dir):
 
 def q_node_lsh(spark, sf_dir):
     from graphsift.operators.lsh import lsh_cluster_nodes
-    nodes, _ = graph(spark, sf_dir)
+    nodes, _ = named_graph(spark, sf_dir)
     c = lsh_cluster_nodes(patterns.node_patterns(nodes))
     return c.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n", "cluster_id")
 
 
 def q_edge_lsh(spark, sf_dir):
     from graphsift.operators.lsh import lsh_cluster_edges
-    _, edges = graph(spark, sf_dir)
+    _, edges = named_graph(spark, sf_dir)
     c = lsh_cluster_edges(patterns.edge_patterns(edges))
     return c.select("rel_type", "src_key", "dst_key", F.array_join("prop_keys", ",").alias("props_key"),
                     "n", "cluster_id")

@@ -30,7 +30,7 @@ class GraphSchema:
                  method: str, threshold: float, multi: bool, granularity: str,
                  edge_merge: str, date_mode: str, materialize: bool, lsh_options: dict):
         self._nodes, self._edges = nodes, edges
-        self._plain = raw_edges if raw_edges is not None else edges
+        self._raw, self._plain = raw_edges, raw_edges if raw_edges is not None else edges
         self._method, self._threshold, self._multi = method, threshold, multi
         self._granularity, self._edge_merge, self._date_mode = granularity, edge_merge, date_mode
         self._keep = cut_lineage if materialize else (lambda df: df)
@@ -46,8 +46,9 @@ class GraphSchema:
     def _node_profile(self) -> DataFrame:
         return self._get("nprof", lambda: profile.node_profile(self._nodes, self._date_mode))
 
+    # With raw edges, values are typed there and only names ride the label joins.
     def _edge_profile(self) -> DataFrame:
-        return self._get("eprof", lambda: profile.edge_profile(self._edges, self._date_mode))
+        return self._get("eprof", lambda: profile.edge_profile(self._edges, self._date_mode, self._raw))
 
     @property
     def node_patterns(self) -> DataFrame:
@@ -136,7 +137,8 @@ def discover_schema(nodes: DataFrame, edges: DataFrame, method: str = "exact",
     """Discover node and edge types (lazy; see :class:`GraphSchema`).
 
     ``raw_edges`` (edges before endpoint labels were attached) lets typing and
-    degree statistics skip the two label joins. With ``materialize`` the
+    degree statistics skip the two label joins: of ``edges`` only the names of
+    properties are then used, so read them with ``values=False``. With ``materialize`` the
     small pattern-, type- and statistics-level tables are checkpointed into
     the shared checkpoint folder, so later steps never re-scan elements and
     survive executor loss without recomputing the element aggregations.

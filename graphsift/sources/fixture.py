@@ -108,10 +108,11 @@ def edge_specs(sf_dir: str) -> list[EdgeSpec]:
     ]
 
 
-def fixture_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the fixture graph over ``sf_dir``."""
-    nodes = read_nodes(spark, node_specs(sf_dir))
-    edges = read_edges(spark, edge_specs(sf_dir), nodes)
+def fixture_graph(spark: SparkSession, sf_dir: str, values: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the fixture graph over ``sf_dir``; without ``values``
+    the property maps hold names alone."""
+    nodes = read_nodes(spark, node_specs(sf_dir), values)
+    edges = read_edges(spark, edge_specs(sf_dir), nodes, values)
     return nodes, edges
 
 

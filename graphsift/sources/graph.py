@@ -39,7 +39,7 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def props_map_sql(props: Mapping[str, str], lists: set[str] = frozenset()) -> str:
+def props_map_sql(props: Mapping[str, str], lists: set[str] = frozenset(), values: bool = True) -> str:
     """SQL text of :func:`props_map` for SQL-expression property values.
 
     One expression string is parsed JVM-side, instead of building the same
@@ -49,6 +49,8 @@ def props_map_sql(props: Mapping[str, str], lists: set[str] = frozenset()) -> st
     if not props:
         return empty
     def text(k: str, v: str) -> str:
+        if not values:
+            return "CAST(NULL AS STRING)"
         return f"concat_ws(',', CAST(({v}) AS ARRAY<STRING>))" if k in lists else f"CAST(({v}) AS STRING)"
 
     parts = [f"CASE WHEN ({v}) IS NOT NULL THEN map({_sql_str(k)}, {text(k, v)}) ELSE {empty} END"
@@ -56,8 +58,9 @@ def props_map_sql(props: Mapping[str, str], lists: set[str] = frozenset()) -> st
     return parts[0] if len(parts) == 1 else "map_concat(" + ", ".join(parts) + ")"
 
 
-def props_map(props: Mapping[str, Column], lists: set[str] = frozenset()) -> Column:
-    """MAP<STRING,STRING> of the non-null entries of ``props``.
+def props_map(props: Mapping[str, Column], lists: set[str] = frozenset(), values: bool = True) -> Column:
+    """MAP<STRING,STRING> of the non-null entries of ``props``; without
+    ``values`` only the keys, each with a null, so no value is ever built.
 
     Built from conditional one-entry maps (``map_concat`` / ``CASE``), which
     stay inside whole-stage codegen, unlike a lambda ``filter``.
@@ -68,7 +71,8 @@ def props_map(props: Mapping[str, Column], lists: set[str] = frozenset()) -> Col
     parts = []
     for k, v in props.items():
         t = _text(v, k in lists)
-        parts.append(F.when(t.isNotNull(), F.create_map(F.lit(k), t)).otherwise(empty))
+        entry = F.create_map(F.lit(k), t if values else F.lit(None).cast("string"))
+        parts.append(F.when(t.isNotNull(), entry).otherwise(empty))
     return parts[0] if len(parts) == 1 else F.map_concat(*parts)
 
 
@@ -111,8 +115,11 @@ def _col(c: str | Column) -> Column:
     return F.expr(c) if isinstance(c, str) else c
 
 
-def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
-    """SRC1: union of node sources in canonical form (one scan per source)."""
+def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec], values: bool = True) -> DataFrame:
+    """SRC1: union of node sources in canonical form (one scan per source).
+
+    Without ``values`` the property maps hold the names alone: enough for
+    patterns, clusters and types, and nothing of the values is carried along."""
     frames = []
     for s in specs:
         df = s.frame(spark)
@@ -123,7 +130,7 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
             frames.append(df.selectExpr(
                 f"CAST({s.id_col} AS BIGINT) + {int(s.id_offset)} AS node_id",
                 f"coalesce({labels}, CAST(array() AS ARRAY<STRING>)) AS labels",
-                f"{props_map_sql(s.props, lists)} AS props"))
+                f"{props_map_sql(s.props, lists, values)} AS props"))
             continue
         labels = (s.labels if isinstance(s.labels, Column)
                   else F.expr(s.labels) if isinstance(s.labels, str)
@@ -131,7 +138,7 @@ def read_nodes(spark: SparkSession, specs: Sequence[NodeSpec]) -> DataFrame:
         frames.append(df.select(
             (_col(s.id_col).cast("bigint") + F.lit(s.id_offset)).alias("node_id"),
             F.coalesce(labels, F.array().cast("array<string>")).alias("labels"),
-            props_map(_columns(s.props), lists).alias("props"),
+            props_map(_columns(s.props), lists, values).alias("props"),
         ))
     out = frames[0]
     for f in frames[1:]:
@@ -147,8 +154,12 @@ def _all_sql(props: Mapping) -> bool:
     return all(isinstance(v, str) for v in props.values())
 
 
-def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame | None) -> DataFrame:
-    """SRC2: union of edge sources, endpoint label sets attached from ``nodes``."""
+def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame | None,
+               values: bool = True) -> DataFrame:
+    """SRC2: union of edge sources, endpoint label sets attached from ``nodes``.
+
+    Without ``values`` the property maps hold the names alone (see
+    :func:`read_nodes`), and the joins with the labels carry no value."""
     frames = []
     for s in specs:
         df = s.frame(spark)
@@ -158,7 +169,7 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
             src = f"CAST({s.src_col} AS BIGINT) + {int(s.src_offset)}"
             dst = f"CAST({s.dst_col} AS BIGINT) + {int(s.dst_offset)}"
             cols = [f"{_sql_str(s.rel_type)} AS rel_type", f"{src} AS src_id", f"{dst} AS dst_id",
-                    f"{props_map_sql(s.props, lists)} AS props"]
+                    f"{props_map_sql(s.props, lists, values)} AS props"]
             cols.append(f"CAST({s.edge_id} AS STRING) AS edge_id" if s.edge_id is not None
                         else f"concat_ws('_', {_sql_str(s.rel_type)}, {src}, {dst}) AS edge_id")
             if s.distinct and not s.props and s.edge_id is None:
@@ -179,7 +190,7 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
         src = (_col(s.src_col).cast("bigint") + F.lit(s.src_offset))
         dst = (_col(s.dst_col).cast("bigint") + F.lit(s.dst_offset))
         cols = [rel.alias("rel_type"), src.alias("src_id"), dst.alias("dst_id"),
-                props_map(_columns(s.props), lists).alias("props")]
+                props_map(_columns(s.props), lists, values).alias("props")]
         if s.edge_id is not None:
             cols.append(_col(s.edge_id).cast("string").alias("edge_id"))
         e = df.select(*cols)
@@ -200,7 +211,8 @@ def read_edges(spark: SparkSession, specs: Sequence[EdgeSpec], nodes: DataFrame
 
 
 def attach_endpoint_labels(raw_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add src_labels/dst_labels by two equi-joins on node id.
+    """Add src_labels/dst_labels by two equi-joins on node id; all columns of
+    ``raw_edges`` ride along, so give it only what is needed afterwards.
 
     Plain left joins: Spark/AQE picks broadcast when the node side is small
     and sort-merge otherwise; a hub node with a large share of the edges is
@@ -211,7 +223,7 @@ def attach_endpoint_labels(raw_edges: DataFrame, nodes: DataFrame) -> DataFrame:
     s = lab.select(F.col("node_id").alias("src_id"), F.col("labels").alias("src_labels"))
     d = lab.select(F.col("node_id").alias("dst_id"), F.col("labels").alias("dst_labels"))
     empty = F.array().cast("array<string>")
-    return (raw_edges.join(s, "src_id", "left").join(d, "dst_id", "left")
-            .select("edge_id", "src_id", "dst_id", "rel_type",
-                    F.coalesce("src_labels", empty).alias("src_labels"),
-                    F.coalesce("dst_labels", empty).alias("dst_labels"), "props"))
+    given = [c for c in raw_edges.columns if c not in ("src_labels", "dst_labels")]
+    out = (raw_edges.select(given).join(s, "src_id", "left").join(d, "dst_id", "left")
+           .withColumns({c: F.coalesce(c, empty) for c in ("src_labels", "dst_labels")}))
+    return out.select([c for c in EDGE_COLUMNS if c in out.columns] + [c for c in given if c not in EDGE_COLUMNS])
