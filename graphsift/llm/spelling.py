@@ -24,9 +24,9 @@ Near words are found with a variable-length gram index:
   code points, so that number is at least 1 for every word: no word needs
   another way.
 * **Merging the lists.** Lists are keyed by gram, place and length. Of a word's
-  grams, rarest first, any ``bound + 1`` hold one that is shared, so only these
-  lists are merged; pairs found must share as many grams as the larger of both
-  words' numbers asks for.
+  grams, rarest first, the first ``bound + 1`` hold one that is shared, so only
+  these lists are merged. A pair that meets goes on if neither word has more grams
+  without a match in the other than its bound, told by 64-bit maps of the grams.
 * **Verification** by edit distance over code points.
 
 A list of more than ``max_list`` words is dealt out further: by the word
@@ -44,6 +44,7 @@ without near words, gives words without form; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,23 +109,28 @@ def decompose(word: str, frequent: dict[str, int], q_min: int, q_max: int) -> li
 
 
 def affected(grams: list[tuple[int, str]], length: int, q_max: int) -> int:
-    """Most grams that one edit in a word of ``length`` code points can affect."""
+    """Most grams that one edit in a word of ``length`` code points can affect:
+    those that end within ``q_max`` places from the edit on. Ends ascend."""
     ends = [p + len(g) - 1 for p, g in grams]
-    return max((sum(i <= e < i + q_max for e in ends) for i in range(1, length + 1)), default=0)
-
-
-def index_entry(word: str, frequent: dict[str, int], q_min: int, q_max: int) -> tuple[list[str], list[int], list[str], int]:
-    """(grams of the lists to merge, their places, all grams, number that near
-    words share). Repeated grams are told apart by their count so far."""
+    most = stop = 0
+    for k, e in enumerate(ends):
+        last = min(e, length) + q_max
+        while stop < len(ends) and ends[stop] < last:
+            stop += 1
+        most = max(most, stop - k)
+    return most
+
+
+def index_entry(word: str, frequent: dict[str, int], q_min: int, q_max: int) -> tuple[list[str], list[int], int, int]:
+    """(grams of the lists to merge, their places, bit map of all grams, bound
+    of affected grams)."""
     grams = decompose(word, frequent, q_min, q_max)
-    need = len(grams) - affected(grams, len(word), q_max)
-    rare = sorted(grams, key=lambda g: (frequent.get(g[1], 0), g[1], g[0]))[:len(grams) - need + 1]
-    seen: dict[str, int] = {}
-    names = []
+    bound = affected(grams, len(word), q_max)
+    rare = sorted(grams, key=lambda g: (frequent.get(g[1], 0), g[1], g[0]))[:bound + 1]
+    bits = 0
     for _, g in grams:
-        seen[g] = seen.get(g, 0) + 1
-        names.append(g if seen[g] == 1 else f"{g}{seen[g]}")
-    return [g for _, g in rare], [p for p, _ in rare], names, need
+        bits |= 1 << (crc32(g.encode()) & 63)
+    return [g for _, g in rare], [p for p, _ in rare], bits - (bits >> 63 << 64), bound
 
 
 def near_pairs(words: DataFrame, min_length: int = 7, q_min: int = 2, q_max: int = 4, share: float = 2e-5,
@@ -139,29 +145,32 @@ def near_pairs(words: DataFrame, min_length: int = 7, q_min: int = 2, q_max: int
     def entries(batch: list[str]) -> list[tuple]:
         return [index_entry(w, grams.value, q_min, q_max) for w in batch]
 
-    out = "lists array<string>, places array<int>, grams array<string>, need int"
+    out = "lists array<string>, places array<int>, map bigint, bound int"
     indexed = map_texts(words, "word", "word", entries, out, 4096, keep=["n"])
-    index = cut_lineage(indexed.select("word", "n", F.char_length("word").alias("len"), "grams", "need",
+    index = cut_lineage(indexed.select("word", "n", F.char_length("word").alias("len"), "map", "bound",
                                        F.explode(F.arrays_zip("lists", "places")).alias("at"))
-                        .select("word", "n", "grams", "need", "len", F.col("at.lists").alias("gram"),
+                        .select("word", "n", "map", "bound", "len", F.col("at.lists").alias("gram"),
                                 F.col("at.places").alias("place")))
     named = [F.col(c).alias(f"l_{c}") for c in ("gram", "len", "place")]
     long_lists = cut_lineage(index.groupBy("gram", "len", "place").agg(F.count("*").alias("c"))
                              .where(F.col("c") > max_list).select(*named))
-    row = ["word", "n", "grams", "need"]
+    row = ["word", "n", "map", "bound"]
     left = index.select(*row, "gram", "len", "place", F.lit(None).cast("boolean").alias("longer"))
     # The other word of a pair is as long, or longer by one and its gram at the same place or one on.
     right = index.select(*row, "gram", F.explode(F.array(*[
         F.struct((F.col("len") - d).alias("len"), (F.col("place") - s).alias("place"), F.lit(d == 1).alias("longer"))
         for d, s in ((0, 0), (1, 0), (1, 1))])).alias("key")).select(*row, "gram", "key.len", "key.place", "key.longer")
-    left, right = (_deal_out(x, long_lists) for x in (left, right))
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
-    b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    same_list = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("gram", "len", "place", "part")]
+    right = right.where(F.col("len") >= min_length)
+    # Lists are joined on a hash of what names them: rows stay narrow, and what meets by chance is no pair.
+    left, right = (_deal_out(x, long_lists).select(F.xxhash64("gram", "len", "place", "part").alias("key"), *row, "longer")
+                   for x in (left, right))
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in ("key", *row)])
+    b = right.select(*[F.col(c).alias(f"b_{c}") for c in ("key", *row, "longer")])
     once = F.col("b_longer") | (F.col("a_word") < F.col("b_word"))
-    enough = F.size(F.array_intersect("a_grams", "b_grams")) >= F.greatest("a_need", "b_need")
+    rest_a = F.bit_count(F.col("a_map").bitwiseAND(F.bitwise_not("b_map"))) <= F.col("a_bound")
+    rest_b = F.bit_count(F.col("b_map").bitwiseAND(F.bitwise_not("a_map"))) <= F.col("b_bound")
     near = F.levenshtein("a_word", "b_word", 1) == 1
-    met = a.join(b, same_list[0] & same_list[1] & same_list[2] & same_list[3] & once & enough & near)
+    met = a.join(b, (F.col("a_key") == F.col("b_key")) & rest_a & rest_b & once & near)
     return met.select(F.col("a_word").alias("a"), F.col("a_n").alias("an"), F.col("b_word").alias("b"),
                       F.col("b_n").alias("bn")).distinct()
 

@@ -87,19 +87,22 @@ def test_against_brute_force(spark, rows, settings):
     assert any(f for *_, f, _, _ in got) and sum(n for _, _, n, *_ in got) > 100
 
 
-def test_near_words_share_the_promised_grams():
+def test_an_edit_affects_no_more_grams_than_the_bound():
     rng = np.random.default_rng(5)
     for alphabet, chance in (("ab", 0.5), ("abc", 0.3), ("abcdefgh", 0.1)):
         for word in made_words(rng, 150, alphabet):
             frequent = {g: 5 for q in (2, 3, 4) for g in {f"^{word}$"[i:i + q] for i in range(len(word))} if rng.random() < chance}
-            grams = Counter(g for _, g in spelling.decompose(word, frequent, 2, 4))
-            need = spelling.index_entry(word, frequent, 2, 4)[3]
-            assert need >= 1
+            placed = spelling.decompose(word, frequent, 2, 4)
+            grams = Counter(g for _, g in placed)
+            ends = [p + len(g) - 1 for p, g in placed]
+            bound = spelling.affected(placed, len(word), 4)
+            assert bound == max(sum(i <= e < i + 4 for e in ends) for i in range(1, len(word) + 1))
+            assert bound < len(placed)
             letters = [*alphabet, "z"]
             edits = {word[:i] + x + word[i + cut:] for i in range(len(word) + 1) for cut in (0, 1) for x in ["", *letters]} - {word}
             for other in edits:
                 shared = grams & Counter(g for _, g in spelling.decompose(other, frequent, 2, 4))
-                assert sum(shared.values()) >= need, (word, other)
+                assert sum(shared.values()) >= len(placed) - bound, (word, other)
 
 
 def test_forms_are_followed_to_the_last(spark):
