@@ -240,6 +240,76 @@ def _edge_quads(shape):
     return q
 
 
+def _rule_quads(shape, **options):
+    def q(spark, sf_dir):
+        from graphsift.plans.rules import executable_rules, rule_quads
+        nodes, _ = graph(spark, sf_dir)
+        s = schema(spark, sf_dir)
+        return rule_quads(nodes, fixture_raw_edges(spark, sf_dir), s, executable_rules(s, shape, **options), shape=shape)
+    return q
+
+
+def q_rules_vs_quads(spark, sf_dir):
+    """Quads by the rules against quads generated directly: how many there
+    are, and how many (counted with their number) are not on both sides."""
+    from graphsift.plans.rdf import QUAD_COLUMNS, edge_quads, node_quads
+    from graphsift.plans.rules import executable_rules, rule_quads
+    nodes, edges = graph(spark, sf_dir)
+    s = schema(spark, sf_dir)
+    out = None
+    for shape in ("link", "reified"):
+        by_rule = rule_quads(nodes, fixture_raw_edges(spark, sf_dir), s, executable_rules(s, shape), shape=shape)
+        direct = node_quads(nodes, s, shape).unionByName(edge_quads(edges, shape))
+        # 128 bits of hash stand for a quad, so no text is shuffled.
+        key = [F.xxhash64(*QUAD_COLUMNS).alias("h"), F.xxhash64(F.lit(shape), *QUAD_COLUMNS[::-1]).alias("g")]
+        both = by_rule.select(*key, F.lit(1).alias("side")).unionByName(direct.select(*key, F.lit(-1).alias("side")))
+        per = both.groupBy("h", "g").agg(F.sum("side").alias("d"), F.sum(F.when(F.col("side") > 0, 1).otherwise(0)).alias("n"))
+        row = per.agg(F.sum("n").alias("quads"), F.sum(F.abs("d")).alias("mismatches"))
+        row = row.select(F.lit(shape).alias("shape"), "quads", "mismatches")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def q_executable_rules(spark, sf_dir):
+    """The rules themselves: endpoints have one for each label set that is there."""
+    from graphsift.plans.rules import executable_rules
+    out = None
+    s = schema(spark, sf_dir)
+    for shape in ("link", "reified"):
+        rules = executable_rules(s, shape).select(F.lit(shape).alias("shape"), "kind", "key", "rule",
+                                                  F.replace("slot", F.lit("\u0001"), F.lit("@")).alias("slot"),
+                                                  "subject", "predicate", "object", "object_kind")
+        out = rules if out is None else out.unionByName(rules)
+    return out
+
+
+def q_rule_classes(spark, sf_dir):
+    """Node classes with one class per label."""
+    from graphsift.plans.rdf import RDF_TYPE
+    from graphsift.plans.rules import executable_rules, rule_quads
+    nodes, _ = graph(spark, sf_dir)
+    s = schema(spark, sf_dir)
+    quads = rule_quads(nodes, None, s, executable_rules(s, "reified", classes="labels"))
+    return quads.where(F.col("predicate") == RDF_TYPE).select("subject", "object")
+
+
+def q_rule_quads_hashed(spark, sf_dir):
+    """Another policy in the rules: all element IRIs are digests."""
+    return _rule_quads("link", generator="URIwithTypeHashed")(spark, sf_dir).select("subject", "predicate", "object", "object_kind")
+
+
+def q_iri_policies(spark, sf_dir):
+    """Every standard policy over nodes; texts of URIorUUID are a property or an IRI."""
+    from graphsift.functions.text import label_key
+    from graphsift.plans.policies import POLICIES, mint
+    from graphsift.plans.rdf import DEFAULT_BASE, node_iri, node_segment
+    nodes, _ = graph(spark, sf_dir)
+    key, plain = label_key("labels"), F.col("node_id").cast("string")
+    text = F.when(F.col("node_id") % 2 == 0, node_iri(DEFAULT_BASE, key, F.col("node_id"))).otherwise(F.col("props")["name"])
+    holes = {"type": node_segment(key), "id": plain, "label": plain, "text": text}
+    return nodes.select("node_id", *[mint(p, holes, {"custom": DEFAULT_BASE + "custom/"}).alias(p.name) for p in POLICIES])
+
+
 def q_nquads_lines(spark, sf_dir):
     from graphsift.plans.rdf import edge_quads, node_quads, nquads_lines
     nodes, edges = graph(spark, sf_dir)
@@ -620,6 +690,13 @@ QUERIES: dict[str, Query] = {
     "node_quads_link": _node_quads("link"),
     "edge_quads_reified": _edge_quads("reified"),
     "edge_quads_link": _edge_quads("link"),
+    "rule_quads_reified": _rule_quads("reified"),
+    "rule_quads_link": _rule_quads("link"),
+    "rules_vs_quads": q_rules_vs_quads,
+    "executable_rules": q_executable_rules,
+    "rule_classes": q_rule_classes,
+    "rule_quads_hashed": q_rule_quads_hashed,
+    "iri_policies": q_iri_policies,
     "nquads_lines": q_nquads_lines,
     "iri_modes": q_iri_modes,
     "eval_nodes": q_eval_nodes,

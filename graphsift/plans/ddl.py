@@ -8,13 +8,16 @@ so no element-level data ever reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphsift.functions.sets import is_abstract
 from graphsift.functions.text import safe_name
 from graphsift.functions.typing import pg_type, xsd_type
+from graphsift.operators.joins import broadcast_if_small
+from graphsift.operators.numbering import dense_number
 from graphsift.plans.discovery import GraphSchema
+from graphsift.session import cut_lineage
 
 # ---- fixed values: property names never written to a schema ------------------
 DDL_IGNORED = ["original_label", "labelArray", "labelVector", "features", "prop_original_label"]
@@ -48,10 +51,29 @@ def _line(section: int, ord_col, text) -> list[Column]:
     return [F.lit(section).alias("section"), ord_col.alias("ord"), text.alias("line")]
 
 
+def _numbers(names: DataFrame, col: str, number: str) -> DataFrame:
+    """(col, number): 1..k in the order of ``col``, numbered over range partitions."""
+    placed = dense_number(names.select(col), [col], pos="at")
+    return broadcast_if_small(cut_lineage(placed.select(F.col(col).alias(f"{number}_of"), (F.col("at") + 1).alias(number))))
+
+
 def _numbered_abstract(nodes: DataFrame) -> DataFrame:
-    """Number abstract node types 1..k by type id (type-level window)."""
-    w = Window.partitionBy("is_abstract").orderBy("type_id")
-    return nodes.withColumn("abs_no", F.when(F.col("is_abstract"), F.row_number().over(w)))
+    """Number abstract node types 1..k by type id."""
+    numbers = _numbers(nodes.where("is_abstract"), "type_id", "abs_no")
+    return nodes.join(numbers, F.col("type_id") == F.col("abs_no_of"), "left").drop("abs_no_of")
+
+
+def type_names_of(node_types: DataFrame) -> DataFrame:
+    """(type_id, type_name): first label set made XML-safe, or UNKNOWN_n. Names
+    are unique: of types that would share one, all but the first (by type id)
+    get a digest of their type id appended."""
+    numbered = _numbered_abstract(node_types.select("type_id", "is_abstract", "labels"))
+    named = numbered.select("type_id", F.when(F.col("is_abstract"), F.concat(F.lit("UNKNOWN_"), F.col("abs_no")))
+                            .otherwise(safe_name(F.element_at("labels", 1))).alias("name"))
+    first = named.groupBy(F.col("name").alias("n")).agg(F.min("type_id").alias("first"))
+    return named.join(first, F.col("name") == F.col("n")).select("type_id", F.when(
+        F.col("type_id") == F.col("first"), F.col("name")).otherwise(
+            F.concat("name", F.lit("_"), F.substring(F.sha2("type_id", 256), 1, 8))).alias("type_name"))
 
 
 def schema_ddl(schema: GraphSchema, mode: str = "strict") -> DataFrame:
@@ -132,17 +154,16 @@ def schema_ddl(schema: GraphSchema, mode: str = "strict") -> DataFrame:
 def schema_fields(schema: GraphSchema) -> DataFrame:
     """SNK5/6: XSD structure as rows (type_name, kind, role, field, xsd_type, min_occurs).
 
-    Node types are named by their first label (``UNKNOWN_n`` when unlabelled);
+    Node types are named by :func:`type_names_of` (``UNKNOWN_n`` when unlabelled);
     edge types by their first relation type, grouping types that share it.
     Names are made XML-safe (``A:B`` -> ``A_B``). ``min_occurs`` is 1 only
     for properties mandatory under their exact name.
     """
-    nodes = _numbered_abstract(schema.typed_node_types())
-    ntype = F.when(F.col("is_abstract"), F.concat(F.lit("UNKNOWN_"), F.col("abs_no"))) \
-        .otherwise(safe_name(F.element_at("labels", 1)))
+    names = broadcast_if_small(cut_lineage(type_names_of(schema.node_types)))
+    nodes = schema.typed_node_types().join(names, "type_id")
     nf = []
     for col, occ in (("mandatory_typed", 1), ("optional_typed", 0)):
-        nf.append(nodes.select(ntype.alias("type_name"), F.explode(col).alias("p"))
+        nf.append(nodes.select("type_name", F.explode(col).alias("p"))
                   .where(_keep(F.col("p"), XSD_IGNORED) & ~F.col("p.name").contains("original_data"))
                   .select("type_name", F.lit("node").alias("kind"), F.lit("property").alias("role"),
                           F.col("p.name").alias("field"), xsd_type(F.col("p.type")).alias("xsd_type"),
@@ -164,8 +185,9 @@ def schema_fields(schema: GraphSchema) -> DataFrame:
                                 ("target", "dst_labels", "ABSTRACT_DST")):
         per = edges.groupBy("type_name").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(col)))).alias("ls"))
-        w = Window.partitionBy(F.size("ls") == 0).orderBy("type_name")
-        per = per.withColumn("k", F.row_number().over(w))
+        per = cut_lineage(per)
+        numbers = _numbers(per.where(F.size("ls") == 0), "type_name", "k")
+        per = per.join(numbers, F.col("type_name") == F.col("k_of"), "left")
         ends.append(per.select("type_name", F.explode(
             F.when(F.size("ls") > 0, F.transform("ls", lambda x: safe_name(x)))
             .otherwise(F.array(F.concat(F.lit(abstract), F.col("k"))))).alias("xsd_type"))

@@ -209,6 +209,67 @@ SELECT '<' || subject || '> <' || predicate || '> ' ||
 FROM ({_node_quads_sql('link')} UNION ALL {_edge_quads_sql('link')}) q""")
 
 _IRI = f"'{_BASE}' || {_SEG.format(lk='labels_key')} || '/' || CAST(node_id AS VARCHAR)"
+for _shape in ("link", "reified"):
+    ORACLES[f"rule_quads_{_shape}"] = with_sinks(f"{_node_quads_sql(_shape)} UNION ALL {_edge_quads_sql(_shape)}")
+ORACLES["rules_vs_quads"] = with_sinks(" UNION ALL ".join(
+    f"SELECT '{x}' AS shape, count(*)::BIGINT AS quads, 0::BIGINT AS mismatches FROM ({_node_quads_sql(x)} UNION ALL {_edge_quads_sql(x)}) q"
+    for x in ("link", "reified")))
+
+
+def _executable_sql(shape: str) -> str:
+    """The rules written out from types, fields and the label sets at both ends."""
+    ns = "https://example.org/custom/" if shape == "link" else "https://example.org/"
+    rdf_type = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    node, edge = f"'{ns}{{type}}/{{id}}'", f"'{ns}{{rel}}/{{id}}'"
+    rels = "(SELECT DISTINCT rel_type FROM gedges)"
+    name = "regexp_replace(rel_type, '[^A-Za-z0-9_.\\-]', '_', 'g')"
+
+    def end(key, hole):
+        return f"'{ns}' || {_SEG.format(lk=key)} || '/{{{hole}}}'"
+
+    rows = [
+        f"SELECT 'node' AS kind, type_id AS key, 'class' AS rule, '@' AS slot, {node} AS subject, '{rdf_type}' AS predicate, "
+        f"'{ns}' || type_name AS object, 'iri' AS object_kind FROM tnames",
+        f"SELECT 'node', n.type_id, 'literal', f.field, {node}, '{ns}has_' || f.field, '{{value}}', 'literal' "
+        "FROM sfields f JOIN tnames n ON n.type_name = f.type_name AND f.kind = 'node'",
+        f"SELECT 'edge', rel_type, 'class', '@', {edge}, '{rdf_type}', "
+        + (f"'{ns}intermediate'" if shape == "link" else f"'{ns}' || {name}") + f", 'iri' FROM {rels}",
+        f"SELECT 'edge', r.rel_type, 'literal', f.field, {edge}, '{ns}' || f.type_name || '_' || f.field, '{{value}}', 'literal' "
+        f"FROM sfields f JOIN {rels} r ON {name.replace('rel_type', 'r.rel_type')} = f.type_name AND f.kind = 'edge' "
+        "WHERE f.role = 'property'",
+    ]
+    sources, targets = ("(SELECT DISTINCT rel_type, " + c + " AS k FROM gedges)" for c in ("src_key", "dst_key"))
+    if shape == "link":
+        rows += [f"SELECT 'node', type_id, 'label', '@', {node}, 'http://www.w3.org/2000/01/rdf-schema#label', '{{id}}', 'literal' FROM tnames",
+                 f"SELECT 'edge', rel_type, 'link', '@s' || k, {end('k', 'src')}, '{ns}' || {name}, {edge}, 'iri' FROM {sources}",
+                 f"SELECT 'edge', rel_type, 'has_target', '@t' || k, {edge}, '{ns}hasTarget', {end('k', 'dst')}, 'iri' FROM {targets}"]
+    else:
+        rows += [f"SELECT 'edge', rel_type, 'source', '@s' || k, {edge}, '{ns}source', {end('k', 'src')}, 'iri' FROM {sources}",
+                 f"SELECT 'edge', rel_type, 'target', '@t' || k, {edge}, '{ns}target', {end('k', 'dst')}, 'iri' FROM {targets}"]
+    return f"SELECT '{shape}' AS shape, r.* FROM ({' UNION ALL '.join(rows)}) r"
+
+
+ORACLES["executable_rules"] = with_sinks(f"{_executable_sql('link')} UNION ALL {_executable_sql('reified')}")
+ORACLES["rule_classes"] = with_sinks(f"""
+SELECT 'https://example.org/' || {_SEG.format(lk='q.labels_key')} || '/' || CAST(q.node_id AS VARCHAR) AS subject,
+       'https://example.org/' || unnest(CASE WHEN q.type_id LIKE '?%' THEN [n.type_name] ELSE string_split(q.type_id, ':') END) AS object
+FROM node_type q JOIN tnames n USING (type_id)""")
+ORACLES["rule_quads_hashed"] = with_sinks(f"""
+SELECT 'https://example.org/custom/' || sha256(subject) AS subject, predicate,
+       CASE WHEN object_kind = 'iri' AND predicate <> 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'
+            THEN 'https://example.org/custom/' || sha256(object) ELSE object END AS object, object_kind
+FROM ({_node_quads_sql('link')} UNION ALL {_edge_quads_sql('link')}) q""")
+_PLAIN = f"{_SEG.format(lk='n.labels_key')} || '/' || CAST(n.node_id AS VARCHAR)"
+_TEXT = (f"coalesce(CASE WHEN n.node_id % 2 = 0 THEN 'https://example.org/' || {_PLAIN} ELSE p.value END, '')")
+ORACLES["iri_policies"] = with_fixture(f"""
+SELECT node_id, 'https://example.org/custom/' || plain AS "URIwithType",
+       'https://example.org/custom/' || sha256('https://example.org/custom/' || plain) AS "URIwithTypeHashed",
+       'https://example.org/custom/' || plain || '/graph' AS namedgraph, CAST(node_id AS VARCHAR) AS "Label",
+       CASE WHEN regexp_matches(text, '^[A-Za-z][A-Za-z0-9+.-]*:[^[:space:]<>"{{}}|\\^`]+$') THEN text
+            ELSE 'urn:uuid:' || md5(text)[1:8] || '-' || md5(text)[9:12] || '-' || md5(text)[13:16] || '-' ||
+                 md5(text)[17:20] || '-' || md5(text)[21:32] END AS "URIorUUID"
+FROM (SELECT n.node_id, {_PLAIN} AS plain, {_TEXT} AS text
+      FROM gnodes n LEFT JOIN gprops p ON p.node_id = n.node_id AND p.key = 'name') q""")
 ORACLES["iri_modes"] = with_fixture(f"""
 SELECT node_id, {_IRI} AS iri,
        '{_BASE}custom/' || {_SEG.format(lk='labels_key')} || '/' || CAST(node_id AS VARCHAR) AS iri_custom,

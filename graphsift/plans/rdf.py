@@ -2,8 +2,8 @@
 
 The reference writes XML chunks, generates X3ML / RML documents and runs an
 external engine per chunk. Here the two mapping shapes are a rules *table*
-derived from the schema fields, and quads are computed straight from the
-element tables:
+derived from the schema fields, which ``plans.rules`` interprets; this module
+also computes the same quads straight from the element tables:
 
 * ``link`` (X3ML shape): ``src REL link . link a intermediate .
   link hasTarget dst . link REL_prop "v"`` in the named graph ``custom``;
@@ -12,8 +12,7 @@ element tables:
   nodes get a type and ``has_<prop>`` literals.
 
 IRIs: a node is ``{ns}{label set}/{id}`` (``Node`` when unlabelled), so an
-edge's endpoint IRIs follow from the labels it already carries and edge
-quads need no join at all. Node quads join the pattern -> type table once
+edge's endpoint IRIs follow from the labels it already carries. Node quads join the pattern -> type table once
 (pattern-level, broadcast only when its row count is under a checked bound).
 Blank values produce no triple.
 """
@@ -23,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsift.functions.text import iri_segment, label_key, nquad_literal, safe_name
+from graphsift.functions.text import iri_segment, label_key, nquad_literal
 from graphsift.functions.typing import xsd_type
 from graphsift.operators.joins import broadcast_if_small
 from graphsift.operators.patterns import NODE_KEY, with_node_key
+from graphsift.plans.ddl import type_names_of
 from graphsift.plans.discovery import GraphSchema
 from graphsift.session import cut_lineage
 
@@ -56,24 +56,25 @@ def node_iri(ns: str, labels_key_col: Column, node_id: Column) -> Column:
 
 
 def type_names(schema: GraphSchema) -> DataFrame:
-    """(type_id, type_name): first label (XML-safe) or UNKNOWN_n, as in the XSD."""
-    from pyspark.sql import Window
-    t = schema.node_types
-    w = Window.partitionBy("is_abstract").orderBy("type_id")
-    return t.select("type_id", F.when(F.col("is_abstract"),
-                                      F.concat(F.lit("UNKNOWN_"), F.row_number().over(w)))
-                    .otherwise(safe_name(F.element_at("labels", 1))).alias("type_name"))
+    """(type_id, type_name): names of the node types, as in the XSD."""
+    return type_names_of(schema.node_types)
 
 
 # ------------------------------------------------------------------- mapping rules
 
-def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT_BASE) -> DataFrame:
+def mapping_rules(fields: DataFrame, shape: str = "reified", base: str = DEFAULT_BASE,
+                  types: DataFrame | None = None) -> DataFrame:
     """MAP1/MAP2: rules table (type_name, kind, rule, predicate, template, field).
 
     ``template`` uses ``{id}``, ``{src}``, ``{dst}`` and ``{value}`` holes.
+    ``types`` (type_name, kind) names further types, those without any field.
+    ``plans.rules`` makes these rows executable and applies them.
     """
     ns = namespace(base, shape)
-    kinds = fields.select("type_name", "kind").distinct()
+    kinds = fields.select("type_name", "kind")
+    if types is not None:
+        kinds = kinds.unionByName(types.select("type_name", "kind"))
+    kinds = kinds.distinct()
     T = iri_segment("type_name")
 
     def row(rule, predicate, template, field=None):
