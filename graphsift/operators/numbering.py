@@ -22,7 +22,8 @@ _AT_BITS = 33  # of monotonically_increasing_id: the row's place in its partitio
 def dense_number(df: DataFrame, order: list[str | Column], group: str | None = None, pos: str = "pos",
                  size: str | None = None) -> DataFrame:
     """``df`` with ``pos`` (0, 1, ... in ``order`` inside each ``group``, or over
-    the whole table) and, if named, the group's ``size``.
+    the whole table) and, if named, the group's ``size``. Without any ``order``
+    rows are numbered where they lie and nothing is shuffled.
 
     Nulls come first in ascending order and a null group is a group. Rows equal
     in ``order`` are numbered in any order. The result reads a table that is
@@ -32,7 +33,9 @@ def dense_number(df: DataFrame, order: list[str | Column], group: str | None = N
     keyed = df if group in df.columns else df.withColumn(group, F.lit(0))
     keyed = keyed.withColumn("_tie", F.monotonically_increasing_id())
     cols = [F.col(group).asc(), *[F.col(c) if isinstance(c, str) else c for c in order], F.col("_tie")]
-    dealt = (keyed.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    if order:
+        keyed = keyed.repartitionByRange(*cols)
+    dealt = (keyed.sortWithinPartitions(*cols)
              .withColumn("_part", F.spark_partition_id())
              .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _AT_BITS) - 1))))
     kept = cut_lineage(dealt.drop("_tie"))

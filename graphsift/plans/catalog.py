@@ -659,6 +659,61 @@ def q_edge_elements(spark, sf_dir):
                     _elem_props().alias("props_text"))
 
 
+def _typed_xml(spark, sf_dir, nodes, edges, items_per_file=10_000):
+    """(path, fields, types, xsd path) of a typed export of the given elements by the fixture's schema."""
+    from graphsift.sources import xmltyped as x
+    from graphsift.sources.scratch import scratch_path
+    s = schema(spark, sf_dir, date_mode="strict")      # lenient dates are no xs:date
+    path = scratch_path(spark, "xml-typed")
+    elements = x.node_elements(nodes, s)
+    if edges is not None:
+        elements = elements.unionByName(x.edge_elements(edges))
+    x.write_typed_xml(elements, f"{path}/data", items_per_file)
+    fields, types = cut_lineage(x.instance_fields(s)), cut_lineage(x.types_of(s))
+    return f"{path}/data", fields, types, x.write_xsd(spark, x.instance_xsd(fields, types), path)
+
+
+def q_typed_elements(spark, sf_dir):
+    """Type-named XML written and read back, every type by its own tag."""
+    from graphsift.sources.xmltyped import read_all_typed_xml
+    path, fields, types, _ = _typed_xml(spark, sf_dir, *graph(spark, sf_dir))
+    out = read_all_typed_xml(spark, path, fields, types)
+    return out.select("kind", "type_name", "id", "src_labels_key", "src", "dst_labels_key", "dst", _props_text().alias("props_text"))
+
+
+def q_xml_validation(spark, sf_dir):
+    """The export validated by Spark against its own XSD, element by element;
+    and the same with some values that the schema does not allow."""
+    from graphsift.sources.xmltyped import CORRUPT, read_all_typed_xml
+    nodes, edges = graph(spark, sf_dir)
+    wrong = F.when((F.col("node_id") % 7 == 0) & F.map_contains_key("props", "acctbal"), F.map_concat(
+        F.map_filter("props", lambda k, v: k != "acctbal"), F.create_map(F.lit("acctbal"), F.lit("no number")))).otherwise(F.col("props"))
+    out = None
+    for name, n, e in (("as_is", nodes, edges), ("broken", nodes.withColumn("props", wrong), None)):
+        path, fields, types, xsd = _typed_xml(spark, sf_dir, n, e)
+        if e is None:
+            types = types.where("kind = 'node'")
+        read = read_all_typed_xml(spark, path, fields, types, xsd)
+        per = read.groupBy("kind", "type_name").agg(F.count("*").alias("elements"), F.count("id").alias("valid"),
+                                                    F.count(CORRUPT).alias("invalid"))
+        per = per.select(F.lit(name).alias("run"), "*")
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+def q_xml_chunks(spark, sf_dir):
+    """Files of exactly 100 elements, the last of a type the rest: per type and
+    number of elements, how many files there are, each opened and closed once."""
+    nodes, edges = graph(spark, sf_dir)
+    path, *_ = _typed_xml(spark, sf_dir, nodes, edges, items_per_file=100)
+    lines = spark.read.text(path).select("kind", "tag", F.input_file_name().alias("file"), "value")
+    per = lines.groupBy("kind", "tag", "file").agg(
+        F.sum(F.col("value").endswith(F.concat(F.lit("</"), "tag", F.lit(">"))).cast("int")).alias("items"),
+        F.sum(F.col("value").rlike("^<[^ >]+Group type=").cast("int")).alias("opened"),
+        F.sum(F.col("value").rlike("^</[^>]+Group>$").cast("int")).alias("closed"))
+    return per.groupBy("kind", "tag", "items", "opened", "closed").agg(F.count("*").alias("files"))
+
+
 QUERIES: dict[str, Query] = {
     "node_scan": q_node_scan,
     "edge_scan": q_edge_scan,
@@ -730,4 +785,7 @@ QUERIES: dict[str, Query] = {
     "align_union": q_align_union,
     "node_elements": q_node_elements,
     "edge_elements": q_edge_elements,
+    "typed_elements": q_typed_elements,
+    "xml_validation": q_xml_validation,
+    "xml_chunks": q_xml_chunks,
 }

@@ -498,3 +498,28 @@ SELECT 'Doc' AS kind, CAST(doc_id AS VARCHAR) AS id, array_to_string(list_sort(
 FROM documents
 UNION ALL SELECT 'Buyer', '', 'name=' || c_name FROM customer
 UNION ALL SELECT 'Buyer>READS>Doc', '', coalesce('in=' || lang, '') FROM customer JOIN documents ON c_custkey = doc_id"""
+
+_NODE_XML = """SELECT 'node' AS kind, n.type_name, CAST(q.node_id AS VARCHAR) AS id, NULL::VARCHAR AS src_labels_key,
+    NULL::VARCHAR AS src, NULL::VARCHAR AS dst_labels_key, NULL::VARCHAR AS dst,
+    coalesce((SELECT string_agg(p.key || '=' || p.value, ';' ORDER BY p.key || '=' || p.value)
+              FROM gprops p WHERE p.node_id = q.node_id AND trim(p.value) <> ''), '') AS props_text
+    FROM node_type q JOIN tnames n USING (type_id)"""
+_EDGE_XML = """SELECT 'edge', e.rel_type, e.edge_id, CASE WHEN e.src_key = '' THEN 'Node' ELSE e.src_key END, CAST(e.src_id AS VARCHAR),
+    CASE WHEN e.dst_key = '' THEN 'Node' ELSE e.dst_key END, CAST(e.dst_id AS VARCHAR),
+    coalesce(p.props_text, '') FROM gedges e LEFT JOIN (
+        SELECT edge_id, string_agg(key || '=' || value, ';' ORDER BY key || '=' || value) AS props_text
+        FROM geprops WHERE trim(value) <> '' GROUP BY edge_id) p USING (edge_id)"""
+ORACLES["typed_elements"] = with_sinks(f"{_NODE_XML} UNION ALL {_EDGE_XML}")
+ORACLES["xml_validation"] = with_sinks("""
+SELECT 'as_is' AS run, 'node' AS kind, n.type_name, count(*)::BIGINT AS elements, count(*)::BIGINT AS valid, 0::BIGINT AS invalid
+FROM node_type q JOIN tnames n USING (type_id) GROUP BY n.type_name
+UNION ALL SELECT 'as_is', 'edge', rel_type, count(*), count(*), 0 FROM gedges GROUP BY rel_type
+UNION ALL SELECT 'broken', 'node', n.type_name, count(*), count(CASE WHEN q.node_id % 7 <> 0 OR p.value IS NULL THEN 1 END),
+       count(CASE WHEN q.node_id % 7 = 0 AND p.value IS NOT NULL THEN 1 END)
+FROM node_type q JOIN tnames n USING (type_id) LEFT JOIN gprops p ON p.node_id = q.node_id AND p.key = 'acctbal'
+GROUP BY n.type_name""")
+ORACLES["xml_chunks"] = with_sinks("""
+, sizes AS (SELECT 'node' AS kind, n.type_name AS tag, count(*) AS c FROM node_type q JOIN tnames n USING (type_id) GROUP BY 2
+            UNION ALL SELECT 'edge', rel_type, count(*) FROM gedges GROUP BY 2)
+SELECT kind, tag, 100::BIGINT AS items, 1::BIGINT AS opened, 1::BIGINT AS closed, (c // 100)::BIGINT AS files FROM sizes WHERE c >= 100
+UNION ALL SELECT kind, tag, c % 100, 1, 1, 1 FROM sizes WHERE c % 100 > 0""".lstrip())
