@@ -610,6 +610,18 @@ def q_trig_lines(spark, sf_dir):
     return trig_lines(edge_quads(graph(spark, sf_dir)[1], "link"))
 
 
+def _trig_written(shape):
+    """All quads of one shape written as grouped TriG and read back."""
+    def q(spark, sf_dir):
+        from graphsift.plans.rdf import DEFAULT_BASE, namespace
+        from graphsift.plans.trig import read_trig, write_trig
+        from graphsift.sources.scratch import scratch_path
+        path = scratch_path(spark, "trig")
+        write_trig(_rule_quads(shape)(spark, sf_dir), path, {"p": namespace(DEFAULT_BASE, shape)})
+        return read_trig(spark, path)
+    return q
+
+
 def q_quads_written(spark, sf_dir):
     """N-Quads written in chunks and read back."""
     from graphsift.plans.rdf import edge_quads, write_quads
@@ -782,6 +794,8 @@ QUERIES: dict[str, Query] = {
     "csv_bulk_import": q_csv_bulk_import,
     "trig_lines": q_trig_lines,
     "quads_written": q_quads_written,
+    "trig_written_link": _trig_written("link"),
+    "trig_written_reified": _trig_written("reified"),
     "align_union": q_align_union,
     "node_elements": q_node_elements,
     "edge_elements": q_edge_elements,

@@ -211,6 +211,7 @@ FROM ({_node_quads_sql('link')} UNION ALL {_edge_quads_sql('link')}) q""")
 _IRI = f"'{_BASE}' || {_SEG.format(lk='labels_key')} || '/' || CAST(node_id AS VARCHAR)"
 for _shape in ("link", "reified"):
     ORACLES[f"rule_quads_{_shape}"] = with_sinks(f"{_node_quads_sql(_shape)} UNION ALL {_edge_quads_sql(_shape)}")
+    ORACLES[f"trig_written_{_shape}"] = ORACLES[f"rule_quads_{_shape}"]
 ORACLES["rules_vs_quads"] = with_sinks(" UNION ALL ".join(
     f"SELECT '{x}' AS shape, count(*)::BIGINT AS quads, 0::BIGINT AS mismatches FROM ({_node_quads_sql(x)} UNION ALL {_edge_quads_sql(x)}) q"
     for x in ("link", "reified")))
