@@ -9,12 +9,13 @@ does the hashing; elements sharing the whole hash array form a cluster.
 from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsift.functions.sets import euclidean
 from graphsift.functions.text import joined
-from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns, hash32
+from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
+from graphsift.operators.joins import broadcast_if_small
 from graphsift.operators.patterns import exact_edge_clusters, exact_node_clusters
 from graphsift.session import cut_lineage
 
@@ -31,8 +32,8 @@ DEFAULT_BUCKET = 0.2
 DEFAULT_TABLES = 5
 # -------------------------------------------------------------------------------
 
-NEIGHBOURS = 8      # partners of every pattern in the distance statistics
-RING = 1000         # patterns ranked together
+PARTNERS = 400      # expected size of the sample that all patterns are compared with
+BLOCKS = 16         # it is dealt to, so that no task compares with all of it
 
 
 def label_set_count(node_pats: DataFrame) -> DataFrame:
@@ -46,31 +47,46 @@ def _pattern_id(encoded: DataFrame):
     return F.concat_ws("#", *keys, joined(F.col("prop_keys"), ","))
 
 
-def neighbour_pairs(encoded: DataFrame, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
-    """(f1, f2, w): every pattern with ``neighbours`` others, w = n1 * n2.
+def partner_sample(encoded: DataFrame, partners: int = PARTNERS, seed: int = 42) -> DataFrame:
+    """(f2, w2, p2): patterns that all others are compared with, weighted by
+    their elements over their chance of being in the sample.
 
-    Per round the patterns stand in a ring by a hash of seed, round and
-    pattern, each paired with the next one. Weighting a pair by the elements
-    behind it makes averages those of random element pairs, and no pattern is
-    left out however rare it is. Rings hold about ``RING`` patterns each, so
-    no task ranks them all.
+    The chance is ``partners / 2`` times the pattern's share of all elements,
+    plus the same times its share of all patterns, at most 1. A pattern with
+    more than ``2 / partners`` of all elements is always in it, so pairs of
+    heavy patterns count exactly; with up to ``partners / 2`` patterns all are
+    in, and every pair does. On average at most ``partners`` are in it. Which
+    ones follows from a hash of the pattern, so the sample does not depend on
+    partitions.
     """
-    rings = max(1, -(-encoded.count() // RING))
-    rounds = encoded.select("features_arr", F.col("n").cast("double").alias("n"), _pattern_id(encoded).alias("p"),
-                            F.explode(F.sequence(F.lit(0), F.lit(neighbours - 1))).alias("s"))
-    text = F.concat_ws(":", F.lit(seed), F.col("s"), F.col("p"))
-    placed = rounds.withColumn("h", F.md5(text)).withColumn("ring", hash32(text) % F.lit(rings))
-    w = Window.partitionBy("s", "ring").orderBy("h")
-    nxt = F.struct("features_arr", "n")
-    return (placed.select("features_arr", "n", F.coalesce(F.lead(nxt).over(w), F.first(nxt).over(w)).alias("next"))
-            .select(F.col("features_arr").alias("f1"), F.col("next.features_arr").alias("f2"),
-                    (F.col("n") * F.col("next.n")).alias("w")))
-
-
-def pattern_distance_stats(encoded: DataFrame, neighbours: int = NEIGHBOURS, seed: int = 42) -> DataFrame:
-    """CLU1: avg/min/max/stddev Euclidean distance over unequal pairs, the
-    average and deviation weighted by elements."""
-    d = (neighbour_pairs(encoded, neighbours, seed).where(F.col("f1") != F.col("f2"))
+    total = encoded.agg(F.sum(F.col("n").cast("double")), F.count("*")).first()
+    n, patterns = total[0] or 1.0, max(1, total[1])
+    chance = F.least(F.lit(1.0), F.lit(partners / 2) * (F.col("n") / F.lit(n) + F.lit(1.0 / patterns)))
+    drawn = F.xxhash64(F.lit(seed), "p").cast("double") / F.lit(float(1 << 64)) + 0.5
+    named = encoded.select("features_arr", F.col("n").cast("double").alias("n"), _pattern_id(encoded).alias("p"))
+    return named.where(drawn < chance).select(F.col("features_arr").alias("f2"), (F.col("n") / chance).alias("w2"),
+                                              F.col("p").alias("p2"))
+
+
+def weighted_pairs(encoded: DataFrame, partners: int = PARTNERS, seed: int = 42) -> DataFrame:
+    """(f1, f2, w): every pattern with every one of the sample but itself,
+    w = n1 * n2 / chance of n2: sums over them are unbiased estimates of sums
+    over all pairs of elements, and the sums themselves where all are in it."""
+    sample = partner_sample(encoded, partners, seed).withColumn("b", F.pmod(F.xxhash64("p2"), F.lit(BLOCKS)))
+    sample = broadcast_if_small(cut_lineage(sample))
+    rows = encoded.select(F.col("features_arr").alias("f1"), F.col("n").cast("double").alias("n"),
+                          _pattern_id(encoded).alias("p"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("b"))
+    return (rows.join(sample, "b").where(F.col("p") != F.col("p2"))
+            .select("f1", "f2", (F.col("n") * F.col("w2")).alias("w")))
+
+
+def pattern_distance_stats(encoded: DataFrame, partners: int = PARTNERS, seed: int = 42) -> DataFrame:
+    """CLU1: avg/min/max/stddev Euclidean distance over pairs with unequal
+    features, weighted by the elements behind a pair, and how many (ordered)
+    pairs were compared. With more patterns than ``partners / 2``, min and max
+    are of the compared pairs, and the average's relative standard error is
+    about that of ``partners / 2`` random draws, and none among heavy patterns."""
+    d = (weighted_pairs(encoded, partners, seed).where(F.col("f1") != F.col("f2"))
          .select(euclidean("f1", "f2").alias("d"), "w"))
     avg = F.sum(F.col("w") * F.col("d")) / F.sum("w")
     square = F.sum(F.col("w") * F.col("d") * F.col("d")) / F.sum("w")
@@ -103,10 +119,10 @@ def estimate_lsh_params(avg_distance: float | None, rows: int, is_edge: bool,
     return bucket, tables
 
 
-def lsh_params_table(encoded: DataFrame, is_edge: bool, neighbours: int = NEIGHBOURS,
+def lsh_params_table(encoded: DataFrame, is_edge: bool, partners: int = PARTNERS,
                      seed: int = 42) -> DataFrame:
     """One-row table (avg_distance, rows, label_sets, bucket_length, num_tables)."""
-    st = pattern_distance_stats(encoded, neighbours, seed).first()
+    st = pattern_distance_stats(encoded, partners, seed).first()
     rows = encoded.agg(F.sum("n")).first()[0] or 0
     ls = None if is_edge else encoded.agg(F.countDistinct("labels_key")).first()[0]
     b, t = estimate_lsh_params(st["avg_distance"], int(rows), is_edge, ls)
@@ -127,7 +143,7 @@ def _lsh(encoded: DataFrame, exact_id: str, bucket: float, tables: int, seed: in
 
 def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
-                      neighbours: int = NEIGHBOURS) -> DataFrame:
+                      partners: int = PARTNERS) -> DataFrame:
     """CLU4: node patterns with an LSH ``cluster_id`` (CLU7: empty in, empty out)."""
     # pattern-level tables are materialised once: fitting and parameter
     # estimation run several actions over them
@@ -136,7 +152,7 @@ def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
         return base.withColumnRenamed("_exact", "cluster_id")
     enc = cut_lineage(encode_node_patterns(base, code=code, seed=seed))
     if bucket_length is None or num_tables is None:
-        p = lsh_params_table(enc, False, neighbours, seed).first()
+        p = lsh_params_table(enc, False, partners, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
         num_tables = num_tables or p["num_tables"]
     return _lsh(enc, "_exact", bucket_length, num_tables, seed, "lsh:")
@@ -144,14 +160,14 @@ def lsh_cluster_nodes(node_pats: DataFrame, bucket_length: float | None = None,
 
 def lsh_cluster_edges(edge_pats: DataFrame, bucket_length: float | None = None,
                       num_tables: int | None = None, seed: int = 42, code: str = "word2vec",
-                      neighbours: int = NEIGHBOURS) -> DataFrame:
+                      partners: int = PARTNERS) -> DataFrame:
     """CLU5: edge patterns with an LSH ``cluster_id``."""
     base = cut_lineage(exact_edge_clusters(edge_pats).withColumnRenamed("cluster_id", "_exact"))
     if base.isEmpty():
         return base.withColumnRenamed("_exact", "cluster_id")
     enc = cut_lineage(encode_edge_patterns(base, code=code, seed=seed))
     if bucket_length is None or num_tables is None:
-        p = lsh_params_table(enc, True, neighbours, seed).first()
+        p = lsh_params_table(enc, True, partners, seed).first()
         bucket_length = bucket_length or p["bucket_length"]
         num_tables = num_tables or p["num_tables"]
     return _lsh(enc, "_exact", bucket_length, num_tables, seed, "lsh:")

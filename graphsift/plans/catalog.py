@@ -25,13 +25,13 @@ def _j(c, sep: str = ",") -> F.Column:
     return F.array_join(F.array_sort(col), sep)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fixture_graph(spark, sf_dir)
+def graph(spark: SparkSession, sf_dir: str, values: bool = True) -> tuple[DataFrame, DataFrame]:
+    return fixture_graph(spark, sf_dir, values)
 
 
 def named_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph for what needs names and labels only: no property values."""
-    return fixture_graph(spark, sf_dir, values=False)
+    return graph(spark, sf_dir, False)
 
 
 def schema(spark: SparkSession, sf_dir: str, **kw) -> GraphSchema:

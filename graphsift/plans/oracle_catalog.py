@@ -449,13 +449,8 @@ _ENCODED = f""", nvocab AS (SELECT DISTINCT key FROM gprops), evocab AS (SELECT
           SELECT 'edge', concat_ws('#', rel_type, src_key, dst_key, props_key), n, NULL,
                  list_concat({_code('rel_type', 10)}, {_code('src_key', 4)}, {_code('dst_key', 4)},
                              {_FLAGS.format(v='evocab')}) FROM epatterns),
-  rings AS (SELECT kind, (count(*) + 999) // 1000 AS rings FROM enc GROUP BY kind),
-  placed AS (SELECT e.*, t.s, md5('42:' || t.s || ':' || p) AS h,
-                    CAST(('0x' || substr(md5('42:' || t.s || ':' || p), 1, 8)) AS UBIGINT) % r.rings AS ring
-             FROM enc e JOIN rings r USING (kind), range(8) t(s)),
-  pairs AS (SELECT kind, v, CAST(n AS DOUBLE) AS n, coalesce(lead(v) OVER w, first_value(v) OVER w) AS v2,
-                   coalesce(lead(n) OVER w, first_value(n) OVER w) AS n2
-            FROM placed WINDOW w AS (PARTITION BY kind, s, ring ORDER BY h)),
+  pairs AS (SELECT a.kind, a.v, b.v AS v2, CAST(a.n AS DOUBLE) AS n, CAST(b.n AS DOUBLE) AS n2
+            FROM enc a JOIN enc b ON a.kind = b.kind AND a.p <> b.p),
   dist AS (SELECT kind, list_distance(v, v2) AS d, n * n2 AS w FROM pairs WHERE v <> v2),
   stats AS (SELECT kind, sum(w * d) / sum(w) AS a, min(d) AS lo, max(d) AS hi, count(*) AS pairs FROM dist GROUP BY kind)
 """

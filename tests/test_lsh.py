@@ -47,13 +47,56 @@ def test_rare_patterns_count(spark):
     assert st["max_distance"] >= 50.0 and abs(st["avg_distance"] - 1.0) < 1e-6
 
 
-def test_rings_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(lsh, "RING", 10)
-    rows = [(f"L{i}", [], 1, [float(i)]) for i in range(95)]
-    enc = spark.createDataFrame(rows, "labels_key string, prop_keys array<string>, n bigint, features_arr array<double>")
-    pairs = lsh.neighbour_pairs(enc)
-    assert pairs.count() == 95 * lsh.NEIGHBOURS
-    assert pairs.select("f1").distinct().count() == 95
+ENCODED = "labels_key string, prop_keys array<string>, n bigint, features_arr array<double>"
+
+
+def exact_average(rows):
+    import numpy as np
+    n = np.array([r[2] for r in rows], float)
+    x = np.array([r[3] for r in rows])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    w = np.outer(n, n) * (d > 0)
+    return (w * d).sum() / w.sum()
+
+
+def test_all_pairs_of_few_patterns(spark):
+    rows = [(f"L{i}", [], i * i + 1, [float(i % 9), float(i % 4)]) for i in range(150)]
+    st = lsh.pattern_distance_stats(spark.createDataFrame(rows, ENCODED)).first()
+    equal = sum(a[3] == b[3] for a in rows for b in rows)
+    assert st["pairs"] == 150 * 150 - equal and abs(st["avg_distance"] - exact_average(rows)) < 1e-9
+
+
+def test_two_patterns_with_a_third_each(spark):
+    """Of 5,000 patterns two hold a third of the elements each: the average is that of all pairs to 1 %."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rows = [(f"L{i}", [], int(rng.integers(1, 50)), rng.random(4).tolist()) for i in range(4998)]
+    total = sum(r[2] for r in rows)
+    rows += [("H1", [], total, [5.0, 0.0, 0.0, 0.0]), ("H2", [], total, [0.0, 0.0, 9.0, 0.0])]
+    enc = spark.createDataFrame(rows, ENCODED).repartition(7)
+    st = lsh.pattern_distance_stats(enc).first()
+    assert abs(st["avg_distance"] / exact_average(rows) - 1) < 0.01
+    sample = lsh.partner_sample(enc).collect()
+    assert {"H1#", "H2#"} <= {r.p2 for r in sample} and len(sample) < 2 * lsh.PARTNERS
+    assert st == lsh.pattern_distance_stats(enc.coalesce(1)).first() or abs(
+        st["avg_distance"] - lsh.pattern_distance_stats(enc.coalesce(1)).first()["avg_distance"]) < 1e-9
+
+
+def test_estimate_is_unbiased(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(f"L{i}", [], int(rng.pareto(1.2) * 10) + 1, rng.random(3).tolist()) for i in range(1000)]
+    enc = spark.createDataFrame(rows, ENCODED).cache()
+    got = [lsh.pattern_distance_stats(enc, partners=100, seed=k).first()["avg_distance"] for k in range(6)]
+    assert abs(np.mean(got) / exact_average(rows) - 1) < 0.03
+
+
+def test_empty_input(spark):
+    nodes = spark.createDataFrame([], "labels_key string, prop_keys array<string>, n bigint")
+    edges = spark.createDataFrame([], "rel_type string, src_key string, dst_key string, prop_keys array<string>, n bigint")
+    for out, key in ((lsh.lsh_cluster_nodes(nodes), "labels_key"), (lsh.lsh_cluster_edges(edges), "rel_type")):
+        assert out.count() == 0 and {key, "prop_keys", "n", "cluster_id"} <= set(out.columns)
+    assert lsh.pattern_distance_stats(spark.createDataFrame([], ENCODED)).first()["pairs"] == 0
 
 
 def test_flags_of_more_than_a_thousand_properties(make_graph, monkeypatch, spark):
