@@ -1,10 +1,14 @@
 """Exact set-similarity join (Jaccard >= t) without a Cartesian product.
 
-Prefix filtering: with all tokens ordered globally by (frequency, token),
-two sets with Jaccard >= t must share a token among the first
-``|x| - ceil(t*|x|) + 1`` tokens of each. Only prefix tokens are exploded
-and equi-joined, so frequent tokens (a property every type carries) rarely
-produce candidate pairs. Candidates are then verified exactly.
+All tokens are ordered globally by (frequency, token), rarest first. Sets of m
+and n tokens with Jaccard >= t share at least k = ceil(t / (1 + t) * (m + n))
+tokens, so they share one among the first m - k + 1 of the one and n - k + 1 of
+the other. Lists are therefore keyed by token *and both sizes*: a set enters
+the lists of a size it can pair with using just the tokens that this size needs.
+That is shorter than the prefix for any size (with t = 0.3 that one is almost the
+whole set), and a token that nearly all sets carry, last in the order, is in
+hardly any list. A pair met at places i and j must also have k tokens left
+from there on, counting this one. Candidates are then verified exactly.
 """
 
 from __future__ import annotations
@@ -15,15 +19,42 @@ from pyspark.sql import functions as F
 _EPS = 1e-9
 
 
-def _prefixes(sets: DataFrame, freq: DataFrame, t: float) -> DataFrame:
-    """(id, token) for the prefix tokens of every set."""
+def _lists(sets: DataFrame, freq: DataFrame, t: float, sizes: list[int], own: str, other: str) -> DataFrame:
+    """(id, token, place, <own>, <other>): the lists that every set is in, by
+    its own size and the sizes of possible partners."""
     exploded = sets.select("id", "size", F.explode("set").alias("token"))
     ranked = (exploded.join(freq, "token")
               .groupBy("id", "size")
               .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ordered")))
-    plen = (F.col("size") - F.ceil(F.col("size") * F.lit(t) - F.lit(_EPS)) + 1).cast("int")
-    return ranked.select("id", F.explode(F.slice("ordered", 1, plen)).alias("e")) \
-                 .select("id", F.col("e.token").alias("token"))
+    placed = ranked.select("id", "size", F.posexplode("ordered").alias("place", "e"))
+    size, place = F.col("size"), F.col("place")
+    partners = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: (
+        (n >= size * t - _EPS) & (size >= n * t - _EPS) & (place <= size - _needed(size, n, t))))
+    return placed.select("id", F.col("e.token").alias("token"), "place", size.alias(own), F.explode(partners).alias(other))
+
+
+def _needed(m, n, t: float):
+    """Tokens that sets of m and n tokens with Jaccard >= t share at least."""
+    return F.ceil((m + n) * F.lit(t / (1 + t)) - F.lit(_EPS))
+
+
+def candidates(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
+    """(a, b): pairs of ids that meet in some list; with ``b=None`` of one
+    table, once each (a < b). Rows have (id, set, size)."""
+    right = a if b is None else b
+    tokens = a.select(F.explode("set").alias("token"))
+    if b is not None:
+        tokens = tokens.unionAll(b.select(F.explode("set").alias("token")))
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    # Sizes: as many as the largest set has tokens at most.
+    sizes_a, sizes_b = ([r["size"] for r in x.select("size").distinct().collect()] for x in (a, right))
+    la = _lists(a, freq, threshold, sizes_b, "m", "n").withColumnsRenamed({"id": "a", "place": "i"})
+    lb = _lists(right, freq, threshold, sizes_a, "n", "m").withColumnsRenamed({"id": "b", "place": "j"})
+    left_over = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    met = la.join(lb, ["token", "m", "n"]).where(left_over >= _needed(F.col("m"), F.col("n"), threshold))
+    if b is None:
+        met = met.where(F.col("a") < F.col("b"))
+    return met.select("a", "b").distinct()
 
 
 def _prep(df: DataFrame, id_col: str, set_col: str) -> DataFrame:
@@ -49,24 +80,10 @@ def jaccard_join(left: DataFrame, right: DataFrame | None, left_id: str, left_se
     a = _prep(left, left_id, left_set)
     b = a if right is None else _prep(right, right_id or left_id, right_set or left_set)
 
-    tokens = a.select(F.explode("set").alias("token"))
-    if right is not None:
-        tokens = tokens.unionAll(b.select(F.explode("set").alias("token")))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-
-    pa = _prefixes(a, freq, t)
-    pb = pa if right is None else _prefixes(b, freq, t)
-    cand = (pa.withColumnRenamed("id", "a")
-            .join(pb.withColumnRenamed("id", "b"), "token")
-            .select("a", "b").distinct())
-    if right is None:
-        cand = cand.where(F.col("a") < F.col("b"))
-
+    cand = candidates(a, None if right is None else b, t)
     sa = a.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("size").alias("na"))
     sb = b.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("size").alias("nb"))
     pairs = (cand.join(sa, "a").join(sb, "b")
-             # length filter, then exact verification
-             .where((F.col("nb") >= F.col("na") * t - _EPS) & (F.col("na") >= F.col("nb") * t - _EPS))
              .withColumn("inter", F.size(F.array_intersect("sa", "sb")))
              .withColumn("jaccard", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
              .where(F.col("jaccard") >= F.lit(t) - F.lit(_EPS)))
