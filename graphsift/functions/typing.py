@@ -13,12 +13,8 @@ from pyspark.sql import functions as F
 # ---- fixed values (must equal the reference's rules) ------------------------
 # Accepted boolean spellings (compared after trim + lower-case).
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
-# Date formats tried by the reference, in its order.
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "yyyy", "yyyy/MM", "MM/yyyy"]
 # Property that is always typed String.
 IP_PROPERTY = "locationIP"
-# Type names, in the order the tests are applied after the IP rule.
-TYPE_ORDER = ["Integer", "Double", "Date", "Boolean", "String"]
 EMPTY_TYPE = "Unknown (empty)"
 MISSING_TYPE = "Unknown"
 # PG-Schema type names.
@@ -74,9 +70,9 @@ def is_double(v) -> Column:
 def is_date(v, mode: str = "lenient") -> Column:
     """Date test.
 
-    ``lenient`` mirrors a lenient prefix parse of the formats above: any text
+    ``lenient`` mirrors a lenient prefix parse: any text
     whose trimmed form starts with an (optionally negative) number passes.
-    ``strict`` accepts only values fully matching one of the formats.
+    ``strict`` accepts only values of the form of a whole date (STRICT_DATE_REGEXES).
     """
     t = _trimmed(v)
     if mode == "lenient":

@@ -170,6 +170,14 @@ def q_typed_schema(spark, sf_dir):
     return out
 
 
+def q_property_types_strict(spark, sf_dir):
+    """Value types where a date must have a whole date's form."""
+    nodes, _ = graph(spark, sf_dir)
+    out = [infer.infer_property_types(df, "strict").select(F.lit(kind).alias("kind"), "*")
+           for kind, df in (("node", nodes), ("edge", fixture_raw_edges(spark, sf_dir)))]
+    return out[0].unionByName(out[1])
+
+
 def q_degree_stats(spark, sf_dir):
     st = infer.degree_stats(fixture_raw_edges(spark, sf_dir))
     return st.select("rel_type", "max_dst_per_src", "min_dst_per_src",
@@ -483,6 +491,15 @@ def q_encoded_edge_patterns(spark, sf_dir):
                                            19, F.size("features_arr")), ",").alias("flags"))
 
 
+def q_encoded_node_codes(spark, sf_dir):
+    """Node features with codes that any engine can recompute."""
+    from graphsift.operators.encode import encode_node_patterns
+    nodes, _ = named_graph(spark, sf_dir)
+    enc = encode_node_patterns(cut_lineage(patterns.node_patterns(nodes)), code="hash")
+    return enc.select("labels_key", F.array_join("prop_keys", ",").alias("props_key"), "n", F.size("features_arr").alias("dim"),
+                      *[F.round(F.element_at("features_arr", i), 6).alias(f"f{i}") for i in range(1, 6)])
+
+
 def _encoded(spark, sf_dir):
     """Node and edge patterns with recomputable codes, each cut into a table."""
     from graphsift.operators.encode import encode_edge_patterns, encode_node_patterns
@@ -743,6 +760,7 @@ QUERIES: dict[str, Query] = {
     "edge_types_by_endpoints": q_edge_types_by_endpoints,
     "property_types_nodes": q_property_types_nodes,
     "property_types_edges": q_property_types_edges,
+    "property_types_strict": q_property_types_strict,
     "typed_schema": q_typed_schema,
     "degree_stats": q_degree_stats,
     "cardinality": q_cardinality,
@@ -785,6 +803,7 @@ QUERIES: dict[str, Query] = {
     "pattern_distance_stats": q_pattern_distance_stats,
     "lsh_params": q_lsh_params,
     "encoded_edge_patterns": q_encoded_edge_patterns,
+    "encoded_node_codes": q_encoded_node_codes,
     "lsh_invariants": q_lsh_invariants,
     "node_lsh": q_node_lsh,
     "edge_lsh": q_edge_lsh,

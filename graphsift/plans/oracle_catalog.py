@@ -96,10 +96,11 @@ ORACLES: dict[str, str] = {
 }
 
 # ------------------------------------------------------------------ sinks / RDF / evaluation
-from graphsift.plans.oracle_sql import with_sinks  # noqa: E402
-from graphsift.plans import rdf as _rdf  # noqa: E402
+from graphsift.plans.oracle_sql import FIXTURE, STRICT_CTES, with_sinks  # noqa: E402
 
-_BASE = _rdf.DEFAULT_BASE
+_BASE = "https://example.org/"
+_TYPE_IRI = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+_LABEL_IRI = "http://www.w3.org/2000/01/rdf-schema#label"
 _SEG = ("CASE WHEN {lk} = '' THEN 'Node' ELSE url_encode({lk}) END")
 
 ORACLES["ddl_loose"] = with_sinks(f"""
@@ -137,7 +138,7 @@ ORACLES["schema_fields"] = with_sinks("SELECT * FROM sfields")
 
 def _rules_sql(shape: str) -> str:
     ns = _BASE + ("custom/" if shape == "link" else "")
-    rt = _rdf.RDF_TYPE
+    rt = _TYPE_IRI
     parts = [
         f"SELECT DISTINCT type_name, kind, 'subject' AS rule, NULL::VARCHAR AS predicate, '{ns}' || type_name || '/{{id}}' AS template, NULL::VARCHAR AS field FROM sfields",
         f"SELECT DISTINCT type_name, kind, 'class', '{rt}', CASE WHEN kind = 'edge' AND {str(shape == 'link').upper()} THEN '{ns}intermediate' ELSE '{ns}' || type_name END, NULL FROM sfields",
@@ -145,7 +146,7 @@ def _rules_sql(shape: str) -> str:
     ]
     ends = "(SELECT type_name, role, min(xsd_type) AS end_type FROM sfields WHERE role <> 'property' GROUP BY 1, 2)"
     if shape == "link":
-        parts.append(f"SELECT DISTINCT type_name, kind, 'label', '{_rdf.RDFS_LABEL}', '{{id}}', NULL FROM sfields WHERE kind = 'node'")
+        parts.append(f"SELECT DISTINCT type_name, kind, 'label', '{_LABEL_IRI}', '{{id}}', NULL FROM sfields WHERE kind = 'node'")
         parts.append(f"SELECT type_name, 'edge', 'link', '{ns}' || type_name, '{ns}' || end_type || '/{{src}}', NULL FROM {ends} WHERE role = 'source'")
         parts.append(f"SELECT type_name, 'edge', 'has_target', '{ns}hasTarget', '{ns}' || end_type || '/{{dst}}', NULL FROM {ends} WHERE role = 'target'")
     else:
@@ -167,13 +168,13 @@ def _node_quads_sql(shape: str) -> str:
     g = f"'{_BASE}custom'" if shape == "link" else "NULL::VARCHAR"
     subj = f"'{ns}' || {_SEG.format(lk='q.labels_key')} || '/' || CAST(q.node_id AS VARCHAR)"
     parts = [
-        f"SELECT {g} AS graph, {subj} AS subject, '{_rdf.RDF_TYPE}' AS predicate, '{ns}' || n.type_name AS object, "
+        f"SELECT {g} AS graph, {subj} AS subject, '{_TYPE_IRI}' AS predicate, '{ns}' || n.type_name AS object, "
         "'iri' AS object_kind, NULL::VARCHAR AS datatype FROM node_type q JOIN tnames n USING (type_id)",
         f"SELECT {g}, {subj}, '{ns}has_' || p.key, p.value, 'literal', NULL FROM node_type q JOIN gprops p USING (node_id) "
         "WHERE trim(p.value) <> ''",
     ]
     if shape == "link":
-        parts.append(f"SELECT {g}, {subj}, '{_rdf.RDFS_LABEL}', CAST(q.node_id AS VARCHAR), 'literal', NULL FROM node_type q")
+        parts.append(f"SELECT {g}, {subj}, '{_LABEL_IRI}', CAST(q.node_id AS VARCHAR), 'literal', NULL FROM node_type q")
     return " UNION ALL ".join(parts)
 
 
@@ -187,10 +188,10 @@ def _edge_quads_sql(shape: str) -> str:
     head = "SELECT {g} AS graph, {s} AS subject, {p} AS predicate, {o} AS object, '{k}' AS object_kind, NULL::VARCHAR AS datatype FROM gedges e"
     if shape == "link":
         parts = [head.format(g=g, s=src, p=f"'{ns}' || {rel}", o=eiri, k="iri"),
-                 head.format(g=g, s=eiri, p=f"'{_rdf.RDF_TYPE}'", o=f"'{ns}intermediate'", k="iri"),
+                 head.format(g=g, s=eiri, p=f"'{_TYPE_IRI}'", o=f"'{ns}intermediate'", k="iri"),
                  head.format(g=g, s=eiri, p=f"'{ns}hasTarget'", o=dst, k="iri")]
     else:
-        parts = [head.format(g=g, s=eiri, p=f"'{_rdf.RDF_TYPE}'", o=f"'{ns}' || {rel}", k="iri"),
+        parts = [head.format(g=g, s=eiri, p=f"'{_TYPE_IRI}'", o=f"'{ns}' || {rel}", k="iri"),
                  head.format(g=g, s=eiri, p=f"'{ns}source'", o=src, k="iri"),
                  head.format(g=g, s=eiri, p=f"'{ns}target'", o=dst, k="iri")]
     parts.append(f"SELECT {g}, {eiri}, '{ns}' || {rel} || '_' || p.key, p.value, 'literal', NULL "
@@ -519,3 +520,10 @@ ORACLES["xml_chunks"] = with_sinks("""
             UNION ALL SELECT 'edge', rel_type, count(*) FROM gedges GROUP BY 2)
 SELECT kind, tag, 100::BIGINT AS items, 1::BIGINT AS opened, 1::BIGINT AS closed, (c // 100)::BIGINT AS files FROM sizes WHERE c >= 100
 UNION ALL SELECT kind, tag, c % 100, 1, 1, 1 FROM sizes WHERE c % 100 > 0""".lstrip())
+ORACLES["property_types_strict"] = "WITH " + FIXTURE + "," + STRICT_CTES + """
+SELECT 'node' AS kind, * FROM nptypes UNION ALL SELECT 'edge', * FROM eptypes"""
+ORACLES["encoded_node_codes"] = with_fixture(_ENCODED + f"""
+, nv AS (SELECT *, {_code('labels_key', 5)} AS c FROM npatterns)
+SELECT labels_key, props_key, n, CAST(5 + (SELECT count(*) FROM nvocab) AS INTEGER) AS dim,
+  round(c[1], 6) AS f1, round(c[2], 6) AS f2, round(c[3], 6) AS f3, round(c[4], 6) AS f4, round(c[5], 6) AS f5
+FROM nv""", patterns=True)

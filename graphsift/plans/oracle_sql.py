@@ -11,7 +11,22 @@ views only, with the same output column names.
 
 from __future__ import annotations
 
-from graphsift.functions import typing as ty
+# ---- fixed values, written out here: the oracle takes nothing from the code it checks ----
+IP_PROPERTY = "locationIP"
+BOOLEANS = "('true', 'false', 'yes', 'no', '1', '0')"
+INTEGER = "^[+-]?[0-9]+$"
+DECIMAL = "([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+HEXADECIMAL = "0[xX]([0-9a-fA-F]+[.]?[0-9a-fA-F]*|[.][0-9a-fA-F]+)[pP][+-]?[0-9]+"
+DOUBLE = f"^[+-]?(NaN|Infinity|({DECIMAL}|{HEXADECIMAL})[fFdD]?)$"
+QUAD = "^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}$"
+LENIENT_DATE = "^-?[0-9]"
+STRICT_DATE = ("^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}"
+               "|[0-9]{4}|[0-9]{4}/[0-9]{2}|[0-9]{2}/[0-9]{4})$")
+PG_NAMES = {"string": "STRING", "int": "INT", "int32": "INT32", "integer": "INTEGER", "date": "DATE", "double": "DOUBLE",
+            "boolean": "BOOLEAN"}
+XSD_NAMES = {"string": "xs:string", "int": "xs:integer", "integer": "xs:integer", "int32": "xs:integer",
+             "double": "xs:decimal", "boolean": "xs:boolean", "date": "xs:date"}
+# ------------------------------------------------------------------------------------------
 
 MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
 DAY = "strftime({}, '%Y-%m-%d')"
@@ -149,13 +164,12 @@ ecard AS (SELECT m.type_id, string_agg(c.cardinality, ',' ORDER BY c.rel_type) A
 """
 
 
-def _typing_cte(src: str, name: str) -> str:
+def _typing_cte(src: str, name: str, date: str = LENIENT_DATE) -> str:
     """Per-property type over a (key, value) relation, same rules as the Spark side."""
     t = "trim(value)"
-    dbl = ty.DOUBLE_REGEX
     return f"""
 {name} AS (SELECT key AS property,
-  CASE WHEN key = '{ty.IP_PROPERTY}' OR bool_and(ipok) THEN 'String'
+  CASE WHEN key = '{IP_PROPERTY}' OR bool_and(ipok) THEN 'String'
        WHEN bool_and(intok) THEN 'Integer'
        WHEN bool_and(dblok) THEN 'Double'
        WHEN bool_and(dateok) THEN 'Date'
@@ -163,16 +177,17 @@ def _typing_cte(src: str, name: str) -> str:
        ELSE 'String' END AS type,
   count(*) AS n_values
 FROM (SELECT key,
-  coalesce(regexp_matches({t}, '{ty.INTEGER_REGEX}') AND TRY_CAST({t} AS BIGINT) BETWEEN -2147483648 AND 2147483647, false) AS intok,
-  coalesce(regexp_matches({t}, '{dbl}'), false) AS dblok,
-  coalesce(regexp_matches({t}, '{ty.LENIENT_DATE_REGEX}'), false) AS dateok,
-  coalesce(lower({t}) IN ({", ".join("'" + w + "'" for w in ty.BOOLEAN_WORDS)}), false) AS boolok,
-  coalesce(regexp_matches({t}, '{ty.IP_REGEX}') AND regexp_matches(value, '{ty.IP_REGEX}')
+  coalesce(regexp_matches({t}, '{INTEGER}') AND TRY_CAST({t} AS BIGINT) BETWEEN -2147483648 AND 2147483647, false) AS intok,
+  coalesce(regexp_matches({t}, '{DOUBLE}'), false) AS dblok,
+  coalesce(regexp_matches({t}, '{date}'), false) AS dateok,
+  coalesce(lower({t}) IN {BOOLEANS}, false) AS boolok,
+  coalesce(regexp_matches({t}, '{QUAD}') AND regexp_matches(value, '{QUAD}')
            AND list_bool_and(list_transform(string_split(value, '.'), lambda x: TRY_CAST(x AS INTEGER) <= 255)), false) AS ipok
   FROM {src} WHERE key <> 'original_label') v
 GROUP BY key)"""
 
 
+STRICT_CTES = _typing_cte("gprops", "nptypes", STRICT_DATE) + "," + _typing_cte("geprops", "eptypes", STRICT_DATE)
 TYPING_CTES = _typing_cte("gprops", "nptypes") + "," + _typing_cte("geprops", "eptypes")
 
 
@@ -186,12 +201,12 @@ def with_fixture(body: str, patterns: bool = False, typing: bool = False) -> str
 
 
 def _pg(t: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ty.PG_TYPES.items())
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PG_NAMES.items())
     return f"(CASE lower(trim({t})) {cases} ELSE 'STRING' END)"
 
 
 def _xsd(t: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ty.XSD_TYPES.items())
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in XSD_NAMES.items())
     return f"(CASE lower(trim({t})) {cases} ELSE 'xs:string' END)"
 
 
