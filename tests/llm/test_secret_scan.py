@@ -1,5 +1,7 @@
 """Secret scans: the forest against pyspark.ml, held-out findings, redaction."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,38 @@ def test_empty_tables_and_no_findings(spark, forest):
     assert s.train(docs, findings=40).score(np.zeros((2, len(s.FEATURES)))).shape == (2,)
     none = spark.createDataFrame([], "path string, text string, label bigint")
     assert s.fit(none, forest.words).score(np.zeros((3, len(s.FEATURES)))).tolist() == [1.0, 1.0, 1.0]
+
+
+def brute_candidates(text):
+    """Maximal runs of 12 and more key characters with a digit, and assigned values; what overlaps is one."""
+    spans = [m.span() for m in re.finditer(r"[A-Za-z0-9_+/=\-]+", text) if len(m[0]) >= 12 and re.search("[0-9]", m[0])]
+    spans += [m.span(1) for m in re.finditer(
+        r"(?i)(?:token|secret|password|passwd|pwd|api_?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})", text)]
+    out = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def test_candidates_against_brute_force():
+    rng = np.random.default_rng(6)
+    parts = ["token", "Secret", "pwd", "api_key", "apikey", "=", ": ", "\"", "'", " ", "  ", "abc", "9f8b1c", "0", "-", "_", "/+",
+             "é", "#", "longletters", "\n", "!", "12345678901234", "auth"]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 25)))
+        got = s.candidates(text)
+        assert got == brute_candidates(text), text
+        seen += len(got)
+    assert seen > 1000
+
+
+def test_a_score_at_the_threshold_is_accepted(spark, forest):
+    docs = spark.createDataFrame([(1, f'see token = "{KEY}" there', "src1")], "doc_id bigint, text string, source string")
+    score = s.scan(docs, forest).first().score
+    assert s.scan(docs, forest, threshold=score).first().is_secret
+    assert s.redact(docs, forest, threshold=score).first().text == 'see token = "[SECRET]" there'
+    assert not s.scan(docs, forest, threshold=score + 1e-9).first().is_secret

@@ -75,3 +75,27 @@ def test_remembered_words_change_nothing(monkeypatch):
     before = model.margin("idiot a b c moron idiot")
     monkeypatch.setattr(toxicity, "KNOWN_WORDS", 2)
     assert model.margin("idiot a b c moron idiot") == before > 0
+
+
+def test_held_out_labels_of_the_given_documents(spark):
+    """Fitted on four fifths of the labels of sf0.1, scored on the documents of the others."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic IS NOT NULL")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs, labels.where(~held))
+    rows = toxicity.score(docs.join(labels.where(held).select("doc_id"), "doc_id", "left_semi"), model)
+    got = rows.select("doc_id", F.col("toxic").alias("found")).join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    toxic, clean = [r.found for r in got if r.truth == 1], [r.found for r in got if r.truth == 0]
+    print(f"{len(toxic)} toxic, {np.mean(toxic):.3f} found; {len(clean)} clean, {np.mean(clean):.4f} rejected")
+    assert len(toxic) >= 20 and np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
+
+
+def test_equal_and_very_long_texts(spark):
+    rows = sample(200, 7)
+    model = toxicity.fit_ordinal(toxicity.Rows.of([toxicity.features(t) for _, t, _ in rows]), np.array([g for _, _, g in rows]))
+    long = "word1 word2 " * 100_000 + "moron idiot scumbags " * 1000
+    docs = spark.createDataFrame([(1, long), (2, "moron idiot"), (2, "moron idiot"), (3, "moron idiot")], "doc_id bigint, text string")
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 4 and len({r.severity for r in got if r.doc_id != 1}) == 1
+    assert next(r for r in got if r.doc_id == 1).toxic
