@@ -622,6 +622,50 @@ def q_csv_bulk_import(spark, sf_dir):
     return n.unionByName(e)
 
 
+def _party_import(spark, sf_dir, **options):
+    """Customers and suppliers in one id space (so ids come twice), orders under
+    text ids, and edges of which some lead to ids that no node has."""
+    from graphsift.sources.csvio import FORMAT, import_csv
+    from graphsift.sources.fixture import table
+    from graphsift.sources.scratch import scratch_path
+    path = scratch_path(spark, "party")
+
+    def put(name, source, *columns):
+        settings = {k: v for k, v in FORMAT.items() if k != "multiLine"} | {"emptyValue": '""', "sep": "|"}
+        table(spark, sf_dir, source).selectExpr(*columns).write.options(**settings).csv(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    nodes = {"Customer": put("c", "customer", "c_custkey AS `key:ID(Party)`", "c_name AS name"),
+             "Supplier": put("s", "supplier", "s_suppkey AS `key:ID(Party)`", "s_name AS name"),
+             "Order": put("o", "orders", "concat('order-', o_orderkey) AS `key:ID`", "o_orderstatus AS status"),
+             "Nation": put("n", "nation", "n_nationkey AS `key:ID`", "n_name AS `names:string[]`")}
+    edges = {"ORDERED": put("oe", "orders", "o_custkey AS `:START_ID(Party)`", "concat('order-', o_orderkey) AS `:END_ID`"),
+             "LABELS": put("le", "labels", "doc_id AS `:START_ID(Party)`", "doc_id AS `:END_ID`"),
+             "RATES": put("re", "labels", "nullif(doc_id, 0) AS `:START_ID`", "doc_id + 600 AS `:END_ID(Party)`",
+                          "quality AS `quality:int`")}
+    return import_csv(spark, nodes, edges, multiline_fields=False, one_header=True, **options)
+
+
+def q_csv_import_report(spark, sf_dir):
+    """What an import finds: rows, ids used twice, edges that lead nowhere."""
+    return _party_import(spark, sf_dir).report
+
+
+def q_csv_import_edges(spark, sf_dir):
+    """The edges that stay without bad ones, by the keys of the nodes they meet."""
+    got = _party_import(spark, sf_dir, skip_duplicate_nodes=True, skip_bad_edges=True)
+    key = F.col("props")["key"]
+    src = got.nodes.select(F.col("node_id").alias("src_id"), key.alias("src_key"))
+    dst = got.nodes.select(F.col("node_id").alias("dst_id"), key.alias("dst_key"))
+    return got.edges.join(src, "src_id").join(dst, "dst_id").select(
+        "rel_type", "src_key", "dst_key", F.array_join("src_labels", ":").alias("src_label"),
+        F.array_join("dst_labels", ":").alias("dst_label"), F.coalesce(F.col("props")["quality"], F.lit("")).alias("quality"))
+
+
+def q_csv_bad_edges(spark, sf_dir):
+    return _party_import(spark, sf_dir).bad_edges
+
+
 def q_trig_lines(spark, sf_dir):
     from graphsift.plans.rdf import edge_quads, trig_lines
     return trig_lines(edge_quads(graph(spark, sf_dir)[1], "link"))
@@ -811,6 +855,9 @@ QUERIES: dict[str, Query] = {
     "csv_round_trip": q_csv_round_trip,
     "csv_round_trip_edges": q_csv_round_trip_edges,
     "csv_bulk_import": q_csv_bulk_import,
+    "csv_import_report": q_csv_import_report,
+    "csv_import_edges": q_csv_import_edges,
+    "csv_bad_edges": q_csv_bad_edges,
     "trig_lines": q_trig_lines,
     "quads_written": q_quads_written,
     "trig_written_link": _trig_written("link"),

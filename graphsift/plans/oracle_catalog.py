@@ -496,6 +496,37 @@ FROM documents
 UNION ALL SELECT 'Buyer', '', 'name=' || c_name FROM customer
 UNION ALL SELECT 'Buyer>READS>Doc', '', coalesce('in=' || lang, '') FROM customer JOIN documents ON c_custkey = doc_id"""
 
+_PARTY = """
+WITH inode AS (
+  SELECT 'Party' AS space, CAST(c_custkey AS VARCHAR) AS id, 'Customer' AS label FROM customer
+  UNION ALL SELECT 'Party', CAST(s_suppkey AS VARCHAR), 'Supplier' FROM supplier
+  UNION ALL SELECT '', 'order-' || o_orderkey, 'Order' FROM orders
+  UNION ALL SELECT '', CAST(n_nationkey AS VARCHAR), 'Nation' FROM nation),
+iedge AS (
+  SELECT 'ORDERED' AS rel, 'Party' AS src_space, CAST(o_custkey AS VARCHAR) AS src, '' AS dst_space,
+         'order-' || o_orderkey AS dst, '' AS quality FROM orders
+  UNION ALL SELECT 'LABELS', 'Party', CAST(doc_id AS VARCHAR), '', CAST(doc_id AS VARCHAR), '' FROM labels
+  UNION ALL SELECT 'RATES', '', CAST(nullif(doc_id, 0) AS VARCHAR), 'Party', CAST(doc_id + 600 AS VARCHAR), coalesce(CAST(quality AS VARCHAR), '')
+  FROM labels),
+iid AS (SELECT space, id, min(label) AS label, count(*) AS n FROM inode GROUP BY 1, 2),
+met AS (SELECT e.*, s.label AS src_label, d.label AS dst_label FROM iedge e
+        LEFT JOIN iid s ON s.space = e.src_space AND s.id = e.src LEFT JOIN iid d ON d.space = e.dst_space AND d.id = e.dst)
+"""
+ORACLES["csv_import_report"] = _PARTY + """
+SELECT 'node' AS kind, space AS subject, CAST(sum(n) AS BIGINT) AS n, 0::BIGINT AS without_id,
+       CAST(sum(n - 1) AS BIGINT) AS duplicates, 0::BIGINT AS bad_start, 0::BIGINT AS bad_end, 0::BIGINT AS bad
+FROM iid GROUP BY space
+UNION ALL SELECT 'edge', rel, count(*), count(CASE WHEN src IS NULL OR dst IS NULL THEN 1 END), 0,
+       count(CASE WHEN src_label IS NULL THEN 1 END), count(CASE WHEN dst_label IS NULL THEN 1 END),
+       count(CASE WHEN src_label IS NULL OR dst_label IS NULL THEN 1 END) FROM met GROUP BY rel"""
+ORACLES["csv_import_edges"] = _PARTY + """
+SELECT rel AS rel_type, src AS src_key, dst AS dst_key, src_label, dst_label, quality FROM met
+WHERE src_label IS NOT NULL AND dst_label IS NOT NULL"""
+ORACLES["csv_bad_edges"] = _PARTY + """
+SELECT rel AS rel_type, src, src_space, dst, dst_space,
+       CASE WHEN src_label IS NULL AND dst_label IS NULL THEN 'both' WHEN src_label IS NULL THEN 'start' ELSE 'end' END AS missing
+FROM met WHERE src_label IS NULL OR dst_label IS NULL"""
+
 _NODE_XML = """SELECT 'node' AS kind, n.type_name, CAST(q.node_id AS VARCHAR) AS id, NULL::VARCHAR AS src_labels_key,
     NULL::VARCHAR AS src, NULL::VARCHAR AS dst_labels_key, NULL::VARCHAR AS dst,
     coalesce((SELECT string_agg(p.key || '=' || p.value, ';' ORDER BY p.key || '=' || p.value)
