@@ -60,21 +60,19 @@ def annotate_types(types: DataFrame, prop_types: DataFrame,
     Done by explode + equi-join to the type table + regroup, so the type
     table never goes through the driver. Missing types become ``Unknown``.
     """
-    out = types
     pt = prop_types.select(F.col("property").alias("name"), F.col("type"))
-    for c in cols:
-        ex = types.select("type_id", F.posexplode(c).alias("pos", "name"))
-        typed = (ex.join(pt, "name", "left")
-                 .groupBy("type_id")
-                 .agg(F.array_sort(F.collect_list(F.struct(
-                     "pos", "name", F.coalesce("type", F.lit(ty.MISSING_TYPE)).alias("type"))))
-                     .alias("_t")))
-        typed = typed.select("type_id", F.transform("_t", lambda s: F.struct(
-            s["name"].alias("name"), s["type"].alias("type"))).alias(f"{c}_typed"))
-        empty = F.array().cast("array<struct<name:string,type:string>>")
-        out = out.join(typed, "type_id", "left").withColumn(
-            f"{c}_typed", F.coalesce(f"{c}_typed", empty))
-    return out
+
+    def tagged(i: int, c: str):
+        return F.transform(c, lambda x, at: F.struct(F.lit(i).alias("of"), at.alias("pos"), x.alias("name")))
+
+    listed = types.select("type_id", F.explode(F.concat(*[tagged(i, c) for i, c in enumerate(cols)])).alias("e")).select(
+        "type_id", "e.*")
+    item = F.struct("pos", "name", F.coalesce("type", F.lit(ty.MISSING_TYPE)).alias("type"))
+    typed = listed.join(pt, "name", "left").groupBy("type_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("of") == i, item))).alias(f"{c}_typed") for i, c in enumerate(cols)])
+    empty = F.array().cast("array<struct<name:string,type:string>>")
+    return types.join(typed, "type_id", "left").withColumns({f"{c}_typed": F.coalesce(F.transform(
+        f"{c}_typed", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))), empty) for c in cols})
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

@@ -26,19 +26,43 @@ def _nonblank(c):
     return F.array_sort(F.array_distinct(F.filter(c, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")))
 
 
-def _union_of(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, col): the sorted union of an array column per key. Items are made
-    distinct before they are gathered, so a row holds only the union."""
-    items = df.select(key, F.explode(col).alias("_item")).distinct()
-    return items.groupBy(key).agg(F.array_sort(F.collect_list("_item")).alias(col))
+def _unions(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, cols...): the sorted union of each array column per key, of keys with
+    any item. Items are gathered as sets, so a row holds only the unions."""
+    def tagged(i: int, c: str):
+        return F.transform(c, lambda x: F.struct(F.lit(i).alias("of"), x.alias("item")))
+
+    items = df.select(key, F.explode(F.concat(*[tagged(i, c) for i, c in enumerate(cols)])).alias("_e"))
+    return items.groupBy(key).agg(*[F.array_sort(F.collect_set(F.when(F.col("_e.of") == i, F.col("_e.item")))).alias(c)
+                                    for i, c in enumerate(cols)])
 
 
 def _with_unions(df: DataFrame, key: str, cols: list[str], *aggs) -> DataFrame:
     """Aggregates per key plus the union of each array column (empty if none)."""
     out = df.groupBy(key).agg(*aggs) if aggs else df.select(key).distinct()
-    for c in cols:
-        out = out.join(_union_of(df, key, c), key, "left").withColumn(c, F.coalesce(c, _empty()))
-    return out
+    plain = df.withColumns({c: F.coalesce(c, _empty()) for c in cols})
+    return out.join(_unions(plain, key, cols), key, "left").withColumns({c: F.coalesce(c, _empty()) for c in cols})
+
+
+def _property_counts(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n, common, optional) of (keys..., prop_keys, w, n): ``common`` are the
+    properties whose weights ``w`` add up to the weight of all rows of the keys.
+
+    Two aggregations: weights per property, with the whole as the null property,
+    then one row per keys."""
+    whole = F.array(F.lit(None).cast("string"))
+    per = (units.select(*keys, "w", "n", F.explode(F.concat(whole, F.coalesce("prop_keys", _empty()))).alias("prop"))
+           .groupBy(*keys, "prop").agg(F.sum("w").alias("cnt"), F.sum("n").alias("n")))
+    is_whole = F.col("prop").isNull()
+    gathered = per.groupBy(*keys).agg(
+        F.max(F.when(is_whole, F.col("cnt"))).alias("total"), F.max(F.when(is_whole, F.col("n"))).alias("n"),
+        F.array_sort(F.collect_list(F.when(~is_whole, F.struct("prop", "cnt")))).alias("counts"))
+
+    def names(test):
+        return F.transform(F.filter("counts", test), lambda x: x["prop"])
+
+    return gathered.select(*keys, "n", names(lambda x: x["cnt"] == F.col("total")).alias("common"),
+                           names(lambda x: x["cnt"] != F.col("total")).alias("optional"))
 
 
 # --------------------------------------------------------------------------- nodes
@@ -100,26 +124,16 @@ def split_properties(pattern_types: DataFrame, granularity: str = "instance") ->
     Input needs type_id, prop_keys, n (+ cluster_id for ``cluster``).
     """
     if granularity == "instance":
-        units = pattern_types.select("type_id", "prop_keys", F.col("n").alias("w"))
+        units = pattern_types.select("type_id", "prop_keys", F.col("n").alias("w"), "n")
     elif granularity == "cluster":
         pairs = pattern_types.select("type_id", "cluster_id").distinct()
-        units = (pairs.join(_union_of(pattern_types, "cluster_id", "prop_keys"), "cluster_id", "left")
-                 .select("type_id", F.coalesce("prop_keys", _empty()).alias("prop_keys"),
-                         F.lit(1).cast("bigint").alias("w")))
+        nothing = F.lit(0).cast("bigint")
+        units = (pairs.join(_unions(pattern_types, "cluster_id", ["prop_keys"]), "cluster_id", "left")
+                 .select("type_id", "prop_keys", F.lit(1).cast("bigint").alias("w"), nothing.alias("n"))
+                 .unionByName(pattern_types.select("type_id", _empty().alias("prop_keys"), nothing.alias("w"), "n")))
     else:
         raise ValueError(f"unknown granularity {granularity!r}")
-    total = units.groupBy("type_id").agg(F.sum("w").alias("total"))
-    per_prop = (units.select("type_id", "w", F.explode("prop_keys").alias("prop"))
-                .groupBy("type_id", "prop").agg(F.sum("w").alias("cnt")))
-    flags = per_prop.join(total, "type_id").withColumn("mand", F.col("cnt") == F.col("total"))
-    split = flags.groupBy("type_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("mand"), F.col("prop")))).alias("mandatory"),
-        F.array_sort(F.collect_list(F.when(~F.col("mand"), F.col("prop")))).alias("optional"))
-    size = pattern_types.groupBy("type_id").agg(F.sum("n").alias("n"))
-    return (size.join(split, "type_id", "left")
-            .select("type_id", "n",
-                    F.coalesce("mandatory", _empty()).alias("mandatory"),
-                    F.coalesce("optional", _empty()).alias("optional")))
+    return _property_counts(units, ["type_id"]).select("type_id", "n", F.col("common").alias("mandatory"), "optional")
 
 
 def merge_node_types(assigned: DataFrame, threshold: float = 0.9, multi: bool = False,
@@ -275,16 +289,7 @@ def merge_schemas(*types: DataFrame, key: str = "type_id") -> DataFrame:
 
 def _profile(units: DataFrame, keys: list[str]) -> DataFrame:
     """Count-form split over (keys..., prop_keys, n) rows."""
-    total = units.groupBy(*keys).agg(F.sum("n").alias("n"))
-    per = (units.select(*keys, "n", F.explode("prop_keys").alias("prop"))
-           .groupBy(*keys, "prop").agg(F.sum("n").alias("cnt")))
-    flags = per.join(total, keys).withColumn("common", F.col("cnt") == F.col("n"))
-    split = flags.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("common"), F.col("prop")))).alias("common"),
-        F.array_sort(F.collect_list(F.when(~F.col("common"), F.col("prop")))).alias("optional"))
-    return (total.join(split, keys, "left")
-            .withColumn("common", F.coalesce("common", _empty()))
-            .withColumn("optional", F.coalesce("optional", _empty()))
+    return (_property_counts(units.withColumn("w", F.col("n")), keys)
             .withColumn("all_props", F.array_sort(F.concat("common", "optional"))))
 
 

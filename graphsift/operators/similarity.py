@@ -47,7 +47,12 @@ def candidates(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame
         tokens = tokens.unionAll(b.select(F.explode("set").alias("token")))
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     # Sizes: as many as the largest set has tokens at most.
-    sizes_a, sizes_b = ([r["size"] for r in x.select("size").distinct().collect()] for x in (a, right))
+    sizes = a.select("size", F.lit(True).alias("left"))
+    if b is not None:
+        sizes = sizes.unionAll(b.select("size", F.lit(False)))
+    sizes = sizes.distinct().collect()
+    sizes_a = [r["size"] for r in sizes if r["left"]]
+    sizes_b = sizes_a if b is None else [r["size"] for r in sizes if not r["left"]]
     la = _lists(a, freq, threshold, sizes_b, "m", "n").withColumnsRenamed({"id": "a", "place": "i"})
     lb = _lists(right, freq, threshold, sizes_a, "n", "m").withColumnsRenamed({"id": "b", "place": "j"})
     left_over = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))

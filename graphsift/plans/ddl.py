@@ -54,7 +54,7 @@ def _line(section: int, ord_col, text) -> list[Column]:
 def _numbers(names: DataFrame, col: str, number: str) -> DataFrame:
     """(col, number): 1..k in the order of ``col``, numbered over range partitions."""
     placed = dense_number(names.select(col), [col], pos="at")
-    return broadcast_if_small(cut_lineage(placed.select(F.col(col).alias(f"{number}_of"), (F.col("at") + 1).alias(number))))
+    return placed.select(F.col(col).alias(f"{number}_of"), (F.col("at") + 1).alias(number))
 
 
 def _numbered_abstract(nodes: DataFrame) -> DataFrame:
