@@ -3,10 +3,12 @@
 from collections import Counter
 
 import pyspark.sql.functions as F
+import pytest
 
 from graphsift.functions import typing as ty
 from graphsift.plans import rdf
 from graphsift.plans.catalog import _compared
+from graphsift.sources import graph
 from graphsift.sources.graph import EdgeSpec, attach_endpoint_labels, read_edges
 
 
@@ -72,3 +74,21 @@ def test_value_bits_equal_the_single_tests(spark):
         assert sorted(map(tuple, one.where("v IS NOT NULL").collect())) == expected
     last = ty.tested(df, "v", "lenient", ["k"]).where("k = %d" % (len(values) - 1)).first()
     assert last["all_int"] is None and last["n_values"] == 0
+
+
+@pytest.mark.parametrize("how", ["labels", "text"])
+def test_usual_edge_ids_do_not_ride_the_label_joins(spark, how):
+    from graphsift.functions.text import label_key
+    nodes = spark.createDataFrame([(1, ["A"], {}), (1, ["B"], {}), (2, [], {}), (None, ["C"], {})],
+                                  "node_id bigint, labels array<string>, props map<string,string>")
+    rows = [("R_1_2", 1, 2, "R"), ("own", 1, 2, "R"), (None, 2, 9, "R"), ("-", 2, 1, "R"), ("=x", 2, 2, "R"), ("", 2, 2, "R"),
+            ("R_1", 1, None, "R"), ("", None, None, None), ("S_2_2", 2, 2, "S"), ("R_2_2", 2, 2, None)]
+    raw = spark.createDataFrame(rows, "edge_id string, src_id bigint, dst_id bigint, rel_type string")
+    got = (attach_endpoint_labels(raw, nodes).withColumns({f"{e}_key": label_key(f"{e}_labels") for e in ("src", "dst")})
+           if how == "labels" else graph.attach_to_ends(raw, nodes, label_key("labels"), "key", ""))
+    keys = {1: ["A", "B"], 2: [""], 9: [""], None: [""]}
+    want = [(*r, a, b) for r in rows for a in keys[r[1]] for b in keys[r[2]]]
+    found = got.select("edge_id", "src_id", "dst_id", "rel_type", "src_key", "dst_key").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    packed = [r[0] for r in raw.select(graph._own_id()).collect()]
+    assert [p is None for p in packed] == [True, False, False, False, False, False, True, True, True, False]
